@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +47,24 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def local_path(uri: str) -> str:
     """The path of a file: URI, as Python opens it."""
     return uri[len("file:"):].replace("///", "/", 1) if uri.startswith("file:") else os.fspath(uri)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text as an array, in Spark's own functions; none where it is null or blank."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1))
+
+
+def gram_hashes(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Adds ``out``: a 64-bit hash of every 5 elements in a row of the array ``hashes``, rolled up by pairs and fours."""
+    n = F.size(hashes)
+
+    def rolled(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+    def part(name: str, start: int, length: Column) -> Column:
+        return F.slice(name, start, F.greatest(length, F.lit(0)))
+
+    df = df.withColumn("__two", rolled(part(hashes, 1, n - 1), part(hashes, 2, n - 1)))
+    df = df.withColumn("__four", rolled(part("__two", 1, n - 3), part("__two", 3, n - 3)))
+    return df.withColumn(out, rolled(part("__four", 1, n - 4), part(hashes, 5, n - 4))).drop("__two", "__four")
