@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat", "winnow")
+MODULES = ("chat", "winnow", "quality")
 
 
 def _modules():
