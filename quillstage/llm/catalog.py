@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat", "winnow", "quality", "licences", "packing")
+MODULES = ("chat", "winnow", "quality", "licences", "packing", "language")
 
 
 def _modules():
