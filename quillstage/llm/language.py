@@ -26,7 +26,9 @@ from quillstage.llm.common import read
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 8000, 65_536
 LEVEL, BLOCK = 6, 2048
-MARGIN, HALF_SCORE = 0.01, 0.02
+#: Texts of fewer bytes are searched harder for what a dictionary has of them.
+SHORT, SHORT_LEVEL = 512, 12
+MARGIN, HALF_SCORE = 0.005, 0.02
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 Model = tuple[tuple[str, bytes], ...]
@@ -59,12 +61,15 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
 def _compressors(model: Model):
     import zstandard
 
-    out = []
-    for name, raw in model:
+    plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+
+    def compressor(raw: bytes, level: int):
+        parameters = zstandard.ZstdCompressionParameters.from_level(level, dict_size=DICTIONARY_BYTES, source_size=BLOCK, **plain)
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(level=LEVEL)
-        out.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)))
-    return out
+        dictionary.precompute_compress(compression_params=parameters)
+        return zstandard.ZstdCompressor(compression_params=parameters, dict_data=dictionary)
+
+    return [[(name, compressor(raw, level)) for name, raw in model] for level in (LEVEL, SHORT_LEVEL)]
 
 
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
@@ -73,7 +78,7 @@ def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
     if not raw or not model:
         return UNKNOWN, 0.0, True
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model))
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model)[len(raw) < SHORT])
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]

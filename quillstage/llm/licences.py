@@ -33,7 +33,7 @@ NOTICES = {
     "general public licence": ("gpl", 0.8), "gnu gpl": ("gpl", 0.8), "lesser general public license": ("lgpl", 0.9), "gnu lgpl": ("lgpl", 0.8),
     "affero general public license": ("agpl", 0.9), "gnu agpl": ("agpl", 0.8), "bsd license": ("bsd", 0.8),
     "redistribution and use in source and binary forms": ("bsd", 0.9), "mozilla public license": ("mpl", 0.9), "eclipse public license": ("epl", 0.9),
-    "isc license": ("isc", 0.8), "boost software license": ("bsl", 0.9), "creative commons": ("cc", 0.6), "licensed under cc by": ("cc-by", 0.8),
+    "isc license": ("isc", 0.8), "boost software license": ("bsl", 0.9), "creative commons": ("cc", 0.6), "cc by 4 0": ("cc-by", 0.8), "cc by 3 0": ("cc-by", 0.8),
     "cc by nc": ("cc-by-nc", 0.8), "cc by sa": ("cc-by-sa", 0.8), "cc by nd": ("cc-by-nd", 0.8), "cc0 1 0": ("cc0", 0.8), "public domain": ("public-domain", 0.5),
     "free and unencumbered software released into the public domain": ("unlicense", 0.9), "all rights reserved": ("proprietary", 0.5),
 }
