@@ -18,11 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _modules():
         out |= module.QUERIES
-    return out
+    return out | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for module in _modules():
         out |= module.SQL
-    return out
+    whole = import_module("corpus_pipeline").ORACLE_SQL
+    return out | ({"pipeline": whole} if whole else {})

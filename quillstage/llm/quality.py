@@ -38,7 +38,7 @@ def _shorter(text: Column, chars: str) -> Column:
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds a column ``q_<name>`` for each of FEATURES."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    own, whole = [F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("q_words", words_of(F.col(text)))
     df = df.withColumn("q_lines", F.filter(F.split(whole, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(WHITE))) > 0))
     df = df.withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
@@ -52,7 +52,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
 
     df = df.withColumn("q_at", F.when(F.col("q_sorted").isNotNull(), F.sort_array(F.transform(F.filter("q_sorted", neighbours), lambda x: x["i"]))))
     covered = F.aggregate(F.zip_with("q_at", F.slice("q_at", 2, F.greatest(F.size("q_at") - 1, F.lit(0))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5)))), F.lit(0), lambda total, x: total + x)
-    return df.withColumns({
+    figures = {
         "q_n_words": F.size("q_words").cast("long"),
         "q_word_chars": F.length(F.translate(whole, WHITE, "")).cast("long"),
         "q_n_symbols": _shorter(whole, SYMBOLS),
@@ -63,7 +63,9 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "q_n_upper": F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long"),
         "q_n_stops": F.regexp_count(whole, F.lit(r"[.!?。！？]")).cast("long"),
         "q_n_chars": F.length(whole).cast("long"),
-    }).drop("q_words", "q_lines", "q_hashes", "q_grams", "q_sorted", "q_at")
+    }
+    # a generator over one row: the optimiser does not copy the figures into each of the rules that read them
+    return df.select(*own, F.inline(F.array(F.struct(*(c.alias(k) for k, c in figures.items())))))
 
 
 def base_failed() -> Column:
