@@ -37,7 +37,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: The least similarity in per cent, and how far an estimate may be below it: over four standard deviations.
 THRESHOLD, REACH = 75, 0.12
-BATCH_CHARS, SET_PART = 4_000_000, 2048
+BATCH_CHARS, SET_PART = 1_000_000, 2048
 #: Members of a bucket that are compared in one task, pairs with one end in one stream, and ids that are broadcast.
 BLOCK, STREAM, MOST_BROADCAST = 1024, 1024, 2_000_000
 _U = np.uint64
@@ -118,19 +118,26 @@ def _chance(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
 
-_GRID = np.linspace(0, 1, 201)
+#: Similarities among which the likeliest is sought, as parts of what the sizes allow, and the share of equal registers below which none is.
+_GRID, LEAST_EQUAL = np.linspace(0.4, 1, 61), 0.48
 
 
 def estimate(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray) -> np.ndarray:
-    """The likeliest Jaccard similarity of a sketch with each of ``many``, given the sizes of the sets."""
-    equal, larger = (many == one).sum(axis=1), (many < one).sum(axis=1)
+    """The likeliest Jaccard similarity of a sketch with each of ``many``, given the sizes of the sets; 0 where few registers are equal."""
+    equal = (many == one).sum(axis=1)
+    out, some = np.zeros(len(many)), np.flatnonzero(equal >= LEAST_EQUAL * REGISTERS)
+    if not len(some):
+        return out
+    equal, n_many = equal[some], n_many[some]
+    larger = (many[some] < one).sum(axis=1)
     smaller = REGISTERS - equal - larger
     u = (n_one / (n_one + n_many))[:, None]
     v = 1 - u
     j = _GRID[None, :] * np.minimum(u / v, v / u)
     up, down = _chance(u - v * j), _chance(v - u * j)
     fit = larger[:, None] * np.log(up + 1e-12) + smaller[:, None] * np.log(down + 1e-12) + equal[:, None] * np.log(np.clip(1 - up - down, 1e-12, 1))
-    return j[np.arange(len(j)), fit.argmax(axis=1)]
+    out[some] = j[np.arange(len(j)), fit.argmax(axis=1)]
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
