@@ -11,8 +11,8 @@ candidate of a bucket is left out while most pairs of a large group are never ma
 similarity from how many registers are larger, smaller and equal and from both set sizes, by maximum likelihood; pairs whose
 estimate is within reach of the threshold are confirmed on the full sets.
 
-Sets travel only for pairs, once per pair, in streams sorted by one end; ends with many pairs are split over tasks. Buckets are
-compared in blocks of bounded size. Nothing of all documents reaches the driver.
+Sets are dealt to parts of bounded size; for its pairs a document's set is sent once to each part that holds other ends, and
+streamed by them. Buckets are compared in blocks of bounded size. Nothing of all documents reaches the driver.
 
 Defined results: a text of fewer than five words is one shingle; a text without words is empty and linked with nothing; rows
 with equal ids and different texts are treated as linked by their id alone where components meet; an empty table gives
@@ -38,8 +38,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: The least similarity in per cent, and how far an estimate may be below it: over four standard deviations.
 THRESHOLD, REACH = 75, 0.12
 BATCH_CHARS, SET_PART = 1_000_000, 2048
-#: Members of a bucket that are compared in one task, pairs with one end in one stream, and ids that are broadcast.
-BLOCK, STREAM, MOST_BROADCAST = 1024, 1024, 2_000_000
+#: Members of a bucket that are compared in one task, bytes of sets that a task holds, and ids that are broadcast.
+BLOCK, PART_BYTES, MOST_BROADCAST = 1024, 4_000_000, 2_000_000
 _U = np.uint64
 
 
@@ -180,37 +180,45 @@ def _sets_of(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
     return texts.mapInPandas(run, "d long, shingles binary, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are alike, b being the end that many pairs may share."""
-    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("streams"))
-    members = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("streams")).cast("int").alias("stream"))
-    members = members.join(sets.withColumnRenamed("d", "a"), "a").select("b", "stream", "a", "shingles", "sketch")
-    heads = per.select("b", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"))
-    heads = heads.join(sets.withColumnRenamed("d", "b"), "b").select("b", "stream", F.lit(None).cast("long").alias("a"), "shingles", "sketch")
-    rows = heads.unionByName(members).repartition("b", "stream").sortWithinPartitions("b", "stream", F.col("a").asc_nulls_first())
+def _requests(pairs: DataFrame, parts: int) -> DataFrame:
+    """(part, b, members): pairs (a, b) with the ends a gathered by their part, of which each holds a bounded part of the sets."""
+    return pairs.groupBy(F.pmod("a", F.lit(parts)).cast("int").alias("part"), "b").agg(F.collect_set("a").alias("members"))
+
+
+def _confirmed(requests: DataFrame, sets: DataFrame, parts: int, estimated: bool = False) -> DataFrame:
+    """Those pairs of members and b that are alike. A task holds one part of the sets and streams the sets of the ends b by."""
+    held = sets.select(F.pmod("d", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "d", "shingles", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
+    asked = requests.join(sets.withColumnRenamed("d", "b"), "b").select("part", F.lit(1).alias("kind"), F.col("b").alias("d"), "shingles", "sketch", "members")
+    rows = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = sketch = None
+        here, known = None, {}
         for frame in frames:
             found = []
-            for b, a, is_head, raw, regs in zip(frame["b"].tolist(), frame["a"].tolist(), frame["a"].isna().tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(), strict=True):
+            for part, kind, d, raw, regs, members in zip(frame["part"].tolist(), frame["kind"].tolist(), frame["d"].tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(), frame["members"].tolist(), strict=True):
+                if part != here:
+                    here, known = part, {}
                 s, r = np.frombuffer(raw, np.uint64), np.frombuffer(regs, np.uint16)
-                if is_head:
-                    head, sketch = s, r
-                elif 100 * estimate(sketch, r[None], len(head), np.array([len(s)]))[0] >= THRESHOLD - 100 * REACH and alike(head, s):
-                    found.append((int(a), b))
+                if not kind:
+                    known[d] = s, r
+                    continue
+                fit = [m for m in members if m in known]
+                if fit and not estimated:
+                    near = estimate(r, np.stack([known[m][1] for m in fit]), len(s), np.array([len(known[m][0]) for m in fit]))
+                    fit = [m for m, j in zip(fit, near.tolist(), strict=True) if 100 * j >= THRESHOLD - 100 * REACH]
+                found += [(m, d) for m in fit if alike(known[m][0], s)]
             yield pd.DataFrame(found, columns=["a", "b"])
 
     return rows.mapInPandas(compare, "a long, b long")
 
 
-def _apart(buckets: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different components and whose estimate is within reach, each once.
+def _apart(buckets: DataFrame, grouped: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Requests for the pairs of a bucket that lie in different components and whose estimate is within reach, each pair once.
 
     Members outside the component of the bucket's smallest one, the outsiders, are compared with all members. Members are dealt
     to blocks, and every block of outsiders meets every block of members.
     """
-    known = buckets.join(parts.withColumnRenamed("id", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    known = buckets.join(grouped.withColumnRenamed("id", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
     heads = known.filter("d = head").select("bucket", F.col("component").alias("main"))
     sizes = known.join(heads, "bucket").withColumn("out", F.col("component") != F.col("main"))
     split = sizes.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("no")).filter("no > 0")
@@ -228,7 +236,7 @@ def _apart(buckets: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
         d, n, part, out, head = (frame[c].to_numpy() for c in ("d", "n", "component", "out", "head"))
         bands = (sketch.reshape(-1, BANDS, ROWS).astype(np.uint64) * _families()[2][None, :, :ROWS]).sum(axis=2, dtype=np.uint64)
         others = np.flatnonzero(~asks)
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, list[int]]] = []
         bucket = frame["bucket"].iloc[0]
         with np.errstate(over="ignore"):
             band = int((_mix(bands[0] + _families()[2][:, ROWS]).astype(np.int64) == bucket).argmax())
@@ -241,10 +249,11 @@ def _apart(buckets: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
                 fit = fit[~(bands[fit, :band] == bands[k, :band]).any(axis=1)]  # met in an earlier band
             if len(fit):
                 near = estimate(sketch[k], sketch[fit], int(n[k]), n[fit])
-                found += [(int(x), int(d[k])) for x in d[fit[100 * near >= THRESHOLD - 100 * REACH]]]
-        return pd.DataFrame(found, columns=["a", "b"])
+                reached = d[fit[100 * near >= THRESHOLD - 100 * REACH]]
+                found += [(int(p), int(d[k]), reached[reached % parts == p].tolist()) for p in np.unique(reached % parts)]
+        return pd.DataFrame(found, columns=["part", "b", "members"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "part int, b long, members array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,16 +266,19 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     buckets = written(banded.join(shared, "bucket"), "buckets")
     ids = buckets.select("d").distinct()
     sets = written(_sets_of(docs, ids, doc, text).dropDuplicates(["d"]), "sets")
-    first = written(_confirmed(buckets.filter("d <> head").select(F.col("d").alias("a"), F.col("head").alias("b")).distinct(), sets), "first-links")
-    parts = components(first)
-    apart = written(_apart(buckets, parts, sets), "apart")
+    size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    parts = size // PART_BYTES + 1
+    stars = buckets.filter("d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
+    first = written(_confirmed(_requests(stars, parts), sets, parts), "first-links")
+    grouped = components(first)
+    apart = written(_apart(buckets, grouped, sets, parts), "apart")
     if apart.take(1):
-        second = written(_confirmed(apart.distinct(), sets), "second-links")
+        second = written(_confirmed(apart, sets, parts, estimated=True), "second-links")
         if second.take(1):
-            parts = components(first.unionAll(second))
+            grouped = components(first.unionAll(second))
     stands = drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("rep"))
     own = drawn.select("d", *keys).join(stands, keys, "left")
-    found = own.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    found = own.join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
     return found.select(F.col("d").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "d").alias("component_id"))
 
 
