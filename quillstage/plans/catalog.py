@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstage.plans import roles
+from quillstage.plans import checks, rehearsing, roles, structures, text
 
-MODULES = (roles,)
+MODULES = (roles, text, rehearsing, structures, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
