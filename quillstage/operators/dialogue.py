@@ -46,7 +46,8 @@ def elements(typed: DataFrame, doc: str) -> DataFrame:
     said = rows.filter("speech_no > 0").groupBy(doc, "unit_no", "act", "scene", "implicit", "speech_no").agg(
         F.max(F.when(F.col("type") == "personnage", F.col("text"))).alias("name"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "texte", F.struct("line_no", "part", "text")))), lambda s: s["text"]).alias("lines"),
-        F.min(F.struct("line_no", "part")).alias("at"),
+        # what stands between a name and its first text comes before the speech
+        F.coalesce(F.min(F.when(F.col("type") == "texte", F.struct("line_no", "part"))), F.max(F.struct("line_no", "part"))).alias("at"),
     )
     joined = F.array_join("lines", "\n")
     spoken = X.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"(?<!\*)\*(?!\*)([^*]+)\*", ""), r"[ \t]+", " "), r" ?\n ?", "\n"))

@@ -79,7 +79,8 @@ def test_elements(typed):
     assert said == [(("JAN",), "Bonsoir. Il fait froid.\nTrès froid.", True), (("MARTHA",), "Vous trouvez ?", False), (("*",), "Ah !", False), (("JAN",), "Bonsoir. Il fait froid.\nRien.", True)]
     first = next(r for r in found if r.type == "replique")
     assert [(a.before_word, a.text) for a in first.asides] == [(0, "bas"), (1, "Il s'assied.")]
-    assert [r.text for r in found if r.type == "didascalie"] == ["Elle rit."]
+    assert [r.text for r in found if r.type == "didascalie"] == ["Elle rit.", "à part."]
+    assert [r.type for r in found] == ["lieu", "replique", "didascalie", "replique", "replique", "didascalie", "replique"]
     ids = [r.id for r in found if r.type == "replique"]
     assert len(set(ids)) == len(ids)
     assert [r.type for r in found][0] == "lieu"
