@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, as an explicit class.
-WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = r" \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CHARS = " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, NONSPACE = f"[{WS}]+", f"[^{WS}]+"
 #: Words of a balance sheet: Latin letters, digits and straight apostrophes.
 BALANCE_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9']+"
@@ -33,8 +35,13 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, ACCENTED, BARE), r"\p{Mn}", "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once, however often ``then`` names it; plans stay small."""
+    return F.transform(F.array(value), then)[0]
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -101,6 +108,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda t: t != "")
 
 
+def five_word_hashes(words: Column) -> Column:
+    """A 64-bit hash of every five words in a row of an array, in time proportional to its length."""
+
+    def rolled(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+    def part(a: Column, start: int, n: Column) -> Column:
+        return F.slice(a, F.lit(start), F.greatest(n, F.lit(0)))
+
+    def fives(h: Column, four: Column) -> Column:
+        return rolled(part(four, 1, F.size(h) - 4), part(h, 5, F.size(h) - 4))
+
+    def fours(h: Column, two: Column) -> Column:
+        return rolled(part(two, 1, F.size(h) - 3), part(two, 3, F.size(h) - 3))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: let(rolled(part(h, 1, F.size(h) - 1), part(h, 2, F.size(h) - 1)), lambda two: let(fours(h, two), lambda four: fives(h, four))))
+
+
 def word_places(text: Column) -> Column:
     """Places, from 0, of the tokens that have a letter or digit."""
     return F.array_compact(F.transform(tokens(text), lambda t, i: F.when(t.rlike(LETTER_OR_DIGIT), i)))
@@ -128,8 +154,7 @@ def initials(text: Column) -> Column:
 
 
 def excerpt(text: Column, n: int = 60) -> Column:
-    flat = squeeze(text)
-    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n - 1)), F.lit("…"))).otherwise(flat)
+    return let(squeeze(text), lambda flat: F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n - 1)), F.lit("…"))).otherwise(flat))
 
 
 def unit_label(act: Column, scene: Column, unit: Column) -> Column:
@@ -155,17 +180,15 @@ def is_separator(line: Column) -> Column:
 
 def bold(line: Column) -> Column:
     """What a line that is wholly bold says, else null."""
-    s = strip(line)
-    return F.when(~is_separator(line) & s.rlike(BOLD), strip(F.regexp_extract(s, BOLD, 1)))
+    return let(strip(line), lambda s: F.when(s.startswith("**") & ~s.rlike(SEPARATOR) & s.rlike(BOLD), strip(F.regexp_extract(s, BOLD, 1))))
 
 
 def italic(line: Column) -> Column:
-    s = strip(line)
-    return F.when(~is_separator(line) & s.rlike(ITALIC), strip(F.regexp_extract(s, ITALIC, 1)))
+    return let(strip(line), lambda s: F.when(s.startswith("*") & ~s.rlike(SEPARATOR) & s.rlike(ITALIC), strip(F.regexp_extract(s, ITALIC, 1))))
 
 
 def is_speech(line: Column) -> Column:
-    return (strip(line) != "") & ~is_separator(line) & bold(line).isNull() & italic(line).isNull()
+    return let(strip(line), lambda s: (s != "") & (~s.startswith("*") | ~(s.rlike(SEPARATOR) | s.rlike(BOLD) | s.rlike(ITALIC))))
 
 
 def _letters(text: Column) -> Column:
@@ -174,7 +197,7 @@ def _letters(text: Column) -> Column:
 
 def is_name(text: Column) -> Column:
     """Two letters at least, 40 characters at most, capitals throughout."""
-    return (F.length(text) <= MOST_LABEL) & (F.length(_letters(text)) >= LEAST_LETTERS) & _letters(text).rlike(r"^\p{Lu}+$")
+    return (F.length(text) <= MOST_LABEL) & let(_letters(text), lambda x: (F.length(x) >= LEAST_LETTERS) & x.rlike(r"^\p{Lu}+$"))
 
 
 def may_be_name(text: Column) -> Column:
@@ -182,8 +205,7 @@ def may_be_name(text: Column) -> Column:
 
 
 def is_structure_label(line: Column) -> Column:
-    s = strip(line)
-    return ~s.contains("<<<") & ~s.rlike(PAGE_MARK) & (F.length(s) <= MOST_LABEL) & (F.length(_letters(s)) >= 3) & _letters(s).rlike(r"^\p{Lu}+$")
+    return let(strip(line), lambda s: (F.length(s) <= MOST_LABEL) & ~s.contains("<<<") & ~s.rlike(PAGE_MARK) & let(_letters(s), lambda x: (F.length(x) >= 3) & x.rlike(r"^\p{Lu}+$")))
 
 
 def starts_small(text: Column) -> Column:

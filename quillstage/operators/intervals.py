@@ -53,7 +53,7 @@ def category_at(points: DataFrame, spans: DataFrame, doc: str, at: str) -> DataF
     """Points with the category of the first span that holds them, 0 outside."""
     s = spans.select(F.col(doc).alias("__d"), "start", "stop", "category")
     held = points.join(s, (points[doc] == F.col("__d")) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop")), "left")
-    return held.groupBy(doc, at).agg(F.coalesce(F.min_by("category", F.struct("start", "stop")), F.lit(0)).alias("category"))
+    return held.groupBy(doc, at).agg(F.coalesce(F.min_by("category", F.struct("start", "stop", "category")), F.lit(0)).alias("category"))
 
 
 def words_inside(text: Column, start: Column, stop: Column, word: str) -> Column:

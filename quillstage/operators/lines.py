@@ -71,15 +71,23 @@ def split_inline(line: Column) -> Column:
     Emphasis inside a sentence is told by a label without final point whose continuation begins small.
     """
     pattern = r"^\*\*([^*\n]+)\*\*[\t-\r ]+(\S.*)$"
-    s = X.strip(line)
-    raw, rest = X.strip(F.regexp_extract(s, pattern, 1)), X.strip(F.regexp_extract(s, pattern, 2))
-    before, after = X.strip(F.regexp_extract(raw, r"^([^,]*),", 1)), X.strip(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1))
-    with_aside = (F.instr(raw, ",") > 0) & X.is_name(before) & (after != "")
-    name = F.when(with_aside, before).otherwise(raw)
-    said = F.regexp_replace(rest, r"^[–—−-][\t-\r ]*", "")
-    called = name.endswith(".") | with_aside
-    fits = s.rlike(pattern) & X.is_name(name) & (said != "") & (called | ~X.starts_small(said))
-    return F.when(fits, F.struct(name.alias("name"), F.when(with_aside, after).alias("aside"), said.alias("speech")))
+
+    def judged(raw: Column, said: Column, before: Column, after: Column, with_aside: Column) -> Column:
+        name = F.when(with_aside, before).otherwise(raw)
+        fits = X.is_name(name) & (said != "") & (name.endswith(".") | with_aside | ~X.starts_small(said))
+        return F.when(fits, F.struct(name.alias("name"), F.when(with_aside, after).alias("aside"), said.alias("speech")))
+
+    def parts(p: Column) -> Column:
+        return judged(p["raw"], p["said"], p["before"], p["after"], p["comma"] & X.is_name(p["before"]) & (p["after"] != ""))
+
+    def cut(raw: Column, said: Column) -> Column:
+        return F.struct(raw.alias("raw"), said.alias("said"), X.strip(F.regexp_extract(raw, r"^([^,]*),", 1)).alias("before"), X.strip(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1)).alias("after"), (F.instr(raw, ",") > 0).alias("comma"))
+
+    def fitting(s: Column) -> Column:
+        raw, rest = X.strip(F.regexp_extract(s, pattern, 1)), X.strip(F.regexp_extract(s, pattern, 2))
+        return X.let(raw, lambda r: X.let(cut(r, F.regexp_replace(rest, r"^[–—−-][\t-\r ]*", "")), parts))
+
+    return X.let(X.strip(line), lambda s: F.when(s.startswith("**") & s.rlike(pattern), fitting(s)))
 
 
 def emphasis_runs(line: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,15 +26,18 @@ def _share(pattern: str, text: Column, of: Column) -> Column:
 
 def text_layer_refusals(text: Column) -> Column:
     """Why a page's text layer is refused; empty where it may be used. The first two reasons end the check."""
-    bare = X.strip(F.coalesce(text, F.lit("")))
-    filled = F.regexp_count(bare, F.lit(f"[^{X.WS}]"))
-    letters = F.regexp_count(bare, F.lit(r"\p{L}"))
-    odd = _share("[\\x{fffd}\\x00-\\x07\\x0b\\x0c]", bare, F.length(bare))
-    rest = F.array_compact(F.array(
-        F.when(letters / filled < LEAST_LETTERS, "few letters"), F.when(odd > MOST_ODD, "odd characters"),
-        F.when((letters > 0) & (_share(f"[{ACCENTED}]", bare, letters) < LEAST_ACCENTS), "no accents"),
-    ))
-    return F.when(bare == "", F.array(F.lit("no text layer"))).when(F.length(bare) < LEAST_CHARS, F.array(F.lit("too short"))).otherwise(rest)
+
+    def rest(bare: Column, letters: Column) -> Column:
+        odd = _share("[\\x{fffd}\\x00-\\x07\\x0b\\x0c]", bare, F.length(bare))
+        return F.array_compact(F.array(
+            F.when(letters / F.regexp_count(bare, F.lit(f"[^{X.WS}]")) < LEAST_LETTERS, "few letters"), F.when(odd > MOST_ODD, "odd characters"),
+            F.when((letters > 0) & (_share(f"[{ACCENTED}]", bare, letters) < LEAST_ACCENTS), "no accents"),
+        ))
+
+    def reasons(bare: Column) -> Column:
+        return F.when(bare == "", F.array(F.lit("no text layer"))).when(F.length(bare) < LEAST_CHARS, F.array(F.lit("too short"))).otherwise(X.let(F.regexp_count(bare, F.lit(r"\p{L}")), lambda n: rest(bare, n)))
+
+    return X.let(X.strip(F.coalesce(text, F.lit(""))), reasons)
 
 
 def layer_used(refusals: Column, strategy: str = "auto") -> Column:
@@ -58,23 +63,25 @@ def transcript_findings(text: Column) -> Column:
     return F.array_compact(F.array(*forbidden(text), F.when(unmarked.rlike(r"(?m)\*\*[^*\n]+\*\*|^\*[^*\n]+\*$"), "emphasis added")))
 
 
+def _ratio(a: Column, b: Column, then: Callable[[Column], Column]) -> Column:
+    return X.let(F.try_divide(b.cast("double"), a), then)
+
+
 def output_findings(source: Column, output: Column) -> Column:
-    a, b = X.for_counting(source), X.for_counting(output)
-    short = (F.length(a) > 0) & (F.length(b) / F.length(a) < LEAST_LENGTH)
-    found = F.array_compact(F.array(F.when(short, "too short"), *forbidden(output), F.when(X.stars_outside_separators(output) % 2 != 0, "odd number of stars")))
+    short = _ratio(F.length(X.for_counting(source)), F.length(X.for_counting(output)), lambda r: F.when(r < LEAST_LENGTH, "too short"))
+    found = F.array_compact(F.array(short, *forbidden(output), F.when(X.stars_outside_separators(output) % 2 != 0, "odd number of stars")))
     return F.when(X.strip(output) == "", F.array(F.lit("empty output"))).otherwise(found)
 
 
 def junction_findings(before: Column, after: Column) -> Column:
-    a, b = F.length(X.strip(before)), F.length(X.strip(after))
-    ratio = F.try_divide(b.cast("double"), a)
-    return F.when(b == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(ratio < JUNCTION[0], "shortened"), F.when(ratio > JUNCTION[1], "lengthened"))))
+    found = _ratio(F.length(X.strip(before)), F.length(X.strip(after)), lambda r: F.array_compact(F.array(F.when(r < JUNCTION[0], "shortened"), F.when(r > JUNCTION[1], "lengthened"))))
+    return F.when(X.strip(after) == "", F.array(F.lit("empty"))).otherwise(found)
 
 
 def volume_findings(transcript: Column, edited: Column) -> Column:
-    a, b = F.length(X.for_comparison(transcript)), F.length(X.for_comparison(edited))
     lines = lambda t: F.size(F.filter(F.split(t, "\n", -1), lambda x: X.strip(x) != ""))
-    return F.array_compact(F.array(F.when(F.try_divide(b.cast("double"), a) < LEAST_LENGTH, "volume"), F.when(F.try_divide(lines(edited).cast("double"), lines(transcript)) < LEAST_LENGTH, "lines")))
+    volume = _ratio(F.length(X.for_comparison(transcript)), F.length(X.for_comparison(edited)), lambda r: F.when(r < LEAST_LENGTH, "volume"))
+    return F.array_compact(F.array(volume, _ratio(lines(transcript), lines(edited), lambda r: F.when(r < LEAST_LENGTH, "lines"))))
 
 
 def mechanical_findings(transcript: Column, edited: Column) -> Column:

@@ -55,7 +55,7 @@ def progress(ranked: DataFrame, key: list[str], at: str, score: str, now: Column
     ok = success(F.col(score))
     per = ranked.groupBy(*key).agg(F.count("*").alias("attempts"), F.coalesce(F.min(F.when(~ok, F.col("rank"))) - 1, F.count("*")).cast("long").alias("streak"), F.count_if(ok).alias("successes"), F.max(at).alias("last_at"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("last_score"))
     step = F.get(F.array(*map(F.lit, INTERVALS)), F.least(F.col("streak") - MASTERY, F.lit(len(INTERVALS) - 1)).cast("int"))
-    per = per.withColumn("due_at", F.when(F.col("streak") >= MASTERY, F.col("last_at") + step * F.lit(DAY)))
+    per = per.withColumn("due_at", F.when(F.col("streak") >= MASTERY, F.col("last_at") + step.cast("long") * F.lit(DAY)))
     status = F.when(F.col("streak") >= MASTERY, F.when(now <= F.col("due_at"), "maitrisee").otherwise("a_reviser")).when(F.col("successes") >= MASTERY, "a_reviser").otherwise("en_cours")
     return per.withColumn("status", status)
 

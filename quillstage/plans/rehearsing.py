@@ -17,7 +17,7 @@ NOW = 1_735_689_600_000
 _H = "h AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, least(100.0, value) AS score, event_id FROM events)"
 _R = f"{_H}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms DESC, event_id DESC) AS rank FROM h) WHERE rank <= 10)"
 _P = f"""{_R}, p AS (SELECT user_id, count(*) AS attempts, coalesce(min(rank) FILTER (score < 90) - 1, count(*)) AS streak, count(*) FILTER (score >= 90) AS successes, max(at_ms) AS last_at, max(score) FILTER (rank = 1) AS last_score FROM r GROUP BY user_id),
-q AS (SELECT *, CASE WHEN streak >= 3 THEN last_at + [7, 16, 35][least(streak - 3, 2) + 1] * 86400000 END AS due_at FROM p),
+q AS (SELECT *, CASE WHEN streak >= 3 THEN last_at + CAST([7, 16, 35][least(streak - 3, 2) + 1] AS BIGINT) * 86400000 END AS due_at FROM p),
 g AS (SELECT *, CASE WHEN streak >= 3 THEN CASE WHEN {NOW} <= due_at THEN 'maitrisee' ELSE 'a_reviser' END WHEN successes >= 3 THEN 'a_reviser' ELSE 'en_cours' END AS status FROM q)"""
 _D = f"0.7 * least(1.0, greatest(0.0, (100 - last_score) / 100.0)) + 0.3 * least(1.0, greatest(0.0, ({NOW} - last_at) / 86400000.0) / 30.0)"
 

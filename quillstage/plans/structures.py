@@ -125,7 +125,7 @@ def category_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CATEGORY_AT = f"""WITH {_SPANS}, p AS (SELECT DISTINCT doc_id, unnest([0, length(text) * 35 // 100, length(text) * 85 // 100]) AS place FROM documents)
-SELECT p.doc_id, place, CAST(coalesce(arg_min(category, (start, stop)), 0) AS BIGINT) AS category FROM p LEFT JOIN v ON p.doc_id = v.doc_id AND place >= start AND place < stop GROUP BY ALL"""
+SELECT p.doc_id, place, CAST(coalesce(arg_min(category, (start, stop, category)), 0) AS BIGINT) AS category FROM p LEFT JOIN v ON p.doc_id = v.doc_id AND place >= start AND place < stop GROUP BY ALL"""
 
 
 def words_cut(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,11 +149,11 @@ SELECT doc_id, CASE WHEN fault IS NULL THEN instr(text, b) - 1 END AS start, CAS
 
 def passages_found(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages that stand verbatim in documents, found by their first five words before the whole is compared."""
-    key = lambda t: F.array_join(F.slice(X.tokens(t), F.lit(1), F.lit(5)), " ")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), key(F.col("text")).alias("k"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", X.tokens(F.col("text")).alias("t"))
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform("t", lambda _, i: F.array_join(F.slice("t", i + 1, F.lit(5)), " ")))).alias("k"))
-    return grams.join(items, "k").filter(F.contains("text", "passage")).select("item_id", "doc_id", (F.instr("text", F.col("passage")) - 1).cast("long").alias("start")).distinct()
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.get(X.five_word_hashes(X.tokens(F.col("text"))), F.lit(0)).alias("k"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    grams = docs.select("doc_id", F.explode(X.five_word_hashes(X.tokens(F.col("text")))).alias("k"))
+    likely = grams.join(items, "k").select("item_id", "doc_id", "passage").distinct()
+    return likely.join(docs, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id", (F.instr("text", F.col("passage")) - 1).cast("long").alias("start"))
 
 
 PASSAGES = "SELECT item_id, doc_id, instr(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
