@@ -35,7 +35,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: short lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` on which nothing lazy depends any more."""
+    for table in tables:
+        drop_table(table.sparkSession, table.written_to)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import written
+from quillstage.llm.common import discard, written
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = _signature(now)
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "links")
+        last, now = now, written(_star(_star(now, True), False), "links")
+        discard(last)
         after = _signature(now)
         if after == before:
             break

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import read, written
+from quillstage.llm.common import discard, read, written
 from quillstage.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 48, 5
@@ -276,6 +276,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         second = written(_confirmed(apart, sets, parts, estimated=True), "second-links")
         if second.take(1):
             grouped = components(first.unionAll(second))
+        discard(second)
+    discard(buckets, sets, first, apart)
     stands = drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("rep"))
     own = drawn.select("d", *keys).join(stands, keys, "left")
     found = own.join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
