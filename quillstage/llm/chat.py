@@ -39,7 +39,7 @@ _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 LOSS_ROLE = "assistant"
 
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("seconds", T.DoubleType()), T.StructField("pages", T.IntegerType())])
-PIECES = "conv_id {id}, turn_no long, role string, formatted string, start long, loss_start long, loss_end long, expanded_tokens long, attachments array<struct<kind:string,ref:string,position:long,tokens:long>>"
+PIECES = "conv_id string, turn_no long, role string, formatted string, start long, loss_start long, loss_end long, expanded_tokens long, attachments array<struct<kind:string,ref:string,position:long,tokens:long>>"
 
 
 def escape(text: str) -> str:
@@ -108,18 +108,13 @@ def format_turn(role: str, content) -> tuple[str, int, int, list[dict]]:
     return opening + body + closing, len(opening), len(opening) + len(body), attachments
 
 
-def _same(a, b) -> bool:
-    return a == b or (a != a and b != b) or (a is None and b is None)
-
-
 def _format_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     conv, turn_no, start = object(), 0, 0
     for batch in batches:
         rows = []
         for c, role, content in zip(batch["c"].tolist(), batch["r"].tolist(), batch["p"].tolist(), strict=True):
-            c = None if c is None or c != c else c
             lead = ""
-            if not _same(c, conv):
+            if c != conv:
                 conv, turn_no, start, lead = c, 0, 0, START
             piece, lo, hi, attachments = format_turn(role or "", content)
             lo, hi = lo + start + len(lead), hi + start + len(lead)
@@ -129,19 +124,19 @@ def _format_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((c, turn_no, role or "", lead + piece, start, lo if loss else None, hi if loss else None, sum(a["tokens"] for a in attachments), attachments))
             turn_no, start = turn_no + 1, start + len(lead) + len(piece)
         out = pd.DataFrame(rows, columns=["conv_id", "turn_no", "role", "formatted", "start", "loss_start", "loss_end", "expanded_tokens", "attachments"])
-        for k in ("conv_id", "loss_start", "loss_end"):
-            if batch["c"].dtype != object or k != "conv_id":
-                out[k] = out[k].astype("Int64")
+        for k in ("loss_start", "loss_end"):
+            out[k] = out[k].astype("Int64")
         yield out
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
     """A row per turn: its piece of the formatted string, its start there, the span under the loss mask, attachments."""
-    kind = df.schema[conv].dataType.simpleString()
+    kind = df.schema[conv].dataType
     tie = F.col(content) if isinstance(df.schema[content].dataType, T.StringType) else F.to_json(F.struct(content))
-    rows = df.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("p"), tie.alias("k"))
+    rows = df.select(F.col(conv).cast("string").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("p"), tie.alias("k"))
     sorted_rows = rows.repartition("c").sortWithinPartitions("c", "t", "r", "k").drop("t", "k")
-    return sorted_rows.mapInPandas(_format_batches, PIECES.format(id=kind))
+    # ids travel as text: pandas would make floats of them where one is null
+    return sorted_rows.mapInPandas(_format_batches, PIECES).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 class Reader:
@@ -193,37 +188,30 @@ class Reader:
         return (conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars)
 
 
-READ = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    conv, reader, whole = None, None, True
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        if whole:
-            out["conv_id"] = out["conv_id"].astype("Int64")
-        return out
-
+    conv, reader = None, None
     for batch in batches:
-        whole, rows = batch["conv_id"].dtype != object, []
+        rows = []
         for c, start, piece in zip(batch["conv_id"].tolist(), batch["start"].tolist(), batch["formatted"].tolist(), strict=True):
-            c = None if c is None or c != c else int(c) if whole else c
             if reader is None or start == 0:
                 if reader is not None:
                     rows.append(reader.row(conv))
                 conv, reader = c, Reader()
             reader.feed(piece)
         if rows:
-            yield frame(rows)
+            yield pd.DataFrame(rows, columns=names)
     if reader is not None:
-        yield frame([reader.row(conv)])
+        yield pd.DataFrame([reader.row(conv)], columns=names)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
     """Per conversation what a reader of the formatted string finds. Takes the rows of ``format_conversations`` as they lie."""
-    return pieces.select("conv_id", "start", "formatted").mapInPandas(_read_batches, READ.format(id=pieces.schema["conv_id"].dataType.simpleString()))
+    found = pieces.select(F.col("conv_id").cast("string").alias("conv_id"), "start", "formatted").mapInPandas(_read_batches, READ)
+    return found.withColumn("conv_id", F.col("conv_id").cast(pieces.schema["conv_id"].dataType))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

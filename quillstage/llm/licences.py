@@ -151,8 +151,9 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
             rows = [scan_text(t) for t in frame["t"].tolist()]
             yield pd.DataFrame({doc: frame["d"], "n_words": [r[0] for r in rows], "places": [[dict(zip(_PLACE, p, strict=True)) for p in r[1]] for r in rows], "expressions": [[dict(zip(_EXPRESSION, e, strict=True)) for e in r[2]] for r in rows]})
 
-    kind = df.schema[doc].dataType.simpleString()
-    return df.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(batches, SCANNED.format(id=f"`{doc}` {kind}"))
+    # ids travel as text: pandas would make floats of them where one is null
+    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(batches, SCANNED.format(id=f"`{doc}` string"))
+    return found.withColumn(doc, F.col(doc).cast(df.schema[doc].dataType))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

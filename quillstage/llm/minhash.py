@@ -164,7 +164,9 @@ def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
                 bands.append(band_hashes(registers(s)).astype(np.int64) if len(s) else np.empty(0, np.int64))
             yield pd.DataFrame({"d": frame["d"], "n": n, "k1": k1, "k2": k2, "bands": bands})
 
-    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(run, "d long, n long, k1 long, k2 long, bands array<bigint>")
+    # ids travel as text: pandas would make floats of them where one is null
+    drawn = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, "d string, n long, k1 long, k2 long, bands array<bigint>")
+    return drawn.withColumn("d", F.col("d").cast("long"))
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
@@ -278,8 +280,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
             grouped = components(first.unionAll(second))
         discard(second)
     discard(buckets, sets, first, apart)
-    stands = drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("rep"))
-    own = drawn.select("d", *keys).join(stands, keys, "left")
+    # classes of one document stand for themselves; the others are a table, so that a join with a large class can be split
+    stands = written(drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"), "classes")
+    own = drawn.select("d", *keys).join(stands, keys, "left").withColumn("rep", F.coalesce("rep", F.when(F.col("n") > 0, F.col("d"))))
     found = own.join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
     return found.select(F.col("d").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "d").alias("component_id"))
 

@@ -212,8 +212,9 @@ def cut(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
                 out.insert(0, doc, docs.iloc[out.pop("at").to_numpy()].to_numpy())
                 yield out
 
-    kind = df.schema[doc].dataType.simpleString()
-    return df.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(pieces, f"`{doc}` {kind}, piece int, start long, length long, ids_crc32 long")
+    # ids travel as text: pandas would make floats of them where one is null
+    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, f"`{doc}` string, piece int, start long, length long, ids_crc32 long")
+    return found.withColumn(doc, F.col(doc).cast(df.schema[doc].dataType))
 
 
 def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -227,14 +228,17 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
     ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(length, "__bucket").orderBy(*order)) - 1)
     ranked = ranked.join(before, [length, "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__bucket", "__before")
     names = [c for c in ranked.columns if c != "__rank"]
+    kinds = {c: ranked.schema[c].dataType for c in names}
+    as_text = ranked.select(*(F.col(c).cast("string").alias(c) if c in order and c != length else c for c in names), F.col(length).cast("long").alias("__length"), "__rank")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sequence, offset = plan.value.find(frame[length].to_numpy(), frame["__rank"].to_numpy())
+            sequence, offset = plan.value.find(frame["__length"].to_numpy(), frame["__rank"].to_numpy())
             yield frame[names].assign(sequence_id=sequence, offset=offset)
 
-    schema = ranked.select(names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInPandas(place, schema)
+    schema = as_text.select(names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    placed = as_text.mapInPandas(place, schema)
+    return placed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in names), "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
