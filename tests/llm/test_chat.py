@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from quillstage.llm import chat
-from tests.conftest import SF
+from tests.conftest import SF, same_rows
 
 HOSTILE = st.lists(st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[AS]", "\\", "<", "[", "/", "s>", "<|image:0|>", "é", "\n", "<\\/s>"]), max_size=12).map("".join)
 
@@ -54,6 +54,10 @@ def expected(rows):
     return out
 
 
+def test_query_equals_oracle(spark, duck):
+    same_rows(chat.QUERIES["op9_chat_formatting"](spark, SF), duck, chat.SQL["op9_chat_formatting"])
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstage.llm import minhash
 from quillstage.llm.components import components
-from tests.conftest import SF
+from tests.conftest import SF, same_rows
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -87,6 +87,10 @@ def test_components(spark):
     assert all(got[i] == 10 for i in range(11, 61)) and got[100] == 7 and got[300] == 200 and got[250] == 200 and 5 not in got
 
 
+def test_query_equals_oracle(spark, duck):
+    same_rows(minhash.QUERIES["op1_minhash_near_dedup"](spark, SF), duck, minhash.SQL["op1_minhash_near_dedup"])
+
+
 def test_kept_is_smallest(spark):
     rows = minhash.QUERIES["op1_minhash_near_dedup"](spark, SF)
     assert rows.filter(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).count() == 0
