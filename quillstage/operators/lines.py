@@ -60,9 +60,10 @@ def rejoined(left: Column, right: Column) -> Column:
 
 def next_line_is_speech(lines: DataFrame, doc: str) -> DataFrame:
     """Adds speech_next: whether the next line that is not blank is speech; false at the end."""
-    ahead = W.partitionBy(doc).orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
+    # backwards, as frames that begin unbounded are kept up from row to row
+    ahead = W.partitionBy(doc).orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
     kind = F.when(X.strip(F.col("line")) != "", X.is_speech(F.col("line")))
-    return lines.withColumn("speech_next", F.coalesce(F.first(kind, ignorenulls=True).over(ahead), F.lit(False)))
+    return lines.withColumn("speech_next", F.coalesce(F.last(kind, ignorenulls=True).over(ahead), F.lit(False)))
 
 
 def split_inline(line: Column) -> Column:

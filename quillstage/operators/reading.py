@@ -69,10 +69,8 @@ def page_groups(pages: DataFrame, doc: str, order: str, id_: str) -> DataFrame:
 
 def off_scene(flat: DataFrame, forward: bool = True) -> DataFrame:
     """For every row the nearest one in the direction of reading that is no scene row, itself included."""
-    w = W.partitionBy("piece").orderBy("position")
-    frame = w.rowsBetween(0, W.unboundedFollowing) if forward else w.rowsBetween(W.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    return flat.withColumn("target", pick(F.when(F.col("kind") != "scene", F.col("position")), ignorenulls=True).over(frame))
+    w = W.partitionBy("piece").orderBy(F.desc("position") if forward else "position").rowsBetween(W.unboundedPreceding, 0)
+    return flat.withColumn("target", F.last(F.when(F.col("kind") != "scene", F.col("position")), ignorenulls=True).over(w))
 
 
 def reader_label(name: Column, reader: Column) -> Column:
