@@ -170,10 +170,10 @@ SETTINGS = "SELECT event_id, event_id % 5 AS size, CASE WHEN event_id % 3 = 0 TH
 
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
-    return e.agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+    return e.agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
-HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(avg(value), 6) AS mean FROM events GROUP BY date_trunc('hour', ts), event_type"
+HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('hour', ts), event_type"
 
 QUERIES = {"scenes": scenes, "kind_runs": kind_runs, "source_hues": source_hues, "slots": slots, "unassigned": unassigned, "latest_messages": latest_messages, "sessions": sessions, "junction_replies": junction_replies, "annotated_roles": annotated_roles, "cut_pieces": cut_pieces, "first_violations": first_violations, "unit_heads": unit_heads, "books_to_read": books_to_read, "findings_report": findings_report, "stored_settings": stored_settings, "hourly_events": hourly_events}
 SQL = {"scenes": SCENES, "kind_runs": RUNS, "source_hues": HUES, "slots": SLOTS, "unassigned": UNASSIGNED, "latest_messages": LATEST, "sessions": SESSIONS, "junction_replies": JUNCTIONS, "annotated_roles": ANNOTATED, "cut_pieces": PIECES, "first_violations": VIOLATIONS, "unit_heads": HEADS, "books_to_read": BOOKS, "findings_report": REPORTS, "stored_settings": SETTINGS, "hourly_events": HOURLY}
