@@ -109,7 +109,8 @@ def cut_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from quillstage.plans.structures import _spans
 
     runs = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("start"), "text")
-    return E.cut_runs(runs, _spans(spark, sf), "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("chars"), F.col("category").cast("long").alias("category"))
+    spans = _spans(spark, sf).withColumns({"start": F.col("start").cast("int"), "stop": F.col("stop").cast("int")})
+    return E.cut_runs(runs, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("chars"), F.col("category").cast("long").alias("category"))
 
 
 PIECES = """WITH s AS (SELECT doc_id, unnest([1, 3, 8]) * length(text) // 10 AS a, unnest([4, 6, 9]) * length(text) // 10 AS b, unnest([1, 2, 3]) AS c FROM documents), v AS (SELECT * FROM s WHERE a < b),
@@ -165,7 +166,7 @@ def stored_settings(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", R.settings(F.col("t"), {"size": 9, "pace": 7, "gone": 4}).alias("s")).select("event_id", *(F.col(f"s.{k}").cast("long").alias(k) for k in ("size", "pace", "gone")))
 
 
-SETTINGS = "SELECT event_id, event_id % 5 AS size, CASE WHEN event_id % 3 = 0 THEN 7 ELSE 2 END AS pace, 4 AS gone FROM events"
+SETTINGS = "SELECT event_id, event_id % 5 AS size, CAST(CASE WHEN event_id % 3 = 0 THEN 7 ELSE 2 END AS BIGINT) AS pace, CAST(4 AS BIGINT) AS gone FROM events"
 
 
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -88,7 +88,7 @@ SELECT conv_id, count(*) AS speeches, count(DISTINCT turn // 4) AS units, count(
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     """Three overlapping spans a document, of categories 1 to 3 by its length."""
     n = F.length("text")
-    at = lambda a, b: (n * a / b).cast("int")
+    at = lambda a, b: (n * a / b).cast("long")
     bits = F.array(F.struct(at(1, 10).alias("start"), at(4, 10).alias("stop"), F.lit(1).alias("category")), F.struct(at(3, 10).alias("start"), at(6, 10).alias("stop"), F.lit(2).alias("category")), F.struct(at(8, 10).alias("start"), at(9, 10).alias("stop"), F.lit(3).alias("category")))
     return table(spark, sf, "documents").select("doc_id", F.explode(bits).alias("s")).select("doc_id", "s.*").filter("start < stop")
 
@@ -120,7 +120,7 @@ OVERLAPPING = f"WITH {_SPANS}, m AS (SELECT *, max(stop) OVER (PARTITION BY doc_
 
 
 def category_at(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit(0), (F.length("text") * 35 / 100).cast("int"), (F.length("text") * 85 / 100).cast("int"))).alias("place")).distinct()
+    points = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), (F.length("text") * 35 / 100).cast("long"), (F.length("text") * 85 / 100).cast("long"))).alias("place")).distinct()
     return I.category_at(points, _spans(spark, sf), "doc_id", "place").select("doc_id", "place", F.col("category").cast("long").alias("category"))
 
 
@@ -130,7 +130,7 @@ SELECT p.doc_id, place, CAST(coalesce(arg_min(category, (start, stop, category))
 
 def words_cut(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return _spans(spark, sf).join(docs, "doc_id").groupBy("category").agg(F.sum(I.words_inside(F.col("text"), F.col("start"), F.col("stop"), X.NONSPACE)).cast("long").alias("words"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars")).withColumn("category", F.col("category").cast("long"))
+    return _spans(spark, sf).join(docs, "doc_id").groupBy("category").agg(F.sum(I.words_inside(F.col("text"), F.col("start").cast("int"), F.col("stop").cast("int"), X.NONSPACE)).cast("long").alias("words"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars")).withColumn("category", F.col("category").cast("long"))
 
 
 CUT = f"WITH {_SPANS} SELECT CAST(category AS BIGINT) AS category, CAST(sum(len(regexp_extract_all(substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), {S.q(X.NONSPACE)}))) AS BIGINT) AS words, CAST(sum(stop - start) AS BIGINT) AS chars FROM v JOIN documents USING (doc_id) GROUP BY category"

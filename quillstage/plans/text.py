@@ -14,7 +14,7 @@ from quillstage.sources.tables import table
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return L.lines_of(table(spark, sf, "documents"), "doc_id", "text")
+    return L.lines_of(table(spark, sf, "documents"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def line_shapes(spark: SparkSession, sf: str) -> DataFrame:
