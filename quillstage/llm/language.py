@@ -100,7 +100,7 @@ def identified(text: str | Column, model: Model, spark: SparkSession) -> Column:
 def keep_known(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose language is recognised beyond doubt, with their own columns; learned from all labelled ones."""
     model = learn(docs, doc, text, lang)
-    return docs.withColumn("__language", identified(text, model, docs.sparkSession)).filter(~F.col("__language.rejected")).select(*docs.columns)
+    return docs.withColumn("__language", identified(text, model, docs.sparkSession)).filter(~F.col("__language.rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

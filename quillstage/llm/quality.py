@@ -169,8 +169,7 @@ def judged(featured: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    columns = docs.columns
-    return judged(with_features(docs, text)).filter("q_kept").select(*columns)
+    return judged(with_features(docs, text)).filter("q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

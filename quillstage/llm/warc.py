@@ -152,8 +152,8 @@ def write_archives(df: DataFrame, folder: str, page: str = "page_id", url: str =
 
 
 def decide(index: DataFrame, least: int = 0) -> DataFrame:
-    """Adds refers_to: null for responses, else the page whose record has the same payload. Page ids compare as integers."""
-    number = F.col("page").cast("long")
+    """Adds refers_to: null for responses, else the page whose record has the same payload. Page ids compare as integers; other ids never stand first."""
+    number = F.col("page").try_cast("long")
     first = index.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(number).alias("__first"), F.count("*").alias("__n"))
     first = first.filter("__n > 1 and __first is not null").drop("__n")
     joined = index.join(first, ["payload_digest", "payload_bytes"], "left")
