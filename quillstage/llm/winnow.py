@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is lower-cased and cut into words; every 5 words in a row have a rolled 64-bit hash, of which 37 bits stay.
-Of every 8 neighbouring hashes the smallest is chosen, the rightmost of equal ones, and its position is kept. Any
-passage of 12 words that two texts share therefore leaves a common entry in both fingerprints. A text of fewer than 5
-words is one gram, and one of fewer than 8 grams is one window.
+A text is lower-cased, runs of ASCII white space become one space, and every 8 characters in a row have a 64-bit hash, of
+which 37 bits stay. Of every 8 neighbouring hashes the smallest is chosen, the rightmost of equal ones, and its position is
+kept. Any passage of 15 characters that two texts share therefore leaves a common entry in both fingerprints, in any script
+and with or without spaces. A text of fewer than 8 characters is one gram, and one of fewer than 8 grams is one window.
+Grams of 5 words, of which a passage needs 12, are there for callers whose texts are long and have spaces.
 
 A hash stands in the high bits of a long and the position, counted down, in its low 26 bits: the least of some longs is
 then the smallest hash and, among equals, the rightmost. Windows are minima of minima over 1, 2 and 4 places.
@@ -18,25 +19,55 @@ document is its own next one; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstage.llm.common import gram_hashes, read, words_of
 
-GRAM, WINDOW = 5, 8
+GRAM, CHARACTERS, WINDOW = 5, 8, 8
 POSITION_BITS, HASH_BITS = 26, 37
+_NOT_ONE_SPACE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 _LAST = (1 << POSITION_BITS) - 1
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``, an array of longs: the chosen hashes with their positions, in the order of the text."""
-    words, grams, packed, two, four = (f"__{out}_{x}" for x in ("words", "grams", "packed", "two", "four"))
+def _packed(h: Column, i: Column) -> Column:
+    return F.shiftleft(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), POSITION_BITS).bitwiseOR(F.lit(_LAST) - i % F.lit(_LAST + 1))
+
+
+def word_grams(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the packed hash of every GRAM words in a row."""
+    words, grams = f"{out}_words", f"{out}_grams"
     df = df.withColumn(words, F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)))
     df = gram_hashes(df, words, grams)
     whole = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
     df = df.withColumn(grams, F.when(F.size(words) < GRAM, whole).otherwise(F.col(grams)))
-    df = df.withColumn(packed, F.transform(grams, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), POSITION_BITS).bitwiseOR(F.lit(_LAST) - i % F.lit(_LAST + 1))))
+    return df.withColumn(out, F.transform(grams, _packed)).drop(words, grams)
+
+
+def character_grams(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the packed hash of every CHARACTERS characters in a row. In UTF-32 any of them is found at once."""
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    wide = F.encode(F.regexp_replace(trimmed, _NOT_ONE_SPACE, " "), "UTF-32")
+
+    def grams(wide: Column) -> Column:
+        n = F.length(wide)
+        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (4 * CHARACTERS - 1), F.lit(1)), F.lit(4)))
+        return F.transform(starts, lambda at, i: _packed(F.xxhash64(F.substring(wide, at, F.lit(4 * CHARACTERS))), i))
+
+    # as a variable, for a binary column is copied whole wherever it is named
+    return df.withColumn(out, F.transform(F.array(wide), grams)[0])
+
+
+Grams = Callable[[DataFrame, str, str], DataFrame]
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, grams: Grams = word_grams) -> DataFrame:
+    """Adds ``out``, an array of longs: the chosen hashes with their positions, in the order of the text."""
+    packed, two, four = (f"__{out}_{x}" for x in ("packed", "two", "four"))
+    df = grams(df, text, packed)
     n = F.size(packed)
     minima = packed
     for width, name in ((1, two), (2, four), (4, out)):
@@ -44,7 +75,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         df = df.withColumn(name, F.zip_with(F.slice(minima, 1, rest), F.slice(minima, 1 + width, rest), lambda a, b: F.least(a, b)))
         minima = name
     single = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.array_min(packed)))
-    return df.withColumn(out, F.when(n < WINDOW, single).otherwise(F.array_distinct(out))).drop(words, grams, packed, two, four)
+    return df.withColumn(out, F.when(n < WINDOW, single).otherwise(F.array_distinct(out))).drop(packed, two, four)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -81,8 +112,8 @@ def _ranges(df: DataFrame, order: str) -> tuple[Column, DataFrame]:
         width = max(1, width // 16)
 
 
-def with_next(df: DataFrame, order: str, text: str) -> DataFrame:
-    """Rows of ``order`` and ``text`` with ``next_text``, ``fp`` and ``next_fp``: those of the next row by descending ``order``, the first's after the last."""
+def with_next(df: DataFrame, order: str, text: str, grams: Grams = word_grams) -> DataFrame:
+    """Rows of ``order`` and ``text`` with ``fp``, its hashes ``h``, ``next_text`` and ``h_next``: those of the next row by descending ``order``, the first's after the last."""
     df = df.select(order, text)
     of, heads = _ranges(df, order)
     # at most MOST_RANGES times a few rows: one sort of them is bounded
@@ -95,20 +126,20 @@ def with_next(df: DataFrame, order: str, text: str) -> DataFrame:
     guests = keyed.groupBy("__to", order).agg(F.min(text).alias(text), F.max(F.when(F.col(text).isNull(), 1).otherwise(0)).alias("__null"))
     guests = guests.select(F.col("__to").alias("__range"), F.lit(1).alias("__guest"), order, F.when(F.col("__null") == 0, F.col(text)).alias(text))
     rows = own.unionByName(guests).repartition("__range")
-    rows = with_fingerprint(rows, text, "fp")
+    rows = with_fingerprint(rows, text, "fp", grams).withColumn("h", hashes(F.col("fp")))
     w = W.partitionBy("__range").orderBy("__guest", F.col(order).desc_nulls_last(), F.col(text).asc_nulls_first())
-    rows = rows.withColumn("__next", F.lead(F.struct(F.col(text).alias("t"), F.col("fp").alias("f"))).over(w))
-    return rows.filter("__guest = 0").select(order, text, "fp", F.col("__next.t").alias("next_text"), F.col("__next.f").alias("next_fp"))
+    rows = rows.withColumn("__next", F.lead(F.struct(F.col(text).alias("t"), F.col("h").alias("h"))).over(w))
+    return rows.filter("__guest = 0").select(order, text, "fp", "h", F.col("__next.t").alias("next_text"), F.col("__next.h").alias("h_next"))
 
 
-def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams: Grams = word_grams) -> DataFrame:
     """Fingerprint of every text, of the text edited by its neighbour's beginning, and the likenesses."""
-    rows = with_next(df, doc, text)
+    rows = with_next(df, doc, text, grams)
     whole, after = F.coalesce(F.col(text), F.lit("")), F.coalesce("next_text", F.lit(""))
     half = F.length(whole) - F.floor(F.length(whole) / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(whole, F.lit(1), half), F.substring(after, F.lit(1), F.length(whole) - half)))
-    rows = with_fingerprint(rows, "edited", "edited_fp")
-    rows = rows.withColumns({"h": hashes(F.col("fp")), "h_edited": hashes(F.col("edited_fp")), "h_next": hashes(F.coalesce("next_fp", F.array().cast("array<bigint>")))})
+    rows = with_fingerprint(rows, "edited", "edited_fp", grams)
+    rows = rows.withColumns({"h_edited": hashes(F.col("edited_fp")), "h_next": F.coalesce("h_next", F.array().cast("array<bigint>"))})
     return rows.select(
         doc, F.length(whole).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness("h", "h_edited").alias("near_edited"), likeness("h", "h_next").alias("near_next"),
@@ -116,7 +147,7 @@ def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read(spark, sf_dir, "documents"))
+    return fingerprints(read(spark, sf_dir, "documents"), grams=character_grams)
 
 
 QUERIES = {"op6_document_fingerprints": op6_document_fingerprints}

@@ -1,6 +1,8 @@
 import hashlib
+import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from quillstage.llm import winnow
 from tests.conftest import SF
@@ -80,3 +82,28 @@ def test_shared_passage_is_found():
     words = [f"w{i}" for i in range(40)]
     a, b = brute(" ".join(["x"] * 9 + words[:12] + ["y"] * 9)), brute(" ".join(["u"] * 7 + words[:12] + ["v"] * 5))
     assert {x for x, _ in a} & {x for x, _ in b}
+
+
+def brute_characters(text):
+    text = re.sub(r"[ \t-\r]+", " ", (text or "").lower().strip(" \t\n\x0b\x0c\r"))
+    short = [(xxhash.xxh64_intdigest(text[i : i + 8].encode("utf-32-be"), 42) & ((1 << 37) - 1), i) for i in range(max(1, len(text) - 7))] if text else []
+    out = []
+    for i in range(max(1, len(short) - 7) if short else 0):
+        best = min(short[i : i + 8], key=lambda x: (x[0], -x[1]))
+        if best not in out[-1:]:
+            out.append(best)
+    return out
+
+
+def test_character_grams_equal_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setitem(globals(), "brute", brute_characters)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").select("doc_id", "text")
+    docs = docs.unionByName(odd.filter("doc_id is null or doc_id <> 6").select((-F.col("doc_id")).alias("doc_id"), "text"))
+    docs = docs.unionByName(spark.createDataFrame([(9_000_001, "汉字" * 3 + "中文文本没有空格𝄞也要找到共同的段落"), (9_000_002, "a"), (9_000_003, "ab\n\n\tcd  efgh")], docs.schema))
+    assert collected(winnow.fingerprints(docs, grams=winnow.character_grams)) == check([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_short_and_unsegmented_texts_keep_their_unchanged_half(spark, tmp_path):
+    texts = ["The harbour was full of small boats.", "港口里停满了小船渔夫们在修补渔网没有人谈起夜里过去的那场暴风雨", "function(a,b){return(a+b)*(a-b)};var", "ท่าเรือเต็มไปด้วยเรือลำเล็กและชาวประมง"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(0 < r.near_edited < 1 for r in winnow.op6_document_fingerprints(spark, str(tmp_path)).collect())
