@@ -10,7 +10,9 @@ articles in various containers among menus, headers, footers, sidebars, notices,
 of the tables takes part. Its weights, some 200 kB whatever the input, are broadcast.
 
 A page is held whole, blocks of many pages are labelled in batches of bounded size. Character references are decoded once,
-after markup has gone. Scripts, styles, comments and titles have no text, also where they are not closed.
+after markup has gone. Scripts, styles, comments and titles have no text, also where they are not closed; a drawing (svg) has
+none up to its end tag, and is its start tag alone where it closes itself or has no end tag. Formulas and the text that stands
+for an object are left to the labeller.
 
 Defined results: null, empty and textless pages give the empty text; equal pages give equal texts; markup that does not
 nest is read as it comes: an end tag without a start is ignored; an empty table gives an empty result; other columns are
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from quillstage.llm.common import read
 
-SILENT = "script|style|noscript|template|title|textarea|svg|iframe|object|math"
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.IGNORECASE | re.DOTALL)
+SILENT = "script|style|noscript|template|title|textarea|iframe"
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.IGNORECASE | re.DOTALL)
+_DRAWN = re.compile(r"</svg\s*>", re.IGNORECASE)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -111,11 +114,14 @@ class _Reader:
 
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with the names of their open elements and how much of them is linked."""
-    page, reader, at = page or "", _Reader(), 0
-    for m in _MARKUP.finditer(page):
+    page, reader, at, drawn = page or "", _Reader(), 0, True
+    while m := _MARKUP.search(page, at):
         reader.text(page[at : m.start()])
         at = m.end()
-        if m[3]:
+        if m[3] and drawn and not m[2] and m[3].lower() == "svg" and not m[4].endswith("/"):
+            end = _DRAWN.search(page, at)
+            at, drawn = end.end() if end else at, end is not None
+        elif m[3]:
             reader.tag(bool(m[2]), m[3].lower(), m[4])
     reader.text(page[at:])
     reader.end_block()

@@ -20,6 +20,15 @@ def test_blocks():
     assert [b.text for b in H.blocks_of("a < b <3 </x> <!-- open")] == ["a < b <3"]
 
 
+def test_silent_elements_end_where_they_end():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p>a <svg width='1>2' /> b</p><SVG><title>no</title>no</SVG ><p>c <svg/> d") == ["a b", "c d"]
+    assert texts("<p>a<svg viewBox='0'>b</p><p>c") == ["ab", "c"]
+    assert texts("<title-bar>a</title-bar><p>b <template-card>c</template-card> <object-list>d</object-list><p>e") == ["a", "b c d", "e"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object data=y>an old film</object> <math/><object/>end") == ["so x=2 an old film end"]
+    assert texts("<p>a<script>b</p><p>c") == ["a"] and len(texts("<p><svg>a" * 20_000)) == 20_000
+
+
 def test_held_out_composed_pages(model):
     rng = random.Random(1234)
     made = [H.pages_made(rng) for _ in range(200)]
