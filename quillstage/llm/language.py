@@ -3,9 +3,10 @@ language whose dictionary leaves the fewest bytes is chosen. Where the second-be
 choice is rejected.
 
 What is encoded are the lower-cased letters of the whole text, runs of all else being one space, in blocks of 2048 bytes, so that
-the dictionary and not the text's own past is what helps. Dictionaries are filled with whole documents of a bounded sample:
-SAMPLE_DOCS documents of each language, the first by a hash of their ids, none over SAMPLE_CHARS characters, up to
-DICTIONARY_BYTES. Only text and language of the labelled rows are used.
+the dictionary and not the text's own past is what helps. Dictionaries are filled from a bounded sample: SAMPLE_DOCS
+documents of each language that have a letter, the first by a hash of their ids, up to DICTIONARY_BYTES. Documents of up to
+SAMPLE_CHARS characters are taken whole, of longer ones as many from the first letter on, so every labelled language with a
+letter is learned. Only text and language of the labelled rows are used.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing was learned; of equally small
 languages the first by name, with score 0; with a single learned language the score is 1; equal texts have equal results;
@@ -31,6 +32,8 @@ SHORT, SHORT_LEVEL = 512, 12
 MARGIN, HALF_SCORE = 0.005, 0.02
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
+#: What ``letters`` leaves, and what stands before the first of it, for Spark.
+_LETTER, _BEFORE = r"[\p{L}\p{Nl}\p{No}]", r"^[^\p{L}\p{Nl}\p{No}]++"
 Model = tuple[tuple[str, bytes], ...]
 
 
@@ -40,15 +43,16 @@ def letters(text: str | None) -> bytes:
 
 
 def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A dictionary per language. At most SAMPLE_DOCS texts of each language, none over SAMPLE_CHARS, reach the driver."""
+    """A dictionary per language. A few times SAMPLE_DOCS texts of each language, cut to SAMPLE_CHARS, reach the driver."""
     rows = labelled.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
+    rows = rows.filter(F.col("l").isNotNull() & F.rlike("t", F.lit(_LETTER)))
     counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*")).collect()}
     if not counts:
         return ()
     order = F.pmod(F.xxhash64("d"), F.lit(1 << 40))
     below = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, int((1 << 40) * min(1.0, (2 * SAMPLE_DOCS + 50) / n)))])
-    sample = sorted(rows.withColumn("o", order).filter(F.col("o") < F.try_element_at(below, F.col("l"))).select("l", "o", "d", "t").collect())
+    piece = F.when(F.length("t") <= SAMPLE_CHARS, F.col("t")).otherwise(F.left(F.regexp_replace("t", _BEFORE, ""), F.lit(SAMPLE_CHARS)))
+    sample = sorted(rows.withColumn("o", order).filter(F.col("o") < F.try_element_at(below, F.col("l"))).select("l", "o", "d", piece).collect())
     filled: dict[str, list[bytes]] = {}
     for name, _, _, t in sample:
         parts = filled.setdefault(name, [])

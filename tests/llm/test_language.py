@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillstage.llm import language
+from tests.llm.conftest import PROSE
 
 
 def test_held_out_accuracy(spark):
@@ -25,3 +26,15 @@ def test_odd_rows(spark, odd, nothing):
 def test_one_language_and_none():
     assert language.classify("abc", (("en", b"abc abc"),)) == ("en", 1.0, False)
     assert language.classify("abc", ()) == ("und", 0.0, True)
+
+
+def test_long_documents_are_learned(spark):
+    french = "Le port tranquille était plein de petits bateaux, et les pêcheurs réparaient leurs filets. "
+    rows = [(i, "0 1 . " * 2000 * i + PROSE * 90, "en") for i in range(3)] + [(9, french * 120, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert [name for name, _ in model] == ["en", "fr"] and all(0 < len(raw) <= language.DICTIONARY_BYTES for _, raw in model)
+    assert language.classify(french, model)[0] == "fr" and language.classify(PROSE, model)[0] == "en"
+    assert language.keep_known(docs).count() == len(rows)
+    many = spark.range(20_000).selectExpr("id AS doc_id", f"if(id = 77, '{PROSE}', '12 34') AS text", "'en' AS lang")
+    assert [name for name, _ in language.learn(many)] == ["en"]
