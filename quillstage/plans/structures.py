@@ -148,12 +148,15 @@ SELECT doc_id, CASE WHEN fault IS NULL THEN instr(text, b) - 1 END AS start, CAS
 
 
 def passages_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages that stand verbatim in documents, found by their first five words before the whole is compared."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.get(X.five_word_hashes(X.tokens(F.col("text"))), F.lit(0)).alias("k"))
+    """Benchmark passages that stand verbatim in documents. Those of 7 words or more are found by five inner words, for the outer ones may be parts of words there; shorter ones are compared with every document."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), X.tokens(F.col("text")).alias("words"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
+    long = items.filter(F.size("words") >= 7).select("item_id", "passage", F.get(X.five_word_hashes(F.col("words")), F.lit(1)).alias("k"))
     grams = docs.select("doc_id", F.explode(X.five_word_hashes(X.tokens(F.col("text")))).alias("k"))
-    likely = grams.join(items, "k").select("item_id", "doc_id", "passage").distinct()
-    return likely.join(docs, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id", (F.instr("text", F.col("passage")) - 1).cast("long").alias("start"))
+    likely = grams.join(long, "k").select("item_id", "doc_id", "passage").distinct().join(docs, "doc_id")
+    short = F.broadcast(items.filter(F.size("words") < 7).select("item_id", "passage"))
+    found = likely.filter(F.contains("text", "passage")).unionByName(docs.join(short, F.contains("text", "passage")))
+    return found.select("item_id", "doc_id", (F.instr("text", F.col("passage")) - 1).cast("long").alias("start"))
 
 
 PASSAGES = "SELECT item_id, doc_id, instr(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
