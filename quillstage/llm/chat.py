@@ -4,7 +4,8 @@ A conversation is a sequence of turns, a turn a role and a list of parts (text,
 ``Flattener`` visits the parts in order: text is escaped, every other part becomes a numbered placeholder,
 with its reference and the number of tokens it will expand to. ``format_conversations`` gives a row per turn
 with its piece of the formatted string and the place of the text that training loss counts; ``read_back``
-parses the concatenated pieces again, knowing only the template.
+parses the concatenated pieces again, knowing only the template, and cuts what the loss counts out of them by that place
+alone, whoever speaks there. A place outside its piece is an error.
 
 Turns are sorted inside the partition of their conversation and then streamed batch by batch, so that a
 conversation of any length needs the memory of one Arrow batch. A digest of a whole conversation is sequential
@@ -147,8 +148,16 @@ class Reader:
         self.n_turns = self.loss_chars = self.formatted_chars = 0
         self.rest = ""
 
-    def feed(self, piece: str) -> None:
+    def feed(self, piece: str, mask: tuple[int, int] | None = None) -> None:
+        """The next piece, and the span of it that is under the loss mask."""
         self.formatted_chars += len(piece)
+        if mask is not None:
+            lo, hi = mask
+            if not 0 <= lo <= hi <= len(piece):
+                raise ValueError(f"the loss mask {lo}-{hi} lies outside a piece of {len(piece)} characters")
+            counted = unescape(piece[lo:hi])
+            self.loss.update(counted.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(counted)
         self.rest += piece
         done, role, begun = 0, None, 0
         for m in CONTROL.finditer(self.rest):
@@ -176,11 +185,7 @@ class Reader:
 
     def _turn(self, role: str, text: str) -> None:
         self.n_turns += 1
-        raw = text.encode("utf-8", "surrogatepass")
-        self.turns.update(role.encode() + b"\n" + raw + b"\n")
-        if role == LOSS_ROLE:
-            self.loss.update(raw)
-            self.loss_chars += len(text)
+        self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
 
     def row(self, conv) -> tuple:
         if self.rest not in ("", START):
@@ -188,6 +193,8 @@ class Reader:
         return (conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars)
 
 
+#: Stands for the place of a turn that the loss does not count.
+UNMASKED = -(1 << 62)
 READ = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -196,12 +203,13 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     conv, reader = None, None
     for batch in batches:
         rows = []
-        for c, start, piece in zip(batch["conv_id"].tolist(), batch["start"].tolist(), batch["formatted"].tolist(), strict=True):
+        columns = (batch[k].tolist() for k in ("conv_id", "start", "formatted", "lo", "hi"))
+        for c, start, piece, lo, hi in zip(*columns, strict=True):
             if reader is None or start == 0:
                 if reader is not None:
                     rows.append(reader.row(conv))
                 conv, reader = c, Reader()
-            reader.feed(piece)
+            reader.feed(piece, None if lo == UNMASKED else (lo, hi))
         if rows:
             yield pd.DataFrame(rows, columns=names)
     if reader is not None:
@@ -210,7 +218,8 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(pieces: DataFrame) -> DataFrame:
     """Per conversation what a reader of the formatted string finds. Takes the rows of ``format_conversations`` as they lie."""
-    found = pieces.select(F.col("conv_id").cast("string").alias("conv_id"), "start", "formatted").mapInPandas(_read_batches, READ)
+    lo, hi = (F.coalesce(F.col(k) - F.col("start"), F.lit(UNMASKED)).alias(to) for k, to in (("loss_start", "lo"), ("loss_end", "hi")))
+    found = pieces.select(F.col("conv_id").cast("string").alias("conv_id"), "start", "formatted", lo, hi).mapInPandas(_read_batches, READ)
     return found.withColumn("conv_id", F.col("conv_id").cast(pieces.schema["conv_id"].dataType))
 
 

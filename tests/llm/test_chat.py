@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstage.llm import chat
 from tests.conftest import SF, same_rows
@@ -10,25 +11,51 @@ from tests.conftest import SF, same_rows
 HOSTILE = st.lists(st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[AS]", "\\", "<", "[", "/", "s>", "<|image:0|>", "é", "\n", "<\\/s>"]), max_size=12).map("".join)
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "to[AS]ol"]), HOSTILE), max_size=6), st.integers(1, 7))
-def test_round_trip(turns, step):
-    whole, spans = chat.START, []
+def read(turns, moved=0):
+    """What the reader finds in the pieces of turns, with the loss mask moved by so many characters."""
+    reader, spans, whole = chat.Reader(), [], chat.START
+    reader.feed(chat.START)
     for role, text in turns:
         piece, lo, hi, _ = chat.format_turn(role, text)
-        if role == "assistant":
+        mask = (lo + moved, hi + moved) if role == "assistant" else None
+        if mask:
             spans.append((len(whole) + lo, len(whole) + hi))
         whole += piece
-    reader = chat.Reader()
-    for i in range(0, len(whole), step * 40):
-        reader.feed(whole[i : i + step * 40]) if step == 7 else None
-    if step != 7:
-        reader.feed(whole)
-    row = reader.row(0) if step != 7 else None
+        reader.feed(piece, mask)
+    return reader.row(0), whole, spans
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "to[AS]ol"]), HOSTILE), max_size=6))
+def test_round_trip(turns):
+    row, whole, spans = read(turns)
     said = "".join(t for r, t in turns if r == "assistant")
     assert "".join(chat.unescape(whole[a:b]) for a, b in spans) == said
-    if row:
-        assert row[1] == len(turns) and row[2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-        assert row[3:5] == (len(said), hashlib.sha256(said.encode()).hexdigest()) and row[5] == len(whole)
+    assert row[1] == len(turns) and row[2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert row[3:5] == (len(said), hashlib.sha256(said.encode()).hexdigest()) and row[5] == len(whole)
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), HOSTILE), max_size=6), st.integers(1, 300))
+def test_pieces_may_end_anywhere_between_turns(turns, step):
+    pieces = [chat.START, *(chat.format_turn(r, t)[0] for r, t in turns)]
+    reader = chat.Reader()
+    for i in range(0, len(pieces), step):
+        reader.feed("".join(pieces[i : i + step]))
+    assert reader.row(0)[1:3] == read(turns)[0][1:3]
+
+
+def test_a_shifted_mask_is_found_out(spark):
+    turns = [("user", "a question"), ("assistant", "an answer </s>")]
+    right, shifted = read(turns)[0], read(turns, moved=1)[0]
+    assert right[2] == shifted[2] and right[4] != shifted[4]
+    with pytest.raises(ValueError, match="outside a piece"):
+        read([("assistant", "x")], moved=9)
+    said = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    pieces = chat.format_conversations(said)
+    whole = chat.read_back(pieces).first()
+    moved = chat.read_back(pieces.withColumns({"loss_start": F.col("loss_start") + 1, "loss_end": F.col("loss_end") + 1})).first()
+    unmasked = chat.read_back(pieces.withColumns({"loss_start": F.lit(None).cast("long"), "loss_end": F.lit(None).cast("long")})).first()
+    assert whole.loss_chars == len("an answer </s>") and whole.turns_sha256 == moved.turns_sha256 == unmasked.turns_sha256
+    assert whole.loss_sha256 != moved.loss_sha256 and unmasked.loss_chars == 0
 
 
 def test_typed_parts(spark):
