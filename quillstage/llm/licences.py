@@ -5,8 +5,13 @@ A phrase stands where its words stand consecutively, whatever is between them th
 and one at a time; memory is that of a batch.
 
 An expression has a rank: 3 permissive, 2 weak copyleft, 1 copyleft, 0 closed or unknown. ``or`` offers a choice and takes
-the higher rank, ``and`` obliges to both and takes the lower, ``with`` an exception lifts copyleft by one. A malformed
-expression has its identifiers as labels and no rank.
+the higher rank, ``and`` obliges to both and takes the lower, ``with`` an exception lifts copyleft by one. What follows a tag
+is read up to the first token that cannot continue an expression, and of that the longest part that is one whole counts: prose
+behind a tag has no labels. An identifier is one of a known family, one with a digit, or a reference of one's own
+(``licenseref-``). Where no expression stands there is neither label nor rank.
+
+The score is the chance that at least one sign is right, signs being independent: a phrase counts by its own trust, a tag by
+the rank of its expression, for the fewer terms are open the surer the notice.
 
 Defined results: null and blank texts have no words, no places and score 0; equal rows have equal results; an empty table
 gives an empty result; columns other than the id and the text are ignored, whatever their names.
@@ -41,9 +46,11 @@ BASE_TRUST = 0.8
 TAGS = ("spdx-license-identifier:", "spdx-licence-identifier:", "license-expression:")
 # Beginnings of identifiers, their label and rank.
 FAMILIES = {"mit": ("mit", 3), "apache": ("apache", 3), "bsd": ("bsd", 3), "isc": ("isc", 3), "bsl": ("bsl", 3), "0bsd": ("bsd", 3), "zlib": ("zlib", 3), "unlicense": ("unlicense", 3), "cc0": ("cc0", 3), "lgpl": ("lgpl", 2), "mpl": ("mpl", 2), "epl": ("epl", 2), "gpl": ("gpl", 1), "agpl": ("agpl", 1), "cc-by-nc": ("cc-by-nc", 0), "cc-by-sa": ("cc-by-sa", 1), "cc-by-nd": ("cc-by-nd", 0), "cc-by": ("cc-by", 3), "proprietary": ("proprietary", 0)}
-TAG_TRUST = 0.95
+#: How far a tag can be trusted whose expression has this rank; without an expression it is no sign.
+RANK_TRUST = {3: 0.95, 2: 0.9, 1: 0.85, 0: 0.6}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_TOKEN = re.compile(r"\s*([()]|[\w.+:-]+)")
+_OWN = ("licenseref-", "documentref-")
 #: Bytes to words: letters and digits stay, A-Z become small, bytes over 0x7F stay, all else separates.
 _WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -54,6 +61,36 @@ def family(identifier: str) -> tuple[str, int]:
     return FAMILIES[known] if known else (identifier.rstrip("+"), 0)
 
 
+def is_identifier(token: str) -> bool:
+    named = any(token == k or token.startswith((f"{k}-", f"{k}+")) for k in FAMILIES)
+    return token.isascii() and (named or token.startswith(_OWN) or (token[0].isalnum() and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)))
+
+
+def leading(text: str) -> list[str]:
+    """The tokens of the longest whole expression with which a lower-cased text begins; none where it begins with none."""
+    tokens, depth, whole, operand, at = [], 0, 0, True, 0
+    while m := _TOKEN.match(text, at):
+        token, at = m[1], m.end()
+        if token in "()":
+            fits = (token == "(") == operand and (token == "(" or depth > 0)
+            depth += 1 if token == "(" else -1
+        else:
+            bare = token.rstrip(".:")  # the end of a sentence
+            fits = is_identifier(bare) if operand else bare in PRECEDENCE
+            operand = not operand if fits else operand
+        if not fits:
+            break
+        if token in "()":
+            tokens.append(token)
+        else:
+            tokens.append(bare)
+            if bare != token:
+                text = text[:at]
+        if not operand and not depth:
+            whole = len(tokens)
+    return tokens[:whole]
+
+
 def postfix(tokens: list[str]) -> list[str]:
     """The shunting-yard: operands and operators in the order of evaluation. Raises ValueError where brackets do not match."""
     out, waiting = [], []
@@ -79,23 +116,22 @@ def postfix(tokens: list[str]) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[list[str], int | None]:
-    """Labels of the licences in an expression, and its rank, None where it is malformed."""
-    tokens = _TOKEN.findall(expression.lower())
-    named = [t for i, t in enumerate(tokens) if t not in PRECEDENCE and t not in "()" and (i == 0 or tokens[i - 1] != "with")]
-    labels = sorted({family(t)[0] for t in named})
-    stack: list[tuple[int, bool]] = []
-    try:
-        for t in postfix(tokens):
-            if t not in PRECEDENCE:
-                stack.append((family(t)[1], True))
-                continue
-            (b, _), (a, _) = stack.pop(), stack.pop()
-            stack.append((max(a, b) if t == "or" else min(a, b) if t == "and" else min(3, a + (1 <= a <= 2)), False))
-        (rank, _), = stack
-    except (ValueError, IndexError):
-        return labels, None
-    return labels, rank
+def evaluate(text: str) -> tuple[str, list[str], int | None]:
+    """The expression with which a text begins, the labels of its licences, and its rank; "", none and None without one."""
+    tokens = leading(text.lower())
+    if not tokens:
+        return "", [], None
+    stack: list[tuple[int, frozenset[str]]] = []
+    for t in postfix(tokens):
+        if t not in PRECEDENCE:
+            label, rank = family(t)
+            stack.append((rank, frozenset([label])))
+            continue
+        (b, right), (a, left) = stack.pop(), stack.pop()
+        # an exception is no licence
+        stack.append((max(a, b), left | right) if t == "or" else (min(a, b), left | right) if t == "and" else (min(3, a + (1 <= a <= 2)), left))
+    (rank, labels), = stack
+    return " ".join(tokens), sorted(labels), rank
 
 
 @lru_cache(1)
@@ -130,12 +166,12 @@ def scan_text(text: str | None) -> tuple[int, list[tuple], list[tuple]]:
         counted = start
         places.append((phrase, label, trust, base, word))
     found = []
-    lowered = raw.lower().decode("latin-1")
-    for end, _ in tags.iter(lowered):
-        line = lowered[end + 1 : (lowered.find("\n", end) + 1 or len(lowered) + 1) - 1]
-        expression = line.strip(" \t\r*/#-<>!;\"'")
-        if expression:
-            found.append((expression, *evaluate(expression)))
+    lowered = raw.lower()
+    for end, _ in tags.iter(lowered.decode("latin-1")):
+        line = lowered[end + 1 : (lowered.find(b"\n", end) + 1 or len(lowered) + 1) - 1].decode("utf-8", "replace")
+        expression, labels, rank = evaluate(line.strip(" \t\r*/#-<>!;\"'"))
+        if rank is not None:
+            found.append((expression, labels, rank))
     return len(words), places, found
 
 
@@ -162,8 +198,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.transform(base, lambda p: p["word"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     labels = F.concat(F.transform("places", lambda p: p["label"]), F.flatten(F.transform("expressions", lambda e: e["labels"])))
-    doubt = F.aggregate("places", F.lit(1.0), lambda rest, p: rest * (1 - p["trust"])) * F.when(F.size("expressions") > 0, 1 - TAG_TRUST).otherwise(1.0)
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(F.transform(base, lambda p: p["label"])).alias("base_labels"), joined(labels).alias("labels"), F.round(1 - doubt, 6).alias("score"))
+    trusts = F.create_map(*[F.lit(x) for pair in RANK_TRUST.items() for x in pair])
+    doubt = F.aggregate("places", F.lit(1.0), lambda rest, p: rest * (1 - p["trust"]))
+    doubt = F.aggregate("expressions", doubt, lambda rest, e: rest * (1 - F.try_element_at(trusts, e["rank"])))
+    ranks = F.transform("expressions", lambda e: e["rank"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(F.transform(base, lambda p: p["label"])).alias("base_labels"), joined(labels).alias("labels"), F.round(1 - doubt, 6).alias("score"), F.array_min(ranks).cast("long").alias("rank"))
 
 
 QUERIES = {"op3_license_scan": op3_license_scan}
