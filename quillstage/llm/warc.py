@@ -3,14 +3,14 @@ sidecar index of offsets.
 
 ``write_archives`` puts the rows of each partition into archives of bounded size, each a single gzip stream, and returns a
 narrow index. ``decide`` finds payloads that occur more than once from that index alone: payloads are never shuffled.
-``normalise`` streams each archive once, writes every record as its own member, makes revisit records of the repeated ones,
-and writes the sidecar. ``read_archives`` goes by the sidecars: it seeks, inflates one member at a time, parses it and checks
+``normalise`` streams each archive once, writes every record as its own member, its header lines as they came, makes revisit
+records of the repeated ones, and writes the sidecar. ``read_archives`` goes by the sidecars: it seeks, inflates one member at a time, parses it and checks
 the digest.
 
 Files get a name of their own while they are written and are then renamed, so a task that is run again leaves the same
 files. All files lie in the shared folder; any file system that pyarrow can open will do.
 
-Defined results: null html is the empty payload; of equal payloads that with the largest page id is the response; rows with
+Defined results: no two records have one id, whatever the page ids; null html is the empty payload; of equal payloads that with the largest page id is the response; rows with
 equal id and payload are responses alike; pages without an id are given back without one; payloads below ``least`` bytes are
 responses always; an empty table writes no archive and gives an empty result; other columns are ignored.
 """
@@ -21,7 +21,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -43,27 +43,38 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page: str, url: str | None, payload: bytes, size: int, sha1: str, refers_to: str | None = None) -> bytes:
-    """A WARC record; a revisit has the HTTP headers of the full payload and none of its bytes."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{quote(page)}>", f"WARC-Date: {DATE}"]
+def urn(page: str | None, archive: str, at: int) -> str:
+    """The id of a record: its page, and by archive and place there no other record's."""
+    return f"<urn:page:{quote(page or '', safe='')}:{archive}:{at}>"
+
+
+def record(urn: str, url: str | None, payload: bytes, sha1: str) -> bytes:
+    """A WARC response record. An address is written as it is but for what no header line can hold."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {urn}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
-    if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{quote(refers_to)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def revisit(head: bytes, block: bytes, refers_to: str) -> bytes:
+    """The revisit record of a response: its header lines but for type and length, its HTTP headers, none of its payload."""
+    http = block[: block.find(b"\r\n\r\n") + 4]
+    changed = {b"warc-type": b"WARC-Type: revisit", b"content-length": b"Content-Length: %d" % len(http)}
+    lines = [changed.get(line.partition(b":")[0].strip().lower(), line) for line in head.split(b"\r\n")]
+    lines += [f"WARC-Profile: {PROFILE}".encode(), f"WARC-Refers-To: {refers_to}".encode()]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + http + b"\r\n\r\n"
+
+
 def headers(raw: bytes) -> dict[str, str]:
     """Fields of a header block by lower-cased name."""
     lines = raw.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines if line)}
 
 
-def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record in a stream of inflated bytes."""
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """Header lines, their fields and block of each record in a stream of inflated bytes."""
     have, more = bytearray(), True
 
     def pull(n: int) -> bool:
@@ -80,19 +91,18 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             seen = len(have)
             if not pull(seen + 1):
                 raise ValueError("an archive ends inside a header")
-        fields = headers(bytes(have[:at]))
+        head = bytes(have[:at])
+        fields = headers(head)
         end = at + 4 + int(fields["content-length"])
         if not pull(end + 4):
             raise ValueError("an archive ends inside a record")
         block = bytes(have[at + 4 : end])
         del have[: end + 4]
-        yield fields, block
+        yield head, fields, block
 
 
 def page_of(urn: str | None) -> str | None:
-    from urllib.parse import unquote
-
-    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) or None if urn else None
+    return unquote(urn.split(":")[2]) or None if urn else None
 
 
 def _store(uri: str):
@@ -135,7 +145,7 @@ def write_archives(df: DataFrame, folder: str, page: str = "page_id", url: str =
                     k += 1
                 payload = (h or "").encode("utf-8", "surrogatepass")
                 sha1 = digest(payload)
-                out.write(gz.compress(record("response", p or "", u, payload, len(payload), sha1)))
+                out.write(gz.compress(record(urn(p, out.name, n), u, payload, sha1)))
                 rows.append((out.name, n, p, len(payload), sha1))
                 size, n = size + len(payload), n + 1
                 if size >= ARCHIVE_BYTES or n >= ARCHIVE_RECORDS:
@@ -152,12 +162,14 @@ def write_archives(df: DataFrame, folder: str, page: str = "page_id", url: str =
 
 
 def decide(index: DataFrame, least: int = 0) -> DataFrame:
-    """Adds refers_to: null for responses, else the page whose record has the same payload. Page ids compare as integers; other ids never stand first."""
+    """Adds refers_to and refers_at: null for responses, else page and (archive, at) of the response with the same payload. Page ids compare as integers; other ids never stand first."""
     number = F.col("page").try_cast("long")
-    first = index.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(number).alias("__first"), F.count("*").alias("__n"))
+    place = F.when(number.isNotNull(), F.struct(number.alias("page"), "archive", "at"))
+    first = index.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(place).alias("__first"), F.count("*").alias("__n"))
     first = first.filter("__n > 1 and __first is not null").drop("__n")
     joined = index.join(first, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("__first") != F.coalesce(number, F.col("__first") - 1), F.col("__first").cast("string"))).drop("__first")
+    repeats = F.col("__first.page") != F.coalesce(number, F.col("__first.page") - 1)
+    return joined.withColumns({"refers_to": F.when(repeats, F.col("__first.page").cast("string")), "refers_at": F.when(repeats, F.struct("__first.archive", "__first.at"))}).drop("__first")
 
 
 def _inflated(stream) -> Iterator[bytes]:
@@ -177,22 +189,18 @@ def normalise(decided: DataFrame, source: str, folder: str) -> DataFrame:
 
     def rewrite(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["archive"].iloc[0]
-        refers = dict(zip(rows["at"].tolist(), rows["refers_to"].tolist(), strict=True))
+        refers = {at: None if page is None else urn(page, other, int(place)) for at, page, other, place in zip(rows["at"].tolist(), rows["refers_to"].tolist(), rows["other"].tolist(), rows["place"].tolist(), strict=True)}
         store, base = _store(source)
         out, sidecar, offset, n = _Out(folder, name), _Out(folder, f"{name}.idx"), 0, 0
         with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
-            for n, (fields, block) in enumerate(records(_inflated(stream)), 1):
+            for n, (head, fields, block) in enumerate(records(_inflated(stream)), 1):
                 target = refers[n - 1]
-                page, sha1 = page_of(fields["warc-record-id"]) or "", fields["warc-payload-digest"].removeprefix("sha1:")
-                body = block.partition(b"\r\n\r\n")[2]
                 kind = "response" if target is None else "revisit"
-                from urllib.parse import unquote
-
-                uri = fields.get("warc-target-uri")
                 engine = zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                member = engine.compress(record(kind, page, None if uri is None else unquote(uri), body, len(body), sha1, target)) + engine.flush()
+                raw = revisit(head, block, target) if target else head + b"\r\n\r\n" + block + b"\r\n\r\n"
+                member = engine.compress(raw) + engine.flush()
                 out.write(member)
-                sidecar.write(f"{offset}\t{len(member)}\t{kind}\t{quote(page)}\n".encode())
+                sidecar.write(f"{offset}\t{len(member)}\t{kind}\t{fields['warc-record-id']}\n".encode())
                 offset += len(member)
         if n != len(refers):
             raise ValueError(f"{name} has {n} records, its index {len(refers)}")
@@ -200,6 +208,7 @@ def normalise(decided: DataFrame, source: str, folder: str) -> DataFrame:
         sidecar.close()
         return pd.DataFrame([(name, n, offset)], columns=["archive", "records", "bytes"])
 
+    decided = decided.select("archive", "at", "refers_to", F.col("refers_at.archive").alias("other"), F.coalesce("refers_at.at", F.lit(-1).cast("long")).alias("place"))
     return decided.groupBy("archive").applyInPandas(rewrite, "archive string, records long, bytes long")
 
 
@@ -220,7 +229,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                 with store.open_input_file(f"{base}/{name}") as s:
                     for offset, length, kind, _ in entries:
                         s.seek(int(offset))
-                        (fields, block), = records(iter([zlib.decompress(s.read(int(length)), GZIP)]))
+                        (_, fields, block), = records(iter([zlib.decompress(s.read(int(length)), GZIP)]))
                         head, _, payload = block.partition(b"\r\n\r\n")
                         sha1, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(headers(head)["content-length"])
                         if fields["warc-type"] != kind or kind == "response" and (len(payload) != size or digest(payload) != sha1):

@@ -38,6 +38,28 @@ def test_round_trip(spark):
             assert r.payload == (raw if r.record_type == "response" else b"")
 
 
+def test_header_lines_are_copied(spark):
+    urls = ["http://e.x/a%2Fb?q=1%262", "http://e.x/a%2Fb?q=1%262", "http://e.x/é b\r\nWARC-Type: no", None]
+    pages = spark.createDataFrame([(i, u, "<p>same</p>" if i < 2 else f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    done, folder = archive(spark, pages.coalesce(1))
+    out = {int(r.page): r for r in warc.read_archives(done, folder).collect()}
+    assert (out[0].record_type, out[0].refers_to, out[0].url) == ("revisit", "1", urls[0]) and (out[1].record_type, out[1].url) == ("response", urls[1])
+    assert out[2].url == "http://e.x/%C3%A9%20b%0D%0AWARC-Type:%20no" and out[3].url is None
+    head, fields, block = next(warc.records(iter([b"WARC/1.0\r\nwarc-type:  response\r\nX-Odd:  A%2fb \r\nContent-Length: 8\r\n\r\nA\r\n\r\nxyz\r\n\r\n"])))
+    assert warc.revisit(head, block, "<urn:page:1:a:0>").startswith(b"WARC/1.0\r\nWARC-Type: revisit\r\nX-Odd:  A%2fb \r\nContent-Length: 5\r\n")
+
+
+def test_record_ids_differ(spark):
+    done, folder = archive(spark, spark.createDataFrame([(i % 2 or None, "u", f"<p>{i % 3}</p>") for i in range(30)], "page_id long, url string, html string").repartition(3))
+    ids, referred = [], set()
+    for r in done.collect():
+        raw = gzip.decompress(open(f"{local_path(folder)}/{r.archive}", "rb").read())
+        for _, fields, _ in warc.records(iter([raw])):
+            ids.append(fields["warc-record-id"])
+            referred |= {fields["warc-refers-to"]} if "warc-refers-to" in fields else set()
+    assert len(set(ids)) == len(ids) == 30 and referred and referred <= set(ids)
+
+
 def test_members_and_sidecar(spark):
     done, folder = archive(spark, spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string").coalesce(2))
     for r in done.collect():
