@@ -6,9 +6,10 @@ What is encoded are the lower-cased letters of the whole text, runs of all else
 the dictionary and not the text's own past is what helps. Dictionaries are filled from a bounded sample: SAMPLE_DOCS
 documents of each language that have a letter, the first by a hash of their ids, up to DICTIONARY_BYTES. Documents of up to
 SAMPLE_CHARS characters are taken whole, of longer ones as many from the first letter on, so every labelled language with a
-letter is learned. Only text and language of the labelled rows are used.
+letter is learned, of more than MOST_LANGUAGES labels the most frequent. Only text and language of the labelled rows are used.
 
-Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing was learned; of equally small
+Defined results: ``und`` with score 0 where the text is null or has no letter (numerals such as Ⅻ or ½ are none), or nothing was
+learned; a document without an id is neither held out nor learned from by the query; of equally small
 languages the first by name, with score 0; with a single learned language the score is 1; equal texts have equal results;
 an empty table gives an empty result; other columns are ignored by the query and kept by ``keep_known``.
 """
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from quillstage.llm.common import read
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 8000, 65_536
-LEVEL, BLOCK = 6, 2048
-#: Texts of fewer bytes are searched harder for what a dictionary has of them.
-SHORT, SHORT_LEVEL = 512, 12
+#: Languages that are learned: MOST_LANGUAGES * DICTIONARY_BYTES are broadcast at most.
+MOST_LANGUAGES = 200
+LEVEL, BLOCK = 12, 2048
 MARGIN, HALF_SCORE = 0.005, 0.02
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: numerals, raised and circled digits.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
 #: What ``letters`` leaves, and what stands before the first of it, for Spark.
-_LETTER, _BEFORE = r"[\p{L}\p{Nl}\p{No}]", r"^[^\p{L}\p{Nl}\p{No}]++"
+_LETTER, _BEFORE = r"\p{L}", r"^\P{L}++"
 Model = tuple[tuple[str, bytes], ...]
 
 
@@ -46,7 +49,7 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
     """A dictionary per language. A few times SAMPLE_DOCS texts of each language, cut to SAMPLE_CHARS, reach the driver."""
     rows = labelled.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.rlike("t", F.lit(_LETTER)))
-    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*")).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return ()
     order = F.pmod(F.xxhash64("d"), F.lit(1 << 40))
@@ -67,13 +70,14 @@ def _compressors(model: Model):
 
     plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
-    def compressor(raw: bytes, level: int):
-        parameters = zstandard.ZstdCompressionParameters.from_level(level, dict_size=DICTIONARY_BYTES, source_size=BLOCK, **plain)
+    parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=DICTIONARY_BYTES, source_size=BLOCK, **plain)
+
+    def compressor(raw: bytes):
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=parameters)
         return zstandard.ZstdCompressor(compression_params=parameters, dict_data=dictionary)
 
-    return [[(name, compressor(raw, level)) for name, raw in model] for level in (LEVEL, SHORT_LEVEL)]
+    return [(name, compressor(raw)) for name, raw in model]
 
 
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
@@ -82,7 +86,7 @@ def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
     if not raw or not model:
         return UNKNOWN, 0.0, True
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model)[len(raw) < SHORT])
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model))
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -109,8 +113,9 @@ def keep_known(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: s
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = learn(docs.filter(~held_out))
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5
+    held_out = F.coalesce(rest == 0, F.lit(False))
+    model = learn(docs.filter(rest != 0))
     found = docs.select("doc_id", held_out.alias("held_out"), identified("text", model, spark).alias("l"))
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score", "l.rejected")
 

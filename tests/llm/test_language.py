@@ -1,17 +1,82 @@
+import zlib
+
+import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from quillstage.llm import language
+from tests.conftest import SF
 from tests.llm.conftest import PROSE
 
 
 def test_held_out_accuracy(spark):
-    got = language.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("size"))
-    rows = got.filter("held_out").join(docs, "doc_id").filter("size >= 100").collect()
-    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+    got = language.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.1")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", F.length("text").alias("size"))
+    rows = got.filter("held_out").join(docs, "doc_id").filter("lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.985 * len(rows)
+    for least, most, share in ((0, 50, 0.4), (50, 500, 0.97), (500, 10**9, 0.99)):
+        part = [r for r in rows if least <= (r["size"] or 0) < most]
+        assert sum(r.lang == r.lang_pred for r in part) >= share * len(part)
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
+def spaced(text):
+    return " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")).split()
+
+
+def brute(rows, held):
+    """Predictions by compressing every text anew with every dictionary."""
+    samples = {}
+    for d, text, lang in sorted((r for r in rows if r[2] is not None and not held(r[0])), key=lambda r: xxhash.xxh64_intdigest(str(r[0]).encode(), 42) % (1 << 40)):
+        words = spaced(text)
+        first = next((i for i, c in enumerate(text or "") if c.isalpha()), None)
+        if words:
+            piece = text if len(text) <= language.SAMPLE_CHARS else text[first : first + language.SAMPLE_CHARS]
+            parts = samples.setdefault(lang, [])
+            if len(parts) < language.SAMPLE_DOCS and sum(map(len, parts)) < language.DICTIONARY_BYTES:
+                parts.append(" ".join(spaced(piece)).encode())
+    out = {}
+    for d, text, _ in rows:
+        raw, sizes = " ".join(spaced(text)).encode(), []
+        for lang, parts in samples.items():
+            joined = b" ".join(parts)[: language.DICTIONARY_BYTES]
+            own = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=language.DICTIONARY_BYTES, source_size=language.BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(compression_params=own, dict_data=zstandard.ZstdCompressionDict(joined, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes.append((sum(len(c.compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)), lang))
+        (best, lang), (second, _) = sorted(sizes)[:2] if raw else ((0, "und"), (0, ""))
+        share = (second - best) / second if raw else 0
+        out[d] = (held(d), lang, round(share / (share + language.HALF_SCORE), 9), share < language.MARGIN)
+    return out
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6 + i, t, "en") for i, t in enumerate([None, "", "½ ² ① Ⅻ 12", "a", "É", "12 le port tranquille ①", "x" * 5000])]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9), r.rejected) for r in language.QUERIES["op5_language_id"](spark, str(tmp_path)).collect()}
+    assert got == brute(rows, lambda d: zlib.crc32(str(d).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "①②", "Ⅻ", "12 _ ٣", "", None, "!?"])
+def test_no_letter(text):
+    assert language.letters(text) == b"" and language.classify(text, (("en", b"abc"), ("fr", b"xyz")))[0] == "und"
+
+
+def test_rows_without_id_are_neither_held_out_nor_learned(spark, tmp_path):
+    rows = [(None, "zzz yyy xxx", "zz"), *[(i, PROSE, "en") for i in range(9)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = language.QUERIES["op5_language_id"](spark, str(tmp_path)).collect()
+    assert len(out) == 10 and {r.lang_pred for r in out} == {"en"} and [r.held_out for r in out if r.doc_id is None] == [False]
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, PROSE + " x" * i, f"l{i % 300:03d}") for i in range(900)] + [(1000 + i, PROSE, "l299") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model) == language.MOST_LANGUAGES and model[0][0] == "l000" and model[-1][0] == "l299"
+
+
 def test_odd_rows(spark, odd, nothing):
     model = language.learn(odd)
     assert [name for name, _ in model] == ["en", "fr"]
