@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +22,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; in local mode one is made where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillstage-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder name below ``spark.checkpoint.dir``, where that is unset below the warehouse, which all executors see too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/quillstage-{uuid.uuid4().hex}"
 
 
+#: Tables that ``written`` has made within each open ``scratch``.
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: short lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}-{name}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -46,6 +48,16 @@ def discard(*tables: DataFrame) -> None:
         drop_table(table.sparkSession, table.written_to)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end whatever ``written`` has made within it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCRATCH.pop())
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever that is."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
