@@ -6,15 +6,17 @@ punctuation, place). A bidirectional LSTM in numpy reads the blocks of a page in
 context; the blocks labelled as text, joined by line feeds, are the result.
 
 The model is trained here, on the driver and within seconds, from a fixed seed on pages that ``pages_made`` composes by rule:
-articles in various containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments. No row
-of the tables takes part. Its weights, some 200 kB whatever the input, are broadcast.
+articles in various containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Some
+pages name nothing by what it is, so that words, length, links and neighbours must tell. No row of the tables takes part. Its
+weights, some 200 kB whatever the input, are broadcast.
 
 A page is held whole, blocks of many pages are labelled in batches of bounded size. Character references are decoded once,
 after markup has gone. Scripts, styles, comments and titles have no text, also where they are not closed; a drawing (svg) has
 none up to its end tag, and is its start tag alone where it closes itself or has no end tag. Formulas and the text that stands
 for an object are left to the labeller.
 
-Defined results: null, empty and textless pages give the empty text; equal pages give equal texts; markup that does not
+Defined results: null, empty and textless pages give the empty text; equal pages give equal texts; elements of any other name
+are no more than their text; a quote encloses a value only behind the sign of equality and where it ends; markup that does not
 nest is read as it comes: an end tag without a start is ignored; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
@@ -27,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,11 +39,13 @@ from pyspark.sql import functions as F
 from quillstage.llm.common import read
 
 SILENT = "script|style|noscript|template|title|textarea|iframe"
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.IGNORECASE | re.DOTALL)
-_DRAWN = re.compile(r"</svg\s*>", re.IGNORECASE)
+#: What stands in a tag behind its name: quotes enclose a value behind the sign of equality alone, and only where they end.
+_REST = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({SILENT})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-z][a-z0-9:_.-]*)((?![^\s/>]){_REST})>|<[!?/][^>]*>", re.IGNORECASE | re.DOTALL)
+_DRAWN = re.compile(r"</svg(?=[\s/>])[^>]*>", re.IGNORECASE)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+|©")
 # Elements that begin and end blocks, and those that an opening block ends.
 BLOCKS = frozenset("html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr select option label button legend center menu dialog".split())
 VOID = frozenset(["hr"])
@@ -115,7 +120,9 @@ class _Reader:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with the names of their open elements and how much of them is linked."""
     page, reader, at, drawn = page or "", _Reader(), 0, True
-    while m := _MARKUP.search(page, at):
+    last = page.rfind(">")
+    # behind the last sign that ends a tag none is sought, which could take the square of the page's length
+    while at <= last and (m := _MARKUP.search(page, at)):
         reader.text(page[at : m.start()])
         at = m.end()
         if m[3] and drawn and not m[2] and m[3].lower() == "svg" and not m[4].endswith("/"):
@@ -123,7 +130,7 @@ def blocks_of(page: str | None) -> list[Block]:
             at, drawn = end.end() if end else at, end is not None
         elif m[3]:
             reader.tag(bool(m[2]), m[3].lower(), m[4])
-    reader.text(page[at:])
+    reader.text(page[at:] if at <= last else page[at:].partition("<!--")[0])
     reader.end_block()
     return reader.blocks
 
@@ -169,6 +176,13 @@ def _numbers(pages: list[list[Block]]):
     return np.array(paths), np.array(path_ends), np.array(words), np.array(word_ends), np.array(figures, np.float32)
 
 
+def _together(parts: list[tuple]) -> tuple:
+    """The numbers of many pages, from those of each."""
+    paths, path_ends, words, word_ends, figures = (list(x) for x in zip(*parts, strict=True))
+    shifted = lambda ends, which: np.concatenate([e + at for e, at in zip(ends, np.cumsum([0, *map(len, which[:-1])]), strict=True)])
+    return np.concatenate(paths), shifted(path_ends, paths), np.concatenate(words), shifted(word_ends, words), np.concatenate(figures)
+
+
 def _mean(table: np.ndarray, which: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.r_[0, ends[:-1]]
     return np.add.reduceat(table[which], starts, axis=0) / (ends - starts)[:, None].astype(np.float32)
@@ -230,10 +244,9 @@ class Labeller:
         hidden = [self._flat(self._run(x, grid, d, False)[0], grid, len(x)) for d, grid in zip("fb", grids, strict=True)]
         return np.concatenate(hidden, axis=1) @ self.p["out"] + self.p["out0"]
 
-    def gradients(self, pages: list[list[Block]], wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients on pages whose blocks are labelled."""
-        numbers = _numbers(pages)
-        x, grids = self._vectors(numbers), self._grid(np.array([len(p) for p in pages]))
+    def gradients(self, numbers: tuple, lengths: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients on pages of so many blocks that are labelled."""
+        x, grids = self._vectors(numbers), self._grid(lengths)
         runs = [self._run(x, grid, d, True) for d, grid in zip("fb", grids, strict=True)]
         hidden = np.concatenate([self._flat(r[0], grid, len(x)) for r, grid in zip(runs, grids, strict=True)], axis=1)
         odds = _sigmoid(hidden @ self.p["out"] + self.p["out0"])
@@ -261,27 +274,35 @@ class Labeller:
             d_x[rows] += flat @ self.p[f"w{d}"].T
         for name, at, size, which, ends in (("path", 0, PATH_SIZE, numbers[0], numbers[1]), ("word", PATH_SIZE, WORD_SIZE, numbers[2], numbers[3])):
             n = np.diff(np.r_[0, ends])
-            np.add.at(grad[name], which, np.repeat(d_x[:, at : at + size] / n[:, None], n, axis=0))
+            owner = np.repeat(np.arange(len(n)), n)
+            for k in range(size):
+                grad[name][:, k] = np.bincount(which, (d_x[:, at + k] / n)[owner], len(grad[name]))
         return float(loss), grad
 
 
-def train(seed: int = 7, pages: int = 800, epochs: int = 8, batch: int = 16, rate: float = 0.01) -> Labeller:
-    """A labeller trained on composed pages by Adam, from a fixed seed."""
+@lru_cache(1)
+def train(seed: int = 7, pages: int = 3200, epochs: int = 10, batch: int = 32, rate: float = 0.015) -> Labeller:
+    """A labeller trained on composed pages by Adam, from a fixed seed; once in a process."""
     model, rng = Labeller(seed), random.Random(seed)
     made = [pages_made(rng) for _ in range(pages)]
+    made = [(_numbers([[b for b, _ in page]]), np.array([y for _, y in page], np.float32)) for page in made]
     sums = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     for epoch in range(epochs):
         rng.shuffle(made)
-        for i in range(0, pages, batch):
-            part = made[i : i + batch]
-            _, grad = model.gradients([[b for b, _ in p] for p in part], np.array([y for p in part for _, y in p], np.float32))
+        # pages of like length go together, so that few steps are spent on padding
+        near = [sorted(made[i : i + 8 * batch], key=lambda page: len(page[1])) for i in range(0, pages, 8 * batch)]
+        batches = [part[i : i + batch] for part in near for i in range(0, len(part), batch)]
+        rng.shuffle(batches)
+        for part in batches:
+            wanted = [y for _, y in part]
+            _, grad = model.gradients(_together([n for n, _ in part]), np.array([len(y) for y in wanted]), np.concatenate(wanted))
             step += 1
             for k, g in grad.items():
                 m, v = sums[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                model.p[k] -= rate * (0.4 ** max(0, epoch - 4)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                model.p[k] -= rate * (0.4 ** max(0, epoch - epochs // 2)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return model
 
 
@@ -300,11 +321,20 @@ TEXT_IN = ("article", "main", "article content", "div content", "div post entry"
 _SYLLABLES = "an ar be ca da de el en er es et fi ga he in is ka la le li lo ma mi na ne no on or pa ra re ri ro sa se si so sta ta te ti to tra un ur va ve vi wa we".split()
 
 
+@lru_cache(1)
+def _vocabulary() -> list[str]:
+    rng = random.Random(1)
+    return ["".join(rng.choices(_SYLLABLES, k=rng.choice((1, 1, 2, 2, 3, 4)))) for _ in range(20_000)]
+
+
 def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
     """The labelled blocks of one composed page."""
-    word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.choice((1, 1, 2, 2, 3, 4))))
-    words = lambda n: [word() for _ in range(max(1, n))]
+    word = lambda: rng.choice(_vocabulary())
+    words = lambda n: rng.choices(_vocabulary(), k=max(1, n))
     page: list[tuple[Block, float]] = []
+    # how the page names its elements: by what they are, by signs of its own, or not at all
+    manner = rng.choices(("telling", "own", "none"), (0.72, 0.1, 0.18))[0]
+    named = lambda names: [x for n in names for x in ([n] if manner == "telling" else [word()] if manner == "own" else [])]
 
     def prose(n: int) -> str:
         said, left = [], n
@@ -319,6 +349,8 @@ def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
 
     def noisy(text: str) -> str:
         kind = rng.random()
+        if kind > 0.96:
+            return " ".join([text.split()[0]] * (text.count(" ") + 1))
         return text.upper() if kind < 0.03 else re.sub(r"(?<=\w) ", rng.choice((" ### ", "*** ", "%%% ", "&&& ", " | ", "!! ")), text) if kind < 0.1 else text
 
     def put(text: str, path: list[str], y: float, linked: float = 0.0) -> None:
@@ -326,9 +358,12 @@ def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
 
     def aside(kind: str, outer: list[str]) -> None:
         tags, names, said = (x.split() for x in ASIDE[kind])
-        tag = rng.choice(tags)
-        path = [*outer, f"<{tag}", *(rng.sample(names, rng.randint(1, min(2, len(names)))) if tag in ("div", "section", "ul", "ol") or rng.random() < 0.5 else [])]
-        flat = kind in ("comments", "advert", "notice", "footer", "sidebar")
+        tag = rng.choice(tags) if manner == "telling" or rng.random() < 0.5 else "div"
+        path = [*outer, f"<{tag}", *named(rng.sample(names, rng.randint(1, min(2, len(names)))) if tag in ("div", "section", "ul", "ol") or rng.random() < 0.5 else [])]
+        if rng.random() < 0.5 and first == "td":
+            tag, path = "td", [*wrap, "<table", "<tr", "<td"]
+        plain = manner != "telling" and tag in ("div", "section", "ul", "ol", "td")
+        flat = not plain and kind in ("comments", "advert", "notice", "footer", "sidebar")
         if flat and rng.random() < (0.85 if kind in ("comments", "advert") else 0.6):
             for _ in range(rng.randint(1, 9) if kind == "comments" else rng.randint(1, 3)):
                 inner = [*path, *rng.choice((["<p"], ["<p"], [], ["<div"], ["<li"]))]
@@ -339,14 +374,18 @@ def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
             return
         for _ in range(rng.randint(2, 10)):
             inner = [*path, *(["<label"] if kind == "form" and rng.random() < 0.5 else rng.choice((["<ul", "<li"], ["<ul", "<li"], ["<li"], ["<div"], ["<p"], [])))]
-            put(" ".join([*rng.sample(said, rng.random() < 0.4), *words(rng.randint(1, 3))]), inner, 0.0, 0.0 if kind == "form" else rng.choice((1.0, 1.0, 0.0)))
+            text = " ".join([*rng.sample(said, rng.randint(0, 3) if plain else rng.random() < 0.4), *words(rng.randint(1, 3))]) + rng.choice((".", "", "")) * plain
+            put(f"© {text}" if kind == "footer" and plain and rng.random() < 0.7 else text, inner, 0.0, 0.0 if kind == "form" else rng.choice((1.0, 1.0, 0.0)))
 
     base = ["<html", "<body"]
-    wrap = [*base, *rng.choice(([], [], ["<div", rng.choice(("page", "wrapper", "container", "layout"))]))]
+    wrap = [*base, *rng.choice(([], [], ["<div", *named([rng.choice(("page", "wrapper", "container", "layout"))])]))]
+    first, *names = rng.choice(TEXT_IN).split() or [""]
+    if manner != "telling":
+        first, names = rng.choice((("div", ["x"]), ("div", ["x"]), ("div", []), ("article", []), ("main", []), ("td", []), ("section", ["x"])))
+        names = named(names)
+    inside = [*wrap, *(["<table", "<tr"] if first == "td" else []), *([f"<{first}"] if first else []), *(n for n in names)]
     for kind in rng.sample(("header", "menu", "notice", "advert", "form", "sidebar"), rng.randint(0, 4)):
         aside(kind, wrap)
-    first, *names = rng.choice(TEXT_IN).split() or [""]
-    inside = [*wrap, *([f"<{first}"] if first else []), *(n for n in names)]
     if rng.random() < 0.06:
         return page or [(Block(word(), tuple(base), 0), 0.0)]
     if rng.random() < 0.8:
@@ -355,7 +394,7 @@ def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
         kind = rng.random()
         if kind < 0.72:
             for _ in range(rng.randint(1, 3)):
-                put(noisy(prose(rng.choice((1, 2, 4, 10, 30, 80, 160)))), [*inside, "<p"], 1.0, 0.1 * (rng.random() < 0.2))
+                put(noisy(prose(rng.choice((1, 2, 4, 10, 30, 80, 160, 400)))), [*inside, "<p"], 1.0, 0.1 * (rng.random() < 0.2))
         elif kind < 0.78:
             put(" ".join(words(rng.randint(1, 6))), [*inside, rng.choice(("<h2", "<h3"))], 1.0)
         elif kind < 0.84:

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from quillstage.llm import html as H
 
@@ -21,7 +23,6 @@ def test_blocks():
 
 
 def test_silent_elements_end_where_they_end():
-    texts = lambda page: [b.text for b in H.blocks_of(page)]
     assert texts("<p>a <svg width='1>2' /> b</p><SVG><title>no</title>no</SVG ><p>c <svg/> d") == ["a b", "c d"]
     assert texts("<p>a<svg viewBox='0'>b</p><p>c") == ["ab", "c"]
     assert texts("<title-bar>a</title-bar><p>b <template-card>c</template-card> <object-list>d</object-list><p>e") == ["a", "b c d", "e"]
@@ -43,29 +44,64 @@ def test_pages(spark, model):
         article = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         right += text == "\n".join(p for p in parts if p)
-    assert right >= 0.995 * len(rows)
+    assert right >= 0.996 * len(rows)
 
 
-def test_other_templates(model):
-    page = "<body><header><a href=/>Site</a></header><nav><ul><li><a href=/a>Home</a></ul></nav><div class='cookie-notice'><p>We use cookies. Accept them.</p></div><main><article><h1>A title of words</h1><p>First sentence of the text, long enough to be read. Second one follows.</p><ul><li>a first point of the list</li></ul></article></main><aside class=sidebar><h3>Related</h3><a href=x>Other page</a></aside><section id=comments><p>Nice post, I say. Thanks!</p></section><form><label>Name</label><button>Send</button></form><footer><p>© 2020 All rights reserved.</p></footer>"
-    assert H.texts_of([page], model)[0].split("\n")[:2] == ["A title of words", "First sentence of the text, long enough to be read. Second one follows."]
-    assert "cookies" not in H.texts_of([page], model)[0] and "Nice post" not in H.texts_of([page], model)[0] and "rights" not in H.texts_of([page], model)[0]
+ARTICLE = ["The harbour opens again", "The old harbour had been closed for years, and the people of the town had almost forgotten it. When the council decided to open it again, few believed that ships would ever come back. But in spring the first boats arrived.", "Since then the town has changed. Young families moved into the houses by the water, a school was built, and on Sundays there is a market with fish, bread and flowers. Some say that it has become too loud.", "Nobody wants to go back."]
+BODY = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{p}</p>" for p in ARTICLE[1:])
+LINKS = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/c>Contact</a></li></ul>"
+FOOT = "<p>© 2020 All rights reserved. Privacy terms</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><header><a href=/>Site</a></header><nav>{LINKS}</nav><div class='cookie-notice'><p>We use cookies. Accept them.</p></div><main><article>{BODY}</article></main><aside class=sidebar><h3>Related</h3><a href=x>Other page</a></aside><section id=comments><p>Nice post, I say. Thanks!</p></section><form><label>Name</label><button>Send</button></form><footer>{FOOT}</footer>",
+    f"<html><body><div>{LINKS}</div><div>{BODY}</div><div>{FOOT}</div></body></html>",
+    f"<body><div class=abc>{LINKS}</div><div class=xyz>{BODY}</div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div></body>",
+    f"<body>{BODY}</body>",
+    f"<body><table><tr><td>{LINKS}</td><td>{BODY}</td></tr></table></body>",
+    f"<body><section class='story'>{BODY}</section><div id=disqus_thread class=comments><div><p>Great read, thanks for this!</p></div></div>",
+])
+def test_other_templates(model, page):
+    assert H.texts_of([page], model) == ["\n".join(ARTICLE)]
+
+
+def texts(page):
+    return [b.text for b in H.blocks_of(page)]
+
+
+NAMES = st.from_regex(r"(svg|title|script|style|object|template|math|iframe)?[-_.:][a-z0-9]{1,5}", fullmatch=True).map(lambda x: f"x{x}" if not x[0].isalpha() else x)
+
+
+@given(NAMES, st.sampled_from(["", " a=b", " a='x>y'", ' a="x>y" b', " a=it's", " a='", "/", " a=b/"]))
+def test_text_around_unknown_elements_survives(name, rest):
+    assert texts(f"<p>before</p><{name}{rest}></{name}><p>after") == ["before", "after"]
+    assert texts(f"<p>a<{name}{rest}>b</{name}>c") == ["abc"]
+
+
+def test_broken_quotes_and_comments():
+    assert texts("<p>a<!-- b") == ["a"] and texts("a < b <c d=") == ["a < b <c d="]
+    assert len(texts("<a " * 300_000)) == 1 and texts("<p>x" + "<a " * 300_000 + ">y") == ["xy"]
+    assert texts("<p class=it's>hello <b title=\"a>b\">x</b></p><!--><p>y</p><!---><p>z<!-- a --!><p>w <a href='x>q") == ["hello x", "y", "z", "w q"]
+    assert texts("<p>a</p><script a='>'>no</script x>b<style>no</style\n>c<p a=\"b>d") == ["a", "bc", "d"]
 
 
 def test_gradients(model):
     rng = random.Random(2)
     pages = [H.pages_made(rng) for _ in range(3)]
-    blocks, wanted = [[b for b, _ in p] for p in pages], np.array([y for p in pages for _, y in p], np.float32)
+    numbers, lengths = H._numbers([[b for b, _ in p] for p in pages]), np.array([len(p) for p in pages])
+    each = H._together([H._numbers([[b for b, _ in p]]) for p in pages])
+    assert all((a == b).all() for a, b in zip(numbers, each, strict=True))
+    wanted = np.array([y for p in pages for _, y in p], np.float32)
     m = H.Labeller(3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    _, grad = m.gradients(blocks, wanted)
-    for k in ("wf", "ub", "out", "bf"):
-        at = tuple(n // 2 for n in m.p[k].shape)
+    _, grad = m.gradients(numbers, lengths, wanted)
+    for k in ("wf", "ub", "out", "bf", "path", "word"):
+        at = tuple(n // 2 for n in m.p[k].shape) if k not in ("path", "word") else (numbers["pw".index(k[0]) * 2][0], 1)
         kept = m.p[k][at]
         losses = []
         for step in (1e-3, -1e-3):
             m.p[k][at] = kept + step
-            losses.append(m.gradients(blocks, wanted)[0])
+            losses.append(m.gradients(numbers, lengths, wanted)[0])
         m.p[k][at] = kept
         assert abs((losses[0] - losses[1]) / 2e-3 - grad[k][at]) < 2e-3
 
