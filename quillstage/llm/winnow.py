@@ -1,20 +1,23 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is lower-cased, runs of ASCII white space become one space, and every 8 characters in a row have a 64-bit hash, of
-which 37 bits stay. Of every 8 neighbouring hashes the smallest is chosen, the rightmost of equal ones, and its position is
-kept. Any passage of 15 characters that two texts share therefore leaves a common entry in both fingerprints, in any script
+A text is lower-cased, runs of ASCII white space become one space, and every 8 characters (UTF-16 units) in a row have a 64-bit
+hash, of which 38 bits stay. Of every 8 neighbouring hashes the smallest is chosen, the rightmost of equal ones, and its position
+is kept. Any passage of 15 characters that two texts share therefore leaves a common entry in both fingerprints, in any script
 and with or without spaces. A text of fewer than 8 characters is one gram, and one of fewer than 8 grams is one window.
 Grams of 5 words, of which a passage needs 12, are there for callers whose texts are long and have spaces.
 
 A hash stands in the high bits of a long and the position, counted down, in its low 26 bits: the least of some longs is
-then the smallest hash and, among equals, the rightmost. Windows are minima of minima over 1, 2 and 4 places.
+then the smallest hash and, among equals, the rightmost. Windows are minima of minima over 1, 2 and 4 places. Where an edited
+text begins as the text itself does, which is compared, the minima of that part are taken over and not computed again.
 
 Neighbours in document order come from one exchange: documents are dealt by ranges of their ids, and the first document
-of each range is sent once more to the range before it. Ranges are refined until none holds many times its share.
+of each range is sent once more to the range before it. Ranges are refined until none holds many times its share; documents
+without an id, which come last, are ranges by a hash of their texts.
 
 Defined results: null and blank texts have the empty fingerprint, two empty fingerprints are alike (1.0), an empty and
-another are not (0.0); equal ids are ordered by text, null ids come last; positions count modulo 2**26; a single
-document is its own next one; an empty table gives an empty result; other columns are ignored, whatever their names.
+another are not (0.0); equal ids are ordered by a hash of their texts; positions count modulo 2**26; a single
+document is its own next one; an empty table gives an empty result; ids are integers, others are an error; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from pyspark.sql import functions as F
 from quillstage.llm.common import gram_hashes, read, words_of
 
 GRAM, CHARACTERS, WINDOW = 5, 8, 8
-POSITION_BITS, HASH_BITS = 26, 37
+POSITION_BITS = 26
 _NOT_ONE_SPACE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 _LAST = (1 << POSITION_BITS) - 1
+#: Bytes of a gram of characters in UTF-16.
+_WIDE = 2 * CHARACTERS
+_NONE = "array<bigint>"
 
 
 def _packed(h: Column, i: Column) -> Column:
-    return F.shiftleft(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), POSITION_BITS).bitwiseOR(F.lit(_LAST) - i % F.lit(_LAST + 1))
+    return h.bitwiseAND(F.lit(~_LAST)).bitwiseOR(F.bitwise_not(i).bitwiseAND(F.lit(_LAST)))
 
 
 def word_grams(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -42,40 +48,77 @@ def word_grams(df: DataFrame, text: str, out: str) -> DataFrame:
     words, grams = f"{out}_words", f"{out}_grams"
     df = df.withColumn(words, F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)))
     df = gram_hashes(df, words, grams)
-    whole = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
+    whole = F.when(F.size(words) == 0, F.array().cast(_NONE)).otherwise(F.array(F.xxhash64(words)))
     df = df.withColumn(grams, F.when(F.size(words) < GRAM, whole).otherwise(F.col(grams)))
     return df.withColumn(out, F.transform(grams, _packed)).drop(words, grams)
 
 
-def character_grams(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the packed hash of every CHARACTERS characters in a row. In UTF-32 any of them is found at once."""
+def wide(text: Column) -> Column:
+    """The text of which grams of characters are taken, in UTF-16, where any of them is found at once."""
     trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
-    wide = F.encode(F.regexp_replace(trimmed, _NOT_ONE_SPACE, " "), "UTF-32")
+    return F.encode(F.regexp_replace(trimmed, _NOT_ONE_SPACE, " "), "UTF-16BE")
+
 
-    def grams(wide: Column) -> Column:
-        n = F.length(wide)
-        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (4 * CHARACTERS - 1), F.lit(1)), F.lit(4)))
-        return F.transform(starts, lambda at, i: _packed(F.xxhash64(F.substring(wide, at, F.lit(4 * CHARACTERS))), i))
+def grams_from(units: Column, first: Column) -> Column:
+    """The packed hash of every CHARACTERS units in a row of a ``wide`` text, from the gram numbered ``first`` on."""
+
+    def grams(u: Column) -> Column:
+        n, at = F.length(u), first * 2 + 1
+        starts = F.when(n < at, F.array().cast("array<int>")).otherwise(F.sequence(at, F.greatest(n - (_WIDE - 1), at), F.lit(2)))
+        return F.transform(starts, lambda s, i: _packed(F.xxhash64(F.substring(u, s, F.lit(_WIDE))), i + first))
 
     # as a variable, for a binary column is copied whole wherever it is named
-    return df.withColumn(out, F.transform(F.array(wide), grams)[0])
+    return F.transform(F.array(units), grams)[0]
+
+
+def character_grams(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the packed hash of every CHARACTERS characters in a row."""
+    return df.withColumn(out, grams_from(wide(F.col(text)), F.lit(0)))
 
 
 Grams = Callable[[DataFrame, str, str], DataFrame]
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, grams: Grams = word_grams) -> DataFrame:
-    """Adds ``out``, an array of longs: the chosen hashes with their positions, in the order of the text."""
-    packed, two, four = (f"__{out}_{x}" for x in ("packed", "two", "four"))
-    df = grams(df, text, packed)
-    n = F.size(packed)
+def with_minima(df: DataFrame, packed: str, out: str) -> DataFrame:
+    """Adds ``out``: the least of every WINDOW neighbours in the array ``packed``, one after the other."""
     minima = packed
-    for width, name in ((1, two), (2, four), (4, out)):
-        rest = F.greatest(n - (2 * width - 1), F.lit(0))
+    for width, name in ((1, f"{out}_two"), (2, f"{out}_four"), (4, out)):
+        rest = F.greatest(F.size(packed) - (2 * width - 1), F.lit(0))
         df = df.withColumn(name, F.zip_with(F.slice(minima, 1, rest), F.slice(minima, 1 + width, rest), lambda a, b: F.least(a, b)))
         minima = name
-    single = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.array_min(packed)))
-    return df.withColumn(out, F.when(n < WINDOW, single).otherwise(F.array_distinct(out))).drop(packed, two, four)
+    return df.drop(f"{out}_two", f"{out}_four")
+
+
+def chosen(packed: str, minima: Column) -> Column:
+    """The fingerprint: the minima of the windows, of fewer grams than a window has the least."""
+    n = F.size(packed)
+    single = F.when(n == 0, F.array().cast(_NONE)).otherwise(F.array(F.array_min(packed)))
+    return F.when(n < WINDOW, single).otherwise(F.array_distinct(minima))
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, grams: Grams = word_grams) -> DataFrame:
+    """Adds ``out``, an array of longs: the chosen hashes with their positions, in the order of the text."""
+    packed, minima = f"__{out}_packed", f"__{out}_minima"
+    df = with_minima(grams(df, text, packed), packed, minima)
+    return df.withColumn(out, chosen(packed, F.col(minima))).drop(packed, minima)
+
+
+def with_both(df: DataFrame, text: str, edited: str, kept: Column) -> DataFrame:
+    """Adds ``fp`` and ``edited_fp`` by grams of characters. At most ``kept`` first characters of both texts are equal."""
+    df = df.withColumns({"__w": wide(F.col(text)), "__e": wide(F.col(edited))})
+    units = (F.length("__w") / 2).cast("int")
+    # white space that was taken out may have stood in front
+    likely = F.greatest(kept - F.greatest(F.length(F.coalesce(text, F.lit(""))) - units, F.lit(0)) - 1, F.lit(0))
+    df = df.withColumn("__likely", F.least(likely, units))
+    same = F.substring("__w", F.lit(1), 2 * F.col("__likely")) == F.substring("__e", F.lit(1), 2 * F.col("__likely"))
+    # windows of both that lie in the common part
+    df = df.withColumn("__from", F.when(same, F.greatest(F.col("__likely") - (CHARACTERS + WINDOW - 2), F.lit(0))).otherwise(0))
+    df = df.withColumns({"__packed": grams_from(F.col("__w"), F.lit(0)), "__rest": grams_from(F.col("__e"), F.col("__from"))}).drop("__w", "__e", "__likely")
+    df = with_minima(with_minima(df, "__packed", "__minima"), "__rest", "__later")
+    both = F.concat(F.slice("__minima", F.lit(1), F.col("__from")), "__later")
+    # with a common window there are at least WINDOW grams
+    later = F.when(F.col("__from") > 0, F.array_distinct(both)).otherwise(chosen("__rest", F.col("__later")))
+    return df.withColumns({"fp": chosen("__packed", F.col("__minima")), "edited_fp": later}).drop("__packed", "__rest", "__minima", "__later", "__from")
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -84,7 +127,7 @@ def hashes(fingerprint: Column) -> Column:
 
 def as_text(fingerprint: Column) -> Column:
     """``HASH:position`` of every chosen gram, joined by spaces."""
-    return F.array_join(F.transform(fingerprint, lambda v: F.concat(F.hex(F.shiftright(v, POSITION_BITS)), F.lit(":"), (F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST))).cast("string"))), " ")
+    return F.array_join(F.transform(fingerprint, lambda v: F.concat(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), F.lit(":"), F.bitwise_not(v).bitwiseAND(F.lit(_LAST)).cast("string"))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -98,52 +141,58 @@ def likeness(a: str, b: str) -> Column:
 RANGE_ROWS, RANGE_SLACK, MOST_RANGES = 2048, 8, 500_000
 
 
-def _ranges(df: DataFrame, order: str) -> tuple[Column, DataFrame]:
-    """A column that numbers ranges of ``order``, and a row per range: its number and largest id."""
-    ids = df.select(F.col(order).cast("long").alias("i"))
-    low, high, n = ids.agg(F.min("i"), F.max("i"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low + 1) * max(RANGE_ROWS, n // MOST_RANGES) // n)
+def _ranges(df: DataFrame, order: str, text: str) -> tuple[Column, Column, DataFrame]:
+    """Two columns that number ranges of ``order`` and their parts, and a row per part: its numbers and largest id. Only rows without an id have parts."""
+    ids = df.select(F.col(order).cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    low, high, n, without = ids.agg(F.min("i"), F.max("i"), F.count("*"), F.count_if(F.col("i").isNull())).first()
+    share = max(RANGE_ROWS, n // MOST_RANGES)
+    width = 1 if low is None else max(1, (high - low + 1) * share // n)
+    bits = min(62, (without // share).bit_length())
+    part = F.when(F.col(order).isNull(), F.shiftrightunsigned(F.xxhash64(text).bitwiseXOR(F.lit(-(1 << 63))), 63 - bits)).otherwise(0).cast("long")
     while True:
         of = F.coalesce(F.expr(f"`{order}` div {width}L"), F.lit(-(1 << 63)))
-        heads = ids.withColumnRenamed("i", order).groupBy(of.alias("__range")).agg(F.max(order).alias("__head"), F.count("*").alias("n"))
+        heads = df.groupBy(of.alias("__range"), part.alias("__part")).agg(F.max(order).alias("__head"), F.count("*").alias("n"))
         most = heads.filter(F.col("__head").isNotNull()).agg(F.max("n")).first()[0] or 0
-        if width == 1 or most <= RANGE_SLACK * max(RANGE_ROWS, n // MOST_RANGES):
-            return of, heads
+        if width == 1 or most <= RANGE_SLACK * share:
+            return of, part, heads
         width = max(1, width // 16)
 
 
-def with_next(df: DataFrame, order: str, text: str, grams: Grams = word_grams) -> DataFrame:
-    """Rows of ``order`` and ``text`` with ``fp``, its hashes ``h``, ``next_text`` and ``h_next``: those of the next row by descending ``order``, the first's after the last."""
+def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, W]:
+    """Rows of ``order`` and ``text`` with ``next_text``, that of the next row by descending ``order``, the first's after the last; and the window in which they lie. The last row of each part of it, ``__guest`` = 1, is the first of another."""
     df = df.select(order, text)
-    of, heads = _ranges(df, order)
+    of, part, heads = _ranges(df, order, text)
     # at most MOST_RANGES times a few rows: one sort of them is bounded
-    line = W.orderBy(F.col("__range").desc())
-    before = heads.select("__range", "__head", F.coalesce(F.lag("__range").over(line), F.min("__range").over(W.partitionBy())).alias("__to"), F.lag("__range").over(line).isNull().alias("__wraps"))
+    line = W.orderBy(F.col("__range").desc(), "__part")
+    end = F.first(F.struct("__range", "__part")).over(W.orderBy("__range", F.col("__part").desc()))
+    before = heads.select("__range", "__part", "__head", F.coalesce(F.lag(F.struct("__range", "__part")).over(line), end).alias("__to"))
     few = heads.count() <= 4 * MOST_RANGES
     before = F.broadcast(before) if few else before
-    own = df.select(of.alias("__range"), F.lit(0).alias("__guest"), order, text)
-    keyed = df.withColumn("__range", of).join(before, "__range").filter(F.col(order).eqNullSafe(F.col("__head")))
-    guests = keyed.groupBy("__to", order).agg(F.min(text).alias(text), F.max(F.when(F.col(text).isNull(), 1).otherwise(0)).alias("__null"))
-    guests = guests.select(F.col("__to").alias("__range"), F.lit(1).alias("__guest"), order, F.when(F.col("__null") == 0, F.col(text)).alias(text))
-    rows = own.unionByName(guests).repartition("__range")
-    rows = with_fingerprint(rows, text, "fp", grams).withColumn("h", hashes(F.col("fp")))
-    w = W.partitionBy("__range").orderBy("__guest", F.col(order).desc_nulls_last(), F.col(text).asc_nulls_first())
-    rows = rows.withColumn("__next", F.lead(F.struct(F.col(text).alias("t"), F.col("h").alias("h"))).over(w))
-    return rows.filter("__guest = 0").select(order, text, "fp", "h", F.col("__next.t").alias("next_text"), F.col("__next.h").alias("h_next"))
+    own = df.select(of.alias("__range"), part.alias("__part"), F.lit(0).alias("__guest"), order, text)
+    keyed = own.join(before, ["__range", "__part"]).filter(F.col(order).eqNullSafe(F.col("__head")))
+    guests = keyed.groupBy("__to", order).agg(F.min(F.struct(F.xxhash64(text), text)).alias("__first"))
+    guests = guests.select(F.col("__to.__range").alias("__range"), F.col("__to.__part").alias("__part"), F.lit(1).alias("__guest"), order, F.col(f"__first.{text}").alias(text))
+    rows = own.unionByName(guests).repartition("__range", "__part").withColumn("__tie", F.xxhash64(text))
+    w = W.partitionBy("__range", "__part").orderBy("__guest", F.col(order).desc_nulls_last(), "__tie")
+    return rows.withColumn("next_text", F.lead(text).over(w)), w
 
 
 def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams: Grams = word_grams) -> DataFrame:
     """Fingerprint of every text, of the text edited by its neighbour's beginning, and the likenesses."""
-    rows = with_next(df, doc, text, grams)
+    rows, w = with_next(df, doc, text)
     whole, after = F.coalesce(F.col(text), F.lit("")), F.coalesce("next_text", F.lit(""))
     half = F.length(whole) - F.floor(F.length(whole) / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(whole, F.lit(1), half), F.substring(after, F.lit(1), F.length(whole) - half)))
-    rows = with_fingerprint(rows, "edited", "edited_fp", grams)
-    rows = rows.withColumns({"h_edited": hashes(F.col("edited_fp")), "h_next": F.coalesce("h_next", F.array().cast("array<bigint>"))})
-    return rows.select(
-        doc, F.length(whole).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness("h", "h_edited").alias("near_edited"), likeness("h", "h_next").alias("near_next"),
-    )
+    if grams is character_grams:
+        rows = with_both(rows, text, "edited", half)
+    else:
+        rows = with_fingerprint(with_fingerprint(rows, text, "fp", grams), "edited", "edited_fp", grams)
+    own = ["__range", "__part", "__guest", "__tie", doc, "fp", "edited_fp", F.length(whole).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
+    rows = rows.select(*own).withColumns({"h": hashes(F.col("fp")), "h_edited": hashes(F.col("edited_fp"))})
+    rows = rows.withColumn("near_edited", likeness("h", "h_edited")).drop("h_edited")
+    rows = rows.withColumn("h_next", F.lead("h").over(w)).filter("__guest = 0")
+    rows = rows.withColumn("h_next", F.coalesce("h_next", F.array().cast(_NONE)))
+    return rows.select(doc, "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", likeness("h", "h_next").alias("near_next"))
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ def chained(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(text):
     words = [w for w in (text or "").lower().replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
     if not words:
@@ -29,7 +33,7 @@ def brute(text):
         two = [chained(a, b) for a, b in zip(h, h[1:], strict=False)]
         four = [chained(a, b) for a, b in zip(two, two[2:], strict=False)]
         grams = [chained(a, b) for a, b in zip(four, h[4:], strict=False)]
-    short = [(g & ((1 << 37) - 1), i) for i, g in enumerate(grams)]
+    short = [(g >> 26, i) for i, g in enumerate(grams)]
     out = []
     for i in range(max(1, len(short) - 7)):
         best = min(short[i : i + 8], key=lambda x: (x[0], -x[1]))
@@ -39,7 +43,8 @@ def brute(text):
 
 
 def check(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    tie = lambda t: 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1] is not None, r[1] or ""))
     expected = {}
     for k, (d, t) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -47,7 +52,7 @@ def check(rows):
         edited = t[: len(t) - half] + nxt[:half]
         a, b, c = ({x for x, _ in brute(s)} for s in (t, edited, nxt))
         like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
-        write = lambda s: " ".join(f"{x:X}:{i}" for x, i in brute(s))
+        write = lambda s: " ".join(f"{x & ((1 << 38) - 1):X}:{i}" for x, i in brute(s))
         expected.setdefault(d, set()).add((len(t), hashlib.sha256(edited.encode()).hexdigest(), write(t), write(edited), round(like(a, b), 9), round(like(a, c), 9)))
     return expected
 
@@ -78,6 +83,14 @@ def test_odd_rows(odd, nothing, spark):
     assert collected(winnow.fingerprints(single)) == check([(1, "abcd")])
 
 
+def test_rows_without_id_are_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 4)
+    rows = [(None, f"text number {i} of some words" * (i % 3)) for i in range(90)] + [(i * 5, f"other text {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert winnow._ranges(docs, "doc_id", "text")[2].filter("__head is null").count() > 8
+    assert collected(winnow.fingerprints(docs)) == check(rows)
+
+
 def test_shared_passage_is_found():
     words = [f"w{i}" for i in range(40)]
     a, b = brute(" ".join(["x"] * 9 + words[:12] + ["y"] * 9)), brute(" ".join(["u"] * 7 + words[:12] + ["v"] * 5))
@@ -86,7 +99,9 @@ def test_shared_passage_is_found():
 
 def brute_characters(text):
     text = re.sub(r"[ \t-\r]+", " ", (text or "").lower().strip(" \t\n\x0b\x0c\r"))
-    short = [(xxhash.xxh64_intdigest(text[i : i + 8].encode("utf-32-be"), 42) & ((1 << 37) - 1), i) for i in range(max(1, len(text) - 7))] if text else []
+    units = text.encode("utf-16-be")
+    n = len(units) // 2
+    short = [(signed(xxhash.xxh64_intdigest(units[2 * i : 2 * i + 16], 42)) >> 26, i) for i in range(max(1, n - 7))] if text else []
     out = []
     for i in range(max(1, len(short) - 7) if short else 0):
         best = min(short[i : i + 8], key=lambda x: (x[0], -x[1]))
@@ -95,11 +110,15 @@ def brute_characters(text):
     return out
 
 
+#: Texts whose lower-cased first halves differ from the beginning of the whole, or that lose or gain characters.
+ODD = ["ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ", "İ" * 40 + "I", " \n " * 30 + "the words stand far behind the white space here", "a  b \n c  " * 12, "𝄞" * 33, "x" * 29, "x" * 30, "x" * 31, "0123456789abcdef", "0123456789abcde"]
+
+
 def test_character_grams_equal_brute_force(spark, odd, monkeypatch):
     monkeypatch.setitem(globals(), "brute", brute_characters)
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000").select("doc_id", "text")
     docs = docs.unionByName(odd.filter("doc_id is null or doc_id <> 6").select((-F.col("doc_id")).alias("doc_id"), "text"))
-    docs = docs.unionByName(spark.createDataFrame([(9_000_001, "汉字" * 3 + "中文文本没有空格𝄞也要找到共同的段落"), (9_000_002, "a"), (9_000_003, "ab\n\n\tcd  efgh")], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(9_000_001, "汉字" * 3 + "中文文本没有空格𝄞也要找到共同的段落"), (9_000_002, "a"), (9_000_003, "ab\n\n\tcd  efgh"), *[(9_000_010 + i, x) for i, x in enumerate(ODD)]], docs.schema))
     assert collected(winnow.fingerprints(docs, grams=winnow.character_grams)) == check([(r.doc_id, r.text) for r in docs.collect()])
 
 
