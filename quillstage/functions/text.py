@@ -108,25 +108,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda t: t != "")
 
 
-def five_word_hashes(words: Column) -> Column:
-    """A 64-bit hash of every five words in a row of an array, in time proportional to its length."""
-
-    def rolled(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-
-    def part(a: Column, start: int, n: Column) -> Column:
-        return F.slice(a, F.lit(start), F.greatest(n, F.lit(0)))
-
-    def fives(h: Column, four: Column) -> Column:
-        return rolled(part(four, 1, F.size(h) - 4), part(h, 5, F.size(h) - 4))
-
-    def fours(h: Column, two: Column) -> Column:
-        return rolled(part(two, 1, F.size(h) - 3), part(two, 3, F.size(h) - 3))
-
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(rolled(part(h, 1, F.size(h) - 1), part(h, 2, F.size(h) - 1)), lambda two: let(fours(h, two), lambda four: fives(h, four))))
-
-
 def word_places(text: Column) -> Column:
     """Places, from 0, of the tokens that have a letter or digit."""
     return F.array_compact(F.transform(tokens(text), lambda t, i: F.when(t.rlike(LETTER_OR_DIGIT), i)))
@@ -170,6 +151,20 @@ def speakers_label(people: Column) -> Column:
     return F.when(F.array_contains(people, "*"), "TOUS").otherwise(F.array_join(people, " / "))
 
 
+def role_key(people: Column) -> Column:
+    """A set of roles as one key."""
+    return F.array_join(F.array_sort(people), "+")
+
+
+def listed(people: Column) -> Column:
+    """Names between bars, |A|B|, so that a name with its bars is found as a whole."""
+    return F.when(F.size(people) > 0, F.concat(F.lit("|"), F.array_join(people, "|"), F.lit("|"))).otherwise("")
+
+
+def unlisted(text: Column) -> Column:
+    return F.filter(F.split(text, r"\|", -1), lambda n: n != "")
+
+
 def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(title)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -82,28 +82,43 @@ def front_split(lines: DataFrame, doc: str, line: str = "line") -> DataFrame:
     return lines.withColumn("front", F.col("position") < F.coalesce(first, F.lit(0)))
 
 
-def cut_runs(runs: DataFrame, spans: DataFrame, doc: str) -> DataFrame:
-    """Runs split at the borders of spans: (doc, start, text, category), category null where kept."""
+def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Runs split at the borders of spans: (doc, start, text, category) and what is to be carried, category null where kept."""
     r = runs.withColumn("stop", F.col("start") + F.length("text"))
     s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), "category")
     held = r.join(s, (r[doc] == F.col("__d")) & (F.col("__a") < F.col("stop")) & (F.col("__b") > F.col("start")), "left")
-    keys = [doc, "start", "stop", "text"]
+    keys = [doc, "start", "stop", "text", *carry]
     per = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("__a").isNotNull(), F.struct(F.greatest("__a", "start").alias("a"), F.least("__b", "stop").alias("b"), F.col("category").alias("c"))))).alias("cuts"))
     ends = F.array_sort(F.array_distinct(F.concat(F.array("start", "stop"), F.transform("cuts", lambda c: c["a"]), F.transform("cuts", lambda c: c["b"]))))
     bits = per.withColumn("e", ends).select("*", F.posexplode("e").alias("i", "at")).withColumn("to", F.get("e", F.col("i") + 1)).filter("`to` is not null")
     category = F.get(F.transform(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (c["b"] >= F.col("to"))), lambda c: c["c"]), F.lit(0))
-    return bits.select(doc, F.col("at").alias("start"), F.substr("text", F.col("at") - F.col("start") + 1, F.col("to") - F.col("at")).alias("text"), category.alias("category"))
+    return bits.select(doc, F.col("at").alias("start"), F.substr("text", F.col("at") - F.col("start") + 1, F.col("to") - F.col("at")).alias("text"), category.alias("category"), *carry)
+
+
+def words_left(paragraphs: DataFrame, spans: DataFrame, doc: str, is_scene: Column) -> DataFrame:
+    """(doc, scene, role, words): words outside the spans, by scene and speaker.
+
+    ``paragraphs`` has (doc, start, text, bold, italic). Bold ones are names, or titles where ``is_scene`` says so; what
+    follows a name is its speech. Every speaker of a name is credited, everyone at once nobody; italic paragraphs count not.
+    """
+    upto = W.partitionBy(doc).orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    scene = F.last(F.when(F.col("bold") & is_scene, F.col("text")), ignorenulls=True).over(upto)
+    name = F.last(F.when(F.col("bold") & ~is_scene, F.col("text")), ignorenulls=True).over(upto)
+    said = paragraphs.withColumns({"scene": scene, "name": name}).filter(~F.col("bold") & ~F.col("italic"))
+    pieces = cut_runs(said.select(doc, "start", "text", "scene", "name"), spans, doc, ("scene", "name")).filter("category is null")
+    each = pieces.select(doc, "scene", F.explode(X.speakers(F.col("name"))).alias("role"), F.regexp_count("text", F.lit(r"\S+")).alias("w"))
+    return each.filter("role <> '*'").groupBy(doc, "scene", "role").agg(F.sum("w").cast("long").alias("words"))
 
 
 def with_tracked_cuts(pieces: DataFrame, doc: str, authors: dict[int, str], date: str) -> DataFrame:
     """(doc, xml): paragraphs' runs as markup in which cut pieces are deletions of their category's author."""
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+        esc = lambda t: "".join(c for c in t if c in "\t\n" or c >= " ").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
         out = []
         for n, (text, category) in enumerate(frame.sort_values("start")[["text", "category"]].itertuples(index=False)):
             cut = category is not None and category == category
-            out.append(f'<w:del w:id="{n}" w:author="{authors[int(category)]}" w:date="{date}"><w:r><w:delText xml:space="preserve">{esc(text)}</w:delText></w:r></w:del>' if cut else f'<w:r><w:t xml:space="preserve">{esc(text)}</w:t></w:r>')
+            out.append(f'<w:del w:id="{n}" w:author="{esc(authors[int(category)])}" w:date="{date}"><w:r><w:delText xml:space="preserve">{esc(text)}</w:delText></w:r></w:del>' if cut else f'<w:r><w:t xml:space="preserve">{esc(text)}</w:t></w:r>')
         return pd.DataFrame({doc: [frame[doc].iloc[0]], "xml": ["".join(out)]})
 
     return pieces.groupBy(doc).applyInPandas(build, f"`{doc}` {pieces.schema[doc].dataType.simpleString()}, xml string")

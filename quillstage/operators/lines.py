@@ -24,6 +24,13 @@ def pages_of(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(doc, F.posexplode(kept).alias("page_no", "page")).withColumn("page_no", F.col("page_no") + 1)
 
 
+def first_pages(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """The first n pages of each document, all without a limit."""
+    if n is not None and n < 1:
+        raise ValueError("at least one page is read")
+    return pages if n is None else pages.filter(F.col("page_no") <= n)
+
+
 def blocks_of(pages: DataFrame, doc: str, size: int = PAGES_PER_BLOCK, separator: str = "\n\n<<<PAGE_BREAK>>>\n\n") -> DataFrame:
     """Consecutive pages by ``size``: block, first_page, last_page, content."""
     if size < 1:

@@ -54,6 +54,16 @@ def says_failed(text: Column) -> Column:
     return (bare != "") & (F.length(bare) <= 300) & bare.rlike(FAILED_SAID)
 
 
+def is_sound(report: Column) -> Column:
+    """Whether a report says that nothing was found."""
+    return F.contains(F.upper(report), F.lit("[RAS]"))
+
+
+def counted_findings(report: Column) -> Column:
+    """Lines of a report that begin with a category."""
+    return F.regexp_count(report, F.lit(r"(?m)^\[[A-Z ]+\]"))
+
+
 def forbidden(text: Column) -> list[Column]:
     return [F.when(text.rlike(p), f"forbidden: {name}") for name, p in FORBIDDEN.items()]
 

@@ -94,9 +94,16 @@ def roles_changed(old: Column, new: Column, active: Column) -> Column:
 
 
 def outsiders(active: Column, mine: Column) -> Column:
+    """Active roles that are none of mine, in their order; such a change is refused."""
     return F.array_except(active, mine)
 
 
+def restored_roles(stored: DataFrame, cast: DataFrame, key: str, role: str) -> DataFrame:
+    """(key, roles): the stored roles that the cast still has, in order of names; null where none is left."""
+    left = stored.join(cast.select(key, role).distinct(), [key, role], "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(role)).alias("roles"))
+    return stored.select(key).distinct().join(left, key, "left")
+
+
 def session_state(events: DataFrame, key: str, order: str) -> DataFrame:
     """State of rehearsal sessions folded from events (action, argument): mode, revealed ids, number of draws, place."""
     listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "action", "argument"))).alias("e"))

@@ -50,9 +50,14 @@ def newest(history: DataFrame, key: list[str], at: str, tie: str, kept: int = KE
     return history.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kept)
 
 
-def progress(ranked: DataFrame, key: list[str], at: str, score: str, now: Column) -> DataFrame:
+def newest_corrected(ranked: DataFrame) -> DataFrame:
+    """Adds corrected: the newest entry of each key is taken as known, whatever its measured score, which stays."""
+    return ranked.withColumn("corrected", F.col("rank") == 1)
+
+
+def progress(ranked: DataFrame, key: list[str], at: str, score: str, now: Column, corrected: str | None = None) -> DataFrame:
     """Per key: attempts, current streak, successes, last score and time, due time and status at ``now``."""
-    ok = success(F.col(score))
+    ok = success(F.col(score), None if corrected is None else F.col(corrected))
     per = ranked.groupBy(*key).agg(F.count("*").alias("attempts"), F.coalesce(F.min(F.when(~ok, F.col("rank"))) - 1, F.count("*")).cast("long").alias("streak"), F.count_if(ok).alias("successes"), F.max(at).alias("last_at"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("last_score"))
     step = F.get(F.array(*map(F.lit, INTERVALS)), F.least(F.col("streak") - MASTERY, F.lit(len(INTERVALS) - 1)).cast("int"))
     per = per.withColumn("due_at", F.when(F.col("streak") >= MASTERY, F.col("last_at") + step.cast("long") * F.lit(DAY)))

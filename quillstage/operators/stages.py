@@ -42,12 +42,16 @@ def counters(sidecars: DataFrame, book: str) -> DataFrame:
     return per.withColumn("complete", (F.col("doubtful") == 0) & (F.col("failed") == 0))
 
 
-def assembled(spine: DataFrame, parts: DataFrame, book: str, number: str, text: str, missing: str) -> DataFrame:
-    """Books from their parts in order; ``missing`` (with %d) stands for a part that is absent or blank."""
+def assembled(spine: DataFrame, parts: DataFrame, book: str, number: str, text: str, missing: str, size: int = 200) -> DataFrame:
+    """(book, piece, content): books from their parts in order; ``missing`` (with %d) stands for a part that is absent or blank.
+
+    A piece holds the parts of ``size`` consecutive numbers, so that no book is one row; pieces joined in order are the book.
+    """
     rows = spine.join(parts.select(book, number, text), [book, number], "left")
     filled = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.trim(text)).otherwise(F.format_string(missing, F.col(number)))
     rows = rows.withColumn("__t", filled)
-    return rows.groupBy(book).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, "__t"))), lambda s: s["__t"]), "\n\n").alias("content"))
+    piece = F.floor(F.col(number) / size).cast("long").alias("piece")
+    return rows.groupBy(book, piece).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, "__t"))), lambda s: s["__t"]), "\n\n").alias("content"))
 
 
 def newest_calls(calls: DataFrame, at: str, tie: str, most: int = MOST_CALLS) -> DataFrame:
@@ -73,30 +77,32 @@ def retriable(code: int | None) -> bool:
     return code not in FINAL_CODES
 
 
-def called(units: DataFrame, key: list[str], prompt: str, client: Callable[[str], str], tries: int = 4) -> DataFrame:
+def called(units: DataFrame, key: list[str], prompt: str, client: Callable[[str], str], tries: int = 4, blanks: int = 1) -> DataFrame:
     """Answers of a model to the prompts of units: key, answer, tries, error. ``client`` is injected and may raise.
 
-    An error with an attribute ``code`` that no second try mends ends the tries at once.
+    An error with an attribute ``code`` that no second try mends ends the tries at once, and so do ``blanks`` blank answers.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             answers = []
             for text in frame[prompt].tolist():
-                answer = error = None
+                answer, error, blank = None, None, 0
                 for n in range(1, tries + 1):
                     try:
                         answer, error = client(text), None
-                        break
+                        blank += not answer.strip()
+                        if answer.strip() or blank >= blanks:
+                            break
                     except Exception as fault:
-                        error = f"{type(fault).__name__}: {fault}"
+                        answer, error = None, f"{type(fault).__name__}: {fault}"
                         if not retriable(getattr(fault, "code", None)):
                             break
                 answers.append((answer, n, error))
             yield pd.concat([frame[key].reset_index(drop=True), pd.DataFrame(answers, columns=["answer", "tries", "error"])], axis=1)
 
     schema = ", ".join(f"`{k}` {units.schema[k].dataType.simpleString()}" for k in key) + ", answer string, tries int, error string"
-    return units.select(*key, prompt).mapInPandas(run, schema)
+    return units.select(*dict.fromkeys([*key, prompt])).mapInPandas(run, schema)
 
 
 def junctions_folded(blocks: DataFrame, book: str, number: str, text: str, client: Callable[[str, str], tuple[str, str]], lines: int = 50) -> DataFrame:
@@ -118,6 +124,24 @@ def junctions_folded(blocks: DataFrame, book: str, number: str, text: str, clien
     return blocks.select(book, number, text).groupBy(book).applyInPandas(fold, f"`{book}` {kinds[book]}, `{number}` {kinds[number]}, `{text}` string")
 
 
+def first_missing(made: DataFrame, book: str, stage: str, stages: list[str]) -> DataFrame:
+    """(book, ready, missing): how many of the stages in their order a book has behind it, and the first that it lacks, null with all."""
+    has = made.groupBy(book).agg(F.collect_set(stage).alias("__has"))
+    lacks = F.filter(F.array(*map(F.lit, stages)), lambda s: ~F.array_contains("__has", s))
+    ready = F.coalesce(F.array_position(F.array(*map(F.lit, stages)), F.get(lacks, F.lit(0))) - 1, F.lit(len(stages)))
+    return has.select(book, ready.cast("long").alias("ready"), F.get(lacks, F.lit(0)).alias("missing"))
+
+
+def prefixed(store: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """The entries of a key-value table whose keys begin so."""
+    return store.filter(F.col(key).startswith(prefix))
+
+
+def imported(store: DataFrame, incoming: DataFrame, key: str = "key") -> DataFrame:
+    """A key-value table with what it lacked; an entry that it has is not replaced."""
+    return store.unionByName(incoming.join(store.select(key), key, "left_anti"))
+
+
 def run_stages(stages: Iterable[tuple[str, Callable[[], bool]]], stop_at_failure: bool = True) -> dict[str, bool]:
     """Results of stages by name; stops at the first that fails."""
     results: dict[str, bool] = {}

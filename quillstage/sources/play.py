@@ -16,9 +16,9 @@ DOCUMENT = (
 )
 
 
-def read_plays(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
-    """Documents under ``path``; with ``strict`` any other schema version fails the read."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+def read_plays(spark: SparkSession, path: str | list[str], strict: bool = True, lines: bool = False) -> DataFrame:
+    """Documents under ``path``, one a file, or with ``lines`` one a line, as ``write_plays`` leaves them; with ``strict`` any other schema version fails the read."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
     if not strict:
         return docs
     wrong = F.concat(F.lit("unexpected schema "), F.coalesce("schema", F.lit("null")), F.lit(" in "), F.col("file"))
@@ -77,5 +77,5 @@ def cast_map(spark: SparkSession, text: str) -> DataFrame:
 
 
 def write_plays(docs: DataFrame, path: str, stamp: str | None = None) -> None:
-    """Documents as JSON lines, stamped with the time of writing."""
+    """Documents as JSON, one a line, stamped with the time of writing."""
     (docs.withColumn("genere_le", F.lit(stamp)) if stamp else docs).write.mode("overwrite").json(path)

@@ -78,6 +78,21 @@ def paragraphs_of(raw: bytes) -> list[tuple[int, str | None, list[tuple[str, boo
 RUNS = "file string, paragraph int, style string, run int, start int, text string, bold boolean, italic boolean, deleted boolean, inserted boolean"
 
 
+def packaged(marked: DataFrame, doc: str, xml: str = "xml") -> DataFrame:
+    """(doc, content): a Word document of one paragraph for each row of runs in markup."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({doc: frame[doc], "content": [word_package(f"<w:p>{x}</w:p>") for x in frame[xml]]})
+
+    return marked.select(doc, xml).mapInPandas(run, f"`{doc}` {marked.schema[doc].dataType.simpleString()}, content binary")
+
+
+def prompts(files: DataFrame) -> DataFrame:
+    """(name, prompt): templates by the name in their files, prompt_<name>.md."""
+    return files.select(F.regexp_extract("file", r"prompt_([^/]+)\.md$", 1).alias("name"), F.col("text").alias("prompt")).filter("name <> ''")
+
+
 def read_word(spark: SparkSession, path: str) -> DataFrame:
     """Runs of Word documents with their start in the flat text, whose paragraphs are joined by one character."""
 
@@ -113,22 +128,27 @@ def reviewed(runs: DataFrame) -> DataFrame:
 
 def word_bytes(lines: list[tuple[str, str]], styles: dict[str, tuple[str, bool, bool]]) -> bytes:
     """A Word document of (type, text) lines; ``styles`` must know every type: (style, bold, italic)."""
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    esc = lambda t: "".join(c for c in t if c in "\t\n" or c >= " ").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     body = []
     for kind, text in lines:
         style, bold, italic = styles[kind]
         runs = []
-        for part in re.findall(r"\*[^*]+\*|[^*]+", text) or [""]:
-            aside = part.startswith("*") and part.endswith("*") and len(part) > 2
+        for part in re.findall(r"\*[^*]+\*|[^*]+|\*+", text) or [""]:
+            aside = part.startswith("*") and part.strip("*") != ""
             props = "<w:b/>" * bold + "<w:i/>" * (italic or aside)
             runs.append(f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{esc(part.strip("*") if aside else part)}</w:t></w:r>')
         body.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{"".join(runs)}</w:p>')
+    return word_package("".join(body))
+
+
+def word_package(body: str) -> bytes:
+    """A Word document of this markup of paragraphs."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
         z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
-        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{w}"><w:body>{"".join(body)}</w:body></w:document>')
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
     return out.getvalue()
 
 

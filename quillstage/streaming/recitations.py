@@ -37,5 +37,5 @@ def progress_stream(events: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Events and their mean by window and type; what is later than ``late`` is left out of closed windows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean"))
+    """Events and their mean, summed as decimals, by window and type; what is later than ``late`` is left out of closed windows."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.round(F.avg(F.col("value").cast("decimal(18,6)")), 6).alias("mean"))

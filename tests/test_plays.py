@@ -89,9 +89,10 @@ def test_elements(typed):
 
 def test_document_round_trip(spark, typed, tmp_path):
     docs = dialogue.document(dialogue.elements(typed[3], "piece"), "piece")
-    play.write_plays(docs, str(tmp_path / "out"), "2026-01-01T00:00:00")
-    again = play.read_plays(spark, str(tmp_path / "out"))
-    assert again.count() == 1
+    play.write_plays(docs.unionByName(docs.withColumn("piece", F.lit("q"))).coalesce(1), str(tmp_path / "out"), "2026-01-01T00:00:00")
+    both = play.read_plays(spark, str(tmp_path / "out"), lines=True)
+    assert sorted(r.piece for r in both.collect()) == ["p", "q"]
+    again = both.filter("piece = 'p'")
     assert play.structure_counts(again).first().units == 3
     assert play.manifest(again).first().unites == 3
     assert quality.first_violation(again).count() == 0
@@ -107,6 +108,8 @@ def test_numbered_titles(spark):
 
 
 def test_version_gate(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"schema": "repetition/2", "piece": "x"}, indent=2))
+    assert [r.piece for r in play.read_plays(spark, str(tmp_path)).collect()] == ["x"]
     (tmp_path / "a.json").write_text(json.dumps({"schema": "repetition/1", "piece": "x"}))
     with pytest.raises(Exception, match="unexpected schema"):
         play.read_plays(spark, str(tmp_path)).collect()

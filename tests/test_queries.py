@@ -24,12 +24,3 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r.role for r in rows} == {"user", "assistant", "system"}
     assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracle_sql()) <= set(entry.oracle_sql())
-
-
-def test_short_and_glued_passages_are_found(spark, tmp_path):
-    passages = ["two", "one two three", "a b c d e", "a b c d e f", "a b c d e f g h"]
-    texts = ["x (one two three) y", "«a b c d e-f g h»", "pre-a b c d e f g h.", "two", ""]
-    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in QUERIES["passages_found"](spark, str(tmp_path)).collect())
-    assert got == sorted((i, d, t.index(p)) for i, p in enumerate(passages) for d, t in enumerate(texts) if p in t)
