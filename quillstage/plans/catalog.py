@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstage.plans import checks, reading, rehearsing, roles, structures, text
+from quillstage.plans import checks, plays, reading, rehearsing, roles, steps, structures, text
 
-MODULES = (roles, text, rehearsing, structures, checks, reading)
+MODULES = (roles, text, rehearsing, structures, plays, steps, checks, reading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

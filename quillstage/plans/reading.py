@@ -13,14 +13,15 @@ from quillstage.plans import sql as S
 from quillstage.sources import texts
 from quillstage.sources.play import DOCUMENT
 from quillstage.sources.tables import table
+from quillstage.streaming.recitations import windowed
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("turn") % 3 == 1, "scene").otherwise("replique")
-    return table(spark, sf, "conversations").select(F.col("conv_id").alias("piece"), F.col("turn").alias("position"), kind.alias("kind"), F.left("text", F.lit(30)).alias("text"), "role")
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("piece"), F.col("turn").alias("position"), kind.alias("kind"), "text", "role")
 
 
-_FLAT = "f AS (SELECT conv_id AS piece, turn AS position, CASE WHEN turn % 3 = 1 THEN 'scene' ELSE 'replique' END AS kind, left(text, 30) AS text, role FROM conversations)"
+_FLAT = "f AS (SELECT conv_id AS piece, turn AS position, CASE WHEN turn % 3 = 1 THEN 'scene' ELSE 'replique' END AS kind, text, role FROM conversations)"
 
 
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,18 +51,19 @@ HUES = "SELECT source, round(360.0 * (row_number() OVER (ORDER BY source) - 1) /
 
 def slots(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return R.roles_by_slot(docs.filter("lang <> 'de'"), "source", "lang").select("lang", F.array_join("roles", ",").alias("roles"))
+    return R.roles_by_slot(docs, "source", "lang").select("lang", F.array_join("roles", ",").alias("roles"))
 
 
-SLOTS = "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS roles FROM documents WHERE lang <> 'de' GROUP BY lang"
+SLOTS = "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS roles FROM documents GROUP BY lang"
 
 
 def unassigned(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return R.unassigned(docs, docs.filter("doc_id < 12").select("source").distinct(), "source")
+    """Pairs of source and language as characters; those of labelled documents have a slot."""
+    people = table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("name"))
+    return R.unassigned(people, people.join(table(spark, sf, "labels"), "doc_id", "left_semi").select("name").distinct(), "name")
 
 
-UNASSIGNED = "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 12)"
+UNASSIGNED = "WITH p AS (SELECT doc_id, concat_ws('-', source, lang) AS name FROM documents) SELECT DISTINCT name FROM p WHERE name NOT IN (SELECT name FROM p WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 def latest_messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,15 +87,21 @@ SELECT e.user_id, coalesce(arg_max(x, event_id) FILTER (k = 0), 'lecture') AS mo
 
 
 def junction_replies(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.left("text", F.lit(40)), F.substring("text", 41, 40)
+    """Replies that say the halves of whole texts again, some with one side cut short, some not to be read."""
+    n = F.length("text")
+    docs = table(spark, sf, "documents").select("doc_id", F.substr("text", F.lit(1), F.ceil(n / 2).cast("int")).alias("a"), F.substr("text", F.ceil(n / 2).cast("int") + 1).alias("b"))
+    a, b = F.col("a"), F.col("b")
     reply = F.when(F.col("doc_id") % 3 == 0, F.lit("no")).otherwise(F.concat(F.lit(E.LEFT), F.when(F.col("doc_id") % 3 == 1, a).otherwise("x"), F.lit(E.LEFT_END + "\n" + E.RIGHT), F.upper(b), F.lit(E.RIGHT_END)))
-    docs = table(spark, sf, "documents").filter(F.length("text") >= 90).filter("text not like '%<<<%'")
     kept = E.junction_kept(reply, a, b, Q.junction_findings)
-    return docs.select("doc_id", kept.alias("k")).select("doc_id", F.md5("k.left").alias("left_side"), (F.length("k.right") > 0).alias("has_right"))
+    return docs.select("doc_id", kept.alias("k")).select("doc_id", F.md5("k.left").alias("left_side"), F.md5("k.right").alias("right_side"))
 
 
-JUNCTIONS = f"""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 AND length({S.strip("replace(upper(substr(text, 41, 40)), 'ẞ', 'SS')")}) / length({S.strip("substr(text, 41, 40)")}) <= 1.1 THEN {S.strip("left(text, 40)")} ELSE left(text, 40) END) AS left_side, true AS has_right
-FROM documents WHERE length(text) >= 90 AND text NOT LIKE '%<<<%'"""
+_REPLY = S.q(f"(?s){E.LEFT}(.*?){E.LEFT_END}.*?{E.RIGHT}(.*?){E.RIGHT_END}")
+_FAIR = lambda x, y: f"({S.strip(y)} <> '' AND (length({S.strip(x)}) = 0 OR length({S.strip(y)}) / length({S.strip(x)}) BETWEEN 0.9 AND 1.1))"
+JUNCTIONS = f"""WITH h AS (SELECT doc_id, substr(text, 1, CAST(ceil(length(text) / 2) AS BIGINT)) AS a, substr(text, CAST(ceil(length(text) / 2) AS BIGINT) + 1) AS b FROM documents),
+r AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'no' ELSE '{E.LEFT}' || CASE WHEN doc_id % 3 = 1 THEN a ELSE 'x' END || '{E.LEFT_END}' || chr(10) || '{E.RIGHT}' || replace(upper(b), 'ẞ', 'SS') || '{E.RIGHT_END}' END AS r FROM h),
+s AS (SELECT *, regexp_matches(r, {_REPLY}) AS read, {S.strip(f"regexp_extract(r, {_REPLY}, 1)")} AS x, {S.strip(f"regexp_extract(r, {_REPLY}, 2)")} AS y FROM r),
+k AS (SELECT *, read AND {_FAIR("a", "x")} AND {_FAIR("b", "y")} AS k FROM s) SELECT doc_id, md5(CASE WHEN k THEN x ELSE a END) AS left_side, md5(CASE WHEN k THEN y ELSE b END) AS right_side FROM k"""
 
 
 def annotated_roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,11 +142,11 @@ SELECT CAST(conv_id AS VARCHAR) AS piece, arg_min(message, (p, message)) AS mess
 
 def unit_heads(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("conv_id")
-    units = table(spark, sf, "conversations").filter("turn = 0").select((c / 20).cast("int").cast("string").alias("piece"), F.format_string("u%03d", c).alias("unit_id"), F.when(c % 20 >= 3, F.concat(F.lit("ACTE "), (c % 20 / 7).cast("int").cast("string"))).alias("act"), F.when(c % 4 != 0, F.concat(F.lit("Scène "), (c % 20 / 3).cast("int").cast("string"))).alias("scene"), (c % 5 == 0).alias("implicit"))
+    units = table(spark, sf, "conversations").select("conv_id").distinct().select((c / 20).cast("int").cast("string").alias("piece"), F.format_string("u%03d", c).alias("unit_id"), F.when(c % 20 >= 3, F.concat(F.lit("ACTE "), (c % 20 / 7).cast("int").cast("string"))).alias("act"), F.when(c % 4 != 0, F.concat(F.lit("Scène "), (c % 20 / 3).cast("int").cast("string"))).alias("scene"), (c % 5 == 0).alias("implicit"))
     return D.titled(units, "piece").groupBy("piece", "type").agg(F.count("*").alias("titles"))
 
 
-HEADS = """WITH u AS (SELECT conv_id // 20 AS piece, conv_id, CASE WHEN conv_id % 20 >= 3 THEN 'ACTE ' || (conv_id % 20) // 7 END AS act, CASE WHEN conv_id % 4 <> 0 THEN 'Scène ' || (conv_id % 20) // 3 END AS scene, conv_id % 5 = 0 AS implicit FROM conversations WHERE turn = 0),
+HEADS = """WITH u AS (SELECT conv_id // 20 AS piece, conv_id, CASE WHEN conv_id % 20 >= 3 THEN 'ACTE ' || (conv_id % 20) // 7 END AS act, CASE WHEN conv_id % 4 <> 0 THEN 'Scène ' || (conv_id % 20) // 3 END AS scene, conv_id % 5 = 0 AS implicit FROM (SELECT DISTINCT conv_id FROM conversations)),
 l AS (SELECT *, (act IS NOT NULL AND act IS DISTINCT FROM lag(act) OVER w) AS an, lag(scene) OVER w AS ls FROM u WINDOW w AS (PARTITION BY piece ORDER BY conv_id)), n AS (SELECT *, (scene IS NOT NULL AND (an OR scene IS DISTINCT FROM ls)) AS sn FROM l)
 SELECT CAST(piece AS VARCHAR) AS piece, type, count(*) AS titles FROM (SELECT piece, 'titre_acte' AS type FROM n WHERE an UNION ALL SELECT piece, 'titre_scene' FROM n WHERE sn UNION ALL SELECT piece, 'separateur' FROM n WHERE implicit AND NOT an AND NOT sn) GROUP BY ALL"""
 
@@ -170,11 +178,12 @@ SETTINGS = "SELECT event_id, event_id % 5 AS size, CAST(CASE WHEN event_id % 3 =
 
 
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type")
-    return e.agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+    """The windows of the stream over a table at rest."""
+    hours = windowed(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp")), "1 hour")
+    return hours.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", F.col("mean").cast("double").alias("mean"))
 
 
-HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('hour', ts), event_type"
+HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, CAST(round(sum(CAST(value AS DECIMAL(18, 6))) / count(*), 6) AS DOUBLE) AS mean FROM events GROUP BY date_trunc('hour', ts), event_type"
 
 QUERIES = {"scenes": scenes, "kind_runs": kind_runs, "source_hues": source_hues, "slots": slots, "unassigned": unassigned, "latest_messages": latest_messages, "sessions": sessions, "junction_replies": junction_replies, "annotated_roles": annotated_roles, "cut_pieces": cut_pieces, "first_violations": first_violations, "unit_heads": unit_heads, "books_to_read": books_to_read, "findings_report": findings_report, "stored_settings": stored_settings, "hourly_events": hourly_events}
 SQL = {"scenes": SCENES, "kind_runs": RUNS, "source_hues": HUES, "slots": SLOTS, "unassigned": UNASSIGNED, "latest_messages": LATEST, "sessions": SESSIONS, "junction_replies": JUNCTIONS, "annotated_roles": ANNOTATED, "cut_pieces": PIECES, "first_violations": VIOLATIONS, "unit_heads": HEADS, "books_to_read": BOOKS, "findings_report": REPORTS, "stored_settings": SETTINGS, "hourly_events": HOURLY}

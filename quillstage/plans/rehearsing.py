@@ -10,6 +10,7 @@ from quillstage.functions import speech as P
 from quillstage.functions import text as X
 from quillstage.operators import rehearsal as R
 from quillstage.plans import sql as S
+from quillstage.plans.text import FRENCH
 from quillstage.sources.tables import table
 
 #: The clock of the queries, in milliseconds.
@@ -47,8 +48,12 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
 NEIGHBOURS = "SELECT conv_id, turn, lag(conv_id || '-' || turn) OVER w AS previous_id, lead(conv_id || '-' || turn) OVER w AS next_id FROM conversations WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
 
 
+def _history_of(events: DataFrame) -> DataFrame:
+    return events.select("user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at_ms"), F.least(F.lit(100.0), F.col("value")).alias("score"), "event_id")
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at_ms"), F.least(F.lit(100.0), F.col("value")).alias("score"), "event_id")
+    return _history_of(table(spark, sf, "events"))
 
 
 def newest_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,9 +63,12 @@ def newest_scores(spark: SparkSession, sf: str) -> DataFrame:
 NEWEST = f"WITH {_R} SELECT user_id, rank, at_ms, score, rank = 1 AS may_be_corrected FROM r"
 
 
+def _progress_of(history: DataFrame) -> DataFrame:
+    return R.progress(R.newest(history, ["user_id"], "at_ms", "event_id"), ["user_id"], "at_ms", "score", F.lit(NOW))
+
+
 def _progress(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = R.newest(_history(spark, sf), ["user_id"], "at_ms", "event_id")
-    return R.progress(ranked, ["user_id"], "at_ms", "score", F.lit(NOW))
+    return _progress_of(_history(spark, sf))
 
 
 PROGRESS = f"WITH {_P} SELECT user_id, attempts, streak, successes, last_at, last_score, due_at, status FROM g"
@@ -115,26 +123,65 @@ SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 
 
 def merged_progress(spark: SparkSession, sf: str) -> DataFrame:
-    p = _progress(spark, sf).select("user_id", "status", F.col("last_at").alias("checked_at"))
-    local = p.filter("user_id % 3 <> 0")
-    imported = p.filter("user_id % 2 = 0").withColumns({"status": F.lit("a_reviser"), "checked_at": F.col("checked_at") + 1})
+    """Progress by clicks and views merged with that by all other events."""
+    events, looks = table(spark, sf, "events"), F.col("event_type").isin("click", "view")
+    local, imported = (_progress_of(_history_of(events.filter(side))).select("user_id", "status", F.col("last_at").alias("checked_at")) for side in (looks, ~looks))
     return R.merged_progress(local, imported, ["user_id"])
 
 
-MERGED_PROGRESS = f"""WITH {_P}, a AS (SELECT user_id, status, last_at AS c FROM g WHERE user_id % 3 <> 0), b AS (SELECT user_id, 'a_reviser' AS status, last_at + 1 AS c FROM g WHERE user_id % 2 = 0)
+def _side(of: str) -> str:
+    return f"""(WITH {_P.replace("FROM events", f"FROM events WHERE {of}")} SELECT user_id, status, last_at AS c FROM g)"""
+
+
+MERGED_PROGRESS = f"""WITH a AS {_side("event_type IN ('click', 'view')")}, b AS {_side("event_type NOT IN ('click', 'view')")}
 SELECT coalesce(a.user_id, b.user_id) AS user_id, {_ORDER}[greatest(coalesce(list_position({_ORDER}, a.status), 1), coalesce(list_position({_ORDER}, b.status), 1))] AS status, greatest(a.c, b.c) AS checked_at FROM a FULL JOIN b ON a.user_id = b.user_id"""
 
 
+#: Words as a recitation is judged by them, from a text: no accents, case or points, numbers and abbreviations in full.
+_POINTS = "[.,;:!?…«»\"“”()\\[\\]{}—–\\-*]"
+_SHORT = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.SHORT.items()) + " ELSE w END"
+_IN_FULL = f"CASE WHEN regexp_matches(w, '^[0-9]+$') AND try_cast(w AS BIGINT) < 1000 THEN {FRENCH}[try_cast(w AS BIGINT) + 1] ELSE {_SHORT} END"
+
+
+def _normal(x: str) -> str:
+    bare = f"regexp_replace(lower(strip_accents(regexp_replace({x}, '[’‘‛`]', '''', 'g'))), {S.q(_POINTS)}, ' ', 'g')"
+    return f"flatten(list_transform({S.tokens(bare)}, lambda w: string_split({_IN_FULL}, ' ')))"
+
+
 def recitations(spark: SparkSession, sf: str) -> DataFrame:
+    """What is said, recited without the words that begin with w and with another word for those that begin with v."""
     said = table(spark, sf, "conversations")
-    heard = F.array_join(F.filter(F.split("text", " "), lambda w: ~w.startswith("th")), " ")
-    return said.select("conv_id", "turn", P.compare("text", heard).alias("r")).select("conv_id", "turn", "r.score", "r.expected", "r.correct", "r.added", P.band(F.col("r.score")).alias("band"))
+    left = F.filter(X.tokens(F.col("text")), lambda w: ~F.lower(w).startswith("w"))
+    heard = F.array_join(F.transform(left, lambda w: F.when(F.lower(w).startswith("v"), "zzz").otherwise(w)), " ")
+    rows = said.select("conv_id", "turn", P.compare("text", heard).alias("r")).select("conv_id", "turn", "r.*")
+    return rows.select("conv_id", "turn", *(F.col(c).cast("long").alias(c) for c in ("score", "expected", "correct", "added", "judged")), P.band(F.col("score")).alias("band"))
+
+
+RECITATIONS = f"""WITH t AS (SELECT conv_id, turn, unnest({S.tokens("text")}) AS t, generate_subscripts({S.tokens("text")}, 1) AS i FROM conversations),
+n AS (SELECT conv_id, turn, i, len({_normal("t")}) AS n, CASE WHEN starts_with(lower(t), 'w') THEN 0 WHEN starts_with(lower(t), 'v') THEN 1 ELSE 2 END AS k FROM t),
+g AS (SELECT *, sum(CASE WHEN k = 2 THEN n ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM n),
+m AS (SELECT conv_id, turn, sum(n) AS e, sum(n) FILTER (k = 2) AS c, greatest(count(*) FILTER (k = 1) - 1, 0) AS a FROM g GROUP BY conv_id, turn, g),
+s AS (SELECT conv_id, turn, CAST(sum(e) AS BIGINT) AS expected, CAST(coalesce(sum(c), 0) AS BIGINT) AS correct, CAST(sum(a) AS BIGINT) AS added FROM m GROUP BY conv_id, turn),
+p AS (SELECT *, expected + added AS judged, CASE WHEN expected = 0 THEN 0 ELSE CAST(floor(100 * correct / (expected + added) + 0.5) AS BIGINT) END AS score FROM s)
+SELECT conv_id, turn, score, expected, correct, added, judged, CASE WHEN score >= 90 THEN 'haut' WHEN score >= 60 THEN 'moyen' ELSE 'bas' END AS band FROM p"""
 
 
 def hidden_words(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations").withColumn("n", F.size(X.word_places(F.col("text"))))
     key = F.concat(F.lit("r_"), F.col("conv_id").cast("string"), F.lit("|45|0"))
-    return said.select("conv_id", "turn", "n", F.array_join(F.transform(P.holes("n", F.lit(45), key), lambda i: i.cast("string")), ",").alias("holes"))
+    return said.select("conv_id", "turn", F.col("n").cast("long").alias("n"), F.array_join(F.transform(P.holes("n", F.lit(45), key), lambda i: i.cast("string")), ",").alias("holes"))
+
+
+_MUL = lambda x, y: f"CAST(CAST({x} AS HUGEINT) * CAST({y} AS HUGEINT) % 4294967296 AS BIGINT)"
+HIDDEN = f"""WITH RECURSIVE s AS (SELECT conv_id, turn, CAST(len(list_filter({S.tokens("text")}, lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))) AS BIGINT) AS n,
+CAST(list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split('r_' || conv_id || '|45|0', ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS BIGINT) AS seed FROM conversations),
+w AS (SELECT *, CASE WHEN n > 0 THEN greatest(1, CAST(floor(n * 45 / 100 + 0.5) AS BIGINT)) ELSE 0 END AS m FROM s),
+f AS (SELECT conv_id, turn, n, m, CAST(0 AS BIGINT) AS i, range(n) AS p, seed AS st FROM w UNION ALL
+SELECT conv_id, turn, n, m, i + 1, list_transform(p, lambda x, k: CASE WHEN k = i + 1 THEN p[j + 1] WHEN k = j + 1 THEN p[i + 1] ELSE x END), st
+FROM (SELECT *, i + CAST(floor(CAST(xor(y, y >> 14) AS DOUBLE) / CAST(4294967296 AS DOUBLE) * (n - i)) AS BIGINT) AS j
+FROM (SELECT *, xor(x, (x + {_MUL("xor(x, x >> 7)", "(x | 61)")}) % 4294967296) AS y
+FROM (SELECT *, {_MUL("xor(st, st >> 15)", "(st | 1)")} AS x FROM (SELECT conv_id, turn, n, m, i, p, (st + 1831565813) % 4294967296 AS st FROM f WHERE i < m)))))
+SELECT conv_id, turn, n, array_to_string(list_sort(p[1:m]), ',') AS holes FROM f WHERE i = m"""
 
 
 def phonetic_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,5 +189,20 @@ def phonetic_keys(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("conv_id", "turn", F.array_join(P.sounds("text"), " ").alias("sounds"), F.array_join(F.transform(P.normalised("text"), P.sound_column), " ").alias("by_columns"))
 
 
+#: Sounds of words w in steps; what ends in ai, ei or es before no letter is hidden while the others are replaced.
+_STEPS = [
+    "regexp_replace(replace(k, '''', ''), 'eaux?', 'o', 'g')", "replace(replace(replace(k, 'au', 'o'), 'ph', 'f'), 'qu', 'k')", "replace(regexp_replace(k, 'c([ei])', 's\\1', 'g'), 'c', 'k')",
+    *(f"regexp_replace(k, '{x}([^a-z\\x01-\\x03]|$)', chr({i}) || '\\1', 'g')" for i, x in enumerate(("ai", "ei", "es"), 1)), "regexp_replace(k, '(ai|ei|es)', 'e', 'g')",
+    "replace(replace(replace(k, chr(1), 'ai'), chr(2), 'ei'), chr(3), 'es')", "replace(k, 'h', '')", "array_to_string(list_filter(string_split(k, ''), lambda c, i: i = 1 OR c <> string_split(k, '')[i - 1]), '')",
+    "regexp_replace(k, '^(.+?)[stdxzpg]+$', '\\1')", "regexp_replace(k, '^(..+)e$', '\\1')",
+]
+_SOUNDED = "SELECT *, w AS k FROM w"
+for _step in _STEPS:
+    _SOUNDED = f"SELECT * REPLACE ({_step} AS k) FROM ({_SOUNDED})"
+PHONETIC = f"""WITH l AS (SELECT conv_id, turn, {_normal("text")} AS l FROM conversations), w AS (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM l),
+s AS (SELECT conv_id, turn, string_agg(CASE WHEN k = '' THEN w ELSE k END, ' ' ORDER BY i) AS s FROM ({_SOUNDED}) GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(s, '') AS sounds, coalesce(s, '') AS by_columns FROM conversations LEFT JOIN s USING (conv_id, turn)"""
+
+
 QUERIES = {"cues": cues, "neighbours": neighbours, "newest_scores": newest_scores, "progress": _progress, "revision_queue": revision_queue, "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores, "merged_progress": merged_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys}
-SQL = {"cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT, "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS}
+SQL = {"cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT, "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS, "recitations": RECITATIONS, "hidden_words": HIDDEN, "phonetic_keys": PHONETIC}

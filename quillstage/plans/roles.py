@@ -68,14 +68,6 @@ def cut_candidates(spark: SparkSession, sf: str) -> DataFrame:
 CUTS = f"""WITH u AS ({UNIT_WORDS}) SELECT conv_id, words, round(100.0 * words / (SELECT sum(words) FROM u), 6) AS share, roles FROM u ORDER BY words DESC, conv_id LIMIT 15"""
 
 
-def structure_counts(spark: SparkSession, sf: str) -> DataFrame:
-    said = _said(spark, sf)
-    return said.agg(F.countDistinct("conv_id").alias("units"), F.countDistinct(F.when(F.col("role") == "system", F.col("conv_id"))).alias("units_with_system"), F.count_if(F.col("role") == "user").alias("user_speeches"), F.count_if(F.col("role") == "system").alias("directions"), F.countDistinct("role").alias("characters"))
-
-
-COUNTS = "SELECT count(DISTINCT conv_id) AS units, count(DISTINCT CASE WHEN role = 'system' THEN conv_id END) AS units_with_system, count(*) FILTER (role = 'user') AS user_speeches, count(*) FILTER (role = 'system') AS directions, count(DISTINCT role) AS characters FROM conversations"
-
-
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     people = F.when(F.col("turn") % 5 == 0, F.array(F.lit("*"))).when(F.col("turn") % 5 == 1, F.array("role", F.lit("CHOIR"))).otherwise(F.array("role"))
     return D.distribution(_said(spark, sf).select(F.lit("p").alias("piece"), F.lit("replique").alias("type"), people.alias("people"), "text"), "piece").drop("piece")
@@ -96,10 +88,10 @@ l AS (SELECT conv_id, {S.label("raw")} AS name, list_sort(list_distinct(list(raw
 
 def _present(spark: SparkSession, sf: str) -> DataFrame:
     scene = F.concat(F.lit("ACTE "), (F.col("conv_id") / 10).cast("int").cast("string"), F.lit(" Scène "), F.col("conv_id").cast("string"))
-    return _said(spark, sf).filter("role <> 'assistant' or conv_id % 3 = 0").select("conv_id", scene.alias("scene"), F.when((F.col("conv_id") % 2 == 0) & (F.col("role") == "user"), "system").otherwise(F.col("role")).alias("role")).distinct()
+    return _said(spark, sf).select("conv_id", scene.alias("scene"), F.when((F.col("conv_id") % 2 == 0) & (F.col("role") == "user"), "system").otherwise(F.col("role")).alias("role")).distinct()
 
 
-_PRESENT = "p AS (SELECT DISTINCT conv_id, 'ACTE ' || conv_id // 10 || ' Scène ' || conv_id AS scene, CASE WHEN conv_id % 2 = 0 AND role = 'user' THEN 'system' ELSE role END AS role FROM conversations WHERE role <> 'assistant' OR conv_id % 3 = 0)"
+_PRESENT = "p AS (SELECT DISTINCT conv_id, 'ACTE ' || conv_id // 10 || ' Scène ' || conv_id AS scene, CASE WHEN conv_id % 2 = 0 AND role = 'user' THEN 'system' ELSE role END AS role FROM conversations)"
 
 
 def casting_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,5 +119,5 @@ def presence_heat(spark: SparkSession, sf: str) -> DataFrame:
 
 HEAT = f"WITH c AS (SELECT conv_id, role, CAST(sum({_W}) AS BIGINT) AS words FROM conversations GROUP BY ALL) SELECT *, round(words / max(words) OVER (PARTITION BY role), 6) AS heat FROM c"
 
-QUERIES = {"role_weights": _weights, "presence_matrix": presence_matrix, "unit_words": unit_words, "actor_balance": actor_balance, "cut_candidates": cut_candidates, "structure_counts": structure_counts, "distribution": distribution, "spellings": spellings, "casting_conflicts": casting_conflicts, "costume_changes": costume_changes, "presence_heat": presence_heat}
-SQL = {"role_weights": ROLE_WEIGHTS, "presence_matrix": PRESENCE, "unit_words": UNIT_WORDS, "actor_balance": ACTORS, "cut_candidates": CUTS, "structure_counts": COUNTS, "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT}
+QUERIES = {"role_weights": _weights, "presence_matrix": presence_matrix, "unit_words": unit_words, "actor_balance": actor_balance, "cut_candidates": cut_candidates, "distribution": distribution, "spellings": spellings, "casting_conflicts": casting_conflicts, "costume_changes": costume_changes, "presence_heat": presence_heat}
+SQL = {"role_weights": ROLE_WEIGHTS, "presence_matrix": PRESENCE, "unit_words": UNIT_WORDS, "actor_balance": ACTORS, "cut_candidates": CUTS, "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT}

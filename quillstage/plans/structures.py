@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstage.functions import text as X
-from quillstage.operators import dialogue as D
 from quillstage.operators import intervals as I
 from quillstage.operators import lines as L
 from quillstage.operators import structure as T
 from quillstage.plans import sql as S
+from quillstage.plans.plays import edited_plays
 from quillstage.sources.tables import table
 
 _NL = "chr(10)"
@@ -42,17 +42,8 @@ BLOCKS = f"""WITH {_PAGES} SELECT doc_id, (page_no - 1) // 8 + 1 AS block, min(p
 md5(string_agg(page, {_NL} || {_NL} || '<<<PAGE_BREAK>>>' || {_NL} || {_NL} ORDER BY page_no)) AS content FROM p GROUP BY doc_id, (page_no - 1) // 8"""
 
 
-def _plays(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations written as edited plays: every line that begins a turn is a bold name, long ones stand under scenes."""
-    said = table(spark, sf, "conversations")
-    head = F.when(F.col("turn") == 0, "**ACTE I**\n\n*Une rue.*\n\n").when(F.col("turn") % 4 == 0, "***\n\n").otherwise("")
-    body = F.concat(head, F.lit("**"), F.upper("role"), F.lit("**\n\n"), F.regexp_replace("text", "[*]", ""), F.lit("\n"))
-    per = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("b")))), lambda s: s["b"]), "\n").alias("text"))
-    return L.lines_of(per, "conv_id", "text")
-
-
 def play_labels(spark: SparkSession, sf: str) -> DataFrame:
-    found = T.classify_labels(_plays(spark, sf), "conv_id")
+    found = T.classify_labels(edited_plays(spark, sf), "conv_id")
     return found.select("conv_id", "label", "shown", "type", "confidence", "occurrences", "speech_after")
 
 
@@ -61,30 +52,6 @@ SELECT conv_id, upper(role) AS label, upper(role) AS shown, 'personnage' AS type
 UNION ALL SELECT DISTINCT conv_id, 'ACTE I', 'ACTE I', 'titre_acte', 'certaine', 1, 0 FROM conversations WHERE turn = 0"""
 
 
-def typed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _plays(spark, sf)
-    typed = T.classify_lines(lines, T.classify_labels(lines, "conv_id"), "conv_id")
-    return typed.groupBy("conv_id", "type").agg(F.count("*").alias("lines"))
-
-
-TYPED = f"""WITH b AS (SELECT conv_id, turn, len(string_split(text, {_NL})) AS n, len(list_filter(string_split(regexp_replace(text, '[*]', '', 'g'), {_NL}), lambda x: {S.strip("x")} = '')) AS blank FROM conversations),
-c AS (SELECT conv_id, 'personnage' AS type, count(*) AS lines FROM b GROUP BY 1 UNION ALL SELECT conv_id, 'texte', CAST(sum(n - blank) AS BIGINT) FROM b GROUP BY 1
-UNION ALL SELECT conv_id, 'titre_acte', count(*) FROM b WHERE turn = 0 GROUP BY 1 UNION ALL SELECT conv_id, 'lieu', count(*) FROM b WHERE turn = 0 GROUP BY 1
-UNION ALL SELECT conv_id, 'separateur', count(*) FROM b WHERE turn > 0 AND turn % 4 = 0 GROUP BY 1
-UNION ALL SELECT conv_id, 'vide', CAST(sum(blank + 2 + CASE WHEN turn = 0 THEN 2 WHEN turn % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM b GROUP BY 1)
-SELECT conv_id, type, lines FROM c WHERE lines > 0"""
-
-
-def play_elements(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _plays(spark, sf)
-    typed = T.classify_lines(lines, T.classify_labels(lines, "conv_id"), "conv_id")
-    return D.elements(typed, "conv_id").filter("type = 'replique'").groupBy("conv_id").agg(F.count("*").alias("speeches"), F.countDistinct("unit_id").alias("units"), F.countDistinct("id").alias("ids"))
-
-
-ELEMENTS = f"""WITH s AS (SELECT conv_id, turn FROM conversations WHERE regexp_matches(regexp_replace(text, '[*]', '', 'g'), '[^{X.WS}]'))
-SELECT conv_id, count(*) AS speeches, count(DISTINCT turn // 4) AS units, count(*) AS ids FROM s GROUP BY conv_id"""
-
-
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     """Three overlapping spans a document, of categories 1 to 3 by its length."""
     n = F.length("text")
@@ -147,19 +114,5 @@ f AS (SELECT *, CASE WHEN instr(substr(text, instr(text, b) + 1), b) > 0 THEN 'b
 SELECT doc_id, CASE WHEN fault IS NULL THEN instr(text, b) - 1 END AS start, CASE WHEN fault IS NULL THEN instr(text, e) - 1 + length(e) END AS stop, fault FROM f"""
 
 
-def passages_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages that stand verbatim in documents. Those of 7 words or more are found by five inner words, for the outer ones may be parts of words there; shorter ones are compared with every document."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), X.tokens(F.col("text")).alias("words"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    long = items.filter(F.size("words") >= 7).select("item_id", "passage", F.get(X.five_word_hashes(F.col("words")), F.lit(1)).alias("k"))
-    grams = docs.select("doc_id", F.explode(X.five_word_hashes(X.tokens(F.col("text")))).alias("k"))
-    likely = grams.join(long, "k").select("item_id", "doc_id", "passage").distinct().join(docs, "doc_id")
-    short = F.broadcast(items.filter(F.size("words") < 7).select("item_id", "passage"))
-    found = likely.filter(F.contains("text", "passage")).unionByName(docs.join(short, F.contains("text", "passage")))
-    return found.select("item_id", "doc_id", (F.instr("text", F.col("passage")) - 1).cast("long").alias("start"))
-
-
-PASSAGES = "SELECT item_id, doc_id, instr(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
-
-QUERIES = {"pages": pages, "page_blocks": page_blocks, "play_labels": play_labels, "typed_lines": typed_lines, "play_elements": play_elements, "united_spans": united_spans, "overlaid_spans": overlaid_spans, "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors, "passages_found": passages_found}
-SQL = {"pages": PAGES, "page_blocks": BLOCKS, "play_labels": LABELS, "typed_lines": TYPED, "play_elements": ELEMENTS, "united_spans": UNITED, "overlaid_spans": OVERLAID, "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS, "passages_found": PASSAGES}
+QUERIES = {"pages": pages, "page_blocks": page_blocks, "play_labels": play_labels, "united_spans": united_spans, "overlaid_spans": overlaid_spans, "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors}
+SQL = {"pages": PAGES, "page_blocks": BLOCKS, "play_labels": LABELS, "united_spans": UNITED, "overlaid_spans": OVERLAID, "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS}

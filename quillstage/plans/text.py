@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstage.functions import numbers as N
 from quillstage.functions import text as X
 from quillstage.operators import lines as L
+from quillstage.operators import reading as R
 from quillstage.plans import sql as S
 from quillstage.sources.tables import table
 
@@ -41,11 +42,11 @@ list_has_any(string_split(upper(line), ' '), ['THE', 'LA', 'DER']) AS in_lexicon
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select("doc_id", "line_no", X.label(F.col("line")).alias("label"), X.slug(F.col("line")).alias("slug"), X.canonical_role(F.col("line")).alias("role"))
+    return _lines(spark, sf).select("doc_id", "line_no", X.label(F.col("line")).alias("label"), X.slug(F.col("line")).alias("slug"), R.piece_slug(F.col("line")).alias("piece_slug"), X.canonical_role(F.col("line")).alias("role"))
 
 
 LABELS = f"""WITH {S.LINES} SELECT doc_id, line_no, {S.label("line")} AS label,
-regexp_replace(regexp_replace(lower(strip_accents(line)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+regexp_replace(regexp_replace(lower(strip_accents(line)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, replace(strip_accents(lower(line)), ' ', '-') AS piece_slug,
 replace(upper(replace({S.strip(f"regexp_replace({S.strip(f'regexp_split_to_array(line, {S.q(f"[{X.WS}]*[\\[(]")})[1]')}, {S.q(X.TRAILING_POINTS)}, '')")}, '’', '''')), 'ẞ', 'SS') AS role FROM lines"""
 
 
@@ -113,14 +114,14 @@ CASE WHEN length({S.squeeze("text")}) > 60 THEN left({S.squeeze("text")}, 59) ||
 
 
 def unit_titles(spark: SparkSession, sf: str) -> DataFrame:
-    said = table(spark, sf, "conversations").filter("turn = 0")
+    said = table(spark, sf, "conversations").select("conv_id").distinct()
     act = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("ACTE "), (F.col("conv_id") % 5).cast("string")))
     scene = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Scène "), (F.col("conv_id") % 4).cast("string")))
     unit = F.format_string("u%03d", F.col("conv_id"))
     return said.select("conv_id", X.unit_label(act, scene, unit).alias("label"), X.unit_title(act, scene, F.col("conv_id") % 6 == 3).alias("title"))
 
 
-TITLES = """WITH u AS (SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN 'ACTE ' || conv_id % 5 END AS a, CASE WHEN conv_id % 2 = 0 THEN 'Scène ' || conv_id % 4 END AS s FROM conversations WHERE turn = 0)
+TITLES = """WITH u AS (SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN 'ACTE ' || conv_id % 5 END AS a, CASE WHEN conv_id % 2 = 0 THEN 'Scène ' || conv_id % 4 END AS s FROM (SELECT DISTINCT conv_id FROM conversations))
 SELECT conv_id, coalesce(nullif(concat_ws(' - ', a, s), ''), 'Unité sans titre') || ' [' || printf('u%03d', conv_id) || ']' AS label, CASE WHEN conv_id % 6 <> 3 THEN coalesce(s, a) END AS title FROM u"""
 
 
@@ -133,11 +134,11 @@ def numerals(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "label", N.numeral_style(F.col("label")).alias("style"), N.numeral_value(F.col("label")).cast("long").alias("value"), N.in_words(n).alias("in_words"))
 
 
-_FRENCH = "[" + ", ".join(S.q(N.french(i)) for i in range(1000)) + "]"
+FRENCH = "[" + ", ".join(S.q(N.french(i)) for i in range(1000)) + "]"
 NUMERALS = f"""WITH e AS (SELECT event_id, event_id % 1000 AS n, repeat('X', CAST((event_id % 1000) // 10 % 4 AS BIGINT)) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][event_id % 1000 % 10 + 1] AS r FROM events),
 l AS (SELECT event_id, n, CASE n % 4 WHEN 0 THEN r WHEN 1 THEN n || ' - Titre' WHEN 2 THEN ['UN', 'DEUX', 'TROISIEME', 'SEIZE', 'VINGT'][n % 5 + 1] ELSE 'SIR ' || r END AS label, r FROM e)
 SELECT event_id, label, CASE WHEN n % 4 = 2 THEN 'ecrit' WHEN n % 4 = 1 THEN 'arabe' WHEN n % 4 = 0 AND r <> '' THEN 'romain' END AS style,
-CASE WHEN n % 4 = 2 THEN [1, 2, 3, 16, 20][n % 5 + 1] WHEN n % 4 = 1 THEN n WHEN n % 4 = 0 AND r <> '' THEN n // 10 % 4 * 10 + n % 10 END AS value, {_FRENCH}[n + 1] AS in_words FROM l"""
+CASE WHEN n % 4 = 2 THEN [1, 2, 3, 16, 20][n % 5 + 1] WHEN n % 4 = 1 THEN n WHEN n % 4 = 0 AND r <> '' THEN n // 10 % 4 * 10 + n % 10 END AS value, {FRENCH}[n + 1] AS in_words FROM l"""
 
 
 def formats(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,22 +183,23 @@ md5({S.strip(f"array_to_string(list_filter([{S.strip('a')}, {S.strip('b')}], lam
 
 
 def inline_speech(spark: SparkSession, sf: str) -> DataFrame:
-    said = table(spark, sf, "conversations")
-    line = F.concat(F.lit("**"), F.upper("role"), F.when(F.col("turn") % 3 == 0, ", low.").when(F.col("turn") % 3 == 1, "").otherwise("."), F.lit("** "), F.when(F.col("turn") % 2 == 0, "— ").otherwise(""), F.lower(F.get(F.split("text", "\n"), F.lit(0))))
-    return said.select("conv_id", "turn", L.split_inline(line).alias("s")).select("conv_id", "turn", "s.name", "s.aside", F.md5("s.speech").alias("speech"))
+    """Every line of what is said, put behind a name."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "l"))
+    line = F.concat(F.lit("**"), F.upper("role"), F.when(F.col("turn") % 3 == 0, ", low.").when(F.col("turn") % 3 == 1, "").otherwise("."), F.lit("** "), F.when(F.col("turn") % 2 == 0, "— ").otherwise(""), F.lower("l"))
+    return said.select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), L.split_inline(line).alias("s")).select("conv_id", "turn", "line_no", "s.name", "s.aside", F.md5("s.speech").alias("speech"))
 
 
-INLINE = f"""WITH s AS (SELECT conv_id, turn, role, {S.strip("lower(string_split(text, chr(10))[1])")} AS t FROM conversations)
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN upper(role) WHEN 2 THEN upper(role) || '.' WHEN 1 THEN CASE WHEN NOT regexp_matches(regexp_extract(t, '[\\p{{L}}\\p{{Nd}}]', 0), '\\p{{Ll}}') THEN upper(role) END END AS name,
-CASE WHEN turn % 3 = 0 THEN 'low.' END AS aside, CASE WHEN turn % 3 <> 1 OR NOT regexp_matches(regexp_extract(t, '[\\p{{L}}\\p{{Nd}}]', 0), '\\p{{Ll}}') THEN md5(t) END AS speech FROM s"""
+INLINE = f"""WITH l AS (SELECT conv_id, turn, role, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS l FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations)), s AS (SELECT *, {S.strip("lower(l)")} AS t FROM l),
+f AS (SELECT *, t <> '' AND (turn % 3 <> 1 OR NOT regexp_matches(regexp_extract(t, '[\\p{{L}}\\p{{Nd}}]', 0), '\\p{{Ll}}')) AS fits FROM s)
+SELECT conv_id, turn, line_no, CASE WHEN fits THEN upper(role) || CASE WHEN turn % 3 = 2 THEN '.' ELSE '' END END AS name, CASE WHEN fits AND turn % 3 = 0 THEN 'low.' END AS aside, CASE WHEN fits THEN md5(t) END AS speech FROM f"""
 
 
 def emphasis(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _lines(spark, sf).filter(F.col("line").contains("*"))
-    return lines.select("doc_id", "line_no", F.explode(L.emphasis_runs(F.col("line"))).alias("r")).groupBy("doc_id", "line_no").agg(F.count("*").alias("runs"), F.count_if("r.bold").alias("bold_runs"), F.count_if("r.italic").alias("italic_runs"), F.sum(F.length("r.text")).cast("long").alias("chars"))
+    runs = _lines(spark, sf).select("doc_id", "line_no", F.explode(L.emphasis_runs(F.col("line"))).alias("r"))
+    return runs.groupBy("doc_id", "line_no").agg(F.count("*").alias("runs"), F.count_if("r.bold").alias("bold_runs"), F.count_if("r.italic").alias("italic_runs"), F.sum(F.length("r.text")).cast("long").alias("chars"))
 
 
-EMPHASIS = f"""WITH {S.LINES}, r AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\*\\*[^*]+\\*\\*|\\*[^*]+\\*|[^*]+|\\*')) AS t FROM lines WHERE contains(line, '*')),
+EMPHASIS = f"""WITH {S.LINES}, r AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\*\\*[^*]+\\*\\*|\\*[^*]+\\*|[^*]+|\\*')) AS t FROM lines),
 k AS (SELECT *, regexp_matches(t, '^\\*\\*[^*]+\\*\\*$') AS b, regexp_matches(t, '^\\*[^*]+\\*$') AS i FROM r)
 SELECT doc_id, line_no, count(*) AS runs, count(*) FILTER (b) AS bold_runs, count(*) FILTER (i) AS italic_runs, CAST(sum(length(t) - CASE WHEN b THEN 4 WHEN i THEN 2 ELSE 0 END) AS BIGINT) AS chars FROM k GROUP BY ALL"""
 
