@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet in the shared folder and
 reads again as the next one's docs. All but the last return the columns of ``documents``. Models are learned from the docs of
-their own stage. Rows with null text or without words go in the first stage; an empty table passes through all stages.
+their own stage. Rows with null text or without words go in the first stage; rows without an id or with repeated ids are rows
+like others, of equal texts one stays; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstage.llm import language, minhash, mixing, packing, quality
-from quillstage.llm.common import discard, read, written
+from quillstage.llm.common import discard, read, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        with scratch():  # what the stage has written on its way is of no use behind it
+            before, docs = docs, written(stage(spark, docs, sf_dir), name, keep=True)
         if k:
             discard(before)
     packed = STAGES[-1][1](spark, docs, sf_dir)
