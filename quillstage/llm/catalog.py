@@ -1,4 +1,4 @@
-"""Queries of this subpackage; the pipeline is at the top of the repository."""
+"""Queries of the operators of this subpackage."""
 
 from __future__ import annotations
 
@@ -18,12 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _modules():
         out |= module.QUERIES
-    return out | {"pipeline": import_module("corpus_pipeline").run}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for module in _modules():
         out |= module.SQL
-    whole = import_module("corpus_pipeline").ORACLE_SQL
-    return out | ({"pipeline": whole} if whole else {})
+    return out
