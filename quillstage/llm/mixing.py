@@ -8,7 +8,8 @@ shuffle in which a hot source is spread like any other.
 
 Without given weights a source's weight is the square root of its number of documents, as a share of all.
 
-Defined results: rows without a source are a source of their own; rows without an id draw alike; rows of equal ids draw alike;
+Defined results: rows without a source are a source of their own; rows of equal ids draw alike; rows without an id draw by a hash
+of their other columns (but maps), so equal ones draw alike;
 sources without a given weight and those of weight 0 have no copies; an empty table gives an empty result; all columns
 of the input are kept, and those made here start with ``mix_``.
 """
@@ -34,13 +35,14 @@ def uniform(*parts: Column) -> Column:
 def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, temper: float = TEMPER) -> DataFrame:
     """(mix_source, mix_rate): the mean number of copies of a document of each source."""
     counts = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n"))
-    everything = W.partitionBy()  # a row per source
     weight = F.pow(F.col("n").cast("double"), F.lit(temper))
     if weights is not None:
         weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (weights or {"": 0.0}).items() for x in pair]), F.coalesce("mix_source", F.lit(""))), F.lit(0.0))
-    share = F.try_divide(weight, F.sum(weight).over(everything))
-    size = F.lit(float(total)) if total is not None else F.sum("n").over(everything)
-    return counts.select("mix_source", F.coalesce(share * size / F.col("n"), F.lit(0.0)).alias("mix_rate"))
+    counts = counts.withColumn("weight", weight)
+    whole = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("size"))  # one row
+    size = F.lit(float(total)) if total is not None else F.col("size")
+    share = F.try_divide(F.col("weight"), F.col("weights"))
+    return counts.crossJoin(F.broadcast(whole)).select("mix_source", F.coalesce(share * size / F.col("n"), F.lit(0.0)).alias("mix_rate"))
 
 
 def distributions(rated: DataFrame) -> DataFrame:
@@ -59,8 +61,9 @@ def mix(docs: DataFrame, doc: str = "doc_id", source: str = "source", weights: d
     """The documents as often as they were drawn, shuffled, with mix_copy, mix_rate and mix_key."""
     rated = distributions(rates(docs, source, weights, total))
     few = docs.select(source).distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    drawn = docs.join(F.broadcast(rated) if few else rated, docs[source].eqNullSafe(rated["mix_source"]))
-    name = F.coalesce(F.col(doc).cast("string"), F.lit("null"))
+    drawn = docs.join(F.broadcast(rated) if few else rated, docs[source].eqNullSafe(rated["mix_source"]))  # beyond the bound both sides are shuffled
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != doc and "map<" not in f.dataType.simpleString()]
+    name = F.coalesce(F.col(doc).cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.lit(0), *others).cast("string")))
     point = uniform(F.lit(seed), name)
     copies = F.when(F.col("mix_rate") > 0, F.size(F.filter("mix_cdf", lambda c: c <= point))).otherwise(0)
     drawn = drawn.withColumn("mix_copies", copies).drop("mix_cdf", "mix_source").filter("mix_copies > 0")

@@ -1,3 +1,5 @@
+import collections
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -38,3 +40,34 @@ def test_odd_rows(odd, nothing):
         copies.setdefault((r.doc_id, r.text), []).append(r.mix_copy)
     assert all(sorted(v) == sorted(list(range(1, max(v) + 1)) * (len(v) // max(v))) for v in copies.values())
     assert mixing.mix(nothing).count() == 0
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "a", {"k": i}) for i in range(500)], "doc_id long, text string, source string, notes map<string,int>")
+    out = mixing.mix(docs).collect()
+    assert len({r.mix_key for r in out}) == len(out) and abs(len(out) - 500) < 5 * math.sqrt(500)
+    assert 100 < len({r.text for r in out}) < 450
+
+
+def brute(rows, total=None):
+    """Copies of every document by inverting Poisson distributions at the hash of its id."""
+    n = collections.Counter(r.source for r in rows)
+    weights = {k: math.sqrt(v) for k, v in n.items()}
+    out = collections.Counter()
+    for r in rows:
+        rate = weights[r.source] / sum(weights.values()) * len(rows) / n[r.source]
+        u = (int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, term = 0, math.exp(-rate)
+        below = term
+        while below <= u:
+            k += 1
+            term *= rate / k
+            below += term
+        if k:
+            out[r.doc_id] = k
+    return out
+
+
+def test_copies_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert collections.Counter(r.doc_id for r in mixing.mix(docs).collect()) == brute(docs.select("doc_id", "source").collect())
