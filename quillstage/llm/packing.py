@@ -8,10 +8,11 @@ what is left of large lengths and all small ones go, from the largest, where the
 
 The plan is a list of runs: so many pieces of a length, from a rank on, go to so many consecutive sequences. Pieces learn
 their rank among those of equal length from counts by (length, bucket), so no length meets in one task, and look their
-place up in the plan. The plan's size depends on the capacity only.
+place up in the plan. A length has as many buckets as its pieces take, and a piece's bucket is drawn by the number that it got
+when it was cut, so neither a frequent length nor equal rows meet in one task. The plan's size depends on the capacity only.
 
 Defined results: null text is empty text, which is the end token alone; equal rows are packed separately; pieces of equal
-length are interchangeable; an empty table gives an empty result; columns that the caller does not name are ignored.
+length are interchangeable; ids may be of any type, null and repeated ones included; an empty table gives an empty result; columns that the caller does not name are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ from quillstage.llm.tokens import encoder, vocabulary_path
 CAPACITY, END_ID = 4096, 1
 #: Numbers of groups and the parts of the capacity up to which a length is small; the plan of fewest sequences is used.
 GROUPINGS = ((24, 2), (24, 3), (96, 4), (48, 8))
-BUCKET_ROWS = 50_000
+#: Pieces of one length that are ranked together.
+BUCKET_ROWS = 1000
 
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -197,10 +200,12 @@ class Plan:
 
 
 def cut(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """A row per piece of a document: piece, start, length and CRC-32 of its ids; only longer documents are cut."""
+    """A row per piece of a document: piece, start, length and CRC-32 of its ids, and ``row``, a number no other piece has; only longer documents are cut."""
     path = tokenizer or vocabulary_path()
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 40
         for frame in frames:
             docs = frame["d"]
             for first, ids, begins in encoder(path).batches(frame["t"].tolist()):
@@ -210,26 +215,30 @@ def cut(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
                     rows += [(first + i, k, s, len(part := whole[s : s + capacity]), zlib.crc32(part.tobytes())) for k, s in enumerate(range(0, len(whole), capacity))]
                 out = pd.DataFrame(rows, columns=["at", "piece", "start", "length", "ids_crc32"])
                 out.insert(0, doc, docs.iloc[out.pop("at").to_numpy()].to_numpy())
+                out["row"] = number + np.arange(len(out))
+                number += len(out)
                 yield out
 
     # ids travel as text: pandas would make floats of them where one is null
-    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, f"`{doc}` string, piece int, start long, length long, ids_crc32 long")
+    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, f"`{doc}` string, piece int, start long, length long, ids_crc32 long, row long")
     return found.withColumn(doc, F.col(doc).cast(df.schema[doc].dataType))
 
 
-def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset. ``pieces`` is read twice, so it should be a table; ``order`` makes ranks repeatable."""
+def pack(pieces: DataFrame, row: str = "row", length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset. ``pieces`` is read twice, so it must be a table; its numbers ``row`` differ."""
     counts = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count("*")).collect()}  # capacity rows at most
     plan = pieces.sparkSession.sparkContext.broadcast(Plan.best(counts, capacity))
-    buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
-    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    buckets = F.get(F.lit([1 + counts.get(k, 0) // BUCKET_ROWS for k in range(capacity + 1)]), F.col(length).cast("int"))
+    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(row), buckets).cast("int"))
     before = keyed.groupBy(length, "__bucket").agg(F.count("*").alias("__n"))
     before = before.select(length, "__bucket", (F.sum("__n").over(W.partitionBy(length).orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(length, "__bucket").orderBy(*order)) - 1)
+    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(length, "__bucket").orderBy(row)) - 1)
     ranked = ranked.join(before, [length, "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__bucket", "__before")
     names = [c for c in ranked.columns if c != "__rank"]
     kinds = {c: ranked.schema[c].dataType for c in names}
-    as_text = ranked.select(*(F.col(c).cast("string").alias(c) if c in order and c != length else c for c in names), F.col(length).cast("long").alias("__length"), "__rank")
+    whole = (length, "piece", "start", "ids_crc32", row)
+    # other columns travel as text: pandas would make floats of numbers where one is null
+    as_text = ranked.select(*(F.col(c) if c in whole else F.col(c).cast("string").alias(c) for c in names), F.col(length).cast("long").alias("__length"), "__rank")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -243,7 +252,7 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
 
 def pack_documents(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Cut into pieces, packed."""
-    packed = pack(written(cut(df, doc, text), "pieces"), [doc, "piece"])
+    packed = pack(written(cut(df, doc, text), "pieces"))
     return packed.select(doc, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
