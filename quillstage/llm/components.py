@@ -30,7 +30,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every node of links (a, b) between integers: the smallest node that can be reached."""
+    """(id, component) for every node of links (a, b) between integers but the smallest of each component: the smallest that can be reached."""
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = _signature(now)
     for _ in range(rounds):

@@ -5,18 +5,21 @@ a logarithmic scale, floor(1 - log_b x), truncated to 16 bits: registers of two
 their Jaccard similarity, and the registers of a union are the larger ones. 48 bands of 5 registers lead a pair of similarity
 0.75 to a common bucket but for two pairs in a million.
 
-Documents of equal sets are one class and its smallest document stands for it. In every bucket each member is compared with
-the smallest; the links found make components, and then members of a bucket that are still apart are compared with each other, so no
-candidate of a bucket is left out while most pairs of a large group are never made. A comparison first estimates the
+Rows of equal sets are one class, which has a number of its own, so that ids need be neither present nor distinct; one row
+stands for it. In every bucket each class is compared with the first; the links found make components, and then classes of a
+bucket that are still apart are compared with each other, so no candidate of a bucket is left out while most pairs of a large
+group are never made. A comparison first estimates the
 similarity from how many registers are larger, smaller and equal and from both set sizes, by maximum likelihood; pairs whose
 estimate is within reach of the threshold are confirmed on the full sets.
 
 Sets are dealt to parts of bounded size; for its pairs a document's set is sent once to each part that holds other ends, and
 streamed by them. Buckets are compared in blocks of bounded size. Nothing of all documents reaches the driver.
 
-Defined results: a text of fewer than five words is one shingle; a text without words is empty and linked with nothing; rows
-with equal ids and different texts are treated as linked by their id alone where components meet; an empty table gives
-an empty result; other columns are ignored, or kept by ``keep_one``, whatever their names.
+Defined results: a text of fewer than five words is one shingle; a text without words is empty and linked with nothing, so
+``keep_one`` keeps it; texts make links and ids do not, so rows of equal ids and different texts are linked like others; a
+component's id is the smallest that a row of it has, null where none has one; ``keep_one`` keeps a single row of each
+component, that of the smallest id and text hash, of rows equal in both any one; an empty table gives an empty result; ids are
+integers, others are an error; other columns are ignored, or kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: The least similarity in per cent, and how far an estimate may be below it: over four standard deviations.
 THRESHOLD, REACH = 75, 0.12
 BATCH_CHARS, SET_PART = 1_000_000, 2048
-#: Members of a bucket that are compared in one task, bytes of sets that a task holds, and ids that are broadcast.
+#: Members of a bucket that meet each other at once, bytes of sets that a task holds, and ids that are broadcast.
 BLOCK, PART_BYTES, MOST_BROADCAST = 1024, 4_000_000, 2_000_000
+#: Rows, and pairs, that a task should compare, and the most tasks of a stage.
+TASK_ROWS, TASK_PAIRS, MOST_TASKS = 4000, 2_000_000, 20_000
 _U = np.uint64
 
 
@@ -151,35 +156,47 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(d, n, k1, k2, bands): size and key of each document's set, and its band keys."""
+    """(d, t, n, k1, k2, bands): of each row its id, a hash of its text, size and key of its set, and its band keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             n, k1, k2, bands = [], [], [], []
-            for s in shingle_sets(frame["t"].tolist()):
+            for s in shingle_sets(frame["x"].tolist()):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(np.bitwise_xor.reduce(_mix(s + _U(1))).astype(np.int64)) if len(s) else 0)
                 bands.append(band_hashes(registers(s)).astype(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pd.DataFrame({"d": frame["d"], "n": n, "k1": k1, "k2": k2, "bands": bands})
+            yield pd.DataFrame({"d": frame["d"], "t": frame["t"], "n": n, "k1": k1, "k2": k2, "bands": bands})
 
     # ids travel as text: pandas would make floats of them where one is null
-    drawn = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, "d string, n long, k1 long, k2 long, bands array<bigint>")
+    drawn = docs.select(F.col(doc).cast("string").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x")).mapInPandas(run, "d string, t long, n long, k1 long, k2 long, bands array<bigint>")
     return drawn.withColumn("d", F.col("d").cast("long"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
-    """(d, shingles, sketch) of the documents whose ids are given."""
+def _same(a: DataFrame, b: DataFrame):
+    """Whether rows have the same id, or none, and the same text."""
+    return a["d"].eqNullSafe(b["d"]) & (a["t"] == b["t"])
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, doc: str, text: str) -> DataFrame:
+    """(c, shingles, sketch) of the classes (c, d, t) by the rows that stand for them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = list(shingle_sets(frame["t"].tolist()))
-            yield pd.DataFrame({"d": frame["d"], "shingles": [s.tobytes() for s in sets], "sketch": [registers(s).tobytes() if len(s) else b"" for s in sets]})
+            sets = list(shingle_sets(frame["x"].tolist()))
+            yield pd.DataFrame({"c": frame["c"], "shingles": [s.tobytes() for s in sets], "sketch": [registers(s).tobytes() if len(s) else b"" for s in sets]})
 
-    few = ids.count() <= MOST_BROADCAST  # else both sides are shuffled
-    texts = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(ids) if few else ids, "d", "left_semi")
-    return texts.mapInPandas(run, "d long, shingles binary, sketch binary")
+    n = classes.count()
+    texts = docs.select(F.col(doc).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    # beyond the bound both sides are shuffled
+    texts = texts.join(F.broadcast(classes) if n <= MOST_BROADCAST else classes, _same(texts, classes)).select("c", "x")
+    sets = written(texts.mapInPandas(run, "c long, shingles binary, sketch binary"), "sets")
+    if sets.count() == n:
+        return sets
+    single = written(sets.dropDuplicates(["c"]), "sets")  # the very row that stands for a class was repeated
+    discard(sets)
+    return single
 
 
 def _requests(pairs: DataFrame, parts: int) -> DataFrame:
@@ -189,88 +206,106 @@ def _requests(pairs: DataFrame, parts: int) -> DataFrame:
 
 def _confirmed(requests: DataFrame, sets: DataFrame, parts: int, estimated: bool = False) -> DataFrame:
     """Those pairs of members and b that are alike. A task holds one part of the sets and streams the sets of the ends b by."""
-    held = sets.select(F.pmod("d", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "d", "shingles", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
-    asked = requests.join(sets.withColumnRenamed("d", "b"), "b").select("part", F.lit(1).alias("kind"), F.col("b").alias("d"), "shingles", "sketch", "members")
-    rows = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    held = sets.select(F.pmod("c", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "c", "shingles", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
+    asked = requests.join(sets.withColumnRenamed("c", "b"), "b").select("part", F.lit(1).alias("kind"), F.col("b").alias("c"), "shingles", "sketch", "members")
+    rows = held.unionByName(asked).repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part", "kind")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, known = None, {}
         for frame in frames:
             found = []
-            for part, kind, d, raw, regs, members in zip(frame["part"].tolist(), frame["kind"].tolist(), frame["d"].tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(), frame["members"].tolist(), strict=True):
+            for part, kind, c, raw, regs, members in zip(frame["part"].tolist(), frame["kind"].tolist(), frame["c"].tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(), frame["members"].tolist(), strict=True):
                 if part != here:
                     here, known = part, {}
                 s, r = np.frombuffer(raw, np.uint64), np.frombuffer(regs, np.uint16)
                 if not kind:
-                    known[d] = s, r
+                    known[c] = s, r
                     continue
                 fit = [m for m in members if m in known]
                 if fit and not estimated:
                     near = estimate(r, np.stack([known[m][1] for m in fit]), len(s), np.array([len(known[m][0]) for m in fit]))
                     fit = [m for m, j in zip(fit, near.tolist(), strict=True) if 100 * j >= THRESHOLD - 100 * REACH]
-                found += [(m, d) for m in fit if alike(known[m][0], s)]
+                found += [(m, c) for m in fit if alike(known[m][0], s)]
             yield pd.DataFrame(found, columns=["a", "b"])
 
     return rows.mapInPandas(compare, "a long, b long")
 
 
+def _meeting(group: dict[str, np.ndarray], parts: int) -> list[tuple[int, int, list[int]]]:
+    """(part, b, members) of the pairs of one block of a bucket that are in reach and were not met in an earlier band."""
+    c, n, component, out, head, sketch = (group[k] for k in ("c", "n", "component", "out", "head", "sketch"))
+    others, askers = np.flatnonzero(~group["asks"] & (c != head)), np.flatnonzero(group["asks"] & (c != head))
+    if not len(others) or not len(askers):
+        return []
+    multipliers = _families()[2]
+    with np.errstate(over="ignore"):
+        bands = (sketch.reshape(-1, BANDS, ROWS).astype(np.uint64) * multipliers[None, :, :ROWS]).sum(axis=2, dtype=np.uint64)
+        band = int((_mix(bands[0] + multipliers[:, ROWS]).astype(np.int64) == group["bucket"][0]).argmax())
+    found = []
+    for k in askers:
+        fit = others[(component[others] != component[k]) & (~out[others] | (c[others] < c[k]))]
+        fit = fit[100 * np.minimum(n[fit], n[k]) >= THRESHOLD * np.maximum(n[fit], n[k])]
+        if band and len(fit):
+            fit = fit[~(bands[fit, :band] == bands[k, :band]).any(axis=1)]  # met in an earlier band
+        if len(fit):
+            near = estimate(sketch[k], sketch[fit], int(n[k]), n[fit])
+            reached = c[fit[100 * near >= THRESHOLD - 100 * REACH]]
+            found += [(int(p), int(c[k]), reached[reached % parts == p].tolist()) for p in np.unique(reached % parts)]
+    return found
+
+
 def _apart(buckets: DataFrame, grouped: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Requests for the pairs of a bucket that lie in different components and whose estimate is within reach, each pair once.
 
-    Members outside the component of the bucket's smallest one, the outsiders, are compared with all members. Members are dealt
-    to blocks, and every block of outsiders meets every block of members.
+    Members outside the component of the bucket's first one, the outsiders, are compared with all members. Members are dealt
+    to blocks, and every block of outsiders meets every block of members. There are as many tasks as the pairs take.
     """
-    known = buckets.join(grouped.withColumnRenamed("id", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    heads = known.filter("d = head").select("bucket", F.col("component").alias("main"))
+    known = buckets.join(grouped.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    heads = known.filter("c = head").select("bucket", F.col("component").alias("main"))
     sizes = known.join(heads, "bucket").withColumn("out", F.col("component") != F.col("main"))
-    split = sizes.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("no")).filter("no > 0")
-    rows = sizes.join(split, "bucket")
-    block = lambda n: F.pmod(F.xxhash64("d"), F.col(n)).cast("int")
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("out").alias("o")).filter("o > 0")
+    rows = written(sizes.join(split, "bucket").select("bucket", "head", "c", "component", "out", "m", "o"), "outsiders")
+    n_rows, n_pairs = rows.agg(F.count("*"), F.sum(F.when(F.col("out"), F.col("m")).otherwise(0))).first()
+    tasks = min(MOST_TASKS, 1 + n_rows // TASK_ROWS + (n_pairs or 0) // TASK_PAIRS)
+    rows = rows.withColumns({"nb": F.ceil(F.col("m") / BLOCK).cast("int"), "no": F.ceil(F.col("o") / BLOCK).cast("int")})
+    block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["bucket", "head", "d", "component", "out"]
+    columns = ["bucket", "head", "c", "component", "out"]
     members = rows.select(*columns, F.lit(False).alias("asks"), block("nb").alias("i"), each("no").alias("j"))
     outside = rows.filter("out").select(*columns, F.lit(True).alias("asks"), block("no").alias("j"), each("nb").alias("i"))
-    dealt = members.unionByName(outside).join(sets.select("d", "sketch", (F.length("shingles") / 8).cast("long").alias("n")), "d")
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy()
-        sketch = np.frombuffer(b"".join(frame["sketch"].tolist()), np.uint16).reshape(-1, REGISTERS)
-        d, n, part, out, head = (frame[c].to_numpy() for c in ("d", "n", "component", "out", "head"))
-        bands = (sketch.reshape(-1, BANDS, ROWS).astype(np.uint64) * _families()[2][None, :, :ROWS]).sum(axis=2, dtype=np.uint64)
-        others = np.flatnonzero(~asks)
-        found: list[tuple[int, int, list[int]]] = []
-        bucket = frame["bucket"].iloc[0]
-        with np.errstate(over="ignore"):
-            band = int((_mix(bands[0] + _families()[2][:, ROWS]).astype(np.int64) == bucket).argmax())
-        for k in np.flatnonzero(asks):
-            if d[k] == head[k]:
-                continue
-            fit = others[(part[others] != part[k]) & (d[others] != head[k]) & (~out[others] | (d[others] < d[k]))]
-            fit = fit[100 * np.minimum(n[fit], n[k]) >= THRESHOLD * np.maximum(n[fit], n[k])]
-            if band:
-                fit = fit[~(bands[fit, :band] == bands[k, :band]).any(axis=1)]  # met in an earlier band
-            if len(fit):
-                near = estimate(sketch[k], sketch[fit], int(n[k]), n[fit])
-                reached = d[fit[100 * near >= THRESHOLD - 100 * REACH]]
-                found += [(int(p), int(d[k]), reached[reached % parts == p].tolist()) for p in np.unique(reached % parts)]
-        return pd.DataFrame(found, columns=["part", "b", "members"])
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "part int, b long, members array<bigint>")
+    dealt = members.unionByName(outside).join(sets.select("c", "sketch", (F.length("shingles") / 8).cast("long").alias("n")), "c")
+    key = ["bucket", "i", "j"]
 
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, np.ndarray] | None = None
+        for frame in frames:
+            now = {k: frame[k].to_numpy() for k in frame.columns if k != "sketch"}
+            now["sketch"] = np.frombuffer(b"".join(frame["sketch"].tolist()), np.uint16).reshape(-1, REGISTERS)
+            now = now if kept is None else {k: np.concatenate([kept[k], now[k]]) for k in now}
+            new = np.flatnonzero(np.any([now[k][1:] != now[k][:-1] for k in key], axis=0)) + 1
+            starts = [0, *new.tolist()]
+            found = [r for a, b in zip(starts, starts[1:], strict=False) for r in _meeting({k: v[a:b] for k, v in now.items()}, parts)]
+            kept = {k: v[starts[-1] :] for k, v in now.items()}  # the last block may go on
+            yield pd.DataFrame(found, columns=["part", "b", "members"])
+        if kept is not None:
+            yield pd.DataFrame(_meeting(kept, parts), columns=["part", "b", "members"])
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_shingles, component_id) for every row: the size of its set and the smallest document that links reach."""
-    drawn = written(sketches(docs, doc, text), "sketches")
-    keys = ["k1", "k2", "n"]
-    classes = drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
-    banded = classes.select("d", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("d").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    return dealt.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(meet, "part int, b long, members array<bigint>")
+
+
+_KEYS = ["k1", "k2", "n"]
+
+
+def _links(docs: DataFrame, classes: DataFrame, doc: str, text: str) -> DataFrame:
+    """(id, component): the components of classes that are linked."""
+    banded = classes.select("c", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("c").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")
     buckets = written(banded.join(shared, "bucket"), "buckets")
-    ids = buckets.select("d").distinct()
-    sets = written(_sets_of(docs, ids, doc, text).dropDuplicates(["d"]), "sets")
+    standing = written(buckets.select("c").distinct().join(classes.select("c", "stands.d", "stands.t"), "c"), "standing")
+    sets = _sets_of(docs, standing, doc, text)
     size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    parts = size // PART_BYTES + 1
-    stars = buckets.filter("d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
+    parts = max(size // PART_BYTES, buckets.count() // TASK_ROWS) + 1
+    stars = buckets.filter("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
     first = written(_confirmed(_requests(stars, parts), sets, parts), "first-links")
     grouped = components(first)
     apart = written(_apart(buckets, grouped, sets, parts), "apart")
@@ -279,25 +314,54 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         if second.take(1):
             grouped = components(first.unionAll(second))
         discard(second)
-    discard(buckets, sets, first, apart)
-    # classes of one document stand for themselves; the others are a table, so that a join with a large class can be split
-    stands = written(drawn.filter("n > 0").groupBy(*keys).agg(F.min("d").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"), "classes")
-    own = drawn.select("d", *keys).join(stands, keys, "left").withColumn("rep", F.coalesce("rep", F.when(F.col("n") > 0, F.col("d"))))
-    found = own.join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
-    return found.select(F.col("d").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "d").alias("component_id"))
+    discard(buckets, standing, sets, first, apart)
+    return grouped
+
+
+def _rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(d, t, n, m, component_id, kept) of every row: its id and text hash, the size of its set, how many rows have that set, the
+    smallest id that links reach, and whether it is the row of its component that is kept, or equal to that."""
+    drawn = written(sketches(docs, doc, text), "sketches")
+    row = F.struct(F.col("d").isNull().alias("without"), "d", "t")
+    classes = drawn.filter("n > 0").groupBy(*_KEYS).agg(F.min(row).alias("stands"), F.count("*").alias("m"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    grouped = _links(docs, classes, doc, text)
+    grouped = grouped.unionAll(grouped.select("component", "component").distinct())  # with the first of each
+    # classes of one row without links stand for themselves; the others are a table, so that a join with a large class can be split
+    own = classes.drop("bands").join(grouped.withColumnRenamed("id", "c"), "c", "left").filter("m > 1 or component is not null")
+    own = own.withColumn("component", F.coalesce("component", "c"))
+    own = written(own, "linked")
+    least = own.groupBy("component").agg(F.min("stands").alias("least"))
+    few = own.count() <= MOST_BROADCAST  # else both sides are shuffled
+    several = written(own.join(F.broadcast(least) if few else least, "component").select(*_KEYS, "m", "least"), "several")
+    discard(own)
+    found = drawn.drop("bands").join(several, _KEYS, "left")
+    kept = F.col("least").isNull() | (F.col("d").eqNullSafe(F.col("least.d")) & (F.col("t") == F.col("least.t")))
+    return found.select("d", "t", "n", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("least.d", "d").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_shingles, component_id) for every row: the size of its set and the smallest id that links reach."""
+    return _rows(docs, doc, text).select(F.col("d").alias(doc), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the smallest by id, with its own columns."""
-    found = written(near_duplicates(docs, doc, text), "near-duplicates")
-    dropped = found.filter(F.col(doc) != F.col("component_id")).select(doc).distinct()
-    few = dropped.count() <= MOST_BROADCAST  # else both sides are shuffled
-    return docs.join(F.broadcast(dropped) if few else dropped, doc, "left_anti")
+    """One row of each component, with its own columns."""
+    found = written(_rows(docs, doc, text), "near-duplicates")
+    gone = found.filter("not kept").select("d", "t").distinct()
+    again = found.filter("kept and m > 1").groupBy("d", "t").count().filter("count > 1").select("d", "t")
+    own = docs.select(F.col(doc).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    few = gone.count() <= MOST_BROADCAST  # else both sides are shuffled
+    left = own.join(F.broadcast(gone) if few else gone, _same(own, gone), "left_anti")
+    if again.take(1):
+        single = left.join(again, _same(left, again), "left_semi").groupBy("d", "t").agg(F.first("row").alias("row"))
+        left = left.join(again, _same(left, again), "left_anti").select("row").unionAll(single.select("row"))
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
