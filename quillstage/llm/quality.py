@@ -168,8 +168,8 @@ def judged(featured: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judged(with_features(docs, text)).filter("q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that the rules keep, with their own columns. Texts are read once: documents and figures are one table, of which the estimate reads the figures alone."""
+    return judged(written(with_features(docs, text), "featured")).filter("q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
