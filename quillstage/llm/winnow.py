@@ -126,8 +126,8 @@ def hashes(fingerprint: Column) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    """``HASH:position`` of every chosen gram, joined by spaces."""
-    return F.array_join(F.transform(fingerprint, lambda v: F.concat(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), F.lit(":"), F.bitwise_not(v).bitwiseAND(F.lit(_LAST)).cast("string"))), " ")
+    """The chosen longs joined by spaces: a hash times 2**26 and the position's distance from 2**26 - 1."""
+    return F.array_join(fingerprint.cast("array<string>"), " ")
 
 
 def likeness(a: str, b: str) -> Column:

@@ -52,7 +52,7 @@ def check(rows):
         edited = t[: len(t) - half] + nxt[:half]
         a, b, c = ({x for x, _ in brute(s)} for s in (t, edited, nxt))
         like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
-        write = lambda s: " ".join(f"{x & ((1 << 38) - 1):X}:{i}" for x, i in brute(s))
+        write = lambda s: " ".join(str((x << 26) + (1 << 26) - 1 - i) for x, i in brute(s))
         expected.setdefault(d, set()).add((len(t), hashlib.sha256(edited.encode()).hexdigest(), write(t), write(edited), round(like(a, b), 9), round(like(a, c), 9)))
     return expected
 
