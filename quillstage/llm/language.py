@@ -32,9 +32,10 @@ MOST_LANGUAGES = 200
 LEVEL, BLOCK = 12, 2048
 MARGIN, HALF_SCORE = 0.005, 0.02
 UNKNOWN = "und"
-#: Word characters that are neither letters nor decimal digits: numerals, raised and circled digits.
+_OTHER = re.compile(r"[\W\d_]+")
+#: The same with word characters that are neither letters nor decimal digits: numerals, raised and circled digits. Slow.
 _NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_OTHER_THAN_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 #: What ``letters`` leaves, and what stands before the first of it, for Spark.
 _LETTER, _BEFORE = r"\p{L}", r"^\P{L}++"
 Model = tuple[tuple[str, bytes], ...]
@@ -42,7 +43,10 @@ Model = tuple[tuple[str, bytes], ...]
 
 def letters(text: str | None) -> bytes:
     """The lower-cased letters of a text, with a space for what stands between."""
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    if words and not words.replace(" ", "").isalpha():
+        words = _OTHER_THAN_LETTERS.sub(" ", words).strip()
+    return words.encode("utf-8", "surrogatepass")
 
 
 def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
