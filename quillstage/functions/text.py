@@ -55,8 +55,9 @@ def label(text: Column) -> Column:
 
 
 def for_counting(text: Column) -> Column:
-    """The text without page separators and page marks."""
-    return squeeze(F.regexp_replace(F.regexp_replace(text, PAGE_BREAK, " "), PAGE_MARK, " "))
+    """The text without page separators and page marks; patterns run only where their signs stand."""
+    bare = F.regexp_replace(F.regexp_replace(text, PAGE_BREAK, " "), PAGE_MARK, " ")
+    return squeeze(F.when(F.contains(text, F.lit("<<<")) | F.contains(text, F.lit("[")), bare).otherwise(text))
 
 
 def for_comparison(text: Column) -> Column:
@@ -243,6 +244,6 @@ def straight(text: Column) -> Column:
 
 
 def stars_outside_separators(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~is_separator(x))
+    kept = F.filter(F.split(text, "\n", -1), lambda x: F.contains(x, F.lit("*")) & ~is_separator(x))
     joined = F.array_join(kept, "")
-    return F.length(joined) - F.length(F.replace(joined, F.lit("*"), F.lit("")))
+    return F.when(F.contains(text, F.lit("*")), F.length(joined) - F.length(F.replace(joined, F.lit("*"), F.lit("")))).when(text.isNotNull(), 0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,34 +62,41 @@ def counted_findings(report: Column) -> Column:
     return F.regexp_count(report, F.lit(r"(?m)^\[[A-Z ]+\]"))
 
 
+#: Signs without which a pattern of FORBIDDEN cannot stand.
+_SIGNS = {"page break": "<<<", "page mark": "[PAGE", "code fence": "```"}
+
+
 def forbidden(text: Column) -> list[Column]:
-    return [F.when(text.rlike(p), f"forbidden: {name}") for name, p in FORBIDDEN.items()]
+    return [F.when(F.contains(text, F.lit(_SIGNS[name])) & text.rlike(p), f"forbidden: {name}") for name, p in FORBIDDEN.items()]
 
 
 def transcript_findings(text: Column) -> Column:
     unmarked = F.replace(text, F.lit(ILLEGIBLE), F.lit(""))
-    return F.array_compact(F.array(*forbidden(text), F.when(unmarked.rlike(r"(?m)\*\*[^*\n]+\*\*|^\*[^*\n]+\*$"), "emphasis added")))
+    emphasis = F.contains(text, F.lit("*")) & unmarked.rlike(r"(?m)\*\*[^*\n]+\*\*|^\*[^*\n]+\*$")
+    return F.array_compact(F.array(*forbidden(text), F.when(emphasis, "emphasis added")))
 
 
-def _ratio(a: Column, b: Column, then: Callable[[Column], Column]) -> Column:
-    return X.let(F.try_divide(b.cast("double"), a), then)
+def _ratio(a: Column, b: Column) -> Column:
+    """As a plain expression, so that the optimiser computes sizes that several checks need once."""
+    return F.try_divide(b.cast("double"), a)
 
 
 def output_findings(source: Column, output: Column) -> Column:
-    short = _ratio(F.length(X.for_counting(source)), F.length(X.for_counting(output)), lambda r: F.when(r < LEAST_LENGTH, "too short"))
+    short = F.when(_ratio(F.length(X.for_counting(source)), F.length(X.for_counting(output))) < LEAST_LENGTH, "too short")
     found = F.array_compact(F.array(short, *forbidden(output), F.when(X.stars_outside_separators(output) % 2 != 0, "odd number of stars")))
     return F.when(X.strip(output) == "", F.array(F.lit("empty output"))).otherwise(found)
 
 
 def junction_findings(before: Column, after: Column) -> Column:
-    found = _ratio(F.length(X.strip(before)), F.length(X.strip(after)), lambda r: F.array_compact(F.array(F.when(r < JUNCTION[0], "shortened"), F.when(r > JUNCTION[1], "lengthened"))))
+    ratio = _ratio(F.length(X.strip(before)), F.length(X.strip(after)))
+    found = F.array_compact(F.array(F.when(ratio < JUNCTION[0], "shortened"), F.when(ratio > JUNCTION[1], "lengthened")))
     return F.when(X.strip(after) == "", F.array(F.lit("empty"))).otherwise(found)
 
 
 def volume_findings(transcript: Column, edited: Column) -> Column:
     lines = lambda t: F.size(F.filter(F.split(t, "\n", -1), lambda x: X.strip(x) != ""))
-    volume = _ratio(F.length(X.for_comparison(transcript)), F.length(X.for_comparison(edited)), lambda r: F.when(r < LEAST_LENGTH, "volume"))
-    return F.array_compact(F.array(volume, _ratio(lines(transcript), lines(edited), lambda r: F.when(r < LEAST_LENGTH, "lines"))))
+    volume = F.when(_ratio(F.length(X.for_comparison(transcript)), F.length(X.for_comparison(edited))) < LEAST_LENGTH, "volume")
+    return F.array_compact(F.array(volume, F.when(_ratio(lines(transcript), lines(edited)) < LEAST_LENGTH, "lines")))
 
 
 def mechanical_findings(transcript: Column, edited: Column) -> Column:
