@@ -14,13 +14,14 @@ EVERYONE = "*"
 
 
 def role_weights(said: DataFrame, unit: str, role: str, words: Column) -> DataFrame:
-    """Per role: words, share of all, speeches, units, share of units, flag. One pass over the speeches; windows over roles only."""
+    """Per role: words, share of all, speeches, units, share of units, flag. The whole is an aggregate of one row."""
     named = said.filter(F.col(role) != EVERYONE)
     per = named.groupBy(F.col(role).alias("role")).agg(F.sum(words).cast("long").alias("words"), F.count("*").alias("speeches"), F.countDistinct(unit).alias("units"))
     units = said.agg(F.countDistinct(unit).alias("all_units"))
-    everything = W.partitionBy()
-    share = F.try_divide(100.0 * F.col("words"), F.sum("words").over(everything))
-    per = per.withColumn("word_share", F.coalesce(share, F.lit(0.0))).withColumn("__mean", F.avg("word_share").over(everything))
+    whole = per.agg(F.sum("words").alias("__all"), F.count("*").alias("__roles"))
+    per = per.crossJoin(F.broadcast(whole)).withColumn("word_share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.col("__all")), F.lit(0.0)))
+    # shares make up 100, or are all 0
+    per = per.withColumn("__mean", F.when(F.col("__all") > 0, 100.0 / F.col("__roles")).otherwise(0.0))
     flag = F.when((F.col("word_share") < HOLLOW_PART * F.col("__mean")) & (F.col("word_share") < HOLLOW), "hollow").when((F.col("word_share") > SWOLLEN_PART * F.col("__mean")) & (F.col("word_share") > SWOLLEN), "swollen").otherwise("")
     return per.crossJoin(F.broadcast(units)).select("role", "words", F.round("word_share", 6).alias("word_share"), "speeches", "units", F.round(100.0 * F.col("units") / F.col("all_units"), 6).alias("unit_share"), flag.alias("flag"))
 
@@ -43,9 +44,10 @@ def actor_balance(weights: DataFrame, cast: DataFrame) -> DataFrame:
     """
     of = cast.groupBy("role").agg(F.max_by("actor", "place").alias("actor"))
     actors = cast.agg(F.countDistinct("actor").alias("n"))
-    mapped = weights.join(F.broadcast(of), "role", "left").withColumn("actor", F.coalesce("actor", F.concat(F.lit("[unmapped] "), F.col("role"))))
+    mapped = weights.join(of, "role", "left").withColumn("actor", F.coalesce("actor", F.concat(F.lit("[unmapped] "), F.col("role"))))
     per = mapped.groupBy("actor").agg(F.sum("words").cast("long").alias("words"))
-    per = per.crossJoin(F.broadcast(actors)).withColumn("share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.sum("words").over(W.partitionBy())), F.lit(0.0)))
+    whole = per.agg(F.sum("words").alias("__all"))
+    per = per.crossJoin(F.broadcast(actors)).crossJoin(F.broadcast(whole)).withColumn("share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.col("__all")), F.lit(0.0)))
     equal = 100.0 / F.greatest(F.col("n"), F.lit(1))
     advice = F.when(F.col("share") > CUT_FIRST * equal, "cut first").when(F.col("share") < CUT_NEVER * equal, "hollow").otherwise("")
     return per.select("actor", "words", F.round("share", 6).alias("share"), F.round(F.col("share") - equal, 6).alias("distance"), advice.alias("advice"))
@@ -58,14 +60,14 @@ def cut_candidates(units: DataFrame, unit: str, total: Column, top: int = TOP_UN
 
 def conflicts(present: DataFrame, cast: DataFrame, scene: str) -> DataFrame:
     """(scene, actor, roles): an actor of two roles or more that speak in one scene. ``present`` has (scene, role)."""
-    played = present.join(F.broadcast(cast), "role")
+    played = present.join(cast, "role")
     return played.groupBy(scene, "actor").agg(F.array_sort(F.collect_set("role")).alias("r")).filter(F.size("r") > 1).select(scene, "actor", F.array_join("r", " + ").alias("roles"))
 
 
 def costume_changes(present: DataFrame, cast: DataFrame, place: str, scene: str) -> DataFrame:
     """Actors whose roles differ altogether from one scene to the next; quick within an act (the first two words of a label)."""
     several = cast.groupBy("actor").agg(F.countDistinct("role").alias("n")).filter("n > 1").select("actor")
-    played = present.join(F.broadcast(cast), "role").join(F.broadcast(several), "actor", "left_semi")
+    played = present.join(cast, "role").join(several, "actor", "left_semi")
     per = played.groupBy("actor", place, scene).agg(F.array_sort(F.collect_set("role")).alias("r"))
     w = W.partitionBy("actor").orderBy(place)
     per = per.withColumns({"to_place": F.lead(place).over(w), "to_scene": F.lead(scene).over(w), "to_r": F.lead("r").over(w)})

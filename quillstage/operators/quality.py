@@ -10,6 +10,7 @@ from quillstage.functions import text as X
 
 LEAST_CHARS, LEAST_LETTERS, LEAST_ACCENTS, MOST_ODD = 200, 0.60, 0.005, 0.02
 LEAST_LENGTH, JUNCTION = 0.80, (0.90, 1.10)
+# Accented letters of French.
 ACCENTED = "àâäéèêëîïôöùûüÿçÀÂÄÉÈÊËÎÏÔÖÙÛÜŸÇ"
 # What must not stand in edited text or in a transcript, and declarations of a blank page or a failure.
 FORBIDDEN = {"page break": r"<<<PAGE_BREAK>>>", "page mark": r"(?m)^[\t-\r ]*\[PAGE[\t-\r ]+\d+\][\t-\r ]*$", "code fence": "(?m)^```"}
@@ -141,8 +142,12 @@ def first_violation(documents: DataFrame) -> DataFrame:
     return violations(documents).groupBy("piece").agg(F.min_by("message", F.struct("place", "message")).alias("message"))
 
 
-def report(findings: DataFrame, book: str) -> DataFrame:
-    """Text of the findings of each book: a line per finding by block, healthy blocks left out."""
+def report(findings: DataFrame, book: str, size: int = 500) -> DataFrame:
+    """(book, piece, report, findings): the findings of each book, a line each by block, healthy blocks left out.
+
+    A piece holds those of ``size`` consecutive blocks, so that no book is one row.
+    """
     line = F.format_string("[%s] bloc %d : %s", F.col("category"), F.col("block"), F.col("detail"))
     rows = findings.withColumn("line", line)
-    return rows.groupBy(book).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda s: s["line"]), "\n").alias("report"), F.count("*").alias("findings"))
+    piece = F.floor(F.col("block") / size).cast("long").alias("piece")
+    return rows.groupBy(book, piece).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda s: s["line"]), "\n").alias("report"), F.count("*").alias("findings"))

@@ -105,16 +105,19 @@ def restored_roles(stored: DataFrame, cast: DataFrame, key: str, role: str) -> D
 
 
 def session_state(events: DataFrame, key: str, order: str) -> DataFrame:
-    """State of rehearsal sessions folded from events (action, argument): mode, revealed ids, number of draws, place."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "action", "argument"))).alias("e"))
-    start = F.struct(F.lit("lecture").alias("mode"), F.array().cast("array<string>").alias("revealed"), F.lit(0).alias("draws"), F.lit(None).cast("string").alias("place"))
+    """State of rehearsal sessions after their events (action, argument): mode, revealed ids by when they were revealed, number of draws, place.
 
-    def step(s: Column, e: Column) -> Column:
-        a, x = e["action"], e["argument"]
-        revealed = F.when(a == "reveal", F.array_union(s["revealed"], F.array(x))).when(a == "hide", F.array_remove(s["revealed"], x)).when(a.isin("mask_all", "mode"), F.array().cast("array<string>")).otherwise(s["revealed"])
-        return F.struct(F.when(a == "mode", x).otherwise(s["mode"]).alias("mode"), revealed.alias("revealed"), (s["draws"] + F.when(a == "draw", 1).otherwise(0)).alias("draws"), F.when(a == "go", x).otherwise(s["place"]).alias("place"))
-
-    return listed.select(key, F.aggregate("e", start, step).alias("s")).select(key, "s.*")
+    What an id's last event since the last change of mode says, holds; nothing but the revealed ids of a session is gathered.
+    """
+    a, x = F.col("action"), F.col("argument")
+    last = lambda kind: F.max_by(F.when(a == kind, x), F.when(a == kind, F.col(order)))
+    cleared = F.max(F.when(a.isin("mask_all", "mode"), F.col(order)))
+    whole = events.groupBy(key).agg(F.coalesce(last("mode"), F.lit("lecture")).alias("mode"), F.count_if(a == "draw").cast("int").alias("draws"), last("go").alias("place"), cleared.alias("__cleared"))
+    shown = events.filter(a.isin("reveal", "hide")).join(whole.select(key, "__cleared"), key).filter(F.coalesce(F.col(order) > F.col("__cleared"), F.lit(True)))
+    per = shown.groupBy(key, "argument").agg(F.max_by("action", order).alias("now"), F.max(F.when(a == "hide", F.col(order))).alias("__hid"), F.sort_array(F.collect_set(F.when(a == "reveal", F.col(order)))).alias("__when"))
+    first = F.get(F.filter("__when", lambda t: F.coalesce(t > F.col("__hid"), F.lit(True))), F.lit(0))
+    listed = per.filter("now = 'reveal'").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(first.alias("t"), "argument"))), lambda s: s["argument"]).alias("revealed"))
+    return whole.join(listed, key, "left").select(key, "mode", F.coalesce("revealed", F.array().cast("array<string>")).alias("revealed"), "draws", "place")
 
 
 def settings(text: Column, defaults: dict[str, int]) -> Column:

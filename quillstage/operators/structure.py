@@ -19,7 +19,23 @@ ACT_WORDS = ["ACTE", "PARTIE", "PROLOGUE", "EPILOGUE", "MOUVEMENT", "JOURNEE", "
 SCENE_WORDS = ["SCENE", "TABLEAU", "SEQUENCE", "FRAGMENT"]
 CAST_HEADINGS = ["PERSONNAGE", "PERSONNAGES", "DISTRIBUTION", "LES PERSONNAGES"]
 RECURRENT, CAST_LINES, TITLE_LINE, FRONT_LINES, LONG_ASIDE = 2, 60, 12, 120, 180
+# A line that is a page number alone, and the reasons that are given for a label's type.
 PAGE_NUMBER = r"^[\t-\r \-–—_=«»<>|.·•*]*\d{1,4}[\t-\r \-–—_=«»<>|.·•*]*$"
+REASONS = {
+    "forced": "surcharge manuelle",
+    "heading": "en-tête de distribution",
+    "act": "lexique acte",
+    "scene": "lexique scène",
+    "under": "numéroté, sous des actes lexicaux",
+    "upper": "numéroté, niveau supérieur du document",
+    "cast": "distribution",
+    "followed": "suivi d'une réplique",
+    "nothing": "aucun signal : ni lexique, ni numéro, ni réplique, ni récurrence",
+    "title": "premier intitulé du document : titre de l'œuvre",
+    "two levels": ("numérotation ", ", deux niveaux détectés"),
+    "recurrent": ("récurrent (", " occurrences)"),
+}
+WARNINGS = {"unsure": "classement incertain : ", "no cast": "aucune distribution détectée", "nobody": "aucun personnage détecté"}
 OPENERS = ["titre_acte", "titre_scene", "separateur"]
 
 
@@ -78,33 +94,33 @@ def classify_labels(lines: DataFrame, doc: str, forced: dict[str, list[str]] | N
     never = F.lit(False)
     rule = F.when(never, verdict("", "", ""))
     for kind in ("personnage", "titre_acte", "titre_scene"):
-        rule = rule.when(label.isin((forced or {}).get(kind, [])), verdict(kind, "certaine", "surcharge manuelle"))
-    rule = rule.when(label.isin(CAST_HEADINGS), verdict("distribution", "certaine", "en-tête de distribution")).when(act, verdict("titre_acte", "certaine", "lexique acte")).when(scene, verdict("titre_scene", "certaine", "lexique scène"))
+        rule = rule.when(label.isin((forced or {}).get(kind, [])), verdict(kind, "certaine", REASONS["forced"]))
+    rule = rule.when(label.isin(CAST_HEADINGS), verdict("distribution", "certaine", REASONS["heading"])).when(act, verdict("titre_acte", "certaine", REASONS["act"])).when(scene, verdict("titre_scene", "certaine", REASONS["scene"]))
     known = known.withColumns({"__early": rule, "__deferred": F.col("in_order") & F.col("numbered")})
     known = known.withColumn("__deferred", F.col("__deferred") & F.col("__early").isNull())
     known = known.withColumns({"__acts": F.max(F.col("__early.type") == "titre_acte").over(whole), "__styles": F.size(F.collect_set(F.when(F.col("__deferred"), F.col("style"))).over(whole))})
     upper = F.col("style").isin("romain", "ecrit")
-    level = F.when(F.coalesce("__acts", never), verdict("titre_scene", "deduite", "numéroté, sous des actes lexicaux"))
-    two = F.concat(F.lit("numérotation "), F.col("style"), F.lit(", deux niveaux détectés"))
+    level = F.when(F.coalesce("__acts", never), verdict("titre_scene", "deduite", REASONS["under"]))
+    two = F.concat(F.lit(REASONS["two levels"][0]), F.col("style"), F.lit(REASONS["two levels"][1]))
     level = level.when((F.col("__styles") >= 2) & upper, verdict("titre_acte", "deduite", two)).when(F.col("__styles") >= 2, verdict("titre_scene", "deduite", two))
-    level = level.otherwise(verdict("titre_acte", "deduite", "numéroté, niveau supérieur du document"))
-    late = F.when(F.col("in_cast"), verdict("personnage", "certaine", "distribution")).when(F.col("speech_after") >= 1, verdict("personnage", "probable", "suivi d'une réplique"))
-    late = late.when(F.col("occurrences") >= recurrent, verdict("personnage", "probable", F.concat(F.lit("récurrent ("), F.col("occurrences").cast("string"), F.lit(" occurrences)"))))
-    late = late.otherwise(verdict("personnage", "incertaine", "aucun signal : ni lexique, ni numéro, ni réplique, ni récurrence"))
+    level = level.otherwise(verdict("titre_acte", "deduite", REASONS["upper"]))
+    late = F.when(F.col("in_cast"), verdict("personnage", "certaine", REASONS["cast"])).when(F.col("speech_after") >= 1, verdict("personnage", "probable", REASONS["followed"]))
+    late = late.when(F.col("occurrences") >= recurrent, verdict("personnage", "probable", F.concat(F.lit(REASONS["recurrent"][0]), F.col("occurrences").cast("string"), F.lit(REASONS["recurrent"][1]))))
+    late = late.otherwise(verdict("personnage", "incertaine", REASONS["nothing"]))
     known = known.withColumn("__found", F.coalesce("__early", F.when(F.col("__deferred"), level), late))
     first = F.row_number().over(W.partitionBy(doc).orderBy("first_line")) == 1
     title = first & (F.col("__found.confidence") == "incertaine") & (F.col("first_line") <= TITLE_LINE)
     known = known.withColumn("__title", title)
-    found = F.when(F.col("__title"), verdict("titre_oeuvre", "deduite", "premier intitulé du document : titre de l'œuvre")).otherwise(F.col("__found"))
+    found = F.when(F.col("__title"), verdict("titre_oeuvre", "deduite", REASONS["title"])).otherwise(F.col("__found"))
     return known.withColumn("__found", found).select(doc, "label", "shown", "__found.type", "__found.confidence", "__found.reason", "occurrences", "speech_after", "first_line")
 
 
 def warnings_of(labels: DataFrame, cast: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
     """(doc, warning): uncertain labels, no cast list, no character."""
-    uncertain = labels.filter("confidence = 'incertaine'").select(doc, F.concat(F.lit("classement incertain : "), F.col("shown")).alias("warning"))
+    uncertain = labels.filter("confidence = 'incertaine'").select(doc, F.concat(F.lit(WARNINGS["unsure"]), F.col("shown")).alias("warning"))
     named = cast.filter(F.col("name").isNotNull())
-    no_cast = docs.select(doc).join(named, doc, "left_anti").withColumn("warning", F.lit("aucune distribution détectée"))
-    nobody = docs.select(doc).join(labels.filter("type = 'personnage'"), doc, "left_anti").withColumn("warning", F.lit("aucun personnage détecté"))
+    no_cast = docs.select(doc).join(named, doc, "left_anti").withColumn("warning", F.lit(WARNINGS["no cast"]))
+    nobody = docs.select(doc).join(labels.filter("type = 'personnage'"), doc, "left_anti").withColumn("warning", F.lit(WARNINGS["nobody"]))
     return uncertain.unionByName(no_cast).unionByName(nobody)
 
 

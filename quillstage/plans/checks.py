@@ -125,7 +125,7 @@ def unit_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COUNTERS = f"""WITH {_SIDE} SELECT book, count(*) FILTER (status = 'termine') AS finished, count(*) FILTER (status = 'suspect') AS doubtful, count(*) FILTER (status = 'echec') AS failed,
-coalesce(string_agg(CASE WHEN status = 'echec' THEN CAST(number AS VARCHAR) END, ',' ORDER BY number), '') AS failed_units, grouping(book) = 1 AS is_total, count(*) FILTER (status <> 'termine') = 0 AS complete FROM s GROUP BY ROLLUP (book)"""
+min(number) FILTER (status = 'echec') AS first_failed, max(number) FILTER (status = 'echec') AS last_failed, grouping(book) = 1 AS is_total, count(*) FILTER (status <> 'termine') = 0 AS complete FROM s GROUP BY ROLLUP (book)"""
 
 
 def junctions_left(spark: SparkSession, sf: str) -> DataFrame:

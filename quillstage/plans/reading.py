@@ -163,10 +163,10 @@ BOOKS = "SELECT DISTINCT upper(source) || '.PDF' AS name FROM documents WHERE so
 def findings_report(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").filter("quality = 0")
     rows = found.select("source", F.when(F.col("toxic") == 1, "TOXIC").otherwise("LOW").alias("category"), F.col("doc_id").alias("block"), F.lit("x").alias("detail"))
-    return Q.report(rows, "source").select("source", F.md5("report").alias("report"), "findings")
+    return Q.report(rows, "source").select("source", "piece", F.md5("report").alias("report"), "findings")
 
 
-REPORTS = "WITH r AS (SELECT source, doc_id, '[' || CASE WHEN toxic = 1 THEN 'TOXIC' ELSE 'LOW' END || '] bloc ' || doc_id || ' : x' AS line FROM labels JOIN documents USING (doc_id) WHERE quality = 0) SELECT source, md5(string_agg(line, chr(10) ORDER BY doc_id, line)) AS report, count(*) AS findings FROM r GROUP BY source"
+REPORTS = "WITH r AS (SELECT source, doc_id, CAST(doc_id // 500 AS BIGINT) AS piece, '[' || CASE WHEN toxic = 1 THEN 'TOXIC' ELSE 'LOW' END || '] bloc ' || doc_id || ' : x' AS line FROM labels JOIN documents USING (doc_id) WHERE quality = 0) SELECT source, piece, md5(string_agg(line, chr(10) ORDER BY doc_id, line)) AS report, count(*) AS findings FROM r GROUP BY source, piece"
 
 
 def stored_settings(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,6 +55,7 @@ def test_reports(spark):
     assert [r.doc for r in editing.restarted_numbering(numbered, "doc").collect()] == ["d"]
     findings = spark.createDataFrame([("b", "LACUNE", 2, "x"), ("b", "AJOUT", 1, "y")], "book string, category string, block int, detail string")
     assert quality.report(findings, "book").first().report == "[AJOUT] bloc 1 : y\n[LACUNE] bloc 2 : x"
+    assert {r.piece: r.report for r in quality.report(findings, "book", 2).collect()} == {0: "[AJOUT] bloc 1 : y", 1: "[LACUNE] bloc 2 : x"}
 
 
 def test_reading(spark):
@@ -80,6 +81,9 @@ def test_sessions_and_settings(spark):
     rows = [("s", 1, "mode", "trous"), ("s", 2, "reveal", "r1"), ("s", 3, "reveal", "r2"), ("s", 4, "hide", "r1"), ("s", 5, "draw", None), ("s", 6, "go", "u2")]
     r = reading.session_state(spark.createDataFrame(rows, "id string, n int, action string, argument string"), "id", "n").first()
     assert (r.mode, r.revealed, r.draws, r.place) == ("trous", ["r2"], 1, "u2")
+    rows = [("s", 1, "reveal", "a"), ("s", 2, "reveal", "b"), ("s", 3, "reveal", "a"), ("s", 4, "hide", "b"), ("s", 5, "reveal", "c"), ("s", 6, "reveal", "b"), ("t", 1, "reveal", "a"), ("t", 2, "mask_all", None), ("u", 1, "draw", None)]
+    got = {r.id: r.revealed for r in reading.session_state(spark.createDataFrame(rows, "id string, n int, action string, argument string"), "id", "n").collect()}
+    assert got == {"s": ["a", "c", "b"], "t": [], "u": []}
     s = spark.createDataFrame([('{"a": 3, "b": "x"}',), (None,)], "t string").select(reading.settings(F.col("t"), {"a": 1, "b": 2}).alias("s")).collect()
     assert [tuple(x.s) for x in s] == [(3, 2), (1, 2)]
     changed = spark.range(1).select(reading.roles_changed(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("B"), F.lit("C")), F.array(F.lit("A"), F.lit("B"))).alias("r")).first().r
