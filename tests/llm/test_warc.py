@@ -71,6 +71,14 @@ def test_members_and_sidecar(spark):
             assert member.startswith(b"WARC/1.1\r\n") and f"WARC-Type: {kind}".encode() in member and member.count(b"WARC/1.1") == 1
 
 
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a", "<p>x</p>"), (2, "http://a", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
+    clashes = ["archive", "at", "page", "payload_bytes", "payload_digest", "refers_to", "refers_at", "other", "place", "p", "u", "h", "__n", "__first", "records", "bytes"]
+    done, folder = archive(spark, rows.withColumns({c: F.lit(f"own {c}") for c in clashes}))
+    out = {r.page: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(done, folder).collect()}
+    assert out == {"1": ("revisit", "2", 8), "2": ("response", None, 8), None: ("response", None, 0)}
+
+
 def test_empty(spark):
     done, folder = archive(spark, spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(done, folder).count() == 0
