@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -69,6 +70,18 @@ def local_path(uri: str) -> str:
     return uri[len("file:"):].replace("///", "/", 1) if uri.startswith("file:") else os.fspath(uri)
 
 
+def make_room(user: str) -> None:
+    """Called in a task: modules of this package but ``user`` forget what they hold between tasks, for Python workers serve one operator after another."""
+    held = [m for name, m in sys.modules.items() if name.startswith("quillstage.llm.") and name != user and hasattr(m, "forget")]
+    if any([m.forget() for m in held]):
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library keeps what it has
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array, in Spark's own functions; none where it is null or blank."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import read
+from quillstage.llm.common import make_room, read
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 8000, 65_536
 #: Languages that are learned: MOST_LANGUAGES * DICTIONARY_BYTES are broadcast at most.
@@ -68,7 +68,7 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
     return tuple((name, b" ".join(parts)[:DICTIONARY_BYTES]) for name, parts in sorted(filled.items()) if parts)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _compressors(model: Model):
     import zstandard
 
@@ -84,6 +84,13 @@ def _compressors(model: Model):
     return [(name, compressor(raw)) for name, raw in model]
 
 
+def forget() -> bool:
+    """Drops the compressors of this process; whether there were any."""
+    had = _compressors.cache_info().currsize > 0
+    _compressors.cache_clear()
+    return had
+
+
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
     """Language, score and whether the choice is rejected."""
     raw = letters(text)
@@ -103,6 +110,7 @@ def identified(text: str | Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        make_room(__name__)
         for texts in frames:
             yield pd.DataFrame([classify(t, shared.value) for t in texts.tolist()], columns=["lang_pred", "score", "rejected"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import read, written
+from quillstage.llm.common import make_room, read, written
 from quillstage.llm.tokens import encoder, vocabulary_path
 
 CAPACITY, END_ID = 4096, 1
@@ -204,6 +204,7 @@ def cut(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
     path = tokenizer or vocabulary_path()
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room("quillstage.llm.tokens")
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         for frame in frames:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 800_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: A Latin letter that lower-casing and composition leave without a mark, and the points that begin a token behind it.
 _LETTER_THEN_POINT = r"([a-z0-9ß-öø-ÿ\x{100}-\x{12F}\x{131}-\x{17F}])([.,!?;:]+)"
 #: Stretches that are one token run of this vocabulary: letters of Latin-1, which composition leaves as they are.
@@ -39,6 +39,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> bool:
+    """Drops the encoder of this process; whether there was one."""
+    had = encoder.cache_info().currsize > 0
+    encoder.cache_clear()
+    return had
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
