@@ -29,10 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import discard, read, written
+from quillstage.llm.common import discard, make_room, read, written
 from quillstage.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 48, 5
@@ -40,7 +42,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: The least similarity in per cent, and how far an estimate may be below it: over four standard deviations.
 THRESHOLD, REACH = 75, 0.12
-BATCH_CHARS, SET_PART = 1_000_000, 2048
+BATCH_BYTES, SET_PART = 500_000, 2048
 #: Members of a bucket that meet each other at once, bytes of sets that a task holds, and ids that are broadcast.
 BLOCK, PART_BYTES, MOST_BROADCAST = 1024, 4_000_000, 2_000_000
 #: Rows, and pairs, that a task should compare, and the most tasks of a stage.
@@ -61,24 +63,25 @@ def _families() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g.integers(0, 1 << 32, REGISTERS, np.uint64).astype(np.uint32) | np.uint32(1), g.integers(0, 1 << 32, REGISTERS, np.uint64).astype(np.uint32), g.integers(0, 1 << 63, (BANDS, ROWS + 1), np.uint64) | _U(1)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted 64-bit hashes of the distinct shingles of each text, in order."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BATCH_CHARS or i == len(texts) - 1:
-            yield from _sets([x or "" for x in texts[first : i + 1]])
-            first, size = i + 1, 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+        yield from _sets(texts.slice(first, last - first))
+        first = last
 
 
-def _sets(texts: list[str]) -> Iterator[np.ndarray]:
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     import xxhash
 
-    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    filled = pc.greater(pc.binary_length(trimmed), 0).to_pylist()
     lists = pc.ascii_split_whitespace(trimmed)
     begins = np.asarray(lists.offsets, np.int64)
+    begins -= begins[0]
     words = lists.flatten().dictionary_encode()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
     flat = hashes[np.asarray(words.indices)] if len(hashes) else np.empty(0, np.uint64)
@@ -87,9 +90,9 @@ def _sets(texts: list[str]) -> Iterator[np.ndarray]:
         for k in range(SHINGLE):
             rolled = rolled * _U(0x9E3779B97F4A7C15) + flat[k : k + len(rolled)]
         rolled = _mix(rolled)
-        for i, text in enumerate(trimmed.to_pylist()):
+        for i, some in enumerate(filled):
             a, b = begins[i], begins[i + 1]
-            if not text:
+            if not some:
                 yield np.empty(0, np.uint64)
             elif b - a < SHINGLE:
                 short = _U(b - a)
@@ -158,20 +161,23 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(d, t, n, k1, k2, bands): of each row its id, a hash of its text, size and key of its set, and its band keys."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n, k1, k2, bands = [], [], [], []
-            for s in shingle_sets(frame["x"].tolist()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
+        for batch in batches:
+            n, k1, k2, bands = [], [], [], [np.empty(0, np.int64)]
+            for s in shingle_sets(batch.column("x")):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(np.bitwise_xor.reduce(_mix(s + _U(1))).astype(np.int64)) if len(s) else 0)
-                bands.append(band_hashes(registers(s)).astype(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pd.DataFrame({"d": frame["d"], "t": frame["t"], "n": n, "k1": k1, "k2": k2, "bands": bands})
+                if len(s):
+                    bands.append(band_hashes(registers(s)).astype(np.int64))
+            ends = np.r_[0, np.cumsum(np.array(n, np.int64) > 0) * BANDS].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), *(pa.array(c, pa.int64()) for c in (n, k1, k2)), lists], ["d", "t", "n", "k1", "k2", "bands"])
 
-    # ids travel as text: pandas would make floats of them where one is null
-    drawn = docs.select(F.col(doc).cast("string").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x")).mapInPandas(run, "d string, t long, n long, k1 long, k2 long, bands array<bigint>")
-    return drawn.withColumn("d", F.col("d").cast("long"))
+    rows = docs.select(F.col(doc).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    return rows.mapInArrow(run, "d long, t long, n long, k1 long, k2 long, bands array<bigint>")
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -182,16 +188,20 @@ def _same(a: DataFrame, b: DataFrame):
 def _sets_of(docs: DataFrame, classes: DataFrame, doc: str, text: str) -> DataFrame:
     """(c, shingles, sketch) of the classes (c, d, t) by the rows that stand for them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = list(shingle_sets(frame["x"].tolist()))
-            yield pd.DataFrame({"c": frame["c"], "shingles": [s.tobytes() for s in sets], "sketch": [registers(s).tobytes() if len(s) else b"" for s in sets]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
+        for batch in batches:
+            shingles, sketch = [], []
+            for s in shingle_sets(batch.column("x")):
+                shingles.append(s.tobytes())
+                sketch.append(registers(s).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(shingles, pa.binary()), pa.array(sketch, pa.binary())], ["c", "shingles", "sketch"])
 
     n = classes.count()
     texts = docs.select(F.col(doc).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
     # beyond the bound both sides are shuffled
     texts = texts.join(F.broadcast(classes) if n <= MOST_BROADCAST else classes, _same(texts, classes)).select("c", "x")
-    sets = written(texts.mapInPandas(run, "c long, shingles binary, sketch binary"), "sets")
+    sets = written(texts.mapInArrow(run, "c long, shingles binary, sketch binary"), "sets")
     if sets.count() == n:
         return sets
     single = written(sets.dropDuplicates(["c"]), "sets")  # the very row that stands for a class was repeated
@@ -211,6 +221,7 @@ def _confirmed(requests: DataFrame, sets: DataFrame, parts: int, estimated: bool
     rows = held.unionByName(asked).repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part", "kind")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make_room(__name__)
         here, known = None, {}
         for frame in frames:
             found = []
