@@ -48,4 +48,10 @@ def carried(source: str, reviewed: str, cut: list[Span]) -> list[Span]:
 
 @lazy("array<struct<start:int,stop:int>>")
 def carry(source: pd.Series, reviewed: pd.Series, cut: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": s, "stop": e} for s, e in carried(x or "", y or "", [(c["start"], c["stop"]) for c in (z if z is not None else [])])] for x, y, z in zip(source, reviewed, cut, strict=True)], dtype=object)
+    return pd.Series(
+        [
+            [{"start": s, "stop": e} for s, e in carried(x or "", y or "", [(c["start"], c["stop"]) for c in (z if z is not None else [])])] for x,
+            y, z in zip(source, reviewed, cut, strict=True)
+        ],
+        dtype=object
+    )

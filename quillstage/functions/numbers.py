@@ -37,7 +37,11 @@ def roman_value(numeral: Column) -> Column:
     """From the right: a sign below the largest so far is taken off."""
     signs = F.transform(F.reverse(F.split(numeral, "")), lambda s: F.coalesce(F.try_element_at(_literal_map(ROMAN), s), F.lit(0)))
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("most"))
-    return F.aggregate(signs, start, lambda a, v: F.struct((a["total"] + F.when(v < a["most"], -v).otherwise(v)).alias("total"), F.greatest(a["most"], v).alias("most")), lambda a: a["total"])
+    return F.aggregate(
+        signs, start, lambda a,
+        v: F.struct((a["total"] + F.when(v < a["most"], -v).otherwise(v)).alias("total"), F.greatest(a["most"], v).alias("most")),
+        lambda a: a["total"]
+    )
 
 
 def numeral_value(label: Column) -> Column:
@@ -90,7 +94,9 @@ def duration(seconds: Column) -> Column:
     s = F.floor(seconds)
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(h > 0, F.concat(h.cast("string"), F.lit(" h "), two(m), F.lit(" min"))).when(m > 0, F.concat(m.cast("string"), F.lit(" min "), two(r), F.lit(" s"))).otherwise(F.concat(r.cast("string"), F.lit(" s")))
+    return F.when(
+        h > 0, F.concat(h.cast("string"), F.lit(" h "), two(m), F.lit(" min"))
+    ).when(m > 0, F.concat(m.cast("string"), F.lit(" min "), two(r), F.lit(" s"))).otherwise(F.concat(r.cast("string"), F.lit(" s")))
 
 
 def lower_dpi(dpi: Column, least: int = 110) -> Column:

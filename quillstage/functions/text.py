@@ -201,7 +201,10 @@ def may_be_name(text: Column) -> Column:
 
 
 def is_structure_label(line: Column) -> Column:
-    return let(strip(line), lambda s: (F.length(s) <= MOST_LABEL) & ~s.contains("<<<") & ~s.rlike(PAGE_MARK) & let(_letters(s), lambda x: (F.length(x) >= 3) & x.rlike(r"^\p{Lu}+$")))
+    return let(
+        strip(line),
+        lambda s: (F.length(s) <= MOST_LABEL) & ~s.contains("<<<") & ~s.rlike(PAGE_MARK) & let(_letters(s), lambda x: (F.length(x) >= 3) & x.rlike(r"^\p{Lu}+$"))
+    )
 
 
 def starts_small(text: Column) -> Column:

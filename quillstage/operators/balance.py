@@ -22,8 +22,13 @@ def role_weights(said: DataFrame, unit: str, role: str, words: Column) -> DataFr
     per = per.crossJoin(F.broadcast(whole)).withColumn("word_share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.col("__all")), F.lit(0.0)))
     # shares make up 100, or are all 0
     per = per.withColumn("__mean", F.when(F.col("__all") > 0, 100.0 / F.col("__roles")).otherwise(0.0))
-    flag = F.when((F.col("word_share") < HOLLOW_PART * F.col("__mean")) & (F.col("word_share") < HOLLOW), "hollow").when((F.col("word_share") > SWOLLEN_PART * F.col("__mean")) & (F.col("word_share") > SWOLLEN), "swollen").otherwise("")
-    return per.crossJoin(F.broadcast(units)).select("role", "words", F.round("word_share", 6).alias("word_share"), "speeches", "units", F.round(100.0 * F.col("units") / F.col("all_units"), 6).alias("unit_share"), flag.alias("flag"))
+    flag = F.when((F.col("word_share") < HOLLOW_PART * F.col("__mean")) & (F.col("word_share") < HOLLOW), "hollow").when(
+        (F.col("word_share") > SWOLLEN_PART * F.col("__mean")) & (F.col("word_share") > SWOLLEN), "swollen"
+    ).otherwise("")
+    return per.crossJoin(F.broadcast(units)).select(
+        "role", "words", F.round("word_share", 6).alias("word_share"), "speeches", "units",
+        F.round(100.0 * F.col("units") / F.col("all_units"), 6).alias("unit_share"), flag.alias("flag")
+    )
 
 
 def presence(said: DataFrame, unit: str, role: str, roles: list[str]) -> DataFrame:
@@ -34,7 +39,11 @@ def presence(said: DataFrame, unit: str, role: str, roles: list[str]) -> DataFra
 
 def unit_words(said: DataFrame, unit: str, role: str, words: Column) -> DataFrame:
     """Per unit: words, the roles present in order, whether everyone speaks at once."""
-    return said.groupBy(unit).agg(F.sum(words).cast("long").alias("words"), F.array_join(F.array_sort(F.collect_set(F.when(F.col(role) != EVERYONE, F.col(role)))), ", ").alias("roles"), F.max(F.when(F.col(role) == EVERYONE, 1).otherwise(0)).cast("boolean").alias("collective"))
+    return said.groupBy(unit).agg(
+        F.sum(words).cast("long").alias("words"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col(role) != EVERYONE, F.col(role)))), ", ").alias("roles"),
+        F.max(F.when(F.col(role) == EVERYONE, 1).otherwise(0)).cast("boolean").alias("collective")
+    )
 
 
 def actor_balance(weights: DataFrame, cast: DataFrame) -> DataFrame:
@@ -47,7 +56,9 @@ def actor_balance(weights: DataFrame, cast: DataFrame) -> DataFrame:
     mapped = weights.join(of, "role", "left").withColumn("actor", F.coalesce("actor", F.concat(F.lit("[unmapped] "), F.col("role"))))
     per = mapped.groupBy("actor").agg(F.sum("words").cast("long").alias("words"))
     whole = per.agg(F.sum("words").alias("__all"))
-    per = per.crossJoin(F.broadcast(actors)).crossJoin(F.broadcast(whole)).withColumn("share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.col("__all")), F.lit(0.0)))
+    per = per.crossJoin(F.broadcast(actors)).crossJoin(F.broadcast(whole)).withColumn(
+        "share", F.coalesce(F.try_divide(100.0 * F.col("words"), F.col("__all")), F.lit(0.0))
+    )
     equal = 100.0 / F.greatest(F.col("n"), F.lit(1))
     advice = F.when(F.col("share") > CUT_FIRST * equal, "cut first").when(F.col("share") < CUT_NEVER * equal, "hollow").otherwise("")
     return per.select("actor", "words", F.round("share", 6).alias("share"), F.round(F.col("share") - equal, 6).alias("distance"), advice.alias("advice"))
@@ -73,4 +84,7 @@ def costume_changes(present: DataFrame, cast: DataFrame, place: str, scene: str)
     per = per.withColumns({"to_place": F.lead(place).over(w), "to_scene": F.lead(scene).over(w), "to_r": F.lead("r").over(w)})
     act = lambda c: F.slice(F.split(c, " "), F.lit(1), F.lit(2))
     changed = per.filter((F.col("to_place") == F.col(place) + 1) & ~F.arrays_overlap("r", "to_r"))
-    return changed.select("actor", F.col(place).alias("place"), F.array_join("r", "/").alias("roles"), F.array_join("to_r", "/").alias("next_roles"), (act(F.col(scene)) == act(F.col("to_scene"))).alias("quick"))
+    return changed.select(
+        "actor", F.col(place).alias("place"), F.array_join("r", "/").alias("roles"), F.array_join("to_r", "/").alias("next_roles"),
+        (act(F.col(scene)) == act(F.col("to_scene"))).alias("quick")
+    )

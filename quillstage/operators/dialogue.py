@@ -52,14 +52,28 @@ def elements(typed: DataFrame, doc: str) -> DataFrame:
     joined = F.array_join("lines", "\n")
     spoken = X.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"(?<!\*)\*(?!\*)([^*]+)\*", ""), r"[ \t]+", " "), r" ?\n ?", "\n"))
     before = lambda i: F.size(X.tokens(F.regexp_replace(F.array_join(F.slice(F.split(joined, r"\*[^*]+\*", -1), F.lit(1), i + 1), " "), r"\*", "")))
-    inner = F.transform(F.regexp_extract_all(joined, F.lit(r"(?<!\*)\*([^*]+)\*"), F.lit(1)), lambda a, i: F.struct(before(i).alias("before_word"), X.strip(a).alias("text")))
+    inner = F.transform(
+        F.regexp_extract_all(joined, F.lit(r"(?<!\*)\*([^*]+)\*"), F.lit(1)), lambda a,
+        i: F.struct(before(i).alias("before_word"), X.strip(a).alias("text"))
+    )
     named = F.transform(X.asides_of(F.col("name")), lambda a: F.struct(F.lit(0).alias("before_word"), a.alias("text")))
     said = said.withColumns({"people": X.speakers(F.col("name")), "spoken": spoken, "asides": F.concat(named, inner)})
-    speeches = said.filter("spoken <> ''").select(doc, "unit_no", "act", "scene", "implicit", "at", F.lit("replique").alias("type"), F.col("spoken").alias("text"), "people", (F.size("lines") > 1).alias("verse"), "asides")
+    speeches = said.filter("spoken <> ''").select(
+        doc, "unit_no", "act", "scene", "implicit", "at", F.lit("replique").alias("type"), F.col("spoken").alias("text"), "people",
+        (F.size("lines") > 1).alias("verse"), "asides"
+    )
     none = F.lit(None)
-    silent = said.filter("spoken = ''").select(doc, "unit_no", "act", "scene", "implicit", "at", F.lit("didascalie").alias("type"), F.explode(F.transform("asides", lambda a: a["text"])).alias("text"), none.cast("array<string>").alias("people"), none.cast("boolean").alias("verse"), none.cast("array<struct<before_word:int,text:string>>").alias("asides"))
+    silent = said.filter("spoken = ''").select(
+        doc, "unit_no", "act", "scene", "implicit", "at", F.lit("didascalie").alias("type"),
+        F.explode(F.transform("asides", lambda a: a["text"])).alias("text"), none.cast("array<string>").alias("people"),
+        none.cast("boolean").alias("verse"), none.cast("array<struct<before_word:int,text:string>>").alias("asides")
+    )
     kind = F.when(F.col("type") == "texte", "texte_sans_personnage").when(F.col("type") == "lieu", "lieu").otherwise("didascalie")
-    other = rows.filter("speech_no = 0 and type <> 'personnage'").select(doc, "unit_no", "act", "scene", "implicit", F.struct("line_no", "part").alias("at"), kind.alias("type"), "text", none.cast("array<string>").alias("people"), none.cast("boolean").alias("verse"), none.cast("array<struct<before_word:int,text:string>>").alias("asides"))
+    other = rows.filter("speech_no = 0 and type <> 'personnage'").select(
+        doc, "unit_no", "act", "scene", "implicit", F.struct("line_no", "part").alias("at"), kind.alias("type"), "text",
+        none.cast("array<string>").alias("people"), none.cast("boolean").alias("verse"),
+        none.cast("array<struct<before_word:int,text:string>>").alias("asides")
+    )
     return identified(speeches.unionByName(silent).unionByName(other), doc)
 
 
@@ -75,7 +89,9 @@ def identified(rows: DataFrame, doc: str) -> DataFrame:
 
 def distribution(speeches: DataFrame, doc: str) -> DataFrame:
     """(doc, name, speeches, words): every speaker is fully credited, everyone at once nobody."""
-    return speeches.filter("type = 'replique'").select(doc, F.explode("people").alias("name"), F.size(X.tokens(F.col("text"))).alias("w")).filter("name <> '*'").groupBy(doc, "name").agg(F.count("*").alias("speeches"), F.sum("w").alias("words"))
+    return speeches.filter("type = 'replique'").select(
+        doc, F.explode("people").alias("name"), F.size(X.tokens(F.col("text"))).alias("w")
+    ).filter("name <> '*'").groupBy(doc, "name").agg(F.count("*").alias("speeches"), F.sum("w").alias("words"))
 
 
 def spellings(names: DataFrame, doc: str, raw: str) -> DataFrame:
@@ -85,10 +101,20 @@ def spellings(names: DataFrame, doc: str, raw: str) -> DataFrame:
 
 def document(rows: DataFrame, doc: str) -> DataFrame:
     """The nested document of each play: units with their people and elements."""
-    element = F.struct("position", "type", F.col("text").alias("texte"), "id", F.col("people").alias("personnages"), F.col("verse").alias("vers"), F.transform("asides", lambda a: F.struct(a["before_word"].alias("avant_mot"), a["text"].alias("texte"))).alias("didascalies_internes"))
-    people = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "people"))), lambda s: F.coalesce(s["people"], F.array().cast("array<string>")))))
-    units = rows.groupBy(doc, F.col("unit_id").alias("uid"), F.col("act").alias("acte"), F.col("scene"), F.col("implicit").alias("implicite")).agg(people.alias("personnages"), F.transform(F.array_sort(F.collect_list(element)), lambda e: e.dropFields("position")).alias("elements"))
-    whole = units.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("uid").alias("id"), "acte", "scene", "implicite", "personnages", "elements"))).alias("unites"))
+    element = F.struct(
+        "position", "type", F.col("text").alias("texte"), "id", F.col("people").alias("personnages"), F.col("verse").alias("vers"),
+        F.transform("asides", lambda a: F.struct(a["before_word"].alias("avant_mot"), a["text"].alias("texte"))).alias("didascalies_internes")
+    )
+    people = F.array_distinct(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "people"))), lambda s: F.coalesce(s["people"], F.array().cast("array<string>"))))
+    )
+    units = rows.groupBy(doc, F.col("unit_id").alias("uid"), F.col("act").alias("acte"), F.col("scene"), F.col("implicit").alias("implicite")).agg(
+        people.alias("personnages"),
+        F.transform(F.array_sort(F.collect_list(element)), lambda e: e.dropFields("position")).alias("elements")
+    )
+    whole = units.groupBy(doc).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("uid").alias("id"), "acte", "scene", "implicite", "personnages", "elements"))).alias("unites")
+    )
     cast = distribution(rows, doc).groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("k"), "name", "speeches", "words"))), lambda s: F.struct(s["name"].alias("nom"), s["speeches"].alias("repliques"), s["words"].alias("mots"))).alias("personnages"))
     return whole.join(cast, doc, "left").select(F.lit("repetition/2").alias("schema"), F.col(doc).alias("piece"), "personnages", "unites")
 
@@ -99,5 +125,10 @@ def titled(units: DataFrame, doc: str) -> DataFrame:
     act_new = F.col("act").isNotNull() & ~F.col("act").eqNullSafe(F.lag("act").over(w))
     scene_new = F.col("scene").isNotNull() & (act_new | ~F.col("scene").eqNullSafe(F.lag("scene").over(w)))
     row = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
-    titles = F.array_compact(F.array(F.when(act_new, row("titre_acte", F.col("act"))), F.when(scene_new, row("titre_scene", F.col("scene"))), F.when(F.col("implicit") & ~F.coalesce(act_new, F.lit(False)) & ~F.coalesce(scene_new, F.lit(False)), row("separateur", F.lit("***")))))
+    titles = F.array_compact(
+        F.array(
+            F.when(act_new, row("titre_acte", F.col("act"))), F.when(scene_new, row("titre_scene", F.col("scene"))),
+            F.when(F.col("implicit") & ~F.coalesce(act_new, F.lit(False)) & ~F.coalesce(scene_new, F.lit(False)), row("separateur", F.lit("***")))
+        )
+    )
     return units.withColumn("t", titles).select(doc, "unit_id", F.posexplode("t").alias("part", "t")).select(doc, "unit_id", "part", "t.type", "t.text")

@@ -14,7 +14,10 @@ from quillstage.operators.structure import ACT_WORDS, SCENE_WORDS
 
 # Delimiters of a junction reply, and the roles that front matter may have.
 LEFT, LEFT_END, RIGHT, RIGHT_END = "<<<BLOC_GAUCHE>>>", "<<<FIN_BLOC_GAUCHE>>>", "<<<BLOC_DROIT>>>", "<<<FIN_BLOC_DROIT>>>"
-FRONT_ROLES = ["titre_oeuvre", "titre_secondaire", "epigraphe", "attribution", "note", "distribution", "entree_distribution", "titre_acte", "titre_scene", "personnage", "didascalie", "prologue", "texte"]
+FRONT_ROLES = [
+    "titre_oeuvre", "titre_secondaire", "epigraphe", "attribution", "note", "distribution", "entree_distribution", "titre_acte",
+    "titre_scene", "personnage", "didascalie", "prologue", "texte"
+]
 BOLD_SHARE = 0.6
 
 
@@ -27,7 +30,10 @@ def junction_reply(reply: Column) -> Column:
 def junction_kept(reply: Column, left: Column, right: Column, findings: Callable[[Column, Column], Column]) -> Column:
     """The corrected sides where the reply can be read and nothing is found against it, else the old ones."""
     old = F.struct(left.alias("left"), right.alias("right"))
-    return X.let(junction_reply(reply), lambda r: F.when(r.isNotNull() & (F.size(findings(left, r["left"])) == 0) & (F.size(findings(right, r["right"])) == 0), r).otherwise(old))
+    return X.let(
+        junction_reply(reply),
+        lambda r: F.when(r.isNotNull() & (F.size(findings(left, r["left"])) == 0) & (F.size(findings(right, r["right"])) == 0), r).otherwise(old)
+    )
 
 
 def annotations(replies: DataFrame, doc: str, reply: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +76,9 @@ def edited_from_paragraphs(paragraphs: DataFrame, doc: str) -> DataFrame:
     rows = rows.withColumn("__new", (~((F.col("__kind") == "speech") & F.coalesce(F.lag("__kind").over(w) == "speech", F.lit(False)))).cast("int"))
     rows = rows.withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     joined = rows.groupBy(doc, "__run", "__kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "__t"))), lambda s: s["__t"]), "\n").alias("__t"))
-    line = F.when(F.col("__kind") == "bold", F.concat(F.lit("**"), F.col("__t"), F.lit("**"))).when(F.col("__kind") == "italic", F.concat(F.lit("*"), F.col("__t"), F.lit("*"))).otherwise(F.col("__t"))
+    line = F.when(
+        F.col("__kind") == "bold", F.concat(F.lit("**"), F.col("__t"), F.lit("**"))
+    ).when(F.col("__kind") == "italic", F.concat(F.lit("*"), F.col("__t"), F.lit("*"))).otherwise(F.col("__t"))
     return joined.select(doc, F.col("__run").cast("int").alias("position"), line.alias("line"))
 
 
@@ -88,11 +96,20 @@ def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...]
     s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), "category")
     held = r.join(s, (r[doc] == F.col("__d")) & (F.col("__a") < F.col("stop")) & (F.col("__b") > F.col("start")), "left")
     keys = [doc, "start", "stop", "text", *carry]
-    per = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("__a").isNotNull(), F.struct(F.greatest("__a", "start").alias("a"), F.least("__b", "stop").alias("b"), F.col("category").alias("c"))))).alias("cuts"))
+    per = held.groupBy(*keys).agg(
+        F.array_sort(
+            F.collect_list(
+                F.when(F.col("__a").isNotNull(), F.struct(F.greatest("__a", "start").alias("a"), F.least("__b", "stop").alias("b"), F.col("category").alias("c")))
+            )
+        ).alias("cuts")
+    )
     ends = F.array_sort(F.array_distinct(F.concat(F.array("start", "stop"), F.transform("cuts", lambda c: c["a"]), F.transform("cuts", lambda c: c["b"]))))
     bits = per.withColumn("e", ends).select("*", F.posexplode("e").alias("i", "at")).withColumn("to", F.get("e", F.col("i") + 1)).filter("`to` is not null")
     category = F.get(F.transform(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (c["b"] >= F.col("to"))), lambda c: c["c"]), F.lit(0))
-    return bits.select(doc, F.col("at").alias("start"), F.substr("text", F.col("at") - F.col("start") + 1, F.col("to") - F.col("at")).alias("text"), category.alias("category"), *carry)
+    return bits.select(
+        doc, F.col("at").alias("start"), F.substr("text", F.col("at") - F.col("start") + 1, F.col("to") - F.col("at")).alias("text"),
+        category.alias("category"), *carry
+    )
 
 
 def words_left(paragraphs: DataFrame, spans: DataFrame, doc: str, is_scene: Column) -> DataFrame:
@@ -118,7 +135,9 @@ def with_tracked_cuts(pieces: DataFrame, doc: str, authors: dict[int, str], date
         out = []
         for n, (text, category) in enumerate(frame.sort_values("start")[["text", "category"]].itertuples(index=False)):
             cut = category is not None and category == category
-            out.append(f'<w:del w:id="{n}" w:author="{esc(authors[int(category)])}" w:date="{date}"><w:r><w:delText xml:space="preserve">{esc(text)}</w:delText></w:r></w:del>' if cut else f'<w:r><w:t xml:space="preserve">{esc(text)}</w:t></w:r>')
+            out.append(
+                f'<w:del w:id="{n}" w:author="{esc(authors[int(category)])}" w:date="{date}"><w:r><w:delText xml:space="preserve">{esc(text)}</w:delText></w:r></w:del>' if cut else f'<w:r><w:t xml:space="preserve">{esc(text)}</w:t></w:r>'
+            )
         return pd.DataFrame({doc: [frame[doc].iloc[0]], "xml": ["".join(out)]})
 
     return pieces.groupBy(doc).applyInPandas(build, f"`{doc}` {pieces.schema[doc].dataType.simpleString()}, xml string")
@@ -126,12 +145,19 @@ def with_tracked_cuts(pieces: DataFrame, doc: str, authors: dict[int, str], date
 
 def classification_report(labels: DataFrame, doc: str) -> DataFrame:
     """(doc, report): a line per label by type, with totals."""
-    line = F.format_string("%-20s %-12s %-10s %3d %3d  %s", F.col("type"), F.col("label"), F.col("confidence"), F.col("occurrences"), F.col("speech_after"), F.col("reason"))
+    line = F.format_string(
+        "%-20s %-12s %-10s %3d %3d  %s", F.col("type"), F.col("label"), F.col("confidence"), F.col("occurrences"), F.col("speech_after"),
+        F.col("reason")
+    )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "label", line.alias("l")))), lambda s: s["l"]), "\n")
-    return labels.groupBy(doc).agg(body.alias("body"), F.count("*").alias("n"), F.count_if(F.col("confidence") == "incertaine").alias("unsure")).select(doc, F.concat("body", F.format_string("\n%d labels, %d uncertain", F.col("n"), F.col("unsure"))).alias("report"))
+    return labels.groupBy(doc).agg(body.alias("body"), F.count("*").alias("n"), F.count_if(F.col("confidence") == "incertaine").alias("unsure")).select(
+        doc, F.concat("body", F.format_string("\n%d labels, %d uncertain", F.col("n"), F.col("unsure"))).alias("report")
+    )
 
 
 def restarted_numbering(labels: DataFrame, doc: str) -> DataFrame:
     """Documents of one level of at least three numbered titles whose values repeat. ``labels`` come from ``numbering``."""
     numbered = labels.filter("numbered")
-    return numbered.groupBy(doc).agg(F.count("value").alias("n"), F.countDistinct("value").alias("d"), F.countDistinct("style").alias("s")).filter("s < 2 and n >= 3 and d < n").select(doc)
+    return numbered.groupBy(doc).agg(
+        F.count("value").alias("n"), F.countDistinct("value").alias("d"), F.countDistinct("style").alias("s")
+    ).filter("s < 2 and n >= 3 and d < n").select(doc)

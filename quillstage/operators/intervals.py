@@ -14,7 +14,9 @@ def anchored(text: Column, begin: Column, end: Column | None = None) -> Column:
     last = begin if end is None else end
     fault = F.when(F.instr(text, begin) == 0, "begin not found").when(~once(begin), "begin not unique")
     if end is not None:
-        fault = fault.when(F.instr(text, end) == 0, "end not found").when(~once(end), "end not unique").when(at(end) + F.length(end) <= at(begin), "ends before it begins")
+        fault = fault.when(F.instr(text, end) == 0, "end not found").when(~once(end), "end not unique").when(
+            at(end) + F.length(end) <= at(begin), "ends before it begins"
+        )
     return F.struct(F.when(fault.isNull(), at(begin)).alias("start"), F.when(fault.isNull(), at(last) + F.length(last)).alias("stop"), fault.alias("fault"))
 
 
@@ -70,6 +72,8 @@ def propagated(paragraphs: DataFrame, spans: DataFrame, doc: str) -> DataFrame:
     p = p.withColumn("__name", F.sum(F.col("bold").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), "category")
     cut = p.join(s, (p[doc] == F.col("__d")) & (F.col("start") >= F.col("__a")) & (F.col("stop") <= F.col("__b")), "left")
-    speech = cut.filter("not bold").groupBy(doc, "__name").agg(F.bool_and(F.col("category").isNotNull()).alias("whole"), F.min_by("category", "start").alias("category")).filter("whole and __name > 0")
+    speech = cut.filter("not bold").groupBy(doc, "__name").agg(
+        F.bool_and(F.col("category").isNotNull()).alias("whole"), F.min_by("category", "start").alias("category")
+    ).filter("whole and __name > 0")
     names = cut.filter("bold and category is null").select(doc, "__name", "start", "stop")
     return names.join(speech, [doc, "__name"]).select(doc, "start", "stop", "category")

@@ -89,7 +89,10 @@ def split_inline(line: Column) -> Column:
         return judged(p["raw"], p["said"], p["before"], p["after"], p["comma"] & X.is_name(p["before"]) & (p["after"] != ""))
 
     def cut(raw: Column, said: Column) -> Column:
-        return F.struct(raw.alias("raw"), said.alias("said"), X.strip(F.regexp_extract(raw, r"^([^,]*),", 1)).alias("before"), X.strip(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1)).alias("after"), (F.instr(raw, ",") > 0).alias("comma"))
+        return F.struct(
+            raw.alias("raw"), said.alias("said"), X.strip(F.regexp_extract(raw, r"^([^,]*),", 1)).alias("before"),
+            X.strip(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1)).alias("after"), (F.instr(raw, ",") > 0).alias("comma")
+        )
 
     def fitting(s: Column) -> Column:
         raw, rest = X.strip(F.regexp_extract(s, pattern, 1)), X.strip(F.regexp_extract(s, pattern, 2))
@@ -102,4 +105,9 @@ def emphasis_runs(line: Column) -> Column:
     """Runs of a line: array of struct(text, bold, italic); a stray star is text."""
     bits = F.regexp_extract_all(line, F.lit(r"\*\*[^*]+\*\*|\*[^*]+\*|[^*]+|\*"), F.lit(0))
     run = lambda t, b, i: F.struct(t.alias("text"), F.lit(b).alias("bold"), F.lit(i).alias("italic"))
-    return F.transform(bits, lambda t: F.when(t.rlike(r"^\*\*[^*]+\*\*$"), run(F.regexp_replace(t, r"^\*\*|\*\*$", ""), True, False)).when(t.rlike(r"^\*[^*]+\*$"), run(F.regexp_replace(t, r"^\*|\*$", ""), False, True)).otherwise(run(t, False, False)))
+    return F.transform(
+        bits,
+        lambda t: F.when(
+            t.rlike(r"^\*\*[^*]+\*\*$"), run(F.regexp_replace(t, r"^\*\*|\*\*$", ""), True, False)
+        ).when(t.rlike(r"^\*[^*]+\*$"), run(F.regexp_replace(t, r"^\*|\*$", ""), False, True)).otherwise(run(t, False, False))
+    )

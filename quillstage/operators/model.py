@@ -32,7 +32,10 @@ def compared(blocks: DataFrame, key: list[str], transcript: str, edition: str, c
     rows = called(blocks.withColumn("__prompt", prompt), key, "__prompt", client).withColumnRenamed("answer", "report")
     status = F.when(F.col("report").isNull(), "echec").when(F.col("__sound"), "termine").otherwise("suspect")
     rows = rows.withColumn("__sound", F.coalesce(quality.is_sound(F.col("report")), F.lit(False)))
-    return rows.select(*key, "report", F.col("__sound").alias("sound"), F.coalesce(quality.counted_findings(F.col("report")), F.lit(0)).cast("long").alias("findings"), status.alias("status"), "tries")
+    return rows.select(
+        *key, "report", F.col("__sound").alias("sound"),
+        F.coalesce(quality.counted_findings(F.col("report")), F.lit(0)).cast("long").alias("findings"), status.alias("status"), "tries"
+    )
 
 
 def annotated(lines: DataFrame, doc: str, end: int, client: Client) -> tuple[DataFrame, DataFrame]:

@@ -104,7 +104,10 @@ def mechanical_findings(transcript: Column, edited: Column) -> Column:
     """All checks of an edited book against its transcript, in order."""
     labels = F.array_except(capital_labels(transcript), capital_labels(edited))
     lost = F.transform(labels, lambda x: F.concat(F.lit("label lost: "), x))
-    return F.concat(volume_findings(transcript, edited), lost, F.array_compact(F.array(F.when(X.stars_outside_separators(edited) % 2 != 0, "odd number of stars"), *forbidden(edited))))
+    return F.concat(
+        volume_findings(transcript, edited), lost,
+        F.array_compact(F.array(F.when(X.stars_outside_separators(edited) % 2 != 0, "odd number of stars"), *forbidden(edited)))
+    )
 
 
 def capital_labels(text: Column) -> Column:
@@ -123,11 +126,19 @@ def violations(documents: DataFrame) -> DataFrame:
     e = u.select("piece", "u", F.posexplode_outer("unit.elements").alias("e", "element"))
     place = lambda *parts: F.array(*[F.coalesce(p, F.lit(-1)) for p in parts])
     none = F.lit(None).cast("int")
-    found = [documents.filter(version_remedy(F.col("schema")).isNotNull() | F.col("schema").isNull()).select("piece", place(none, none).alias("place"), F.lit("schema").alias("message"))]
+    found = [
+        documents.filter(version_remedy(F.col("schema")).isNotNull() | F.col("schema").isNull()).select(
+            "piece", place(none, none).alias("place"), F.lit("schema").alias("message")
+        )
+    ]
     found.append(documents.filter("unites is null or size(unites) = 0").select("piece", place(none, none).alias("place"), F.lit("no units").alias("message")))
     found.append(u.filter("unit is not null and unit.id is null").select("piece", place(F.col("u"), none).alias("place"), F.lit("unit without id").alias("message")))
-    bad = F.when(~F.coalesce(F.col("element.type").isin("replique", "didascalie", "lieu", "texte_sans_personnage"), F.lit(False)), "unknown element").when(F.col("element.texte").isNull(), "element without text").when((F.col("element.type") == "replique") & F.col("element.id").isNull(), "speech without id").when((F.col("element.type") == "replique") & (F.coalesce(F.size("element.personnages"), F.lit(0)) <= 0), "speech without speaker")
-    found.append(e.filter("element is not null").withColumn("message", bad).filter("message is not null").select("piece", place(F.col("u"), F.col("e")).alias("place"), "message"))
+    bad = F.when(
+        ~F.coalesce(F.col("element.type").isin("replique", "didascalie", "lieu", "texte_sans_personnage"), F.lit(False)), "unknown element"
+    ).when(F.col("element.texte").isNull(), "element without text").when((F.col("element.type") == "replique") & F.col("element.id").isNull(), "speech without id").when((F.col("element.type") == "replique") & (F.coalesce(F.size("element.personnages"), F.lit(0)) <= 0), "speech without speaker")
+    found.append(
+        e.filter("element is not null").withColumn("message", bad).filter("message is not null").select("piece", place(F.col("u"), F.col("e")).alias("place"), "message")
+    )
     ids = e.filter("element.type = 'replique'").withColumn("n", F.count("*").over(W.partitionBy("piece", "element.id")))
     found.append(ids.filter("n > 1").select("piece", place(F.col("u"), F.col("e")).alias("place"), F.lit("id not unique").alias("message")))
     spoken = e.groupBy("piece").agg(F.count_if(F.coalesce(F.col("element.type") == "replique", F.lit(False))).alias("n")).filter("n = 0")
@@ -150,4 +161,7 @@ def report(findings: DataFrame, book: str, size: int = 500) -> DataFrame:
     line = F.format_string("[%s] bloc %d : %s", F.col("category"), F.col("block"), F.col("detail"))
     rows = findings.withColumn("line", line)
     piece = F.floor(F.col("block") / size).cast("long").alias("piece")
-    return rows.groupBy(book, piece).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda s: s["line"]), "\n").alias("report"), F.count("*").alias("findings"))
+    return rows.groupBy(book, piece).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda s: s["line"]), "\n").alias("report"),
+        F.count("*").alias("findings")
+    )

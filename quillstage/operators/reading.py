@@ -15,7 +15,10 @@ SOFT, HARD = 0.6, 1.4
 def flattened(elements: DataFrame) -> DataFrame:
     """Elements with a scene row before the first of every unit that has a title: (piece, position, kind, text, people)."""
     first = elements.groupBy("piece", "unit_pos", "act", "scene", "implicit").count().drop("count")
-    heads = first.filter("not implicit").select("piece", "unit_pos", F.lit(-1).alias("elem_pos"), F.lit("scene").alias("kind"), F.concat_ws(" - ", "act", "scene").alias("text"), F.lit(None).cast("array<string>").alias("people"))
+    heads = first.filter("not implicit").select(
+        "piece", "unit_pos", F.lit(-1).alias("elem_pos"), F.lit("scene").alias("kind"), F.concat_ws(" - ", "act", "scene").alias("text"),
+        F.lit(None).cast("array<string>").alias("people")
+    )
     rows = heads.unionByName(elements.select("piece", "unit_pos", "elem_pos", F.col("type").alias("kind"), "text", "people"))
     order = W.partitionBy("piece").orderBy("unit_pos", "elem_pos")
     return rows.withColumn("position", F.row_number().over(order) - 1).drop("unit_pos", "elem_pos")
@@ -53,7 +56,10 @@ def speech_pages(speeches: DataFrame, key: list[str], text: str, quota: int) ->
         n = F.length(line) + 1
         turn = (state["size"] > 0) & ((state["size"] >= SOFT * quota) | (state["size"] + n > HARD * quota))
         page = F.when(turn, state["page"] + 1).otherwise(state["page"])
-        return F.struct(F.when(turn, n).otherwise(state["size"] + n).alias("size"), page.alias("page"), F.concat(state["out"], F.array(F.struct(page.alias("page"), line.alias("line")))).alias("out"))
+        return F.struct(
+            F.when(turn, n).otherwise(state["size"] + n).alias("size"), page.alias("page"),
+            F.concat(state["out"], F.array(F.struct(page.alias("page"), line.alias("line")))).alias("out")
+        )
 
     folded = F.aggregate(F.split(text, "\n", -1), start, step, lambda s: s["out"])
     rows = speeches.select(*key, F.posexplode(folded).alias("i", "l"))
@@ -63,7 +69,9 @@ def speech_pages(speeches: DataFrame, key: list[str], text: str, quota: int) ->
 def page_groups(pages: DataFrame, doc: str, order: str, id_: str) -> DataFrame:
     """Consecutive rows of the same id as one: first and last place."""
     w = W.partitionBy(doc).orderBy(order)
-    runs = pages.withColumn("__new", (~F.col(id_).eqNullSafe(F.lag(id_).over(w))).cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = pages.withColumn("__new", (~F.col(id_).eqNullSafe(F.lag(id_).over(w))).cast("int")).withColumn(
+        "__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))
+    )
     return runs.groupBy(doc, "__run", id_).agg(F.min(order).alias("first_place"), F.max(order).alias("last_place")).drop("__run")
 
 
@@ -112,11 +120,19 @@ def session_state(events: DataFrame, key: str, order: str) -> DataFrame:
     a, x = F.col("action"), F.col("argument")
     last = lambda kind: F.max_by(F.when(a == kind, x), F.when(a == kind, F.col(order)))
     cleared = F.max(F.when(a.isin("mask_all", "mode"), F.col(order)))
-    whole = events.groupBy(key).agg(F.coalesce(last("mode"), F.lit("lecture")).alias("mode"), F.count_if(a == "draw").cast("int").alias("draws"), last("go").alias("place"), cleared.alias("__cleared"))
+    whole = events.groupBy(key).agg(
+        F.coalesce(last("mode"), F.lit("lecture")).alias("mode"), F.count_if(a == "draw").cast("int").alias("draws"),
+        last("go").alias("place"), cleared.alias("__cleared")
+    )
     shown = events.filter(a.isin("reveal", "hide")).join(whole.select(key, "__cleared"), key).filter(F.coalesce(F.col(order) > F.col("__cleared"), F.lit(True)))
-    per = shown.groupBy(key, "argument").agg(F.max_by("action", order).alias("now"), F.max(F.when(a == "hide", F.col(order))).alias("__hid"), F.sort_array(F.collect_set(F.when(a == "reveal", F.col(order)))).alias("__when"))
+    per = shown.groupBy(key, "argument").agg(
+        F.max_by("action", order).alias("now"), F.max(F.when(a == "hide", F.col(order))).alias("__hid"),
+        F.sort_array(F.collect_set(F.when(a == "reveal", F.col(order)))).alias("__when")
+    )
     first = F.get(F.filter("__when", lambda t: F.coalesce(t > F.col("__hid"), F.lit(True))), F.lit(0))
-    listed = per.filter("now = 'reveal'").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(first.alias("t"), "argument"))), lambda s: s["argument"]).alias("revealed"))
+    listed = per.filter("now = 'reveal'").groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(first.alias("t"), "argument"))), lambda s: s["argument"]).alias("revealed")
+    )
     return whole.join(listed, key, "left").select(key, "mode", F.coalesce("revealed", F.array().cast("array<string>")).alias("revealed"), "draws", "place")
 
 

@@ -25,7 +25,10 @@ def cues(elements: DataFrame, unit: list[str], order: str, mine: Column) -> Data
     before = W.partitionBy(*unit).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     speech = F.col("type") == "replique"
     e = elements.withColumns({"__mine": mine, "__last_mine": F.last(F.when(speech, mine), ignorenulls=True).over(before)})
-    e = e.withColumn("__cue", F.last(F.when(~F.col("type").isin(MUTE), F.struct(F.col("type").alias("type"), F.col("text").alias("text"))), ignorenulls=True).over(before))
+    e = e.withColumn(
+        "__cue",
+        F.last(F.when(~F.col("type").isin(MUTE), F.struct(F.col("type").alias("type"), F.col("text").alias("text"))), ignorenulls=True).over(before)
+    )
     chained = F.coalesce(F.col("__last_mine"), F.lit(False))
     none = chained | F.col("__cue").isNull()
     kind = F.when(none, "aucun").when(F.col("__cue.type") == "replique", "replique").otherwise("didascalie")
@@ -58,10 +61,15 @@ def newest_corrected(ranked: DataFrame) -> DataFrame:
 def progress(ranked: DataFrame, key: list[str], at: str, score: str, now: Column, corrected: str | None = None) -> DataFrame:
     """Per key: attempts, current streak, successes, last score and time, due time and status at ``now``."""
     ok = success(F.col(score), None if corrected is None else F.col(corrected))
-    per = ranked.groupBy(*key).agg(F.count("*").alias("attempts"), F.coalesce(F.min(F.when(~ok, F.col("rank"))) - 1, F.count("*")).cast("long").alias("streak"), F.count_if(ok).alias("successes"), F.max(at).alias("last_at"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("last_score"))
+    per = ranked.groupBy(*key).agg(
+        F.count("*").alias("attempts"), F.coalesce(F.min(F.when(~ok, F.col("rank"))) - 1, F.count("*")).cast("long").alias("streak"),
+        F.count_if(ok).alias("successes"), F.max(at).alias("last_at"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("last_score")
+    )
     step = F.get(F.array(*map(F.lit, INTERVALS)), F.least(F.col("streak") - MASTERY, F.lit(len(INTERVALS) - 1)).cast("int"))
     per = per.withColumn("due_at", F.when(F.col("streak") >= MASTERY, F.col("last_at") + step.cast("long") * F.lit(DAY)))
-    status = F.when(F.col("streak") >= MASTERY, F.when(now <= F.col("due_at"), "maitrisee").otherwise("a_reviser")).when(F.col("successes") >= MASTERY, "a_reviser").otherwise("en_cours")
+    status = F.when(
+        F.col("streak") >= MASTERY, F.when(now <= F.col("due_at"), "maitrisee").otherwise("a_reviser")
+    ).when(F.col("successes") >= MASTERY, "a_reviser").otherwise("en_cours")
     return per.withColumn("status", status)
 
 

@@ -38,7 +38,11 @@ def invalidated(sidecars: DataFrame, changed: DataFrame, book: str, number: str)
 def counters(sidecars: DataFrame, book: str) -> DataFrame:
     """Per book: units by status, the first and last failed one, whether all is complete; the last row is the total."""
     s = F.col("status")
-    per = sidecars.rollup(book).agg(F.count_if(s == "termine").alias("finished"), F.count_if(s == "suspect").alias("doubtful"), F.count_if(s == "echec").alias("failed"), F.min(F.when(s == "echec", F.col("number"))).alias("first_failed"), F.max(F.when(s == "echec", F.col("number"))).alias("last_failed"), F.grouping(book).cast("boolean").alias("is_total"))
+    per = sidecars.rollup(book).agg(
+        F.count_if(s == "termine").alias("finished"), F.count_if(s == "suspect").alias("doubtful"),
+        F.count_if(s == "echec").alias("failed"), F.min(F.when(s == "echec", F.col("number"))).alias("first_failed"),
+        F.max(F.when(s == "echec", F.col("number"))).alias("last_failed"), F.grouping(book).cast("boolean").alias("is_total")
+    )
     return per.withColumn("complete", (F.col("doubtful") == 0) & (F.col("failed") == 0))
 
 

@@ -48,7 +48,10 @@ def labels_of(lines: DataFrame, doc: str) -> DataFrame:
     seen = seen.filter(F.col("shown").isNotNull()).withColumn("label", X.label(F.col("shown"))).filter(F.col("label") != "")
     forms = seen.groupBy(doc, "label", "shown").agg(F.count("*").alias("n"), F.count_if("after").alias("speech_after"), F.min("line_no").alias("first_line"))
     best = F.min_by("shown", F.struct(-F.col("n"), F.col("shown")))
-    return forms.groupBy(doc, "label").agg(F.sum("n").alias("occurrences"), F.sum("speech_after").alias("speech_after"), F.min("first_line").alias("first_line"), best.alias("shown"))
+    return forms.groupBy(doc, "label").agg(
+        F.sum("n").alias("occurrences"), F.sum("speech_after").alias("speech_after"), F.min("first_line").alias("first_line"),
+        best.alias("shown")
+    )
 
 
 def cast_of(lines: DataFrame, doc: str) -> DataFrame:
@@ -95,24 +98,35 @@ def classify_labels(lines: DataFrame, doc: str, forced: dict[str, list[str]] | N
     rule = F.when(never, verdict("", "", ""))
     for kind in ("personnage", "titre_acte", "titre_scene"):
         rule = rule.when(label.isin((forced or {}).get(kind, [])), verdict(kind, "certaine", REASONS["forced"]))
-    rule = rule.when(label.isin(CAST_HEADINGS), verdict("distribution", "certaine", REASONS["heading"])).when(act, verdict("titre_acte", "certaine", REASONS["act"])).when(scene, verdict("titre_scene", "certaine", REASONS["scene"]))
+    rule = rule.when(
+        label.isin(CAST_HEADINGS), verdict("distribution", "certaine", REASONS["heading"])
+    ).when(act, verdict("titre_acte", "certaine", REASONS["act"])).when(scene, verdict("titre_scene", "certaine", REASONS["scene"]))
     known = known.withColumns({"__early": rule, "__deferred": F.col("in_order") & F.col("numbered")})
     known = known.withColumn("__deferred", F.col("__deferred") & F.col("__early").isNull())
-    known = known.withColumns({"__acts": F.max(F.col("__early.type") == "titre_acte").over(whole), "__styles": F.size(F.collect_set(F.when(F.col("__deferred"), F.col("style"))).over(whole))})
+    known = known.withColumns(
+        {"__acts": F.max(F.col("__early.type") == "titre_acte").over(whole), "__styles": F.size(F.collect_set(F.when(F.col("__deferred"), F.col("style"))).over(whole))}
+    )
     upper = F.col("style").isin("romain", "ecrit")
     level = F.when(F.coalesce("__acts", never), verdict("titre_scene", "deduite", REASONS["under"]))
     two = F.concat(F.lit(REASONS["two levels"][0]), F.col("style"), F.lit(REASONS["two levels"][1]))
     level = level.when((F.col("__styles") >= 2) & upper, verdict("titre_acte", "deduite", two)).when(F.col("__styles") >= 2, verdict("titre_scene", "deduite", two))
     level = level.otherwise(verdict("titre_acte", "deduite", REASONS["upper"]))
-    late = F.when(F.col("in_cast"), verdict("personnage", "certaine", REASONS["cast"])).when(F.col("speech_after") >= 1, verdict("personnage", "probable", REASONS["followed"]))
-    late = late.when(F.col("occurrences") >= recurrent, verdict("personnage", "probable", F.concat(F.lit(REASONS["recurrent"][0]), F.col("occurrences").cast("string"), F.lit(REASONS["recurrent"][1]))))
+    late = F.when(F.col("in_cast"), verdict("personnage", "certaine", REASONS["cast"])).when(
+        F.col("speech_after") >= 1, verdict("personnage", "probable", REASONS["followed"])
+    )
+    late = late.when(
+        F.col("occurrences") >= recurrent,
+        verdict("personnage", "probable", F.concat(F.lit(REASONS["recurrent"][0]), F.col("occurrences").cast("string"), F.lit(REASONS["recurrent"][1])))
+    )
     late = late.otherwise(verdict("personnage", "incertaine", REASONS["nothing"]))
     known = known.withColumn("__found", F.coalesce("__early", F.when(F.col("__deferred"), level), late))
     first = F.row_number().over(W.partitionBy(doc).orderBy("first_line")) == 1
     title = first & (F.col("__found.confidence") == "incertaine") & (F.col("first_line") <= TITLE_LINE)
     known = known.withColumn("__title", title)
     found = F.when(F.col("__title"), verdict("titre_oeuvre", "deduite", REASONS["title"])).otherwise(F.col("__found"))
-    return known.withColumn("__found", found).select(doc, "label", "shown", "__found.type", "__found.confidence", "__found.reason", "occurrences", "speech_after", "first_line")
+    return known.withColumn("__found", found).select(
+        doc, "label", "shown", "__found.type", "__found.confidence", "__found.reason", "occurrences", "speech_after", "first_line"
+    )
 
 
 def warnings_of(labels: DataFrame, cast: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
@@ -130,16 +144,28 @@ def classify_lines(lines: DataFrame, labels: DataFrame, doc: str, cast: DataFram
     parts = lines.withColumn("__inline", split_inline(line))
     one = lambda kind, t, label: F.struct(F.lit(kind).alias("type"), t.alias("text"), label.alias("label"))
     no = F.lit(None).cast("string")
-    inline = F.array_compact(F.array(one("personnage", F.col("__inline.name"), X.label(F.col("__inline.name"))), F.when(F.col("__inline.aside").isNotNull(), one("didascalie", F.col("__inline.aside"), no)), one("texte", F.col("__inline.speech"), no)))
+    inline = F.array_compact(
+        F.array(
+            one("personnage", F.col("__inline.name"), X.label(F.col("__inline.name"))),
+            F.when(F.col("__inline.aside").isNotNull(), one("didascalie", F.col("__inline.aside"), no)),
+            one("texte", F.col("__inline.speech"), no)
+        )
+    )
     s, bold, italic = X.strip(line), X.bold(line), X.italic(line)
-    kind = F.when(s == "", "vide").when(X.is_separator(line), "separateur").when(s.rlike(PAGE_NUMBER), "vide").when(bold.isNotNull(), "?").when(italic.isNotNull(), F.when(F.length(italic) > LONG_ASIDE, "didascalie_longue").otherwise("didascalie")).otherwise("texte")
+    kind = F.when(s == "", "vide").when(X.is_separator(line), "separateur").when(s.rlike(PAGE_NUMBER), "vide").when(bold.isNotNull(), "?").when(
+        italic.isNotNull(), F.when(F.length(italic) > LONG_ASIDE, "didascalie_longue").otherwise("didascalie")
+    ).otherwise("texte")
     plain = F.array(F.struct(kind.alias("type"), X.without_markers(line).alias("text"), F.when(bold.isNotNull(), X.label(bold)).alias("label")))
-    rows = parts.select(doc, "line_no", line.alias("raw"), F.posexplode(F.when(F.col("__inline").isNotNull(), inline).otherwise(plain)).alias("part", "p")).select(doc, "line_no", "part", "raw", "p.*")
+    rows = parts.select(
+        doc, "line_no", line.alias("raw"), F.posexplode(F.when(F.col("__inline").isNotNull(), inline).otherwise(plain)).alias("part", "p")
+    ).select(doc, "line_no", "part", "raw", "p.*")
     rows = rows.join(labels.select(doc, "label", F.col("type").alias("__type")), [doc, "label"], "left")
     rows = rows.withColumn("type", F.when(F.col("type") == "?", F.coalesce("__type", F.lit("personnage"))).otherwise(F.col("type"))).drop("__type", "label")
     if cast is not None:
         listed = cast.select(doc, "line_no", F.lit(True).alias("__listed")).distinct()
-        rows = rows.join(listed, [doc, "line_no"], "left").withColumn("type", F.when(F.col("__listed") & (F.col("type") != "vide"), "entree_distribution").otherwise(F.col("type"))).drop("__listed")
+        rows = rows.join(listed, [doc, "line_no"], "left").withColumn(
+            "type", F.when(F.col("__listed") & (F.col("type") != "vide"), "entree_distribution").otherwise(F.col("type"))
+        ).drop("__listed")
     before = W.partitionBy(doc).orderBy("line_no", "part").rowsBetween(W.unboundedPreceding, -1)
     previous = F.last(F.when(F.col("type") != "vide", F.col("type")), ignorenulls=True).over(before)
     return rows.withColumn("type", F.when((F.col("type") == "didascalie") & previous.isin(OPENERS), "lieu").otherwise(F.col("type")))
@@ -163,4 +189,6 @@ def front_matter_end(lines: DataFrame, labels: DataFrame, doc: str) -> DataFrame
 def override(typed: DataFrame, roles: DataFrame, doc: str) -> DataFrame:
     """Types from ``roles`` (doc, raw, role), for the first row with that raw line in the front matter only."""
     nth = F.row_number().over(W.partitionBy(doc, "raw").orderBy("line_no", "part"))
-    return typed.withColumn("__n", nth).join(roles, [doc, "raw"], "left").withColumn("type", F.when((F.col("__n") == 1) & F.col("role").isNotNull(), F.col("role")).otherwise(F.col("type"))).drop("__n", "role")
+    return typed.withColumn("__n", nth).join(roles, [doc, "raw"], "left").withColumn(
+        "type", F.when((F.col("__n") == 1) & F.col("role").isNotNull(), F.col("role")).otherwise(F.col("type"))
+    ).drop("__n", "role")

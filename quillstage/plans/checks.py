@@ -72,9 +72,14 @@ CASE WHEN {_stars("o")} % 2 <> 0 THEN 'odd number of stars' END, {_forbidden("o"
 
 def declarations(spark: SparkSession, sf: str) -> DataFrame:
     """What texts declare, some of which have a declaration added."""
-    said = F.when(F.col("doc_id") % 4 == 0, "\nPage vide.").when(F.col("doc_id") % 4 == 1, "\nJe ne peux pas transcrire cette page").when(F.col("doc_id") % 4 == 2, "\n[RAS] ok\n[LACUNE] x\n[AJOUT] y").otherwise("")
+    said = F.when(F.col("doc_id") % 4 == 0, "\nPage vide.").when(
+        F.col("doc_id") % 4 == 1, "\nJe ne peux pas transcrire cette page"
+    ).when(F.col("doc_id") % 4 == 2, "\n[RAS] ok\n[LACUNE] x\n[AJOUT] y").otherwise("")
     d = table(spark, sf, "documents").withColumn("t", F.concat("text", said))
-    return d.select("doc_id", Q.says_blank(F.col("t")).alias("blank"), Q.says_failed(F.col("t")).alias("failed"), Q.is_sound(F.col("t")).alias("sound"), Q.counted_findings(F.col("t")).cast("long").alias("findings"))
+    return d.select(
+        "doc_id", Q.says_blank(F.col("t")).alias("blank"), Q.says_failed(F.col("t")).alias("failed"), Q.is_sound(F.col("t")).alias("sound"),
+        Q.counted_findings(F.col("t")).cast("long").alias("findings")
+    )
 
 
 DECLARATIONS = f"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Page vide.' WHEN 1 THEN chr(10) || 'Je ne peux pas transcrire cette page' WHEN 2 THEN chr(10) || '[RAS] ok' || chr(10) || '[LACUNE] x' || chr(10) || '[AJOUT] y' ELSE '' END AS t FROM documents)
@@ -104,7 +109,10 @@ VERSIONS = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'foreign_file' WHEN doc
 def _sidecars(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as work units: source is the book, every tenth failed, every seventh doubtful."""
     status = F.when(F.col("doc_id") % 10 == 0, "echec").when(F.col("doc_id") % 7 == 0, "suspect").otherwise("termine")
-    return table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("number"), status.alias("status"), (F.col("doc_id") % 4).cast("int").alias("retries"))
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("book"), F.col("doc_id").alias("number"), status.alias("status"),
+        (F.col("doc_id") % 4).cast("int").alias("retries")
+    )
 
 
 _SIDE = "s AS (SELECT source AS book, doc_id AS number, CASE WHEN doc_id % 10 = 0 THEN 'echec' WHEN doc_id % 7 = 0 THEN 'suspect' ELSE 'termine' END AS status, doc_id % 4 AS retries FROM documents)"
@@ -140,7 +148,9 @@ def assembled_books(spark: SparkSession, sf: str) -> DataFrame:
     """Whole books, by pieces of consecutive units; pages without a text, as are some that the spine has besides, are marked."""
     docs = table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("number"), "text")
     spine = docs.select("book", "number").unionByName(docs.filter("number % 50 = 0").select("book", (-F.col("number") - 1).alias("number")))
-    return G.assembled(spine, docs, "book", "number", "text", "[PAGE %d — ÉCHEC OCR]", 200).select("book", "piece", F.md5("content").alias("content"), F.length("content").cast("long").alias("chars"))
+    return G.assembled(spine, docs, "book", "number", "text", "[PAGE %d — ÉCHEC OCR]", 200).select(
+        "book", "piece", F.md5("content").alias("content"), F.length("content").cast("long").alias("chars")
+    )
 
 
 ASSEMBLED = """WITH s AS (SELECT source AS book, doc_id AS n, text FROM documents UNION ALL SELECT source, -doc_id - 1, NULL FROM documents WHERE doc_id % 50 = 0),
@@ -179,5 +189,14 @@ def routes(spark: SparkSession, sf: str) -> DataFrame:
 
 ROUTES = f"WITH {_LAYERS} SELECT source AS book, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'done' WHEN refusals = '' THEN 'text_layer' WHEN refusals = 'no text layer' THEN 'blank' ELSE 'model' END AS route, count(*) AS pages FROM r JOIN documents USING (doc_id) GROUP BY ALL"
 
-QUERIES = {"text_layers": text_layers, "output_checks": output_checks, "mechanical_checks": mechanical_checks, "declarations": declarations, "lost_labels": lost_labels, "versions": versions, "pending_units": pending_units, "unit_counters": unit_counters, "junctions_left": junctions_left, "assembled_books": assembled_books, "journal": journal, "journal_upsert": journal_upsert, "not_imported": not_imported, "routes": routes}
-SQL = {"text_layers": LAYERS, "output_checks": OUTPUT, "mechanical_checks": MECHANICAL, "declarations": DECLARATIONS, "lost_labels": LOST, "versions": VERSIONS, "pending_units": PENDING, "unit_counters": COUNTERS, "junctions_left": JUNCTIONS, "assembled_books": ASSEMBLED, "journal": JOURNAL, "journal_upsert": UPSERT, "not_imported": NOT_IMPORTED, "routes": ROUTES}
+QUERIES = {
+    "text_layers": text_layers, "output_checks": output_checks, "mechanical_checks": mechanical_checks, "declarations": declarations,
+    "lost_labels": lost_labels, "versions": versions, "pending_units": pending_units, "unit_counters": unit_counters,
+    "junctions_left": junctions_left, "assembled_books": assembled_books, "journal": journal, "journal_upsert": journal_upsert,
+    "not_imported": not_imported, "routes": routes
+}
+SQL = {
+    "text_layers": LAYERS, "output_checks": OUTPUT, "mechanical_checks": MECHANICAL, "declarations": DECLARATIONS, "lost_labels": LOST,
+    "versions": VERSIONS, "pending_units": PENDING, "unit_counters": COUNTERS, "junctions_left": JUNCTIONS, "assembled_books": ASSEMBLED,
+    "journal": JOURNAL, "journal_upsert": UPSERT, "not_imported": NOT_IMPORTED, "routes": ROUTES
+}

@@ -44,7 +44,10 @@ tl AS (SELECT conv_id, line_no, line, coalesce(b, i, s) AS text, CASE WHEN s = '
 
 
 def typed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _typed(spark, sf).select("conv_id", F.col("line_no").cast("long").alias("line_no"), F.col("part").cast("long").alias("part"), "type", F.md5("text").alias("text"))
+    return _typed(spark, sf).select(
+        "conv_id", F.col("line_no").cast("long").alias("line_no"), F.col("part").cast("long").alias("part"), "type",
+        F.md5("text").alias("text")
+    )
 
 
 TYPED = f"WITH {_LINES} SELECT conv_id, line_no, CAST(0 AS BIGINT) AS part, type, md5(text) AS text FROM tl"
@@ -52,7 +55,11 @@ TYPED = f"WITH {_LINES} SELECT conv_id, line_no, CAST(0 AS BIGINT) AS part, type
 
 def play_elements(spark: SparkSession, sf: str) -> DataFrame:
     found = D.elements(_typed(spark, sf), "conv_id")
-    return found.select("conv_id", "unit_id", F.col("position").cast("long").alias("position"), "act", "scene", "implicit", "type", F.md5("text").alias("text"), F.array_join("people", "|").alias("people"), "verse", F.size("asides").cast("long").alias("asides"), "id")
+    return found.select(
+        "conv_id", "unit_id", F.col("position").cast("long").alias("position"), "act", "scene", "implicit", "type",
+        F.md5("text").alias("text"), F.array_join("people", "|").alias("people"), "verse", F.size("asides").cast("long").alias("asides"),
+        "id"
+    )
 
 
 _SPOKEN = S.strip("regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')")
@@ -78,7 +85,11 @@ def _written(spark: SparkSession, sf: str) -> DataFrame:
 
 def plays_read(spark: SparkSession, sf: str) -> DataFrame:
     rows = play.speeches(_written(spark, sf))
-    return rows.select("piece", "unit", F.col("elem_pos").cast("long").alias("place"), "act", "scene", "implicit", F.array_join("unit_people", "|").alias("unit_people"), F.array_join("people", "|").alias("people"), F.md5("text").alias("text"), "verse", "id")
+    return rows.select(
+        "piece", "unit", F.col("elem_pos").cast("long").alias("place"), "act", "scene", "implicit",
+        F.array_join("unit_people", "|").alias("unit_people"), F.array_join("people", "|").alias("people"), F.md5("text").alias("text"),
+        "verse", "id"
+    )
 
 
 READ = f"""WITH {_ELEMENTS}, pp AS (SELECT *, row_number() OVER (PARTITION BY conv_id, unit_id ORDER BY position) - 1 AS place, min(position) OVER (PARTITION BY conv_id, unit_id, who) AS f FROM ee),
@@ -92,7 +103,10 @@ def play_manifest(spark: SparkSession, sf: str) -> DataFrame:
     counts = play.structure_counts(docs)
     listed = play.manifest(docs).select("piece", "unites", "repliques", "personnages", F.col("fichier").endswith(".json").alias("is_json"))
     out = listed.join(counts, "piece")
-    return out.select("piece", "is_json", *(F.col(c).cast("long").alias(c) for c in ("unites", "repliques", "personnages", "units", "implicit_units", "speeches", "directions", "unattributed", "characters", "warnings")))
+    return out.select(
+        "piece", "is_json",
+        *(F.col(c).cast("long").alias(c) for c in ("unites", "repliques", "personnages", "units", "implicit_units", "speeches", "directions", "unattributed", "characters", "warnings"))
+    )
 
 
 MANIFEST = f"""WITH {_ELEMENTS}, c AS (SELECT CAST(conv_id AS VARCHAR) AS piece, count(DISTINCT unit_id) AS u, count(DISTINCT unit_id) FILTER (implicit) AS iu, count(*) FILTER (type = 'replique') AS s, count(DISTINCT who) AS p FROM ee GROUP BY 1)
@@ -138,7 +152,14 @@ def lifted(spark: SparkSession, sf: str) -> DataFrame:
     who = F.when(F.col("turn") % 3 != 0, F.col("role")).alias("personnage"), F.when(F.col("turn") % 3 == 0, F.array("role", F.lit("B"))).alias("personnages")
     element = F.struct(F.lit("replique").alias("type"), F.col("text").alias("texte"), *who)
     per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", element.alias("e")))), lambda s: s["e"]).alias("elements"))
-    raw = per.select(F.to_json(F.struct(F.lit("repetition/1").alias("schema"), F.col("conv_id").cast("string").alias("piece"), F.array(F.struct(F.lit("u001").alias("id"), "elements")).alias("unites"))).alias("t"))
+    raw = per.select(
+        F.to_json(
+            F.struct(
+                F.lit("repetition/1").alias("schema"), F.col("conv_id").cast("string").alias("piece"),
+                F.array(F.struct(F.lit("u001").alias("id"), "elements")).alias("unites")
+            )
+        ).alias("t")
+    )
     rows = play.elements(play.lifted(raw.select(F.from_json("t", play.DOCUMENT).alias("d")).select("d.*")))
     return rows.select("piece", F.col("elem_pos").cast("long").alias("place"), F.array_join("people", "|").alias("people"), F.md5("text").alias("text"))
 
@@ -231,13 +252,19 @@ SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY type, label) || chr(10) ||
 def numbered_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers as titles of a day's plays of a user: which are numbers, whether they rise, whether numbering starts anew."""
     n = F.col("event_id") % 9
-    label = F.concat(F.get(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"])), n.cast("int")), F.when(F.col("event_id") % 2 == 0, ". LA NUIT").otherwise(""))
+    label = F.concat(
+        F.get(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"])), n.cast("int")),
+        F.when(F.col("event_id") % 2 == 0, ". LA NUIT").otherwise("")
+    )
     doc = F.concat_ws("/", "user_id", F.weekofyear("ts").cast("string"))
     e = table(spark, sf, "events").select(doc.alias("doc"), label.alias("label"), "event_id")
     labels = e.groupBy("doc", "label").agg(F.count("*").alias("occurrences"), F.min("event_id").alias("first_line"))
     found = T.numbering(labels, "doc")
     again = E.restarted_numbering(found, "doc").withColumn("restarted", F.lit(True))
-    return found.join(again, "doc", "left").select("doc", "label", "style", F.col("value").cast("long").alias("value"), "in_order", F.coalesce("restarted", F.lit(False)).alias("restarted"))
+    return found.join(again, "doc", "left").select(
+        "doc", "label", "style", F.col("value").cast("long").alias("value"), "in_order",
+        F.coalesce("restarted", F.lit(False)).alias("restarted")
+    )
 
 
 NUMBERED = """WITH e AS (SELECT user_id || '/' || weekofyear(ts) AS doc, event_id, event_id % 9 + 1 AS v, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][event_id % 9 + 1] || CASE WHEN event_id % 2 = 0 THEN '. LA NUIT' ELSE '' END AS label FROM events),
@@ -256,7 +283,11 @@ def word_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     made = texts.as_word(_typed(spark, sf), "conv_id")
     files = made.select(F.concat(F.col("conv_id").cast("string"), F.lit(".docx")).alias("name"), "content", F.lit(None).cast("string").alias("sidecar"))
     back = texts.paragraphs(texts.read_word(spark, _folder_of(spark, files, "word")))
-    return back.select(F.regexp_extract("file", r"(\d+)\.docx$", 1).cast("long").alias("conv_id"), F.col("paragraph").cast("long").alias("paragraph"), F.col("start").cast("long").alias("start"), F.md5("text").alias("text"), F.round("bold_share", 6).alias("bold"), F.round("italic_share", 6).alias("italic"))
+    return back.select(
+        F.regexp_extract("file", r"(\d+)\.docx$", 1).cast("long").alias("conv_id"), F.col("paragraph").cast("long").alias("paragraph"),
+        F.col("start").cast("long").alias("start"), F.md5("text").alias("text"), F.round("bold_share", 6).alias("bold"),
+        F.round("italic_share", 6).alias("italic")
+    )
 
 
 WORD = f"""WITH {_LINES}, o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY line_no) - length(text) - 1 AS start FROM tl)
@@ -267,7 +298,10 @@ def edited_again(spark: SparkSession, sf: str) -> DataFrame:
     """Edited text from the paragraphs of Word documents: speech paragraphs in a row are one."""
     typed = _typed(spark, sf).filter("type <> 'vide'")
     style = lambda kinds: F.when(F.col("type").isin(*kinds), 1.0).otherwise(0.0)
-    paragraphs = typed.select("conv_id", F.col("line_no").alias("paragraph"), "text", style(["titre_acte", "personnage"]).alias("bold_share"), style(["lieu"]).alias("italic_share"))
+    paragraphs = typed.select(
+        "conv_id", F.col("line_no").alias("paragraph"), "text", style(["titre_acte", "personnage"]).alias("bold_share"),
+        style(["lieu"]).alias("italic_share")
+    )
     lines = E.front_split(E.edited_from_paragraphs(paragraphs, "conv_id"), "conv_id")
     return lines.select("conv_id", F.col("position").cast("long").alias("position"), F.md5("line").alias("line"), "front")
 
@@ -291,7 +325,9 @@ def reviewed_cuts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text")
     spans = flat.select("conv_id", (n / 4).cast("int").alias("start"), (n / 2).cast("int").alias("stop"), F.lit(1).alias("category")).filter("start < stop")
     marked = E.with_tracked_cuts(E.cut_runs(flat.select("conv_id", F.lit(0).alias("start"), "text"), spans, "conv_id"), "conv_id", {1: 'A & "B"'}, "2026-01-01T00:00:00Z")
-    files = texts.packaged(marked, "conv_id").select(F.concat(F.col("conv_id").cast("string"), F.lit(".docx")).alias("name"), "content", F.lit(None).cast("string").alias("sidecar"))
+    files = texts.packaged(marked, "conv_id").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(".docx")).alias("name"), "content", F.lit(None).cast("string").alias("sidecar")
+    )
     back = texts.reviewed(texts.read_word(spark, _folder_of(spark, files, "cuts")))
     runs = back.select(F.regexp_extract("file", r"(\d+)\.docx$", 1).cast("long").alias("conv_id"), F.explode("runs").alias("r"))
     return runs.select("conv_id", F.col("r.start").cast("long").alias("start"), F.md5("r.text").alias("text"), "r.deleted")
@@ -317,7 +353,12 @@ def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, start, text, bold, italic, turn): names and what they say as paragraphs of a flat text; of every fourth turn the name is of two, of every seventh of all."""
     name = F.when(F.col("turn") % 7 == 6, "TOUS").when(F.col("turn") % 4 == 3, F.concat(F.upper("role"), F.lit(" et CHŒUR"))).otherwise(F.upper("role"))
     title = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("SCÈNE "), (F.col("turn") / 5).cast("int").cast("string")))
-    parts = F.array_compact(F.array(F.when(title.isNotNull(), F.struct(title.alias("text"), F.lit(True).alias("bold"))), F.struct(name.alias("text"), F.lit(True).alias("bold")), F.struct(F.col("text"), F.lit(False).alias("bold"))))
+    parts = F.array_compact(
+        F.array(
+            F.when(title.isNotNull(), F.struct(title.alias("text"), F.lit(True).alias("bold"))),
+            F.struct(name.alias("text"), F.lit(True).alias("bold")), F.struct(F.col("text"), F.lit(False).alias("bold"))
+        )
+    )
     per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", parts.alias("p")))), lambda s: F.transform(s["p"], lambda p: F.struct(s["turn"].alias("turn"), p["text"].alias("text"), p["bold"].alias("bold"))))).alias("p"))
     rows = per.select("conv_id", F.posexplode("p").alias("k", "p"))
     upto = W.partitionBy("conv_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
@@ -345,12 +386,27 @@ SELECT conv_id, scene, role, CAST(sum(w) AS BIGINT) AS words FROM r GROUP BY ALL
 def propagated_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Names whose whole speech is cut, as that of every third turn is."""
     rows = _paragraphs(spark, sf).filter(~F.col("text").startswith("SCÈNE"))
-    spans = rows.filter("not bold and turn % 3 = 1").select("conv_id", "start", (F.col("start") + F.length("text")).alias("stop"), (F.col("turn") % 2 + 1).alias("category"))
+    spans = rows.filter("not bold and turn % 3 = 1").select(
+        "conv_id", "start", (F.col("start") + F.length("text")).alias("stop"), (F.col("turn") % 2 + 1).alias("category")
+    )
     found = I.propagated(rows.select("conv_id", "start", "text", "bold"), spans, "conv_id")
     return found.select("conv_id", *(F.col(c).cast("long").alias(c) for c in ("start", "stop", "category")))
 
 
 PROPAGATED = f"WITH {_PARAGRAPHS} SELECT n.conv_id, n.s AS start, n.s + length(n.text) AS stop, n.turn % 2 + 1 AS category FROM pa n JOIN pa t ON n.conv_id = t.conv_id AND n.turn = t.turn AND n.k = 1 AND t.k = 2 AND n.turn % 3 = 1 AND trim(t.text) <> ''"
 
-QUERIES = {"typed_lines": typed_lines, "play_elements": play_elements, "plays_read": plays_read, "play_manifest": play_manifest, "structure_counts": structure_counts, "flattened": flattened, "ingested": ingested, "lifted": lifted, "speech_pages": speech_pages, "asides_marked": asides_marked, "front_matter": front_matter, "cast_lists": cast_lists, "play_warnings": play_warnings, "overridden_roles": overridden_roles, "label_reports": label_reports, "numbered_titles": numbered_titles, "word_paragraphs": word_paragraphs, "edited_again": edited_again, "reviewed_cuts": reviewed_cuts, "carried_masks": carried_masks, "words_left": words_left, "propagated_cuts": propagated_cuts}
-SQL = {"typed_lines": TYPED, "play_elements": ELEMENTS, "plays_read": READ, "play_manifest": MANIFEST, "structure_counts": COUNTS, "flattened": FLAT, "ingested": INGESTED, "lifted": LIFTED, "speech_pages": SPEECH_PAGES, "asides_marked": ASIDES, "front_matter": FRONT, "cast_lists": CAST, "play_warnings": WARNINGS, "overridden_roles": OVERRIDDEN, "label_reports": REPORTS, "numbered_titles": NUMBERED, "word_paragraphs": WORD, "edited_again": AGAIN, "reviewed_cuts": REVIEWED, "carried_masks": CARRIED, "words_left": LEFT, "propagated_cuts": PROPAGATED}
+QUERIES = {
+    "typed_lines": typed_lines, "play_elements": play_elements, "plays_read": plays_read, "play_manifest": play_manifest,
+    "structure_counts": structure_counts, "flattened": flattened, "ingested": ingested, "lifted": lifted, "speech_pages": speech_pages,
+    "asides_marked": asides_marked, "front_matter": front_matter, "cast_lists": cast_lists, "play_warnings": play_warnings,
+    "overridden_roles": overridden_roles, "label_reports": label_reports, "numbered_titles": numbered_titles,
+    "word_paragraphs": word_paragraphs, "edited_again": edited_again, "reviewed_cuts": reviewed_cuts, "carried_masks": carried_masks,
+    "words_left": words_left, "propagated_cuts": propagated_cuts
+}
+SQL = {
+    "typed_lines": TYPED, "play_elements": ELEMENTS, "plays_read": READ, "play_manifest": MANIFEST, "structure_counts": COUNTS,
+    "flattened": FLAT, "ingested": INGESTED, "lifted": LIFTED, "speech_pages": SPEECH_PAGES, "asides_marked": ASIDES, "front_matter": FRONT,
+    "cast_lists": CAST, "play_warnings": WARNINGS, "overridden_roles": OVERRIDDEN, "label_reports": REPORTS, "numbered_titles": NUMBERED,
+    "word_paragraphs": WORD, "edited_again": AGAIN, "reviewed_cuts": REVIEWED, "carried_masks": CARRIED, "words_left": LEFT,
+    "propagated_cuts": PROPAGATED
+}

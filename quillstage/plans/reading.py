@@ -67,7 +67,9 @@ UNASSIGNED = "WITH p AS (SELECT doc_id, concat_ws('-', source, lang) AS name FRO
 
 
 def latest_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return R.latest(table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn").withColumn("label", R.reader_label(F.col("role"), F.when(F.col("turn") % 2 == 0, F.lit("Ann"))))
+    return R.latest(
+        table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn"
+    ).withColumn("label", R.reader_label(F.col("role"), F.when(F.col("turn") % 2 == 0, F.lit("Ann"))))
 
 
 LATEST = "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, upper(arg_max(role, turn)[1]) || arg_max(role, turn)[2:] || CASE WHEN max(turn) % 2 = 0 THEN ' (Ann)' ELSE '' END AS label FROM conversations GROUP BY conv_id"
@@ -76,8 +78,13 @@ LATEST = "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, upper(
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id") % 7
     action = F.when(k == 0, "mode").when(k == 1, "draw").when(k == 2, "go").when(k == 3, "hide").otherwise("reveal")
-    events = table(spark, sf, "events").select("user_id", "event_id", action.alias("action"), F.concat(F.lit("r"), (F.col("event_id") % 11).cast("string")).alias("argument"))
-    return R.session_state(events, "user_id", "event_id").select("user_id", "mode", F.col("draws").cast("long").alias("draws"), "place", F.array_join(F.array_sort("revealed"), ",").alias("revealed"))
+    events = table(spark, sf, "events").select(
+        "user_id", "event_id", action.alias("action"), F.concat(F.lit("r"), (F.col("event_id") % 11).cast("string")).alias("argument")
+    )
+    return R.session_state(events, "user_id", "event_id").select(
+        "user_id", "mode", F.col("draws").cast("long").alias("draws"), "place",
+        F.array_join(F.array_sort("revealed"), ",").alias("revealed")
+    )
 
 
 SESSIONS = """WITH e AS (SELECT user_id, event_id, event_id % 7 AS k, 'r' || event_id % 11 AS x FROM events), m AS (SELECT user_id, coalesce(max(event_id) FILTER (k = 0), -1) AS m FROM e GROUP BY user_id),
@@ -89,7 +96,10 @@ SELECT e.user_id, coalesce(arg_max(x, event_id) FILTER (k = 0), 'lecture') AS mo
 def junction_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Replies that say the halves of whole texts again, some with one side cut short, some not to be read."""
     n = F.length("text")
-    docs = table(spark, sf, "documents").select("doc_id", F.substr("text", F.lit(1), F.ceil(n / 2).cast("int")).alias("a"), F.substr("text", F.ceil(n / 2).cast("int") + 1).alias("b"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.substr("text", F.lit(1), F.ceil(n / 2).cast("int")).alias("a"),
+        F.substr("text", F.ceil(n / 2).cast("int") + 1).alias("b")
+    )
     a, b = F.col("a"), F.col("b")
     reply = F.when(F.col("doc_id") % 3 == 0, F.lit("no")).otherwise(F.concat(F.lit(E.LEFT), F.when(F.col("doc_id") % 3 == 1, a).otherwise("x"), F.lit(E.LEFT_END + "\n" + E.RIGHT), F.upper(b), F.lit(E.RIGHT_END)))
     kept = E.junction_kept(reply, a, b, Q.junction_findings)
@@ -105,7 +115,10 @@ k AS (SELECT *, read AND {_FAIR("a", "x")} AND {_FAIR("b", "y")} AS k FROM s) SE
 
 
 def annotated_roles(spark: SparkSession, sf: str) -> DataFrame:
-    reply = F.concat((F.col("doc_id") % 9).cast("string"), F.lit("|note\n 12 | "), F.when(F.col("doc_id") % 2 == 0, "titre_acte").otherwise("unheard"), F.lit("\nnothing"))
+    reply = F.concat(
+        (F.col("doc_id") % 9).cast("string"), F.lit("|note\n 12 | "), F.when(F.col("doc_id") % 2 == 0, "titre_acte").otherwise("unheard"),
+        F.lit("\nnothing")
+    )
     known, unknown = E.annotations(table(spark, sf, "documents").withColumn("r", reply), "doc_id", "r")
     return known.withColumn("line_no", F.col("line_no").cast("long")).unionByName(unknown.select("doc_id", F.lit(None).cast("long").alias("line_no"), "role"))
 
@@ -118,7 +131,10 @@ def cut_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
     runs = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("start"), "text")
     spans = _spans(spark, sf).withColumns({"start": F.col("start").cast("int"), "stop": F.col("stop").cast("int")})
-    return E.cut_runs(runs, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("chars"), F.col("category").cast("long").alias("category"))
+    return E.cut_runs(runs, spans, "doc_id").select(
+        "doc_id", F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("chars"),
+        F.col("category").cast("long").alias("category")
+    )
 
 
 PIECES = """WITH s AS (SELECT doc_id, unnest([1, 3, 8]) * length(text) // 10 AS a, unnest([4, 6, 9]) * length(text) // 10 AS b, unnest([1, 2, 3]) AS c FROM documents), v AS (SELECT * FROM s WHERE a < b),
@@ -128,9 +144,20 @@ SELECT l.doc_id, p AS start, q - p AS chars, CAST(arg_min(c, (a, b, c)) AS BIGIN
 
 def first_violations(spark: SparkSession, sf: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
-    element = F.struct("turn", F.when((c % 7 == 2) & (t == 0), "what").otherwise("replique").alias("type"), F.col("text").alias("texte"), F.when(~((c % 5 == 1) & (t == 1)), F.concat_ws("-", c, F.when(c % 11 == 3, F.lit(0)).otherwise(t))).alias("id"), F.array("role").alias("personnages"))
+    element = F.struct(
+        "turn", F.when((c % 7 == 2) & (t == 0), "what").otherwise("replique").alias("type"), F.col("text").alias("texte"),
+        F.when(~((c % 5 == 1) & (t == 1)), F.concat_ws("-", c, F.when(c % 11 == 3, F.lit(0)).otherwise(t))).alias("id"),
+        F.array("role").alias("personnages")
+    )
     per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(element)), lambda e: e.dropFields("turn")).alias("elements"))
-    docs = per.select(F.to_json(F.struct(F.when(c % 13 == 4, "repetition/1").otherwise("repetition/2").alias("schema"), c.cast("string").alias("piece"), F.array(F.struct(F.lit("u001").alias("id"), "elements")).alias("unites"))).alias("j"))
+    docs = per.select(
+        F.to_json(
+            F.struct(
+                F.when(c % 13 == 4, "repetition/1").otherwise("repetition/2").alias("schema"), c.cast("string").alias("piece"),
+                F.array(F.struct(F.lit("u001").alias("id"), "elements")).alias("unites")
+            )
+        ).alias("j")
+    )
     return Q.first_violation(docs.select(F.from_json("j", DOCUMENT).alias("d")).select("d.*"))
 
 
@@ -142,7 +169,12 @@ SELECT CAST(conv_id AS VARCHAR) AS piece, arg_min(message, (p, message)) AS mess
 
 def unit_heads(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("conv_id")
-    units = table(spark, sf, "conversations").select("conv_id").distinct().select((c / 20).cast("int").cast("string").alias("piece"), F.format_string("u%03d", c).alias("unit_id"), F.when(c % 20 >= 3, F.concat(F.lit("ACTE "), (c % 20 / 7).cast("int").cast("string"))).alias("act"), F.when(c % 4 != 0, F.concat(F.lit("Scène "), (c % 20 / 3).cast("int").cast("string"))).alias("scene"), (c % 5 == 0).alias("implicit"))
+    units = table(spark, sf, "conversations").select("conv_id").distinct().select(
+        (c / 20).cast("int").cast("string").alias("piece"), F.format_string("u%03d", c).alias("unit_id"),
+        F.when(c % 20 >= 3, F.concat(F.lit("ACTE "), (c % 20 / 7).cast("int").cast("string"))).alias("act"),
+        F.when(c % 4 != 0, F.concat(F.lit("Scène "), (c % 20 / 3).cast("int").cast("string"))).alias("scene"),
+        (c % 5 == 0).alias("implicit")
+    )
     return D.titled(units, "piece").groupBy("piece", "type").agg(F.count("*").alias("titles"))
 
 
@@ -170,8 +202,13 @@ REPORTS = "WITH r AS (SELECT source, doc_id, CAST(doc_id // 500 AS BIGINT) AS pi
 
 
 def stored_settings(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("t", F.concat(F.lit('{"size": '), (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 3 == 0, ', "pace": "fast"').otherwise(', "pace": 2'), F.lit("}")))
-    return e.select("event_id", R.settings(F.col("t"), {"size": 9, "pace": 7, "gone": 4}).alias("s")).select("event_id", *(F.col(f"s.{k}").cast("long").alias(k) for k in ("size", "pace", "gone")))
+    e = table(spark, sf, "events").withColumn(
+        "t",
+        F.concat(F.lit('{"size": '), (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 3 == 0, ', "pace": "fast"').otherwise(', "pace": 2'), F.lit("}"))
+    )
+    return e.select("event_id", R.settings(F.col("t"), {"size": 9, "pace": 7, "gone": 4}).alias("s")).select(
+        "event_id", *(F.col(f"s.{k}").cast("long").alias(k) for k in ("size", "pace", "gone"))
+    )
 
 
 SETTINGS = "SELECT event_id, event_id % 5 AS size, CAST(CASE WHEN event_id % 3 = 0 THEN 7 ELSE 2 END AS BIGINT) AS pace, CAST(4 AS BIGINT) AS gone FROM events"
@@ -185,5 +222,14 @@ def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
 
 HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, CAST(round(sum(CAST(value AS DECIMAL(18, 6))) / count(*), 6) AS DOUBLE) AS mean FROM events GROUP BY date_trunc('hour', ts), event_type"
 
-QUERIES = {"scenes": scenes, "kind_runs": kind_runs, "source_hues": source_hues, "slots": slots, "unassigned": unassigned, "latest_messages": latest_messages, "sessions": sessions, "junction_replies": junction_replies, "annotated_roles": annotated_roles, "cut_pieces": cut_pieces, "first_violations": first_violations, "unit_heads": unit_heads, "books_to_read": books_to_read, "findings_report": findings_report, "stored_settings": stored_settings, "hourly_events": hourly_events}
-SQL = {"scenes": SCENES, "kind_runs": RUNS, "source_hues": HUES, "slots": SLOTS, "unassigned": UNASSIGNED, "latest_messages": LATEST, "sessions": SESSIONS, "junction_replies": JUNCTIONS, "annotated_roles": ANNOTATED, "cut_pieces": PIECES, "first_violations": VIOLATIONS, "unit_heads": HEADS, "books_to_read": BOOKS, "findings_report": REPORTS, "stored_settings": SETTINGS, "hourly_events": HOURLY}
+QUERIES = {
+    "scenes": scenes, "kind_runs": kind_runs, "source_hues": source_hues, "slots": slots, "unassigned": unassigned,
+    "latest_messages": latest_messages, "sessions": sessions, "junction_replies": junction_replies, "annotated_roles": annotated_roles,
+    "cut_pieces": cut_pieces, "first_violations": first_violations, "unit_heads": unit_heads, "books_to_read": books_to_read,
+    "findings_report": findings_report, "stored_settings": stored_settings, "hourly_events": hourly_events
+}
+SQL = {
+    "scenes": SCENES, "kind_runs": RUNS, "source_hues": HUES, "slots": SLOTS, "unassigned": UNASSIGNED, "latest_messages": LATEST,
+    "sessions": SESSIONS, "junction_replies": JUNCTIONS, "annotated_roles": ANNOTATED, "cut_pieces": PIECES, "first_violations": VIOLATIONS,
+    "unit_heads": HEADS, "books_to_read": BOOKS, "findings_report": REPORTS, "stored_settings": SETTINGS, "hourly_events": HOURLY
+}

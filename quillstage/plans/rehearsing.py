@@ -24,7 +24,10 @@ _D = f"0.7 * least(1.0, greatest(0.0, (100 - last_score) / 100.0)) + 0.3 * least
 
 
 def _elements(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "system", "didascalie").when(F.col("turn") % 7 == 6, "lieu").otherwise("replique").alias("type"), "text")
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role",
+        F.when(F.col("role") == "system", "didascalie").when(F.col("turn") % 7 == 6, "lieu").otherwise("replique").alias("type"), "text"
+    )
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +52,10 @@ NEIGHBOURS = "SELECT conv_id, turn, lag(conv_id || '-' || turn) OVER w AS previo
 
 
 def _history_of(events: DataFrame) -> DataFrame:
-    return events.select("user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at_ms"), F.least(F.lit(100.0), F.col("value")).alias("score"), "event_id")
+    return events.select(
+        "user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at_ms"),
+        F.least(F.lit(100.0), F.col("value")).alias("score"), "event_id"
+    )
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +63,9 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def newest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return R.newest(_history(spark, sf), ["user_id"], "at_ms", "event_id").select("user_id", F.col("rank").cast("long").alias("rank"), "at_ms", "score", (F.col("rank") == 1).alias("may_be_corrected"))
+    return R.newest(_history(spark, sf), ["user_id"], "at_ms", "event_id").select(
+        "user_id", F.col("rank").cast("long").alias("rank"), "at_ms", "score", (F.col("rank") == 1).alias("may_be_corrected")
+    )
 
 
 NEWEST = f"WITH {_R} SELECT user_id, rank, at_ms, score, rank = 1 AS may_be_corrected FROM r"
@@ -77,7 +85,10 @@ PROGRESS = f"WITH {_P} SELECT user_id, attempts, streak, successes, last_at, las
 def revision_queue(spark: SparkSession, sf: str) -> DataFrame:
     hard = _progress(spark, sf).withColumn("difficulty", F.round(R.difficulty(F.col("last_score"), F.col("last_at"), F.lit(NOW)), 9))
     days = F.floor((F.lit(NOW) - F.col("last_at")) / float(R.DAY)).cast("long")
-    why = F.concat(F.floor(F.col("last_score") + 0.5).cast("string"), F.lit(" % · "), F.when(days <= 0, "aujourd'hui").when(days == 1, "hier").otherwise(F.concat(F.lit("il y a "), days.cast("string"), F.lit(" j"))))
+    why = F.concat(
+        F.floor(F.col("last_score") + 0.5).cast("string"), F.lit(" % · "),
+        F.when(days <= 0, "aujourd'hui").when(days == 1, "hier").otherwise(F.concat(F.lit("il y a "), days.cast("string"), F.lit(" j")))
+    )
     return hard.orderBy(F.desc("difficulty"), "user_id").limit(R.QUEUE).select("user_id", "difficulty", "status", why.alias("why"))
 
 
@@ -115,7 +126,9 @@ UNIT_STATUS = f"WITH {_P} SELECT user_id % 20 AS unit, {_ORDER}[min(CASE WHEN us
 
 def merged_scores(spark: SparkSession, sf: str) -> DataFrame:
     h = _history(spark, sf).withColumn("at_ms", (F.col("at_ms") / 3_600_000).cast("long"))
-    return R.merged_scores(h.filter("event_id % 2 = 0"), h.filter("event_id % 2 = 1"), ["user_id"], "at_ms", "score").select("user_id", F.col("rank").cast("long").alias("rank"), "at_ms", "score")
+    return R.merged_scores(
+        h.filter("event_id % 2 = 0"), h.filter("event_id % 2 = 1"), ["user_id"], "at_ms", "score"
+    ).select("user_id", F.col("rank").cast("long").alias("rank"), "at_ms", "score")
 
 
 MERGED = f"""WITH {_H}, b AS (SELECT user_id, at_ms // 3600000 AS at_ms, score, event_id % 2 AS side FROM h), o AS (SELECT user_id, at_ms, arg_max(score, (side, score)) AS score FROM b GROUP BY ALL)
@@ -154,7 +167,10 @@ def recitations(spark: SparkSession, sf: str) -> DataFrame:
     left = F.filter(X.tokens(F.col("text")), lambda w: ~F.lower(w).startswith("w"))
     heard = F.array_join(F.transform(left, lambda w: F.when(F.lower(w).startswith("v"), "zzz").otherwise(w)), " ")
     rows = said.select("conv_id", "turn", P.compare("text", heard).alias("r")).select("conv_id", "turn", "r.*")
-    return rows.select("conv_id", "turn", *(F.col(c).cast("long").alias(c) for c in ("score", "expected", "correct", "added", "judged")), P.band(F.col("score")).alias("band"))
+    return rows.select(
+        "conv_id", "turn", *(F.col(c).cast("long").alias(c) for c in ("score", "expected", "correct", "added", "judged")),
+        P.band(F.col("score")).alias("band")
+    )
 
 
 RECITATIONS = f"""WITH t AS (SELECT conv_id, turn, unnest({S.tokens("text")}) AS t, generate_subscripts({S.tokens("text")}, 1) AS i FROM conversations),
@@ -169,7 +185,10 @@ SELECT conv_id, turn, score, expected, correct, added, judged, CASE WHEN score >
 def hidden_words(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations").withColumn("n", F.size(X.word_places(F.col("text"))))
     key = F.concat(F.lit("r_"), F.col("conv_id").cast("string"), F.lit("|45|0"))
-    return said.select("conv_id", "turn", F.col("n").cast("long").alias("n"), F.array_join(F.transform(P.holes("n", F.lit(45), key), lambda i: i.cast("string")), ",").alias("holes"))
+    return said.select(
+        "conv_id", "turn", F.col("n").cast("long").alias("n"),
+        F.array_join(F.transform(P.holes("n", F.lit(45), key), lambda i: i.cast("string")), ",").alias("holes")
+    )
 
 
 _MUL = lambda x, y: f"CAST(CAST({x} AS HUGEINT) * CAST({y} AS HUGEINT) % 4294967296 AS BIGINT)"
@@ -186,7 +205,10 @@ SELECT conv_id, turn, n, array_to_string(list_sort(p[1:m]), ',') AS holes FROM f
 
 def phonetic_keys(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations")
-    return said.select("conv_id", "turn", F.array_join(P.sounds("text"), " ").alias("sounds"), F.array_join(F.transform(P.normalised("text"), P.sound_column), " ").alias("by_columns"))
+    return said.select(
+        "conv_id", "turn", F.array_join(P.sounds("text"), " ").alias("sounds"),
+        F.array_join(F.transform(P.normalised("text"), P.sound_column), " ").alias("by_columns")
+    )
 
 
 #: Sounds of words w in steps; what ends in ai, ei or es before no letter is hidden while the others are replaced.
@@ -204,5 +226,13 @@ s AS (SELECT conv_id, turn, string_agg(CASE WHEN k = '' THEN w ELSE k END, ' ' O
 SELECT conv_id, turn, coalesce(s, '') AS sounds, coalesce(s, '') AS by_columns FROM conversations LEFT JOIN s USING (conv_id, turn)"""
 
 
-QUERIES = {"cues": cues, "neighbours": neighbours, "newest_scores": newest_scores, "progress": _progress, "revision_queue": revision_queue, "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores, "merged_progress": merged_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys}
-SQL = {"cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT, "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS, "recitations": RECITATIONS, "hidden_words": HIDDEN, "phonetic_keys": PHONETIC}
+QUERIES = {
+    "cues": cues, "neighbours": neighbours, "newest_scores": newest_scores, "progress": _progress, "revision_queue": revision_queue,
+    "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores,
+    "merged_progress": merged_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys
+}
+SQL = {
+    "cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT,
+    "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS,
+    "recitations": RECITATIONS, "hidden_words": HIDDEN, "phonetic_keys": PHONETIC
+}

@@ -79,7 +79,9 @@ SELECT name, count(*) AS speeches, CAST(sum(w) AS BIGINT) AS words FROM e WHERE
 
 def spellings(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("turn") % 3 == 0, F.initcap("role")).when(F.col("turn") % 3 == 1, F.concat("role", F.lit("."))).otherwise("user")
-    return D.spellings(_said(spark, sf).select("conv_id", raw.alias("raw")), "conv_id", "raw").select("conv_id", "name", F.array_join("spellings", " / ").alias("spellings"))
+    return D.spellings(
+        _said(spark, sf).select("conv_id", raw.alias("raw")), "conv_id", "raw"
+    ).select("conv_id", "name", F.array_join("spellings", " / ").alias("spellings"))
 
 
 SPELLINGS = f"""WITH r AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN upper(role[1]) || role[2:] WHEN 1 THEN role || '.' ELSE 'user' END AS raw FROM conversations),
@@ -88,7 +90,10 @@ l AS (SELECT conv_id, {S.label("raw")} AS name, list_sort(list_distinct(list(raw
 
 def _present(spark: SparkSession, sf: str) -> DataFrame:
     scene = F.concat(F.lit("ACTE "), (F.col("conv_id") / 10).cast("int").cast("string"), F.lit(" Scène "), F.col("conv_id").cast("string"))
-    return _said(spark, sf).select("conv_id", scene.alias("scene"), F.when((F.col("conv_id") % 2 == 0) & (F.col("role") == "user"), "system").otherwise(F.col("role")).alias("role")).distinct()
+    return _said(spark, sf).select(
+        "conv_id", scene.alias("scene"),
+        F.when((F.col("conv_id") % 2 == 0) & (F.col("role") == "user"), "system").otherwise(F.col("role")).alias("role")
+    ).distinct()
 
 
 _PRESENT = "p AS (SELECT DISTINCT conv_id, 'ACTE ' || conv_id // 10 || ' Scène ' || conv_id AS scene, CASE WHEN conv_id % 2 = 0 AND role = 'user' THEN 'system' ELSE role END AS role FROM conversations)"
@@ -119,5 +124,12 @@ def presence_heat(spark: SparkSession, sf: str) -> DataFrame:
 
 HEAT = f"WITH c AS (SELECT conv_id, role, CAST(sum({_W}) AS BIGINT) AS words FROM conversations GROUP BY ALL) SELECT *, round(words / max(words) OVER (PARTITION BY role), 6) AS heat FROM c"
 
-QUERIES = {"role_weights": _weights, "presence_matrix": presence_matrix, "unit_words": unit_words, "actor_balance": actor_balance, "cut_candidates": cut_candidates, "distribution": distribution, "spellings": spellings, "casting_conflicts": casting_conflicts, "costume_changes": costume_changes, "presence_heat": presence_heat}
-SQL = {"role_weights": ROLE_WEIGHTS, "presence_matrix": PRESENCE, "unit_words": UNIT_WORDS, "actor_balance": ACTORS, "cut_candidates": CUTS, "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT}
+QUERIES = {
+    "role_weights": _weights, "presence_matrix": presence_matrix, "unit_words": unit_words, "actor_balance": actor_balance,
+    "cut_candidates": cut_candidates, "distribution": distribution, "spellings": spellings, "casting_conflicts": casting_conflicts,
+    "costume_changes": costume_changes, "presence_heat": presence_heat
+}
+SQL = {
+    "role_weights": ROLE_WEIGHTS, "presence_matrix": PRESENCE, "unit_words": UNIT_WORDS, "actor_balance": ACTORS, "cut_candidates": CUTS,
+    "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT
+}

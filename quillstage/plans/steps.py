@@ -25,11 +25,20 @@ from quillstage.sources.tables import table
 def _conversation_files(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """A folder with a file for each conversation: its texts behind a mark, with line ends of another system; of every third a sidecar, which for every sixth is damaged. And what lies there besides."""
     c = F.col("conv_id")
-    per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("t"), F.count("*").alias("n"))
+    per = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("t"),
+        F.count("*").alias("n")
+    )
     name = F.concat(F.when(c % 2 == 0, "Book").otherwise("book"), F.lpad(c.cast("string"), 6, "0"), F.lit(".txt"))
-    sidecar = F.when(c % 6 == 0, "{no").when(c % 3 == 0, F.to_json(F.struct(F.lit("termine").alias("statut"), F.col("n").cast("int").alias("reprises"), F.lit("bloc").alias("unite"))))
+    sidecar = F.when(c % 6 == 0, "{no").when(
+        c % 3 == 0,
+        F.to_json(F.struct(F.lit("termine").alias("statut"), F.col("n").cast("int").alias("reprises"), F.lit("bloc").alias("unite")))
+    )
     files = per.select(name.alias("name"), F.concat(F.lit(texts.UTF8_MARK), F.replace("t", F.lit("\n"), F.lit("\r\n"))).alias("content"), sidecar.alias("sidecar"))
-    odd = [(".hidden.txt", "x", None), ("~$lock.txt", "x", None), ("half.txt.tmp", "x", None), ("prompt_ocr.md", "Read {page}.", None), ("prompt_edition.md", "Edit\r\nit.", None)]
+    odd = [
+        (".hidden.txt", "x", None), ("~$lock.txt", "x", None), ("half.txt.tmp", "x", None), ("prompt_ocr.md", "Read {page}.", None),
+        ("prompt_edition.md", "Edit\r\nit.", None)
+    ]
     folder = shared_folder(spark, "files")
     write_files(files.unionByName(spark.createDataFrame(odd, files.schema)), folder)
     return table(spark, sf, "conversations").select("conv_id").distinct(), folder
@@ -39,7 +48,9 @@ def files_read(spark: SparkSession, sf: str) -> DataFrame:
     """Text files of a folder, in order of names whatever their case, but those of every fifth book, which a list names."""
     books, folder = _conversation_files(spark, sf)
     listed = texts.listing(spark, folder, "*.txt")
-    ignored = texts.ignored_names(books.filter("conv_id % 5 = 0").select(F.concat(F.lit("BOOK"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(".TXT  # done")).alias("value")))
+    ignored = texts.ignored_names(
+        books.filter("conv_id % 5 = 0").select(F.concat(F.lit("BOOK"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(".TXT  # done")).alias("value"))
+    )
     kept = texts.not_ignored(listed, ignored)
     read = texts.read_texts(spark, f"{folder}/*.txt").select(F.regexp_extract("file", "([^/]+)$", 1).alias("name"), "text")
     return kept.join(read, "name").select("name", F.col("bytes").cast("long").alias("bytes"), F.md5("text").alias("text"))
@@ -53,7 +64,9 @@ def sidecars_read(spark: SparkSession, sf: str) -> DataFrame:
     """Sidecars of files, with nulls where there is none or a damaged one."""
     _, folder = _conversation_files(spark, sf)
     names = texts.listing(spark, folder, "*.txt").select("name")
-    found = texts.sidecars(texts.read_texts(spark, f"{folder}/*.txt.json")).select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("name"), "statut", F.col("reprises").cast("long").alias("reprises"), "unite")
+    found = texts.sidecars(texts.read_texts(spark, f"{folder}/*.txt.json")).select(
+        F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("name"), "statut", F.col("reprises").cast("long").alias("reprises"), "unite"
+    )
     return names.join(found, "name", "left")
 
 
@@ -118,8 +131,14 @@ CASE length(text) % 11 WHEN 3 THEN 'Refused: refused with 404' WHEN 5 THEN 'Refu
 
 def edited_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks edited by a model: a text stands as it is where replies stay blank."""
-    rows = M.edited(table(spark, sf, "conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 3 == 0, "\n*").otherwise(""))), ["conv_id", "turn"], "text", _client)
-    return rows.select("conv_id", "turn", F.md5("output").alias("output"), F.array_join("findings", ",").alias("findings"), "status", F.col("tries").cast("long").alias("tries"))
+    rows = M.edited(
+        table(spark, sf, "conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 3 == 0, "\n*").otherwise(""))),
+        ["conv_id", "turn"], "text", _client
+    )
+    return rows.select(
+        "conv_id", "turn", F.md5("output").alias("output"), F.array_join("findings", ",").alias("findings"), "status",
+        F.col("tries").cast("long").alias("tries")
+    )
 
 
 EDITED = f"""WITH c AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN chr(10) || '*' ELSE '' END AS t FROM conversations), o AS (SELECT *, length(t) % 11 AS k, CASE length(t) % 11 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN t ELSE {_UPPER("t")} END AS o FROM c),
@@ -155,7 +174,9 @@ def _annotator(prompt: str) -> str:
 def annotated_books(spark: SparkSession, sf: str) -> DataFrame:
     """Front matter that a model annotates, one call per document."""
     known, unknown = M.annotated(L.lines_of(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", 5, _annotator)
-    return known.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "role").unionByName(unknown.select("doc_id", F.lit(None).cast("long").alias("line_no"), "role"))
+    return known.select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), "role"
+    ).unionByName(unknown.select("doc_id", F.lit(None).cast("long").alias("line_no"), "role"))
 
 
 ANNOTATED = f"""WITH {S.LINES}, n AS (SELECT doc_id, min(line_no) AS f FROM lines WHERE line_no < 5 AND {S.strip("line")} <> '' GROUP BY doc_id)
@@ -175,7 +196,9 @@ ENTRIES = "SELECT concat_ws('/', role, conv_id, turn) AS key, 'own ' || length(t
 
 def first_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Which stage a book lacks first; its languages stand for the stages it has behind it."""
-    made = table(spark, sf, "documents").select(F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("int").cast("string")).alias("book"), F.col("lang").alias("stage"))
+    made = table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("int").cast("string")).alias("book"), F.col("lang").alias("stage")
+    )
     return G.first_missing(made, "book", "stage", ["en", "fr", "de", "es"])
 
 
@@ -187,7 +210,12 @@ CASE WHEN NOT list_contains(l, 'en') THEN 'en' WHEN NOT list_contains(l, 'fr') T
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Stages run one after the other up to the first that fails: whether tables have rows, and whether all documents are labelled."""
     count = lambda name: table(spark, sf, name).count()
-    ran = G.run_stages([("documents", lambda: count("documents") > 0), ("labels", lambda: count("labels") > 0), ("all labelled", lambda: count("labels") >= count("documents")), ("events", lambda: count("events") > 0)])
+    ran = G.run_stages(
+        [
+            ("documents", lambda: count("documents") > 0), ("labels", lambda: count("labels") > 0),
+            ("all labelled", lambda: count("labels") >= count("documents")), ("events", lambda: count("events") > 0)
+        ]
+    )
     return spark.createDataFrame(list(ran.items()), "stage string, done boolean")
 
 
@@ -198,7 +226,10 @@ SELECT 'documents' AS stage, a AS done FROM c UNION ALL SELECT 'labels', b FROM
 def restored_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Stored roles of a conversation that its cast still has."""
     cast = table(spark, sf, "conversations").select("conv_id", "role")
-    stored = cast.select("conv_id").distinct().select("conv_id", F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("ghost"))).otherwise(F.array(F.lit("system"), F.lit("ghost"), F.lit("user")))).alias("role"))
+    stored = cast.select("conv_id").distinct().select(
+        "conv_id",
+        F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("ghost"))).otherwise(F.array(F.lit("system"), F.lit("ghost"), F.lit("user")))).alias("role")
+    )
     return R.restored_roles(stored, cast, "conv_id", "role").select("conv_id", F.array_join("roles", ",").alias("roles"))
 
 
@@ -212,7 +243,11 @@ def changed_roles(spark: SparkSession, sf: str) -> DataFrame:
     new = F.when(F.col("conv_id") % 2 == 0, array("user", "guest", "assistant")).otherwise(array("guest"))
     active = array("user", "system")
     changed = R.roles_changed(F.col("mine"), new, active)
-    return per.select("conv_id", F.array_join(changed, ",").alias("active"), F.array_join(R.outsiders(active, F.col("mine")), ",").alias("outsiders"), X.role_key(new).alias("key"), X.listed(changed).alias("listed"), F.array_join(X.unlisted(X.listed(F.col("mine"))), ",").alias("unlisted"))
+    return per.select(
+        "conv_id", F.array_join(changed, ",").alias("active"), F.array_join(R.outsiders(active, F.col("mine")), ",").alias("outsiders"),
+        X.role_key(new).alias("key"), X.listed(changed).alias("listed"),
+        F.array_join(X.unlisted(X.listed(F.col("mine"))), ",").alias("unlisted")
+    )
 
 
 CHANGED = """WITH m AS (SELECT conv_id, list_sort(list(DISTINCT role)) AS m, CASE WHEN conv_id % 2 = 0 THEN ['user', 'guest', 'assistant'] ELSE ['guest'] END AS n FROM conversations GROUP BY conv_id),
@@ -234,7 +269,9 @@ SELECT doc_id, generate_subscripts(l[1:2], 1) AS page_no, md5(unnest(l[1:2])) AS
 def ink(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of texts as grey images: the share of dark ones, and whether a page is blank."""
     share = images.ink_share(F.encode(F.col("text"), "UTF-8"))
-    return table(spark, sf, "documents").select("doc_id", share.alias("s")).select("doc_id", F.round("s", 9).alias("ink"), (F.col("s") <= images.BLANK_SHARE).alias("blank"))
+    return table(spark, sf, "documents").select("doc_id", share.alias("s")).select(
+        "doc_id", F.round("s", 9).alias("ink"), (F.col("s") <= images.BLANK_SHARE).alias("blank")
+    )
 
 
 INK = "WITH s AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE (strlen(text) - len(regexp_extract_all(text, '[\\x{200}-\\x{10FFFF}]'))) / strlen(text) END AS s FROM documents) SELECT doc_id, round(s, 9) AS ink, s <= 0.001 AS blank FROM s"
@@ -272,5 +309,16 @@ def report_checks(spark: SparkSession, sf: str) -> DataFrame:
 CHECKS = f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[ras]' || chr(10) || text ELSE array_to_string(list_transform({S.tokens("text")}, lambda w: '[' || {_UPPER("w")} || '] x'), chr(10)) END AS r FROM documents)
 SELECT doc_id, contains(upper(r), '[RAS]') AS sound, CAST(len(regexp_extract_all(r, '(?m)^\\[[A-Z ]+\\]')) AS BIGINT) AS findings FROM r"""
 
-QUERIES = {"files_read": files_read, "sidecars_read": sidecars_read, "prompts_read": prompts_read, "remote_plays": remote_plays, "model_calls": model_calls, "edited_blocks": edited_blocks, "compared_blocks": compared_blocks, "annotated_books": annotated_books, "stored_entries": stored_entries, "first_missing": first_missing, "staged": staged, "restored_roles": restored_roles, "changed_roles": changed_roles, "first_pages": first_pages, "ink": ink, "corrected_progress": corrected_progress, "folded_junctions": folded_junctions, "report_checks": report_checks}
-SQL = {"files_read": FILES, "sidecars_read": SIDECARS, "prompts_read": PROMPTS, "remote_plays": REMOTE, "model_calls": CALLS, "edited_blocks": EDITED, "compared_blocks": COMPARED, "annotated_books": ANNOTATED, "stored_entries": ENTRIES, "first_missing": MISSING, "staged": STAGED, "restored_roles": RESTORED, "changed_roles": CHANGED, "first_pages": FIRST_PAGES, "ink": INK, "corrected_progress": CORRECTED, "folded_junctions": JUNCTIONS, "report_checks": CHECKS}
+QUERIES = {
+    "files_read": files_read, "sidecars_read": sidecars_read, "prompts_read": prompts_read, "remote_plays": remote_plays,
+    "model_calls": model_calls, "edited_blocks": edited_blocks, "compared_blocks": compared_blocks, "annotated_books": annotated_books,
+    "stored_entries": stored_entries, "first_missing": first_missing, "staged": staged, "restored_roles": restored_roles,
+    "changed_roles": changed_roles, "first_pages": first_pages, "ink": ink, "corrected_progress": corrected_progress,
+    "folded_junctions": folded_junctions, "report_checks": report_checks
+}
+SQL = {
+    "files_read": FILES, "sidecars_read": SIDECARS, "prompts_read": PROMPTS, "remote_plays": REMOTE, "model_calls": CALLS,
+    "edited_blocks": EDITED, "compared_blocks": COMPARED, "annotated_books": ANNOTATED, "stored_entries": ENTRIES, "first_missing": MISSING,
+    "staged": STAGED, "restored_roles": RESTORED, "changed_roles": CHANGED, "first_pages": FIRST_PAGES, "ink": INK,
+    "corrected_progress": CORRECTED, "folded_junctions": JUNCTIONS, "report_checks": CHECKS
+}

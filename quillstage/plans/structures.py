@@ -17,7 +17,9 @@ _NL = "chr(10)"
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    marked = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "\n", "\n\n<<<PAGE_BREAK>>>\n\n")).otherwise(F.concat(F.lit("[PAGE 1]\n"), F.regexp_replace("text", "\n", "\n[PAGE 2]\n")))
+    marked = F.when(
+        F.col("doc_id") % 2 == 0, F.regexp_replace("text", "\n", "\n\n<<<PAGE_BREAK>>>\n\n")
+    ).otherwise(F.concat(F.lit("[PAGE 1]\n"), F.regexp_replace("text", "\n", "\n[PAGE 2]\n")))
     return L.pages_of(table(spark, sf, "documents").withColumn("t", marked), "doc_id", "t")
 
 
@@ -35,7 +37,9 @@ PAGES = f"WITH {_PAGES} SELECT doc_id, page_no, md5(page) AS page FROM p"
 
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return L.blocks_of(_pages(spark, sf), "doc_id", 8).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("block", "first_page", "last_page")), F.md5("content").alias("content"))
+    return L.blocks_of(_pages(spark, sf), "doc_id", 8).select(
+        "doc_id", *(F.col(c).cast("long").alias(c) for c in ("block", "first_page", "last_page")), F.md5("content").alias("content")
+    )
 
 
 BLOCKS = f"""WITH {_PAGES} SELECT doc_id, (page_no - 1) // 8 + 1 AS block, min(page_no) AS first_page, max(page_no) AS last_page,
@@ -56,7 +60,11 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     """Three overlapping spans a document, of categories 1 to 3 by its length."""
     n = F.length("text")
     at = lambda a, b: (n * a / b).cast("long")
-    bits = F.array(F.struct(at(1, 10).alias("start"), at(4, 10).alias("stop"), F.lit(1).alias("category")), F.struct(at(3, 10).alias("start"), at(6, 10).alias("stop"), F.lit(2).alias("category")), F.struct(at(8, 10).alias("start"), at(9, 10).alias("stop"), F.lit(3).alias("category")))
+    bits = F.array(
+        F.struct(at(1, 10).alias("start"), at(4, 10).alias("stop"), F.lit(1).alias("category")),
+        F.struct(at(3, 10).alias("start"), at(6, 10).alias("stop"), F.lit(2).alias("category")),
+        F.struct(at(8, 10).alias("start"), at(9, 10).alias("stop"), F.lit(3).alias("category"))
+    )
     return table(spark, sf, "documents").select("doc_id", F.explode(bits).alias("s")).select("doc_id", "s.*").filter("start < stop")
 
 
@@ -87,7 +95,10 @@ OVERLAPPING = f"WITH {_SPANS}, m AS (SELECT *, max(stop) OVER (PARTITION BY doc_
 
 
 def category_at(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), (F.length("text") * 35 / 100).cast("long"), (F.length("text") * 85 / 100).cast("long"))).alias("place")).distinct()
+    points = table(spark, sf, "documents").select(
+        "doc_id",
+        F.explode(F.array(F.lit(0).cast("long"), (F.length("text") * 35 / 100).cast("long"), (F.length("text") * 85 / 100).cast("long"))).alias("place")
+    ).distinct()
     return I.category_at(points, _spans(spark, sf), "doc_id", "place").select("doc_id", "place", F.col("category").cast("long").alias("category"))
 
 
@@ -97,7 +108,10 @@ SELECT p.doc_id, place, CAST(coalesce(arg_min(category, (start, stop, category))
 
 def words_cut(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return _spans(spark, sf).join(docs, "doc_id").groupBy("category").agg(F.sum(I.words_inside(F.col("text"), F.col("start").cast("int"), F.col("stop").cast("int"), X.NONSPACE)).cast("long").alias("words"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars")).withColumn("category", F.col("category").cast("long"))
+    return _spans(spark, sf).join(docs, "doc_id").groupBy("category").agg(
+        F.sum(I.words_inside(F.col("text"), F.col("start").cast("int"), F.col("stop").cast("int"), X.NONSPACE)).cast("long").alias("words"),
+        F.sum(F.col("stop") - F.col("start")).cast("long").alias("chars")
+    ).withColumn("category", F.col("category").cast("long"))
 
 
 CUT = f"WITH {_SPANS} SELECT CAST(category AS BIGINT) AS category, CAST(sum(len(regexp_extract_all(substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), {S.q(X.NONSPACE)}))) AS BIGINT) AS words, CAST(sum(stop - start) AS BIGINT) AS chars FROM v JOIN documents USING (doc_id) GROUP BY category"
@@ -106,7 +120,9 @@ CUT = f"WITH {_SPANS} SELECT CAST(category AS BIGINT) AS category, CAST(sum(len(
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     begin, end = F.substring(t, F.lit(1), F.lit(12)), F.substring(t, F.length(t) - 5, F.lit(6))
-    return table(spark, sf, "documents").select("doc_id", I.anchored(t, begin, end).alias("a")).select("doc_id", F.col("a.start").cast("long").alias("start"), F.col("a.stop").cast("long").alias("stop"), "a.fault")
+    return table(spark, sf, "documents").select("doc_id", I.anchored(t, begin, end).alias("a")).select(
+        "doc_id", F.col("a.start").cast("long").alias("start"), F.col("a.stop").cast("long").alias("stop"), "a.fault"
+    )
 
 
 ANCHORS = """WITH a AS (SELECT doc_id, text, substr(text, 1, 12) AS b, substr(text, length(text) - 5, 6) AS e FROM documents),
@@ -114,5 +130,11 @@ f AS (SELECT *, CASE WHEN instr(substr(text, instr(text, b) + 1), b) > 0 THEN 'b
 SELECT doc_id, CASE WHEN fault IS NULL THEN instr(text, b) - 1 END AS start, CASE WHEN fault IS NULL THEN instr(text, e) - 1 + length(e) END AS stop, fault FROM f"""
 
 
-QUERIES = {"pages": pages, "page_blocks": page_blocks, "play_labels": play_labels, "united_spans": united_spans, "overlaid_spans": overlaid_spans, "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors}
-SQL = {"pages": PAGES, "page_blocks": BLOCKS, "play_labels": LABELS, "united_spans": UNITED, "overlaid_spans": OVERLAID, "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS}
+QUERIES = {
+    "pages": pages, "page_blocks": page_blocks, "play_labels": play_labels, "united_spans": united_spans, "overlaid_spans": overlaid_spans,
+    "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors
+}
+SQL = {
+    "pages": PAGES, "page_blocks": BLOCKS, "play_labels": LABELS, "united_spans": UNITED, "overlaid_spans": OVERLAID,
+    "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS
+}

@@ -20,7 +20,10 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_shapes(spark: SparkSession, sf: str) -> DataFrame:
     line = F.col("line")
-    return _lines(spark, sf).select("doc_id", "line_no", X.is_separator(line).alias("separator"), X.bold(line).alias("bold"), X.italic(line).alias("italic"), X.is_speech(line).alias("speech"), X.without_markers(line).alias("bare"), X.is_structure_label(line).alias("structure"))
+    return _lines(spark, sf).select(
+        "doc_id", "line_no", X.is_separator(line).alias("separator"), X.bold(line).alias("bold"), X.italic(line).alias("italic"),
+        X.is_speech(line).alias("speech"), X.without_markers(line).alias("bare"), X.is_structure_label(line).alias("structure")
+    )
 
 
 LINE_SHAPES = f"""WITH {S.LINES} SELECT doc_id, line_no, {S.separator("line")} AS separator, {S.bold("line")} AS bold, {S.italic("line")} AS italic,
@@ -31,7 +34,10 @@ LINE_SHAPES = f"""WITH {S.LINES} SELECT doc_id, line_no, {S.separator("line")} A
 
 def name_predicates(spark: SparkSession, sf: str) -> DataFrame:
     word = F.get(F.split("line", " "), F.lit(0))
-    return _lines(spark, sf).withColumn("w", word).select("doc_id", "line_no", "w", X.is_name(F.col("w")).alias("is_name"), X.may_be_name(F.col("w")).alias("may_be_name"), X.starts_small(F.col("w")).alias("starts_small"), X.has_word_of(F.upper("line"), ["THE", "LA", "DER"]).alias("in_lexicon"))
+    return _lines(spark, sf).withColumn("w", word).select(
+        "doc_id", "line_no", "w", X.is_name(F.col("w")).alias("is_name"), X.may_be_name(F.col("w")).alias("may_be_name"),
+        X.starts_small(F.col("w")).alias("starts_small"), X.has_word_of(F.upper("line"), ["THE", "LA", "DER"]).alias("in_lexicon")
+    )
 
 
 NAMES = f"""WITH {S.LINES}, w AS (SELECT doc_id, line_no, line, string_split(line, ' ')[1] AS w FROM lines)
@@ -42,7 +48,10 @@ list_has_any(string_split(upper(line), ' '), ['THE', 'LA', 'DER']) AS in_lexicon
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select("doc_id", "line_no", X.label(F.col("line")).alias("label"), X.slug(F.col("line")).alias("slug"), R.piece_slug(F.col("line")).alias("piece_slug"), X.canonical_role(F.col("line")).alias("role"))
+    return _lines(spark, sf).select(
+        "doc_id", "line_no", X.label(F.col("line")).alias("label"), X.slug(F.col("line")).alias("slug"),
+        R.piece_slug(F.col("line")).alias("piece_slug"), X.canonical_role(F.col("line")).alias("role")
+    )
 
 
 LABELS = f"""WITH {S.LINES} SELECT doc_id, line_no, {S.label("line")} AS label,
@@ -53,7 +62,10 @@ replace(upper(replace({S.strip(f"regexp_replace({S.strip(f'regexp_split_to_array
 def counted_texts(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     odd = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("[PAGE 3]\n"), "text", F.lit(" \n<<<PAGE_BREAK>>>\n *x*")))
-    return odd.select("doc_id", F.md5(X.for_counting(t)).alias("counting"), F.md5(X.for_comparison(t)).alias("comparison"), F.md5(X.speech_key(t)).alias("speech_key"), X.stars_outside_separators(t).cast("long").alias("stars"))
+    return odd.select(
+        "doc_id", F.md5(X.for_counting(t)).alias("counting"), F.md5(X.for_comparison(t)).alias("comparison"),
+        F.md5(X.speech_key(t)).alias("speech_key"), X.stars_outside_separators(t).cast("long").alias("stars")
+    )
 
 
 COUNTED = f"""WITH d AS (SELECT doc_id, '[PAGE 3]' || chr(10) || text || ' ' || chr(10) || '<<<PAGE_BREAK>>>' || chr(10) || ' *x*' AS text FROM documents)
@@ -64,7 +76,9 @@ CAST(list_sum(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN {S
 def speech_ids(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations").withColumn("k", X.speech_key(F.col("text")))
     nth = F.row_number().over(W.partitionBy("role", "k").orderBy("conv_id", "turn")) - 1
-    return said.withColumn("occurrence", nth.cast("long")).select("conv_id", "turn", "occurrence", X.speech_id(F.array("role"), F.col("text"), F.col("occurrence")).alias("id"))
+    return said.withColumn("occurrence", nth.cast("long")).select(
+        "conv_id", "turn", "occurrence", X.speech_id(F.array("role"), F.col("text"), F.col("occurrence")).alias("id")
+    )
 
 
 SPEECH_IDS = f"""WITH s AS (SELECT *, {S.speech_key("text")} AS k FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY conv_id, turn) - 1 AS occurrence FROM s)
@@ -73,9 +87,14 @@ SELECT conv_id, turn, occurrence, 'r_' || left(sha1(role || '|' || k || CASE WHE
 
 def speakers(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations")
-    raw = F.when(F.col("turn") % 7 == 3, "Tous.").when(F.col("turn") % 3 == 1, F.concat("role", F.lit(" (aside) et L’"), F.upper("role"), F.lit(" : "))).otherwise(F.concat("role", F.lit(" [low] / Bob!")))
+    raw = F.when(F.col("turn") % 7 == 3, "Tous.").when(
+        F.col("turn") % 3 == 1, F.concat("role", F.lit(" (aside) et L’"), F.upper("role"), F.lit(" : "))
+    ).otherwise(F.concat("role", F.lit(" [low] / Bob!")))
     named = said.withColumn("raw", raw)
-    return named.select("conv_id", "turn", "raw", X.speaker(F.col("raw")).alias("speaker"), F.array_join(X.speakers(F.col("raw")), "|").alias("speakers"), F.array_join(X.asides_of(F.col("raw")), "|").alias("asides"), X.speakers_label(X.speakers(F.col("raw"))).alias("label"))
+    return named.select(
+        "conv_id", "turn", "raw", X.speaker(F.col("raw")).alias("speaker"), F.array_join(X.speakers(F.col("raw")), "|").alias("speakers"),
+        F.array_join(X.asides_of(F.col("raw")), "|").alias("asides"), X.speakers_label(X.speakers(F.col("raw"))).alias("label")
+    )
 
 
 def _speaker_sql(x: str) -> str:
@@ -93,7 +112,11 @@ CASE WHEN list_contains(people, '*') THEN 'TOUS' ELSE array_to_string(people, '
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", X.balance_words(t).cast("long").alias("balance_words"), F.size(X.tokens(t)).cast("long").alias("tokens"), F.regexp_count(t, F.lit(X.NONSPACE)).cast("long").alias("stretches"), F.size(X.word_places(t)).cast("long").alias("real_words"), F.size(F.split(t, "\n", -1)).cast("long").alias("lines"))
+    return table(spark, sf, "documents").select(
+        "doc_id", X.balance_words(t).cast("long").alias("balance_words"), F.size(X.tokens(t)).cast("long").alias("tokens"),
+        F.regexp_count(t, F.lit(X.NONSPACE)).cast("long").alias("stretches"), F.size(X.word_places(t)).cast("long").alias("real_words"),
+        F.size(F.split(t, "\n", -1)).cast("long").alias("lines")
+    )
 
 
 WORDS = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, {S.q(X.BALANCE_WORD)})) AS BIGINT) AS balance_words, CAST(len({S.tokens("text")}) AS BIGINT) AS tokens,
@@ -103,7 +126,10 @@ CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents"""
 
 def openings(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.opening(t, 3).alias("opening"), X.opening_is_all(t, 3).alias("is_all"), X.last_words(t, 5).alias("cue"), F.md5(X.initials(t)).alias("initials"), X.excerpt(t).alias("excerpt"))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", X.opening(t, 3).alias("opening"), X.opening_is_all(t, 3).alias("is_all"), X.last_words(t, 5).alias("cue"),
+        F.md5(X.initials(t)).alias("initials"), X.excerpt(t).alias("excerpt")
+    )
 
 
 OPENINGS = f"""WITH t AS (SELECT conv_id, turn, text, {S.tokens("text")} AS t FROM conversations),
@@ -131,7 +157,10 @@ def numerals(spark: SparkSession, sf: str) -> DataFrame:
     written = F.get(F.array(*map(F.lit, ["UN", "DEUX", "TROISIEME", "SEIZE", "VINGT"])), n % 5)
     label = F.when(n % 4 == 0, roman).when(n % 4 == 1, F.concat(n.cast("string"), F.lit(" - Titre"))).when(n % 4 == 2, written).otherwise(F.concat(F.lit("SIR "), roman))
     e = table(spark, sf, "events").withColumn("label", label)
-    return e.select("event_id", "label", N.numeral_style(F.col("label")).alias("style"), N.numeral_value(F.col("label")).cast("long").alias("value"), N.in_words(n).alias("in_words"))
+    return e.select(
+        "event_id", "label", N.numeral_style(F.col("label")).alias("style"), N.numeral_value(F.col("label")).cast("long").alias("value"),
+        N.in_words(n).alias("in_words")
+    )
 
 
 FRENCH = "[" + ", ".join(S.q(N.french(i)) for i in range(1000)) + "]"
@@ -143,7 +172,11 @@ CASE WHEN n % 4 = 2 THEN [1, 2, 3, 16, 20][n % 5 + 1] WHEN n % 4 = 1 THEN n WHEN
 
 def formats(spark: SparkSession, sf: str) -> DataFrame:
     n, v = F.col("event_id"), F.col("value")
-    return table(spark, sf, "events").select("event_id", N.half_up(v).cast("long").alias("rounded"), N.per_cent(v).cast("long").alias("per_cent"), N.back_off((n % 6 + 1).cast("int")).alias("wait"), N.thousands(n).alias("grouped"), N.duration(n * 7).alias("lasted"), N.lower_dpi((n % 300 + 100).cast("int")).cast("long").alias("dpi"))
+    return table(spark, sf, "events").select(
+        "event_id", N.half_up(v).cast("long").alias("rounded"), N.per_cent(v).cast("long").alias("per_cent"),
+        N.back_off((n % 6 + 1).cast("int")).alias("wait"), N.thousands(n).alias("grouped"), N.duration(n * 7).alias("lasted"),
+        N.lower_dpi((n % 300 + 100).cast("int")).cast("long").alias("dpi")
+    )
 
 
 FORMATS = """SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS rounded, CAST(greatest(0, least(100, floor(value + 0.5))) AS BIGINT) AS per_cent,
@@ -153,9 +186,14 @@ CAST(greatest(110, floor((event_id % 300 + 100) * 0.75)) AS BIGINT) AS dpi FROM
 
 
 def envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```text\n"), "text", F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<<<SOURCE>>>\n"), "text", F.lit("\n<<<FIN_SOURCE>>>"))).otherwise(F.concat(F.lit("ﬁn  \n\n\n\n"), "text"))
+    wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```text\n"), "text", F.lit("\n```"))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("<<<SOURCE>>>\n"), "text", F.lit("\n<<<FIN_SOURCE>>>"))
+    ).otherwise(F.concat(F.lit("ﬁn  \n\n\n\n"), "text"))
     w = table(spark, sf, "documents").withColumn("w", wrapped)
-    return w.select("doc_id", F.md5(X.without_envelope(F.col("w"))).alias("reply"), F.md5(X.text_layer(F.col("w"))).alias("layer"), F.md5(X.straight(F.col("w"))).alias("straight"))
+    return w.select(
+        "doc_id", F.md5(X.without_envelope(F.col("w"))).alias("reply"), F.md5(X.text_layer(F.col("w"))).alias("layer"),
+        F.md5(X.straight(F.col("w"))).alias("straight")
+    )
 
 
 _LIG = "w"
@@ -170,7 +208,10 @@ md5(translate(w, '’‘  ' || chr(13), '''''   ')) AS straight FROM w"""
 def windows_of_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     (a, b), (c, d) = L.tail_window(t, 3), L.head_window(t, 2)
-    return table(spark, sf, "documents").select("doc_id", F.md5(a).alias("before_tail"), F.md5(b).alias("tail"), F.md5(c).alias("head"), F.md5(d).alias("after_head"), F.md5(L.assembled(F.split(t, "\n", -1))).alias("assembled"), F.md5(L.rejoined(a, b)).alias("rejoined"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.md5(a).alias("before_tail"), F.md5(b).alias("tail"), F.md5(c).alias("head"), F.md5(d).alias("after_head"),
+        F.md5(L.assembled(F.split(t, "\n", -1))).alias("assembled"), F.md5(L.rejoined(a, b)).alias("rejoined")
+    )
 
 
 _NL = "chr(10)"
@@ -185,8 +226,13 @@ md5({S.strip(f"array_to_string(list_filter([{S.strip('a')}, {S.strip('b')}], lam
 def inline_speech(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of what is said, put behind a name."""
     said = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "l"))
-    line = F.concat(F.lit("**"), F.upper("role"), F.when(F.col("turn") % 3 == 0, ", low.").when(F.col("turn") % 3 == 1, "").otherwise("."), F.lit("** "), F.when(F.col("turn") % 2 == 0, "— ").otherwise(""), F.lower("l"))
-    return said.select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), L.split_inline(line).alias("s")).select("conv_id", "turn", "line_no", "s.name", "s.aside", F.md5("s.speech").alias("speech"))
+    line = F.concat(
+        F.lit("**"), F.upper("role"), F.when(F.col("turn") % 3 == 0, ", low.").when(F.col("turn") % 3 == 1, "").otherwise("."),
+        F.lit("** "), F.when(F.col("turn") % 2 == 0, "— ").otherwise(""), F.lower("l")
+    )
+    return said.select(
+        "conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), L.split_inline(line).alias("s")
+    ).select("conv_id", "turn", "line_no", "s.name", "s.aside", F.md5("s.speech").alias("speech"))
 
 
 INLINE = f"""WITH l AS (SELECT conv_id, turn, role, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS l FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations)), s AS (SELECT *, {S.strip("lower(l)")} AS t FROM l),
@@ -196,7 +242,10 @@ SELECT conv_id, turn, line_no, CASE WHEN fits THEN upper(role) || CASE WHEN turn
 
 def emphasis(spark: SparkSession, sf: str) -> DataFrame:
     runs = _lines(spark, sf).select("doc_id", "line_no", F.explode(L.emphasis_runs(F.col("line"))).alias("r"))
-    return runs.groupBy("doc_id", "line_no").agg(F.count("*").alias("runs"), F.count_if("r.bold").alias("bold_runs"), F.count_if("r.italic").alias("italic_runs"), F.sum(F.length("r.text")).cast("long").alias("chars"))
+    return runs.groupBy("doc_id", "line_no").agg(
+        F.count("*").alias("runs"), F.count_if("r.bold").alias("bold_runs"), F.count_if("r.italic").alias("italic_runs"),
+        F.sum(F.length("r.text")).cast("long").alias("chars")
+    )
 
 
 EMPHASIS = f"""WITH {S.LINES}, r AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\*\\*[^*]+\\*\\*|\\*[^*]+\\*|[^*]+|\\*')) AS t FROM lines),
@@ -215,5 +264,14 @@ _KEY = S.squeeze("regexp_replace(lower(strip_accents(text)), '[.,;:!?…«»\"
 SEARCHED = f"""SELECT conv_id, turn, CASE WHEN length({S.squeeze("text")}) > 90 THEN left({S.squeeze("text")}, 89) || '…' ELSE {S.squeeze("text")} END AS excerpt
 FROM conversations WHERE contains({_KEY}, 'the th') ORDER BY conv_id, turn LIMIT 30"""
 
-QUERIES = {"line_shapes": line_shapes, "name_predicates": name_predicates, "labels": labels, "counted_texts": counted_texts, "speech_ids": speech_ids, "speakers": speakers, "words": words, "openings": openings, "unit_titles": unit_titles, "numerals": numerals, "formats": formats, "envelopes": envelopes, "windows_of_lines": windows_of_lines, "inline_speech": inline_speech, "emphasis": emphasis, "searched": searched}
-SQL = {"line_shapes": LINE_SHAPES, "name_predicates": NAMES, "labels": LABELS, "counted_texts": COUNTED, "speech_ids": SPEECH_IDS, "speakers": SPEAKERS, "words": WORDS, "openings": OPENINGS, "unit_titles": TITLES, "numerals": NUMERALS, "formats": FORMATS, "envelopes": ENVELOPES, "windows_of_lines": WINDOWS, "inline_speech": INLINE, "emphasis": EMPHASIS, "searched": SEARCHED}
+QUERIES = {
+    "line_shapes": line_shapes, "name_predicates": name_predicates, "labels": labels, "counted_texts": counted_texts,
+    "speech_ids": speech_ids, "speakers": speakers, "words": words, "openings": openings, "unit_titles": unit_titles, "numerals": numerals,
+    "formats": formats, "envelopes": envelopes, "windows_of_lines": windows_of_lines, "inline_speech": inline_speech, "emphasis": emphasis,
+    "searched": searched
+}
+SQL = {
+    "line_shapes": LINE_SHAPES, "name_predicates": NAMES, "labels": LABELS, "counted_texts": COUNTED, "speech_ids": SPEECH_IDS,
+    "speakers": SPEAKERS, "words": WORDS, "openings": OPENINGS, "unit_titles": TITLES, "numerals": NUMERALS, "formats": FORMATS,
+    "envelopes": ENVELOPES, "windows_of_lines": WINDOWS, "inline_speech": INLINE, "emphasis": EMPHASIS, "searched": SEARCHED
+}

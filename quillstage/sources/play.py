@@ -30,7 +30,9 @@ def ingest(raw: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     from quillstage.operators.quality import version_remedy
 
     parsed = raw.withColumn("doc", F.from_json(text, DOCUMENT, {"mode": "PERMISSIVE"}))
-    reason = F.when(F.col("doc").isNull() | F.coalesce(F.col("doc.schema"), F.col("doc.piece")).isNull(), "not a document").otherwise(F.coalesce(version_remedy(F.col("doc.schema")), F.when(F.coalesce(F.size("doc.unites"), F.lit(0)) <= 0, "no units")))
+    reason = F.when(
+        F.col("doc").isNull() | F.coalesce(F.col("doc.schema"), F.col("doc.piece")).isNull(), "not a document"
+    ).otherwise(F.coalesce(version_remedy(F.col("doc.schema")), F.when(F.coalesce(F.size("doc.unites"), F.lit(0)) <= 0, "no units")))
     marked = parsed.withColumn("reason", reason)
     return marked.filter("reason is null").select("doc.*"), marked.filter("reason is not null").drop("doc")
 
@@ -44,8 +46,15 @@ def lifted(docs: DataFrame) -> DataFrame:
 def elements(docs: DataFrame) -> DataFrame:
     """A row per element in play order: (piece, unit_pos, unit, act, scene, implicit, unit_people, elem_pos, type, text, id, people, verse, asides)."""
     units = docs.select("piece", F.posexplode("unites").alias("unit_pos", "u"))
-    rows = units.select("piece", "unit_pos", F.col("u.id").alias("unit"), F.col("u.acte").alias("act"), F.col("u.scene").alias("scene"), F.col("u.implicite").alias("implicit"), F.col("u.personnages").alias("unit_people"), F.posexplode("u.elements").alias("elem_pos", "e"))
-    return rows.select(*rows.columns[:-1], F.col("e.type").alias("type"), F.col("e.texte").alias("text"), F.col("e.id").alias("id"), F.col("e.personnages").alias("people"), F.col("e.vers").alias("verse"), F.col("e.didascalies_internes").alias("asides"))
+    rows = units.select(
+        "piece", "unit_pos", F.col("u.id").alias("unit"), F.col("u.acte").alias("act"), F.col("u.scene").alias("scene"),
+        F.col("u.implicite").alias("implicit"), F.col("u.personnages").alias("unit_people"),
+        F.posexplode("u.elements").alias("elem_pos", "e")
+    )
+    return rows.select(
+        *rows.columns[:-1], F.col("e.type").alias("type"), F.col("e.texte").alias("text"), F.col("e.id").alias("id"),
+        F.col("e.personnages").alias("people"), F.col("e.vers").alias("verse"), F.col("e.didascalies_internes").alias("asides")
+    )
 
 
 def speeches(docs: DataFrame) -> DataFrame:
@@ -61,7 +70,11 @@ def structure_counts(docs: DataFrame) -> DataFrame:
     """Per play: units, implicit units, speeches, stage directions, unattributed text, characters, warnings."""
     flat = F.flatten(F.transform("unites", lambda u: u["elements"]))
     of = lambda kind: F.size(F.filter(flat, lambda e: e["type"] == kind))
-    return docs.select("piece", F.size("unites").alias("units"), F.size(F.filter("unites", lambda u: u["implicite"])).alias("implicit_units"), of("replique").alias("speeches"), of("didascalie").alias("directions"), of("texte_sans_personnage").alias("unattributed"), F.size("personnages").alias("characters"), F.size(F.coalesce("avertissements", F.array().cast("array<string>"))).alias("warnings"))
+    return docs.select(
+        "piece", F.size("unites").alias("units"), F.size(F.filter("unites", lambda u: u["implicite"])).alias("implicit_units"),
+        of("replique").alias("speeches"), of("didascalie").alias("directions"), of("texte_sans_personnage").alias("unattributed"),
+        F.size("personnages").alias("characters"), F.size(F.coalesce("avertissements", F.array().cast("array<string>"))).alias("warnings")
+    )
 
 
 def manifest(docs: DataFrame) -> DataFrame:

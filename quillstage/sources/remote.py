@@ -20,7 +20,9 @@ class RemoteError(RuntimeError):
 
 
 def listing_url(base: str, folder: str, token: str | None = None) -> str:
-    query = {"q": f"'{folder}' in parents and trashed = false", "fields": "nextPageToken,files(id,name,modifiedTime)", "pageSize": 1000} | ({"pageToken": token} if token else {})
+    query = {
+        "q": f"'{folder}' in parents and trashed = false", "fields": "nextPageToken,files(id,name,modifiedTime)", "pageSize": 1000
+    } | ({"pageToken": token} if token else {})
     return f"{base}/files?{urlencode(query)}"
 
 

@@ -70,7 +70,9 @@ def paragraphs_of(raw: bytes) -> list[tuple[int, str | None, list[tuple[str, boo
             pr = r.find(_WORD_NS + "rPr")
             text = "".join("\t" if t.tag == _WORD_NS + "tab" else "\n" if t.tag in (_WORD_NS + "br", _WORD_NS + "cr") else t.text or "" for t in r if t.tag in {_WORD_NS + x for x in ("t", "delText", "tab", "br", "cr")})
             if text:
-                runs.append((text, _flag(pr, "b"), _flag(pr, "i"), holder is not None and holder.tag == _WORD_NS + "del", holder is not None and holder.tag == _WORD_NS + "ins"))
+                runs.append(
+                    (text, _flag(pr, "b"), _flag(pr, "i"), holder is not None and holder.tag == _WORD_NS + "del", holder is not None and holder.tag == _WORD_NS + "ins")
+                )
         out.append((n, None if style is None else style.get(_WORD_NS + "val"), runs))
     return out
 
@@ -116,7 +118,9 @@ def paragraphs(runs: DataFrame) -> DataFrame:
     size = F.length("text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda s: s["text"]), "")
     share = lambda flag: F.sum(F.when(F.col(flag), size).otherwise(0)) / F.sum(size)
-    per = runs.groupBy("file", "paragraph").agg(F.min("start").alias("start"), joined.alias("text"), share("bold").alias("bold_share"), share("italic").alias("italic_share"))
+    per = runs.groupBy("file", "paragraph").agg(
+        F.min("start").alias("start"), joined.alias("text"), share("bold").alias("bold_share"), share("italic").alias("italic_share")
+    )
     return per.filter(F.trim("text") != "")
 
 
@@ -146,8 +150,14 @@ def word_package(body: str) -> bytes:
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr(
+            "[Content_Types].xml",
+            '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+        )
+        z.writestr(
+            "_rels/.rels",
+            '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+        )
         z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
     return out.getvalue()
 

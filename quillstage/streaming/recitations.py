@@ -27,15 +27,23 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     state.update(tuple(list(c) for c in zip(*entries, strict=True)))
     ok = [e[1] >= SUCCESS for e in entries]
     streak = ok.index(False) if False in ok else len(ok)
-    yield pd.DataFrame([(key[0], len(entries), streak, sum(ok), entries[0][0], entries[0][1])], columns=["user_id", "attempts", "streak", "successes", "last_at", "last_score"])
+    yield pd.DataFrame(
+        [(key[0], len(entries), streak, sum(ok), entries[0][0], entries[0][1])],
+        columns=["user_id", "attempts", "streak", "successes", "last_at", "last_score"]
+    )
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
     """Per update of a key its progress; ``events`` has user_id, ts, value, event_id."""
-    rows = events.select("user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"), F.least(F.lit(100.0), F.col("value")).alias("score"), F.col("event_id").alias("tie"))
+    rows = events.select(
+        "user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"),
+        F.least(F.lit(100.0), F.col("value")).alias("score"), F.col("event_id").alias("tie")
+    )
     return rows.groupBy("user_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events and their mean, summed as decimals, by window and type; what is later than ``late`` is left out of closed windows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.round(F.avg(F.col("value").cast("decimal(18,6)")), 6).alias("mean"))
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(
+        F.count("*").alias("events"), F.round(F.avg(F.col("value").cast("decimal(18,6)")), 6).alias("mean")
+    )

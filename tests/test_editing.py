@@ -29,12 +29,20 @@ def test_override_takes_the_first_line(spark):
 
 
 def test_asides_go_back(spark):
-    row = spark.range(1).select(editing.asides_marked(F.lit("un deux"), F.array(F.struct(F.lit(1).alias("before_word"), F.lit("bas").alias("text")), F.struct(F.lit(2).alias("before_word"), F.lit("sort").alias("text")))).alias("t")).first()
+    row = spark.range(1).select(
+        editing.asides_marked(
+            F.lit("un deux"),
+            F.array(F.struct(F.lit(1).alias("before_word"), F.lit("bas").alias("text")), F.struct(F.lit(2).alias("before_word"), F.lit("sort").alias("text")))
+        ).alias("t")
+    ).first()
     assert row.t == "un *bas* deux *sort*"
 
 
 def test_edited_from_paragraphs(spark):
-    rows = [("d", 0, "ACTE I, SCÈNE 2", 1.0, 0.0), ("d", 1, "JAN", 1.0, 0.0), ("d", 2, "Un.", 0.0, 0.0), ("d", 3, "Deux.", 0.0, 0.1), ("d", 4, "Il sort.", 0.0, 1.0), ("d", 5, " ", 0.0, 0.0)]
+    rows = [
+        ("d", 0, "ACTE I, SCÈNE 2", 1.0, 0.0), ("d", 1, "JAN", 1.0, 0.0), ("d", 2, "Un.", 0.0, 0.0), ("d", 3, "Deux.", 0.0, 0.1),
+        ("d", 4, "Il sort.", 0.0, 1.0), ("d", 5, " ", 0.0, 0.0)
+    ]
     out = editing.edited_from_paragraphs(spark.createDataFrame(rows, "doc string, paragraph int, text string, bold_share double, italic_share double"), "doc")
     assert [r.line for r in out.orderBy("position").collect()] == ["**SCÈNE 2**", "**JAN**", "Un.\nDeux.", "*Il sort.*"]
     assert [r.front for r in editing.front_split(out, "doc").orderBy("position").collect()] == [False] * 4
@@ -49,9 +57,18 @@ def test_tracked_cuts(spark):
 
 
 def test_reports(spark):
-    labels = spark.createDataFrame([("d", "ACTE I", "titre_acte", "certaine", "lexique acte", 1, 0)], "doc string, label string, type string, confidence string, reason string, occurrences long, speech_after long")
+    labels = spark.createDataFrame(
+        [("d", "ACTE I", "titre_acte", "certaine", "lexique acte", 1, 0)],
+        "doc string, label string, type string, confidence string, reason string, occurrences long, speech_after long"
+    )
     assert editing.classification_report(labels, "doc").first().report.endswith("1 labels, 0 uncertain")
-    numbered = structure.numbering(spark.createDataFrame([("d", x, 1, i) for i, x in enumerate(("I", "II", "I. bis", "1"))][:3] + [("e", x, 1, i) for i, x in enumerate(("I", "II", "III"))], "doc string, label string, occurrences long, first_line int"), "doc")
+    numbered = structure.numbering(
+        spark.createDataFrame(
+            [("d", x, 1, i) for i, x in enumerate(("I", "II", "I. bis", "1"))][:3] + [("e", x, 1, i) for i, x in enumerate(("I", "II", "III"))],
+            "doc string, label string, occurrences long, first_line int"
+        ),
+        "doc"
+    )
     assert [r.doc for r in editing.restarted_numbering(numbered, "doc").collect()] == ["d"]
     findings = spark.createDataFrame([("b", "LACUNE", 2, "x"), ("b", "AJOUT", 1, "y")], "book string, category string, block int, detail string")
     assert quality.report(findings, "book").first().report == "[AJOUT] bloc 1 : y\n[LACUNE] bloc 2 : x"
@@ -59,7 +76,13 @@ def test_reports(spark):
 
 
 def test_reading(spark):
-    elements = spark.createDataFrame([("p", 0, "A", "1", False, 0, "replique", "x", ["JAN"]), ("p", 0, "A", "1", False, 1, "didascalie", "y", None), ("p", 1, "A", "1", True, 0, "replique", "z", ["*"])], "piece string, unit_pos int, act string, scene string, implicit boolean, elem_pos int, type string, text string, people array<string>")
+    elements = spark.createDataFrame(
+        [
+            ("p", 0, "A", "1", False, 0, "replique", "x", ["JAN"]), ("p", 0, "A", "1", False, 1, "didascalie", "y", None),
+            ("p", 1, "A", "1", True, 0, "replique", "z", ["*"])
+        ],
+        "piece string, unit_pos int, act string, scene string, implicit boolean, elem_pos int, type string, text string, people array<string>"
+    )
     flat = reading.flattened(elements)
     assert [r.kind for r in flat.orderBy("position").collect()] == ["scene", "replique", "didascalie", "replique"]
     assert {r.scene for r in reading.with_scene(flat).collect()} == {"A - 1"}
@@ -73,7 +96,9 @@ def test_reading(spark):
     slots = spark.createDataFrame([("JAN", 1)], "name string, slot int")
     assert [r.name for r in reading.unassigned(people, slots, "name").collect()] == ["MARTHA"] and reading.roles_by_slot(slots, "name", "slot").first().roles == ["JAN"]
     assert [r.hue for r in reading.hues(people, "name").collect()] == [0.0, 180.0]
-    assert spark.range(1).select(reading.reader_label(F.lit("JAN"), F.lit("Ann")).alias("l"), reading.piece_slug(F.lit("Le Malentendu")).alias("s")).first()[:] == ("Jan (Ann)", "le-malentendu")
+    assert spark.range(1).select(
+        reading.reader_label(F.lit("JAN"), F.lit("Ann")).alias("l"), reading.piece_slug(F.lit("Le Malentendu")).alias("s")
+    ).first()[:] == ("Jan (Ann)", "le-malentendu")
     assert reading.latest(spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], "channel string, at int, text string"), "channel", "at").first().text == "b"
 
 
@@ -81,12 +106,17 @@ def test_sessions_and_settings(spark):
     rows = [("s", 1, "mode", "trous"), ("s", 2, "reveal", "r1"), ("s", 3, "reveal", "r2"), ("s", 4, "hide", "r1"), ("s", 5, "draw", None), ("s", 6, "go", "u2")]
     r = reading.session_state(spark.createDataFrame(rows, "id string, n int, action string, argument string"), "id", "n").first()
     assert (r.mode, r.revealed, r.draws, r.place) == ("trous", ["r2"], 1, "u2")
-    rows = [("s", 1, "reveal", "a"), ("s", 2, "reveal", "b"), ("s", 3, "reveal", "a"), ("s", 4, "hide", "b"), ("s", 5, "reveal", "c"), ("s", 6, "reveal", "b"), ("t", 1, "reveal", "a"), ("t", 2, "mask_all", None), ("u", 1, "draw", None)]
+    rows = [
+        ("s", 1, "reveal", "a"), ("s", 2, "reveal", "b"), ("s", 3, "reveal", "a"), ("s", 4, "hide", "b"), ("s", 5, "reveal", "c"),
+        ("s", 6, "reveal", "b"), ("t", 1, "reveal", "a"), ("t", 2, "mask_all", None), ("u", 1, "draw", None)
+    ]
     got = {r.id: r.revealed for r in reading.session_state(spark.createDataFrame(rows, "id string, n int, action string, argument string"), "id", "n").collect()}
     assert got == {"s": ["a", "c", "b"], "t": [], "u": []}
     s = spark.createDataFrame([('{"a": 3, "b": "x"}',), (None,)], "t string").select(reading.settings(F.col("t"), {"a": 1, "b": 2}).alias("s")).collect()
     assert [tuple(x.s) for x in s] == [(3, 2), (1, 2)]
-    changed = spark.range(1).select(reading.roles_changed(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("B"), F.lit("C")), F.array(F.lit("A"), F.lit("B"))).alias("r")).first().r
+    changed = spark.range(1).select(
+        reading.roles_changed(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("B"), F.lit("C")), F.array(F.lit("A"), F.lit("B"))).alias("r")
+    ).first().r
     assert changed == ["B", "C"]
 
 
@@ -95,7 +125,9 @@ def test_remote_folder(spark):
         if "alt=media" in url:
             return (200, '{"schema":"repetition/2"}') if "/1?" in url else (403, "")
         more = "pageToken" not in url
-        return 200, json.dumps({"files": [{"id": "1" if more else "2", "name": "a_REPET.json"}, {"id": "x", "name": "REPET.txt"}]} | ({"nextPageToken": "t"} if more else {}))
+        return 200, json.dumps(
+            {"files": [{"id": "1" if more else "2", "name": "a_REPET.json"}, {"id": "x", "name": "REPET.txt"}]} | ({"nextPageToken": "t"} if more else {})
+        )
 
     files = remote.list_plays(spark, "http://store", "f", fetch)
     assert [r.id for r in files.orderBy("id").collect()] == ["1", "2"]

@@ -14,10 +14,19 @@ def value(spark, column):
 def test_number_words():
     said = [numbers.french(n) for n in range(1000)]
     assert len(set(said)) == 1000
-    assert [said[n] for n in (0, 21, 71, 80, 81, 99, 100, 200, 201, 999)] == ["zero", "vingt et un", "soixante-onze", "quatre-vingts", "quatre-vingt-un", "quatre-vingt-dix-neuf", "cent", "deux cents", "deux cent un", "neuf cent quatre-vingt-dix-neuf"]
-
-
-@pytest.mark.parametrize(("label", "style", "number"), [("IV", "romain", 4), ("XIX. La nuit", "romain", 19), ("12", "arabe", 12), ("DEUXIEME", "ecrit", 2), ("DIX", "ecrit", 10), ("MCMXC", "romain", 1990), ("ALICE", None, None), ("", None, None)])
+    assert [said[n] for n in (0, 21, 71, 80, 81, 99, 100, 200, 201, 999)] == [
+        "zero", "vingt et un", "soixante-onze", "quatre-vingts", "quatre-vingt-un", "quatre-vingt-dix-neuf", "cent", "deux cents",
+        "deux cent un", "neuf cent quatre-vingt-dix-neuf"
+    ]
+
+
+@pytest.mark.parametrize(
+    ("label", "style", "number"),
+    [
+        ("IV", "romain", 4), ("XIX. La nuit", "romain", 19), ("12", "arabe", 12), ("DEUXIEME", "ecrit", 2), ("DIX", "ecrit", 10),
+        ("MCMXC", "romain", 1990), ("ALICE", None, None), ("", None, None)
+    ]
+)
 def test_numerals(spark, label, style, number):
     row = spark.range(1).select(numbers.numeral_style(F.lit(label)).alias("s"), numbers.numeral_value(F.lit(label)).alias("v")).first()
     assert (row.s, row.v) == (style, number)
@@ -93,7 +102,9 @@ def test_carried_spans_lie_inside(a, b):
 
 
 def test_carry(spark):
-    row = spark.createDataFrame([("AAAA BBBB\nCC", "AAAA XX BBBB\nCC", [(0, 4)])], "a string, b string, c array<struct<start:int,stop:int>>").select(align.carry("a", "b", "c").alias("s")).first()
+    row = spark.createDataFrame(
+        [("AAAA BBBB\nCC", "AAAA XX BBBB\nCC", [(0, 4)])], "a string, b string, c array<struct<start:int,stop:int>>"
+    ).select(align.carry("a", "b", "c").alias("s")).first()
     assert [(s.start, s.stop) for s in row.s] == [(0, 4)]
 
 

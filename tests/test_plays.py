@@ -76,7 +76,10 @@ def test_front_matter(typed):
 def test_elements(typed):
     found = dialogue.elements(typed[3], "piece").orderBy("position").collect()
     said = [(tuple(r.people), r.text, r.verse) for r in found if r.type == "replique"]
-    assert said == [(("JAN",), "Bonsoir. Il fait froid.\nTrès froid.", True), (("MARTHA",), "Vous trouvez ?", False), (("*",), "Ah !", False), (("JAN",), "Bonsoir. Il fait froid.\nRien.", True)]
+    assert said == [
+        (("JAN",), "Bonsoir. Il fait froid.\nTrès froid.", True), (("MARTHA",), "Vous trouvez ?", False), (("*",), "Ah !", False),
+        (("JAN",), "Bonsoir. Il fait froid.\nRien.", True)
+    ]
     first = next(r for r in found if r.type == "replique")
     assert [(a.before_word, a.text) for a in first.asides] == [(0, "bas"), (1, "Il s'assied.")]
     assert [r.text for r in found if r.type == "didascalie"] == ["Elle rit.", "à part."]
@@ -113,18 +116,28 @@ def test_version_gate(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"schema": "repetition/1", "piece": "x"}))
     with pytest.raises(Exception, match="unexpected schema"):
         play.read_plays(spark, str(tmp_path)).collect()
-    good, bad = play.ingest(spark.createDataFrame([('{"schema":"repetition/2","piece":"x","unites":[{"id":"u001","elements":[]}]}',), ('{"schema":"repetition/3","piece":"x"}',), ("no",), (None,)], "text string"))
+    good, bad = play.ingest(
+        spark.createDataFrame(
+            [('{"schema":"repetition/2","piece":"x","unites":[{"id":"u001","elements":[]}]}',), ('{"schema":"repetition/3","piece":"x"}',), ("no",), (None,)],
+            "text string"
+        )
+    )
     assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["not a document", "not a document", "reader_outdated"]
 
 
 def test_first_violation(spark):
-    doc = {"schema": "repetition/2", "piece": "x", "unites": [{"id": "u001", "elements": [{"type": "replique", "texte": "a", "id": "r", "personnages": ["A"]}, {"type": "what", "texte": "b"}]}]}
+    doc = {
+        "schema": "repetition/2", "piece": "x",
+        "unites": [{"id": "u001", "elements": [{"type": "replique", "texte": "a", "id": "r", "personnages": ["A"]}, {"type": "what", "texte": "b"}]}]
+    }
     docs = spark.createDataFrame([(json.dumps(doc),)], "t string").select(F.from_json("t", play.DOCUMENT).alias("d")).select("d.*")
     assert quality.first_violation(docs).first().message == "unknown element"
 
 
 def test_lifted(spark):
-    docs = spark.createDataFrame([('{"schema":"repetition/1","piece":"x","unites":[{"id":"u","elements":[{"type":"replique","personnage":"A"}]}]}',)], "t string").select(F.from_json("t", play.DOCUMENT).alias("d")).select("d.*")
+    docs = spark.createDataFrame(
+        [('{"schema":"repetition/1","piece":"x","unites":[{"id":"u","elements":[{"type":"replique","personnage":"A"}]}]}',)], "t string"
+    ).select(F.from_json("t", play.DOCUMENT).alias("d")).select("d.*")
     assert play.lifted(docs).first().unites[0].elements[0].personnages == ["A"]
 
 

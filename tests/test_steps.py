@@ -16,8 +16,13 @@ def found(spark, column, rows, names="t string"):
 
 
 def test_text_layers(spark):
-    rows = [(None,), (" \n",), (LONG[:150],), (LONG,), (LONG.translate(dict.fromkeys(range(97, 110), "1")),), (LONG[:200] + "\x00" * 20,), (LONG.replace("é", "e").replace("è", "e").replace("ê", "e").replace("à", "a").replace("ù", "u").replace("É", "E"),)]
-    assert found(spark, quality.text_layer_refusals(F.col("t")), rows) == [["no text layer"], ["no text layer"], ["too short"], [], ["few letters"], ["odd characters"], ["no accents"]]
+    rows = [
+        (None,), (" \n",), (LONG[:150],), (LONG,), (LONG.translate(dict.fromkeys(range(97, 110), "1")),), (LONG[:200] + "\x00" * 20,),
+        (LONG.replace("é", "e").replace("è", "e").replace("ê", "e").replace("à", "a").replace("ù", "u").replace("É", "E"),)
+    ]
+    assert found(spark, quality.text_layer_refusals(F.col("t")), rows) == [
+        ["no text layer"], ["no text layer"], ["too short"], [], ["few letters"], ["odd characters"], ["no accents"]
+    ]
 
 
 def test_declarations(spark):
@@ -117,7 +122,10 @@ def test_corrected_recitation(spark):
 
 
 def test_words_left(spark):
-    rows = [("d", 0, "SCÈNE 1", True, False), ("d", 8, "JAN et ANNE", True, False), ("d", 20, "un deux trois", False, False), ("d", 34, "il sort", False, True), ("d", 42, "TOUS", True, False), ("d", 47, "quatre", False, False)]
+    rows = [
+        ("d", 0, "SCÈNE 1", True, False), ("d", 8, "JAN et ANNE", True, False), ("d", 20, "un deux trois", False, False),
+        ("d", 34, "il sort", False, True), ("d", 42, "TOUS", True, False), ("d", 47, "quatre", False, False)
+    ]
     paragraphs = spark.createDataFrame(rows, "doc string, start int, text string, bold boolean, italic boolean")
     spans = spark.createDataFrame([("d", 23, 28, 1)], "doc string, start int, stop int, category int")
     got = editing.words_left(paragraphs, spans, "doc", F.col("text").startswith("SCÈNE")).collect()
