@@ -41,15 +41,23 @@ from quillstage.llm.common import read
 SILENT = "script|style|noscript|template|title|textarea|iframe"
 #: What stands in a tag behind its name: quotes enclose a value behind the sign of equality alone, and only where they end.
 _REST = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
-_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({SILENT})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-z][a-z0-9:_.-]*)((?![^\s/>]){_REST})>|<[!?/][^>]*>", re.IGNORECASE | re.DOTALL)
+_MARKUP = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({SILENT})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-z][a-z0-9:_.-]*)((?![^\s/>]){_REST})>|<[!?/][^>]*>",
+    re.IGNORECASE | re.DOTALL
+)
 _DRAWN = re.compile(r"</svg(?=[\s/>])[^>]*>", re.IGNORECASE)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+|©")
 # Elements that begin and end blocks, and those that an opening block ends.
-BLOCKS = frozenset("html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr select option label button legend center menu dialog".split())
+BLOCKS = frozenset(
+    "html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr select option label button legend center menu dialog".split()
+)
 VOID = frozenset(["hr"])
-ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+ENDS = {
+    "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
+    "th": {"td", "th", "p"}, "option": {"option"}
+}
 INTO = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 
@@ -160,7 +168,10 @@ def _figures(block: Block, i: int) -> list[float]:
     t, size = block.text, len(block.text)
     stops = t.count(".") + t.count("!") + t.count("?")
     words = t.count(" ") + 1
-    return [min(np.log1p(size) / 6, 2.0), min(np.log1p(words) / 5, 2.0), min(1.0, block.linked / size), min(1.0, 4 * stops / words), min(1.0, 4 * t.count(",") / words), float(i == 0), float(t[-1] in ".!?:")]
+    return [
+        min(np.log1p(size) / 6, 2.0), min(np.log1p(words) / 5, 2.0), min(1.0, block.linked / size), min(1.0, 4 * stops / words),
+        min(1.0, 4 * t.count(",") / words), float(i == 0), float(t[-1] in ".!?:")
+    ]
 
 
 def _numbers(pages: list[list[Block]]):
@@ -211,9 +222,15 @@ class Labeller:
     def __init__(self, seed: int = 7) -> None:
         g = np.random.default_rng(seed)
         draw = lambda *shape, scale: (g.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"path": draw(PATH_BUCKETS, PATH_SIZE, scale=0.5), "word": draw(WORD_BUCKETS, WORD_SIZE, scale=0.1), "out": draw(2 * HIDDEN, scale=0.3), "out0": np.zeros(1, np.float32)}
+        self.p = {
+            "path": draw(PATH_BUCKETS, PATH_SIZE, scale=0.5), "word": draw(WORD_BUCKETS, WORD_SIZE, scale=0.1),
+            "out": draw(2 * HIDDEN, scale=0.3), "out0": np.zeros(1, np.float32)
+        }
         for d in "fb":
-            self.p |= {f"w{d}": draw(INPUT, 4 * HIDDEN, scale=0.25), f"u{d}": draw(HIDDEN, 4 * HIDDEN, scale=0.25), f"b{d}": np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)].astype(np.float32)}
+            self.p |= {
+                f"w{d}": draw(INPUT, 4 * HIDDEN, scale=0.25), f"u{d}": draw(HIDDEN, 4 * HIDDEN, scale=0.25),
+                f"b{d}": np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)].astype(np.float32)
+            }
 
     def _vectors(self, numbers) -> np.ndarray:
         paths, path_ends, words, word_ends, figures = numbers
@@ -321,16 +338,25 @@ def train(seed: int = 7, pages: int = 2400, epochs: int = 10, batch: int = 32, r
 
 # Names that pages give to what is not their text, with elements that hold it, and words that stand there.
 ASIDE = {
-    "menu": ("nav div header ul", "nav navbar menu navigation topbar breadcrumb breadcrumbs pagination pager toc", "home about contact login menu search archive next previous"),
+    "menu": (
+        "nav div header ul", "nav navbar menu navigation topbar breadcrumb breadcrumbs pagination pager toc",
+        "home about contact login menu search archive next previous"
+    ),
     "header": ("header div", "header masthead site banner logo branding", "welcome search login subscribe home"),
     "footer": ("footer div", "footer colophon copyright legal bottom", "copyright rights reserved privacy terms imprint"),
     "sidebar": ("aside div section", "sidebar widget related popular recommended recent rail tags share social author", "related popular recent more tags share follow"),
-    "notice": ("div section aside dialog", "cookie consent notice alert popup modal newsletter signup subscribe gdpr message", "cookies accept consent newsletter subscribe settings"),
+    "notice": (
+        "div section aside dialog", "cookie consent notice alert popup modal newsletter signup subscribe gdpr message",
+        "cookies accept consent newsletter subscribe settings"
+    ),
     "advert": ("div aside section ins", "ad ads advert advertisement sponsored promo banner sponsor", "advertisement sponsored buy now offer"),
     "form": ("form div", "form search login contact signup poll survey", "name email password submit send search"),
     "comments": ("div section ol ul", "comments comment replies reply discussion responses respond disqus thread", "reply comments says ago report like"),
 }
-TEXT_IN = ("article", "main", "article content", "div content", "div post entry", "div article body", "section story", "div main text", "main article", "div page content", "")
+TEXT_IN = (
+    "article", "main", "article content", "div content", "div post entry", "div article body", "section story", "div main text",
+    "main article", "div page content", ""
+)
 _SYLLABLES = "an ar be ca da de el en er es et fi ga he in is ka la le li lo ma mi na ne no on or pa ra re ri ro sa se si so sta ta te ti to tra un ur va ve vi wa we".split()
 
 
@@ -383,7 +409,10 @@ def pages_made(rng: random.Random) -> list[tuple[Block, float]]:
                 if kind == "comments" and rng.random() < 0.5:
                     put(" ".join([word().title(), *rng.sample(said, 1)]), [*path, rng.choice(("<div", "<h4", "<p"))], 0.0, rng.choice((0.0, 0.5)))
                 text = prose(rng.choice((3, 8, 20, 50)))
-                put(noisy(f"{' '.join(rng.sample(said, 1))} {text}" if rng.random() < 0.3 else f"© {text}" if kind == "footer" and rng.random() < 0.7 else text), inner, 0.0, rng.choice((0.0, 0.0, 0.3)))
+                put(
+                    noisy(f"{' '.join(rng.sample(said, 1))} {text}" if rng.random() < 0.3 else f"© {text}" if kind == "footer" and rng.random() < 0.7 else text),
+                    inner, 0.0, rng.choice((0.0, 0.0, 0.3))
+                )
             return
         for _ in range(rng.randint(2, 10)):
             inner = [*path, *(["<label"] if kind == "form" and rng.random() < 0.5 else rng.choice((["<ul", "<li"], ["<ul", "<li"], ["<li"], ["<div"], ["<p"], [])))]

@@ -45,7 +45,12 @@ NOTICES = {
 BASE_TRUST = 0.8
 TAGS = ("spdx-license-identifier:", "spdx-licence-identifier:", "license-expression:")
 # Beginnings of identifiers, their label and rank.
-FAMILIES = {"mit": ("mit", 3), "apache": ("apache", 3), "bsd": ("bsd", 3), "isc": ("isc", 3), "bsl": ("bsl", 3), "0bsd": ("bsd", 3), "zlib": ("zlib", 3), "unlicense": ("unlicense", 3), "cc0": ("cc0", 3), "lgpl": ("lgpl", 2), "mpl": ("mpl", 2), "epl": ("epl", 2), "gpl": ("gpl", 1), "agpl": ("agpl", 1), "cc-by-nc": ("cc-by-nc", 0), "cc-by-sa": ("cc-by-sa", 1), "cc-by-nd": ("cc-by-nd", 0), "cc-by": ("cc-by", 3), "proprietary": ("proprietary", 0)}
+FAMILIES = {
+    "mit": ("mit", 3), "apache": ("apache", 3), "bsd": ("bsd", 3), "isc": ("isc", 3), "bsl": ("bsl", 3), "0bsd": ("bsd", 3),
+    "zlib": ("zlib", 3), "unlicense": ("unlicense", 3), "cc0": ("cc0", 3), "lgpl": ("lgpl", 2), "mpl": ("mpl", 2), "epl": ("epl", 2),
+    "gpl": ("gpl", 1), "agpl": ("agpl", 1), "cc-by-nc": ("cc-by-nc", 0), "cc-by-sa": ("cc-by-sa", 1), "cc-by-nd": ("cc-by-nd", 0),
+    "cc-by": ("cc-by", 3), "proprietary": ("proprietary", 0)
+}
 #: How far a tag can be trusted whose expression has this rank; without an expression it is no sign.
 RANK_TRUST = {3: 0.95, 2: 0.9, 1: 0.85, 0: 0.6}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -202,7 +207,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubt = F.aggregate("places", F.lit(1.0), lambda rest, p: rest * (1 - p["trust"]))
     doubt = F.aggregate("expressions", doubt, lambda rest, e: rest * (1 - F.try_element_at(trusts, e["rank"])))
     ranks = F.transform("expressions", lambda e: e["rank"])
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(F.transform(base, lambda p: p["label"])).alias("base_labels"), joined(labels).alias("labels"), F.round(1 - doubt, 6).alias("score"), F.array_min(ranks).cast("long").alias("rank"))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined(F.transform(base, lambda p: p["label"])).alias("base_labels"),
+        joined(labels).alias("labels"), F.round(1 - doubt, 6).alias("score"), F.array_min(ranks).cast("long").alias("rank")
+    )
 
 
 QUERIES = {"op3_license_scan": op3_license_scan}

@@ -174,7 +174,10 @@ def sketches(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     bands.append(band_hashes(registers(s)).astype(np.int64))
             ends = np.r_[0, np.cumsum(np.array(n, np.int64) > 0) * BANDS].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), *(pa.array(c, pa.int64()) for c in (n, k1, k2)), lists], ["d", "t", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d"), batch.column("t"), *(pa.array(c, pa.int64()) for c in (n, k1, k2)), lists],
+                ["d", "t", "n", "k1", "k2", "bands"]
+            )
 
     rows = docs.select(F.col(doc).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
     return rows.mapInArrow(run, "d long, t long, n long, k1 long, k2 long, bands array<bigint>")
@@ -216,7 +219,10 @@ def _requests(pairs: DataFrame, parts: int) -> DataFrame:
 
 def _confirmed(requests: DataFrame, sets: DataFrame, parts: int, estimated: bool = False) -> DataFrame:
     """Those pairs of members and b that are alike. A task holds one part of the sets and streams the sets of the ends b by."""
-    held = sets.select(F.pmod("c", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "c", "shingles", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
+    held = sets.select(
+        F.pmod("c", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "c", "shingles", "sketch",
+        F.lit(None).cast("array<bigint>").alias("members")
+    )
     asked = requests.join(sets.withColumnRenamed("c", "b"), "b").select("part", F.lit(1).alias("kind"), F.col("b").alias("c"), "shingles", "sketch", "members")
     rows = held.unionByName(asked).repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part", "kind")
 
@@ -225,7 +231,10 @@ def _confirmed(requests: DataFrame, sets: DataFrame, parts: int, estimated: bool
         here, known = None, {}
         for frame in frames:
             found = []
-            for part, kind, c, raw, regs, members in zip(frame["part"].tolist(), frame["kind"].tolist(), frame["c"].tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(), frame["members"].tolist(), strict=True):
+            for part, kind, c, raw, regs, members in zip(
+                frame["part"].tolist(), frame["kind"].tolist(), frame["c"].tolist(), frame["shingles"].tolist(), frame["sketch"].tolist(),
+                frame["members"].tolist(), strict=True
+            ):
                 if part != here:
                     here, known = part, {}
                 s, r = np.frombuffer(raw, np.uint64), np.frombuffer(regs, np.uint16)

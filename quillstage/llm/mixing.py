@@ -37,7 +37,10 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     counts = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n"))
     weight = F.pow(F.col("n").cast("double"), F.lit(temper))
     if weights is not None:
-        weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (weights or {"": 0.0}).items() for x in pair]), F.coalesce("mix_source", F.lit(""))), F.lit(0.0))
+        weight = F.coalesce(
+            F.try_element_at(F.create_map(*[F.lit(x) for pair in (weights or {"": 0.0}).items() for x in pair]), F.coalesce("mix_source", F.lit(""))),
+            F.lit(0.0)
+        )
     counts = counts.withColumn("weight", weight)
     whole = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("size"))  # one row
     size = F.lit(float(total)) if total is not None else F.col("size")
@@ -51,7 +54,10 @@ def distributions(rated: DataFrame) -> DataFrame:
     steps = rated.select("mix_source", "mix_rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
     upto = W.partitionBy("mix_source").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     steps = steps.withColumn("fact", F.sum(F.ln(F.greatest("k", F.lit(1)))).over(upto))
-    chance = F.when(F.col("mix_rate") > 0, F.exp(-F.col("mix_rate") + F.col("k") * F.ln(F.when(F.col("mix_rate") > 0, F.col("mix_rate"))) - F.col("fact"))).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
+    chance = F.when(
+        F.col("mix_rate") > 0,
+        F.exp(-F.col("mix_rate") + F.col("k") * F.ln(F.when(F.col("mix_rate") > 0, F.col("mix_rate"))) - F.col("fact"))
+    ).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
     steps = steps.withColumn("cdf", F.sum(chance).over(upto))
     listed = steps.groupBy("mix_source", "mix_rate").agg(F.array_sort(F.collect_list("cdf")).alias("mix_cdf"))
     return listed

@@ -221,7 +221,9 @@ def cut(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
                 yield out
 
     # ids travel as text: pandas would make floats of them where one is null
-    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, f"`{doc}` string, piece int, start long, length long, ids_crc32 long, row long")
+    found = df.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(
+        pieces, f"`{doc}` string, piece int, start long, length long, ids_crc32 long, row long"
+    )
     return found.withColumn(doc, F.col(doc).cast(df.schema[doc].dataType))
 
 

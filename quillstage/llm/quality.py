@@ -51,7 +51,10 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         return (x["h"] == F.get("q_sorted", i + 1)["h"]) | (x["h"] == F.get("q_sorted", F.when(i > 0, i - 1))["h"])
 
     df = df.withColumn("q_at", F.when(F.col("q_sorted").isNotNull(), F.sort_array(F.transform(F.filter("q_sorted", neighbours), lambda x: x["i"]))))
-    covered = F.aggregate(F.zip_with("q_at", F.slice("q_at", 2, F.greatest(F.size("q_at") - 1, F.lit(0))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5)))), F.lit(0), lambda total, x: total + x)
+    covered = F.aggregate(
+        F.zip_with("q_at", F.slice("q_at", 2, F.greatest(F.size("q_at") - 1, F.lit(0))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5)))),
+        F.lit(0), lambda total, x: total + x
+    )
     figures = {
         "q_n_words": F.size("q_words").cast("long"),
         "q_word_chars": F.length(F.translate(whole, WHITE, "")).cast("long"),
@@ -175,7 +178,10 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     featured = written(with_features(docs.select("doc_id", "text")).drop("text"), "features")
-    return judged(featured).select("doc_id", *(F.col(f"q_{k}").alias(k) for k in FEATURES[:5]), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.round("q_quality", 6).alias("quality"))
+    return judged(featured).select(
+        "doc_id", *(F.col(f"q_{k}").alias(k) for k in FEATURES[:5]), F.col("q_base_failed").alias("base_failed"),
+        F.col("q_kept").alias("kept"), F.round("q_quality", 6).alias("quality")
+    )
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

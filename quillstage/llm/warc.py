@@ -169,7 +169,9 @@ def decide(index: DataFrame, least: int = 0) -> DataFrame:
     first = first.filter("__n > 1 and __first is not null").drop("__n")
     joined = index.join(first, ["payload_digest", "payload_bytes"], "left")
     repeats = F.col("__first.page") != F.coalesce(number, F.col("__first.page") - 1)
-    return joined.withColumns({"refers_to": F.when(repeats, F.col("__first.page").cast("string")), "refers_at": F.when(repeats, F.struct("__first.archive", "__first.at"))}).drop("__first")
+    return joined.withColumns(
+        {"refers_to": F.when(repeats, F.col("__first.page").cast("string")), "refers_at": F.when(repeats, F.struct("__first.archive", "__first.at"))}
+    ).drop("__first")
 
 
 def _inflated(stream) -> Iterator[bytes]:
@@ -189,7 +191,10 @@ def normalise(decided: DataFrame, source: str, folder: str) -> DataFrame:
 
     def rewrite(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["archive"].iloc[0]
-        refers = {at: None if page is None else urn(page, other, int(place)) for at, page, other, place in zip(rows["at"].tolist(), rows["refers_to"].tolist(), rows["other"].tolist(), rows["place"].tolist(), strict=True)}
+        refers = {
+            at: None if page is None else urn(page, other, int(place)) for at, page, other,
+            place in zip(rows["at"].tolist(), rows["refers_to"].tolist(), rows["other"].tolist(), rows["place"].tolist(), strict=True)
+        }
         store, base = _store(source)
         out, sidecar, offset, n = _Out(folder, name), _Out(folder, f"{name}.idx"), 0, 0
         with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
@@ -234,7 +239,12 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                         sha1, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(headers(head)["content-length"])
                         if fields["warc-type"] != kind or kind == "response" and (len(payload) != size or digest(payload) != sha1):
                             raise ValueError(f"a record of {name} at {offset} is damaged")
-                        rows.append((page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, page_of(fields.get("warc-refers-to")), size, sha1, *([payload] * with_payload)))
+                        rows.append(
+                            (
+                                page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), kind,
+                                page_of(fields.get("warc-refers-to")), size, sha1, *([payload] * with_payload)
+                            )
+                        )
                         if len(rows) >= 2000:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []

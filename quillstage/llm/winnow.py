@@ -171,7 +171,10 @@ def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, W]:
     own = df.select(of.alias("__range"), part.alias("__part"), F.lit(0).alias("__guest"), order, text)
     keyed = own.join(before, ["__range", "__part"]).filter(F.col(order).eqNullSafe(F.col("__head")))
     guests = keyed.groupBy("__to", order).agg(F.min(F.struct(F.xxhash64(text), text)).alias("__first"))
-    guests = guests.select(F.col("__to.__range").alias("__range"), F.col("__to.__part").alias("__part"), F.lit(1).alias("__guest"), order, F.col(f"__first.{text}").alias(text))
+    guests = guests.select(
+        F.col("__to.__range").alias("__range"), F.col("__to.__part").alias("__part"), F.lit(1).alias("__guest"), order,
+        F.col(f"__first.{text}").alias(text)
+    )
     rows = own.unionByName(guests).repartition("__range", "__part").withColumn("__tie", F.xxhash64(text))
     w = W.partitionBy("__range", "__part").orderBy("__guest", F.col(order).desc_nulls_last(), "__tie")
     return rows.withColumn("next_text", F.lead(text).over(w)), w
@@ -192,7 +195,10 @@ def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams:
     rows = rows.withColumn("near_edited", likeness("h", "h_edited")).drop("h_edited")
     rows = rows.withColumn("h_next", F.lead("h").over(w)).filter("__guest = 0")
     rows = rows.withColumn("h_next", F.coalesce("h_next", F.array().cast(_NONE)))
-    return rows.select(doc, "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", likeness("h", "h_next").alias("near_next"))
+    return rows.select(
+        doc, "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited", likeness("h", "h_next").alias("near_next")
+    )
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,10 @@ def odd(spark):
         (5, PROSE * 6, "en", "s1", 800), (None, PROSE * 3, "en", "s0", 400), (6, long, "fr", "s0", None), (7, "été " * 400, "fr", "s2", 1600), (8, "### $$$ " * 50, None, "s0", 400), (9, PROSE.lower() * 6, "en", "s1", 800),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clashes = ["n", "d", "bands", "component_id", "score", "kept", "value", "piece", "length", "sequence_id", "rank", "count", "fp", "places", "label", "words", "rejected", "bucket", "part", "members", "mix", "c", "t", "r", "p", "k"]
+    clashes = [
+        "n", "d", "bands", "component_id", "score", "kept", "value", "piece", "length", "sequence_id", "rank", "count", "fp", "places",
+        "label", "words", "rejected", "bucket", "part", "members", "mix", "c", "t", "r", "p", "k"
+    ]
     return df.withColumns({c: F.lit(f"own {c}") for c in clashes}).cache()
 
 

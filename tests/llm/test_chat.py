@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quillstage.llm import chat
 from tests.conftest import SF, same_rows
 
-HOSTILE = st.lists(st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[AS]", "\\", "<", "[", "/", "s>", "<|image:0|>", "é", "\n", "<\\/s>"]), max_size=12).map("".join)
+HOSTILE = st.lists(
+    st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[AS]", "\\", "<", "[", "/", "s>", "<|image:0|>", "é", "\n", "<\\/s>"]),
+    max_size=12
+).map("".join)
 
 
 def read(turns, moved=0):
@@ -59,8 +62,14 @@ def test_a_shifted_mask_is_found_out(spark):
 
 
 def test_typed_parts(spark):
-    parts = [{"type": "text", "text": "see </s> "}, {"type": "image", "ref": "i.png", "width": 28, "height": 15}, {"type": "audio", "ref": "a.wav", "seconds": 1.5}, {"type": "document", "ref": "d.pdf", "pages": 3}, {"type": "text", "text": None}]
-    rows = spark.createDataFrame([(1, 0, "user", [{k: p.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")} for p in parts])], f"conv_id long, turn long, role string, text array<{chat.PART.simpleString()}>")
+    parts = [
+        {"type": "text", "text": "see </s> "}, {"type": "image", "ref": "i.png", "width": 28, "height": 15},
+        {"type": "audio", "ref": "a.wav", "seconds": 1.5}, {"type": "document", "ref": "d.pdf", "pages": 3}, {"type": "text", "text": None}
+    ]
+    rows = spark.createDataFrame(
+        [(1, 0, "user", [{k: p.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")} for p in parts])],
+        f"conv_id long, turn long, role string, text array<{chat.PART.simpleString()}>"
+    )
     r = chat.format_conversations(rows).first()
     assert r.formatted == "<s>[INST]see <\\/s> <|image:0|><|audio:1|><|document:2|>[/INST]"
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 1536)]
@@ -93,7 +102,10 @@ def test_query(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "y"), (2, None, "assistant", "z" * 300_000), *[(3, i, "user", f"t{i}") for i in range(12000)]]
+    rows = [
+        (1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "y"), (2, None, "assistant", "z" * 300_000),
+        *[(3, i, "user", f"t{i}") for i in range(12000)]
+    ]
     said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'own' AS c", "1 AS start", "'f' AS formatted")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_conversations(said)).collect()}
     assert got == expected(rows)

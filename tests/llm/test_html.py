@@ -47,7 +47,12 @@ def test_pages(spark, model):
     assert right >= 0.996 * len(rows)
 
 
-ARTICLE = ["The harbour opens again", "The old harbour had been closed for years, and the people of the town had almost forgotten it. When the council decided to open it again, few believed that ships would ever come back. But in spring the first boats arrived.", "Since then the town has changed. Young families moved into the houses by the water, a school was built, and on Sundays there is a market with fish, bread and flowers. Some say that it has become too loud.", "Nobody wants to go back."]
+ARTICLE = [
+    "The harbour opens again",
+    "The old harbour had been closed for years, and the people of the town had almost forgotten it. When the council decided to open it again, few believed that ships would ever come back. But in spring the first boats arrived.",
+    "Since then the town has changed. Young families moved into the houses by the water, a school was built, and on Sundays there is a market with fish, bread and flowers. Some say that it has become too loud.",
+    "Nobody wants to go back."
+]
 BODY = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{p}</p>" for p in ARTICLE[1:])
 LINKS = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/c>Contact</a></li></ul>"
 FOOT = "<p>© 2020 All rights reserved. Privacy terms</p>"
@@ -107,7 +112,10 @@ def test_gradients(model):
 
 
 def test_odd_rows(spark, model):
-    rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup"), (None, "u", "<p>" + "word " * 100_000), (5, "u", "<div>" * 3000 + "deep"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<p>a</p>" * 5000)]
+    rows = [
+        (1, "u", None), (2, None, ""), (3, "u", "no markup"), (None, "u", "<p>" + "word " * 100_000), (5, "u", "<div>" * 3000 + "deep"),
+        (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<p>a</p>" * 5000)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")
     assert H.extract(pages, model=model).count() == 7
     assert H.extract(pages.limit(0), model=model).count() == 0

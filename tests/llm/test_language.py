@@ -41,7 +41,10 @@ def brute(rows, held):
         raw, sizes = " ".join(spaced(text)).encode(), []
         for lang, parts in samples.items():
             joined = b" ".join(parts)[: language.DICTIONARY_BYTES]
-            own = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=language.DICTIONARY_BYTES, source_size=language.BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+            own = zstandard.ZstdCompressionParameters.from_level(
+                language.LEVEL, dict_size=language.DICTIONARY_BYTES, source_size=language.BLOCK, write_content_size=False,
+                write_checksum=False, write_dict_id=False
+            )
             c = zstandard.ZstdCompressor(compression_params=own, dict_data=zstandard.ZstdCompressionDict(joined, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             sizes.append((sum(len(c.compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)), lang))
         (best, lang), (second, _) = sorted(sizes)[:2] if raw else ((0, "und"), (0, ""))

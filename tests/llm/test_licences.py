@@ -8,7 +8,9 @@ from tests.conftest import SF
 
 @pytest.mark.parametrize(("expression", "labels", "rank"), [
     ("MIT", ["mit"], 3), ("MIT OR GPL-3.0-only", ["gpl", "mit"], 3), ("MIT AND GPL-3.0-only", ["gpl", "mit"], 1), ("GPL-2.0-only WITH Classpath-exception-2.0", ["gpl"], 2),
-    ("MIT OR Apache-2.0 AND GPL-2.0", ["apache", "gpl", "mit"], 3), ("(MIT OR Apache-2.0) AND GPL-2.0", ["apache", "gpl", "mit"], 1), ("(MIT", [], None), ("MIT)", ["mit"], 3), ("MIT MIT", ["mit"], 3), ("AND", [], None), ("LGPL-2.1+", ["lgpl"], 2), ("Odd-1", ["odd-1"], 0),
+    ("MIT OR Apache-2.0 AND GPL-2.0", ["apache", "gpl", "mit"], 3), (
+        "(MIT OR Apache-2.0) AND GPL-2.0", ["apache", "gpl", "mit"], 1
+    ), ("(MIT", [], None), ("MIT)", ["mit"], 3), ("MIT MIT", ["mit"], 3), ("AND", [], None), ("LGPL-2.1+", ["lgpl"], 2), ("Odd-1", ["odd-1"], 0),
     ("MIT.", ["mit"], 3), ("MIT. AND GPL-2.0", ["mit"], 3), ("MIT, see LICENSE for all details", ["mit"], 3), ("MIT or later", ["mit"], 3), ("tag is described in the manual", [], None), ("is in the manual", [], None),
     ("LicenseRef-own AND MIT", ["licenseref-own", "mit"], 0), ("((MIT) OR (GPL-2.0", [], None), ("MIT OR (GPL-2.0", ["mit"], 3), ("é-1", [], None), ("", [], None), ("()", [], None),
 ])
@@ -17,7 +19,10 @@ def test_expressions(expression, labels, rank):
 
 
 def test_rank_reaches_the_result(spark, tmp_path):
-    texts = ["SPDX-License-Identifier: MIT OR GPL-3.0", "SPDX-License-Identifier: MIT AND GPL-3.0", "The SPDX-License-Identifier: tag is described in the manual.", "SPDX-License-Identifier: Ünï-1 AND MIT", None]
+    texts = [
+        "SPDX-License-Identifier: MIT OR GPL-3.0", "SPDX-License-Identifier: MIT AND GPL-3.0",
+        "The SPDX-License-Identifier: tag is described in the manual.", "SPDX-License-Identifier: Ünï-1 AND MIT", None
+    ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     either, both, prose, odd, none = licences.QUERIES["op3_license_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert (either.labels, either.rank) == ("gpl,mit", 3) and (both.labels, both.rank) == ("gpl,mit", 1) and either.score > both.score > 0
@@ -68,7 +73,11 @@ def brute(text):
 
 def test_labels_and_score_equal_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    more = ["// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0 */", "SPDX-License-Identifier: MIT OR Apache-2.0 AND GPL-2.0 and more\nlicense-expression: Odd-1", "gnu gpl gnu gpl, the MIT License", "SPDX-License-Identifier: LGPL-2.1 with x-1 with y-2 or none"]
+    more = [
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0 */",
+        "SPDX-License-Identifier: MIT OR Apache-2.0 AND GPL-2.0 and more\nlicense-expression: Odd-1", "gnu gpl gnu gpl, the MIT License",
+        "SPDX-License-Identifier: LGPL-2.1 with x-1 with y-2 or none"
+    ]
     docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     got = {r.doc_id: (r.labels, r.score, r["rank"]) for r in licences.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()}

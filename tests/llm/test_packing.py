@@ -72,7 +72,10 @@ def test_pieces_equal_the_tokenizer(spark, odd):
 
 def test_any_text_encodes_alike():
     e, rng = tokens.encoder(tokens.vocabulary_path()), random.Random(3)
-    parts = ["a", "é", "É", "é", "It's", "don't.", "'s", "3.14", "İ.", "ΑΣ.", "ß", "...", "a...b", ".,'s", "<|endoftext|>", "~", " ", "\n", " ", " ", "\x1c", "²", "½.", "日本語。", "ﬁ.", "K", "’s", "​", "ª.", "×", "😀.", "\x00", "क़."]
+    parts = [
+        "a", "é", "É", "é", "It's", "don't.", "'s", "3.14", "İ.", "ΑΣ.", "ß", "...", "a...b", ".,'s", "<|endoftext|>", "~", " ", "\n", " ",
+        " ", "\x1c", "²", "½.", "日本語。", "ﬁ.", "K", "’s", "​", "ª.", "×", "😀.", "\x00", "क़."
+    ]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
     for first, ids, begins in e.batches(texts):
         for i in range(len(begins) - 1):

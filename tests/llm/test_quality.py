@@ -65,7 +65,10 @@ def brute_votes(text):
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     distinct = len(set(re.findall(r"[^\x20\x09-\x0D]+", t)))
     upper, stops = sum(unicodedata.category(c) == "Lu" for c in t), len(re.findall("[.!?。！？]", t))
-    bad = [n < 5, 5 * symbols > n, 5 * again > n, 10 * dup > 3 * len(lines), 10 * upper > 3 * chars, chars < 2 * n or chars > 14 * n, n < 5000 and 5 * distinct < n, n >= 40 and 200 * stops < n]
+    bad = [
+        n < 5, 5 * symbols > n, 5 * again > n, 10 * dup > 3 * len(lines), 10 * upper > 3 * chars, chars < 2 * n or chars > 14 * n,
+        n < 5000 and 5 * distinct < n, n >= 40 and 200 * stops < n
+    ]
     plain = 50 * symbols <= n
     good = [False] * 6 + [plain and 5 * distinct >= 2 * n, plain and stops >= 1 and 60 * stops >= n]
     return [0 if b else 1 if g else None for b, g in zip(bad, good, strict=True)], n < 10 or 100 * again > 20 * n
@@ -95,7 +98,10 @@ def brute_quality(votes, rounds=200):
 
 def test_verdicts_equal_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    odd = [(10**6 + i, t) for i, t in enumerate([None, "", "a b", "ÉTÉ ÉTÉ " * 9, "# $ % " * 30, "one two three four five six seven eight nine ten eleven", "x. " * 60, "l\n" * 40])]
+    odd = [
+        (10**6 + i, t) for i,
+        t in enumerate([None, "", "a b", "ÉTÉ ÉTÉ " * 9, "# $ % " * 30, "one two three four five six seven eight nine ten eleven", "x. " * 60, "l\n" * 40])
+    ]
     docs.unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
     voted = [brute_votes(r.text) for r in rows]

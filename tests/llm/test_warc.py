@@ -21,7 +21,10 @@ def test_query_equals_oracle(spark, duck):
 
 
 def test_round_trip(spark):
-    rows = [(1, "http://a/é?x=1 2", "<p>é</p>"), (2, None, None), (3, "http://b", "<p>é</p>"), (4, "http://c", ""), (5, "u", "x" * 200_000), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (3, "http://b", "<p>é</p>")]
+    rows = [
+        (1, "http://a/é?x=1 2", "<p>é</p>"), (2, None, None), (3, "http://b", "<p>é</p>"), (4, "http://c", ""), (5, "u", "x" * 200_000),
+        (6, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (3, "http://b", "<p>é</p>")
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("own"))
     done, folder = archive(spark, pages.coalesce(1))
     out = warc.read_archives(done, folder, with_payload=True).collect()
@@ -50,7 +53,10 @@ def test_header_lines_are_copied(spark):
 
 
 def test_record_ids_differ(spark):
-    done, folder = archive(spark, spark.createDataFrame([(i % 2 or None, "u", f"<p>{i % 3}</p>") for i in range(30)], "page_id long, url string, html string").repartition(3))
+    done, folder = archive(
+        spark,
+        spark.createDataFrame([(i % 2 or None, "u", f"<p>{i % 3}</p>") for i in range(30)], "page_id long, url string, html string").repartition(3)
+    )
     ids, referred = [], set()
     for r in done.collect():
         raw = gzip.decompress(open(f"{local_path(folder)}/{r.archive}", "rb").read())
@@ -73,7 +79,10 @@ def test_members_and_sidecar(spark):
 
 def test_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "http://a", "<p>x</p>"), (2, "http://a", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
-    clashes = ["archive", "at", "page", "payload_bytes", "payload_digest", "refers_to", "refers_at", "other", "place", "p", "u", "h", "__n", "__first", "records", "bytes"]
+    clashes = [
+        "archive", "at", "page", "payload_bytes", "payload_digest", "refers_to", "refers_at", "other", "place", "p", "u", "h", "__n",
+        "__first", "records", "bytes"
+    ]
     done, folder = archive(spark, rows.withColumns({c: F.lit(f"own {c}") for c in clashes}))
     out = {r.page: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(done, folder).collect()}
     assert out == {"1": ("revisit", "2", 8), "2": ("response", None, 8), None: ("response", None, 0)}

@@ -111,7 +111,10 @@ def brute_characters(text):
 
 
 #: Texts whose lower-cased first halves differ from the beginning of the whole, or that lose or gain characters.
-ODD = ["ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ", "İ" * 40 + "I", " \n " * 30 + "the words stand far behind the white space here", "a  b \n c  " * 12, "𝄞" * 33, "x" * 29, "x" * 30, "x" * 31, "0123456789abcdef", "0123456789abcde"]
+ODD = [
+    "ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ", "İ" * 40 + "I", " \n " * 30 + "the words stand far behind the white space here",
+    "a  b \n c  " * 12, "𝄞" * 33, "x" * 29, "x" * 30, "x" * 31, "0123456789abcdef", "0123456789abcde"
+]
 
 
 def test_character_grams_equal_brute_force(spark, odd, monkeypatch):
