@@ -109,16 +109,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda t: t != "")
 
 
+def real_places(words: Column) -> Column:
+    """Places, from 0, of the words of an array that have a letter or digit."""
+    return F.array_compact(F.transform(words, lambda t, i: F.when(t.rlike(LETTER_OR_DIGIT), i)))
+
+
 def word_places(text: Column) -> Column:
     """Places, from 0, of the tokens that have a letter or digit."""
-    return F.array_compact(F.transform(tokens(text), lambda t, i: F.when(t.rlike(LETTER_OR_DIGIT), i)))
+    return real_places(tokens(text))
 
 
 def opening(text: Column, n: int) -> Column:
     """The tokens up to the n-th real word; empty without real words."""
-    places = word_places(text)
-    last = F.get(places, F.least(F.lit(n), F.size(places)) - 1)
-    return F.when(F.size(places) == 0, "").otherwise(F.array_join(F.slice(tokens(text), F.lit(1), F.coalesce(last, F.lit(0)) + 1), " "))
+
+    def upto(words: Column, places: Column) -> Column:
+        last = F.get(places, F.least(F.lit(n), F.size(places)) - 1)
+        return F.when(F.size(places) == 0, "").otherwise(F.array_join(F.slice(words, F.lit(1), F.coalesce(last, F.lit(0)) + 1), " "))
+
+    return let(tokens(text), lambda words: let(real_places(words), lambda places: upto(words, places)))
 
 
 def opening_is_all(text: Column, n: int) -> Column:
@@ -126,8 +134,7 @@ def opening_is_all(text: Column, n: int) -> Column:
 
 
 def last_words(text: Column, n: int) -> Column:
-    t = tokens(text)
-    return F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - n + 1), F.lit(n)), " ")
+    return let(tokens(text), lambda t: F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - n + 1), F.lit(n)), " "))
 
 
 def initials(text: Column) -> Column:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstage.functions import text as X
-
 HOLLOW_PART, HOLLOW, SWOLLEN_PART, SWOLLEN = 0.25, 3.0, 2.5, 15.0
 CUT_FIRST, CUT_NEVER, TOP_UNITS = 1.3, 0.6, 15
 EVERYONE = "*"

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST_RETRIES, MOST_CALLS = 2, 5000

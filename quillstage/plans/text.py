@@ -111,12 +111,13 @@ CASE WHEN list_contains(people, '*') THEN 'TOUS' ELSE array_to_string(people, '
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf, "documents").select(
-        "doc_id", X.balance_words(t).cast("long").alias("balance_words"), F.size(X.tokens(t)).cast("long").alias("tokens"),
-        F.regexp_count(t, F.lit(X.NONSPACE)).cast("long").alias("stretches"), F.size(X.word_places(t)).cast("long").alias("real_words"),
-        F.size(F.split(t, "\n", -1)).cast("long").alias("lines")
-    )
+    t, w = F.col("text"), F.col("w")
+    docs = table(spark, sf, "documents").select("doc_id", "text", X.tokens(t).alias("w"))
+    counts = {
+        "balance_words": X.balance_words(t), "tokens": F.size(w), "stretches": F.regexp_count(t, F.lit(X.NONSPACE)), "real_words": F.size(X.real_places(w)),
+        "lines": F.size(F.split(t, "\n", -1)),
+    }
+    return docs.select("doc_id", *(c.cast("long").alias(k) for k, c in counts.items()))
 
 
 WORDS = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, {S.q(X.BALANCE_WORD)})) AS BIGINT) AS balance_words, CAST(len({S.tokens("text")}) AS BIGINT) AS tokens,
