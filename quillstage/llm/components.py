@@ -48,4 +48,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    found.written_to = now.written_to  # so that a caller can discard it
+    return found

@@ -332,6 +332,7 @@ def _links(docs: DataFrame, classes: DataFrame, doc: str, text: str) -> DataFram
     if apart.take(1):
         second = written(_confirmed(apart, sets, parts, estimated=True), "second-links")
         if second.take(1):
+            discard(grouped)
             grouped = components(first.unionAll(second))
         discard(second)
     discard(buckets, standing, sets, first, apart)
@@ -345,8 +346,8 @@ def _rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
     row = F.struct(F.col("d").isNull().alias("without"), "d", "t")
     classes = drawn.filter("n > 0").groupBy(*_KEYS).agg(F.min(row).alias("stands"), F.count("*").alias("m"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    grouped = _links(docs, classes, doc, text)
-    grouped = grouped.unionAll(grouped.select("component", "component").distinct())  # with the first of each
+    links = _links(docs, classes, doc, text)
+    grouped = links.unionAll(links.select("component", "component").distinct())  # with the first of each
     # classes of one row without links stand for themselves; the others are a table, so that a join with a large class can be split
     own = classes.drop("bands").join(grouped.withColumnRenamed("id", "c"), "c", "left").filter("m > 1 or component is not null")
     own = own.withColumn("component", F.coalesce("component", "c"))
@@ -354,7 +355,7 @@ def _rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
     least = own.groupBy("component").agg(F.min("stands").alias("least"))
     few = own.count() <= MOST_BROADCAST  # else both sides are shuffled
     several = written(own.join(F.broadcast(least) if few else least, "component").select(*_KEYS, "m", "least"), "several")
-    discard(own)
+    discard(own, links, classes)
     found = drawn.drop("bands").join(several, _KEYS, "left")
     kept = F.col("least").isNull() | (F.col("d").eqNullSafe(F.col("least.d")) & (F.col("t") == F.col("least.t")))
     return found.select("d", "t", "n", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("least.d", "d").alias("component_id"), kept.alias("kept"))
