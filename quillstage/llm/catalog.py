@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("chat", "winnow", "quality", "licences", "packing", "language", "html", "warc", "minhash", "mixing")
+MODULES = ("chat", "winnow", "quality", "licences", "packing", "language", "html", "warc", "minhash", "mixing", "collocations", "alignment", "simhash")
 
 
 def _modules():

@@ -101,3 +101,43 @@ def gram_hashes(df: DataFrame, hashes: str, out: str) -> DataFrame:
     df = df.withColumn("__two", rolled(part(hashes, 1, n - 1), part(hashes, 2, n - 1)))
     df = df.withColumn("__four", rolled(part("__two", 1, n - 3), part("__two", 3, n - 3)))
     return df.withColumn(out, rolled(part("__four", 1, n - 4), part(hashes, 5, n - 4))).drop("__two", "__four")
+
+
+def raw_bytes(texts) -> tuple:
+    """The UTF-8 bytes of an Arrow array of texts one behind the other, and where each text begins there, with the end; null texts are empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, np.int64)
+    data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def word_spans(inside, begins) -> tuple:
+    """First byte and end of every word: runs of bytes that are ``inside`` and of one text; the texts begin at ``begins``."""
+    import numpy as np
+
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = begins[:-1][begins[:-1] < begins[1:]]
+    first[some] = inside[some]
+    ends = begins[1:][begins[:-1] < begins[1:]] - 1
+    last[ends] = inside[ends]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def slices_by_size(texts, most: int, rows: int = 1 << 16):
+    """Runs of an Arrow array of at most ``rows`` texts, of at most ``most`` bytes together or a single one, with the number of the first."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield first, texts.slice(first, last - first)
+        first = last
