@@ -34,7 +34,7 @@ from quillstage.llm.common import LOWER, UPPER, discard, make_room, raw_bytes, r
 LEAST, LONGEST, TOP, SCALE, COVER = 100, 5, 2000, 1000, 100
 UNKNOWN = "und"
 #: Bytes of text in a block, and names that are broadcast.
-BLOCK_BYTES, MOST_BROADCAST = 6_000_000, 1_000_000
+BLOCK_BYTES, MOST_BROADCAST = 2_000_000, 1_000_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -58,7 +58,7 @@ def word_sequence(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(place), pa.py_buffer(letters)).dictionary_encode()
     code = np.asarray(words.indices).astype(np.int32)
     # pieces end at marks and at the end of a text
-    ended = np.cumsum(kind == 2, dtype=np.int64)[first] + np.searchsorted(begins, first, "right")
+    ended = np.searchsorted(np.flatnonzero(kind == 2), first) + np.searchsorted(begins, first, "right")
     return np.insert(code + 1, np.flatnonzero(np.diff(ended)) + 1, 0), words.dictionary, np.bincount(code, minlength=len(words.dictionary))
 
 

@@ -57,10 +57,15 @@ def brute(texts, models):
                 links.append((i, ids[1][k]))
                 k += 1
         both = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for high in both:
-            groups.append("|".join(",".join(str(i) for i, (s, _) in zip(x, y, strict=True) if low <= s < high) for x, y in zip(ids, spans, strict=True)))
-            low = high
+            sides = []
+            for k in (0, 1):
+                first = at[k]
+                while at[k] < len(ids[k]) and spans[k][at[k]][1] <= high:
+                    at[k] += 1
+                sides.append(",".join(map(str, ids[k][first : at[k]])))
+            groups.append("|".join(sides))
         counts.update(links)
         told.append((len(ids[0]), len(ids[1]), len(both), links, ";".join(groups)))
     best = collections.Counter()
