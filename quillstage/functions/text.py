@@ -248,9 +248,13 @@ def text_layer(text: Column) -> Column:
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 
 
+# Apostrophes and spaces, and what they are compared as.
+CURVED, STRAIGHT = "’‘  \r", "''   "
+
+
 def straight(text: Column) -> Column:
     """Length-preserving: apostrophes and spaces that only look different."""
-    return F.translate(text, "’‘  \r", "''   ")
+    return F.translate(text, CURVED, STRAIGHT)
 
 
 def stars_outside_separators(text: Column) -> Column:

@@ -86,3 +86,46 @@ def costume_changes(present: DataFrame, cast: DataFrame, place: str, scene: str)
         "actor", F.col(place).alias("place"), F.array_join("r", "/").alias("roles"), F.array_join("to_r", "/").alias("next_roles"),
         (act(F.col(scene)) == act(F.col("to_scene"))).alias("quick")
     )
+
+
+# The green of the heaviest scene, from white, and from where on letters are light.
+DEEP, LIGHT_FROM, LIGHT, DARK = (30, 125, 60), 0.55, "#fff", "#222"
+
+
+def heat(cells: DataFrame, cast: DataFrame, place: str, scene: str) -> DataFrame:
+    """(actor, place, words, roles, heat, background, colour, quick): what each actor has to say in each scene, by the most of any.
+
+    ``cells`` has (place, scene, role, words). A change is quick where the next scene is of the same act (the first two words of a
+    label) and the actor plays none of the same roles in it. The most is one row; the next scene is found by its number.
+    """
+    of = cast.groupBy("role").agg(F.max_by("actor", "place").alias("actor"))
+    played = cells.groupBy(place, scene, "role").agg(F.sum("words").alias("words")).join(of, "role")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "role")))
+    per = played.groupBy("actor", place, scene).agg(F.sum("words").cast("long").alias("words"), listed.alias("r"))
+    names = lambda r: F.transform(r, lambda x: x["role"])
+    after = per.select("actor", (F.col(place) - 1).alias(place), F.col(scene).alias("__scene"), F.col("r").alias("__r"))
+    act = lambda c: F.slice(F.split(c, " "), F.lit(1), F.lit(2))
+    quick = F.coalesce(~F.arrays_overlap(names("r"), names("__r")) & (act(F.col(scene)) == act(F.col("__scene"))), F.lit(False))
+    most = per.agg(F.max("words").alias("__most"))
+    share = F.coalesce(F.try_divide(F.col("words"), F.col("__most")), F.lit(0.0))
+    each = per.join(after, ["actor", place], "left").crossJoin(F.broadcast(most)).withColumn("heat", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    channel = [(255 + F.col("heat") * (c - 255)).cast("int").cast("string") for c in DEEP]
+    said = F.array_join(F.transform("r", lambda x: F.concat(F.initcap(x["role"]), F.lit(" "), (-x["less"]).cast("string"))), " · ")
+    return each.select(
+        "actor", F.col(place).alias("place"), "words", said.alias("roles"), F.round("heat", 6).alias("heat"),
+        F.concat(F.lit("rgb("), F.concat_ws(",", *channel), F.lit(")")).alias("background"), F.when(F.col("heat") > LIGHT_FROM, LIGHT).otherwise(DARK).alias("colour"), quick.alias("quick")
+    )
+
+
+def csv_field(value: Column) -> Column:
+    """A field of a line of CSV: in quotes, with its own doubled, where it has a comma, a quote or a line end."""
+    return F.when(value.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(value, F.lit("")))
+
+
+def presence_csv(said: DataFrame, unit: str, label: Column, role: str, roles: list[str]) -> DataFrame:
+    """(unit, line): the presence of ``roles`` as lines of CSV behind the label of each unit; the header's unit is null."""
+    rows = presence(said, unit, role, roles)
+    labels = said.groupBy(unit).agg(F.min(label).alias("__label"))
+    lines = rows.join(labels, unit).select(unit, F.concat_ws(",", csv_field(F.col("__label")), *(F.col(f"`{r}`") for r in roles)).alias("line"))
+    header = said.sparkSession.range(1).select(F.lit(None).cast(said.schema[unit].dataType).alias(unit), F.concat_ws(",", *(csv_field(F.lit(r)) for r in ["Unite", *roles])).alias("line"))
+    return header.unionAll(lines)

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstage.functions import text as X
+from quillstage.functions.speech import lazy
+from quillstage.operators.intervals import first_holder
 from quillstage.operators.structure import ACT_WORDS, SCENE_WORDS
 
 # Delimiters of a junction reply, and the roles that front matter may have.
@@ -90,26 +92,30 @@ def front_split(lines: DataFrame, doc: str, line: str = "line") -> DataFrame:
     return lines.withColumn("front", F.col("position") < F.coalesce(first, F.lit(0)))
 
 
+@lazy("array<string>")
+def _sliced(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    return pd.Series([[t[a:b] for a, b in zip(x, y, strict=True)] for t, x, y in zip(texts, starts, stops, strict=True)], dtype=object)
+
+
 def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Runs split at the borders of spans: (doc, start, text, category) and what is to be carried, category null where kept."""
-    r = runs.withColumn("stop", F.col("start") + F.length("text"))
-    s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), "category")
-    held = r.join(s, (r[doc] == F.col("__d")) & (F.col("__a") < F.col("stop")) & (F.col("__b") > F.col("start")), "left")
-    keys = [doc, "start", "stop", "text", *carry]
-    per = held.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("__a").isNotNull(), F.struct(F.greatest("__a", "start").alias("a"), F.least("__b", "stop").alias("b"), F.col("category").alias("c")))
-            )
-        ).alias("cuts")
-    )
-    ends = F.array_sort(F.array_distinct(F.concat(F.array("start", "stop"), F.transform("cuts", lambda c: c["a"]), F.transform("cuts", lambda c: c["b"]))))
-    bits = per.withColumn("e", ends).select("*", F.posexplode("e").alias("i", "at")).withColumn("to", F.get("e", F.col("i") + 1)).filter("`to` is not null")
-    category = F.get(F.transform(F.filter("cuts", lambda c: (c["a"] <= F.col("at")) & (c["b"] >= F.col("to"))), lambda c: c["c"]), F.lit(0))
-    return bits.select(
-        doc, F.col("at").alias("start"), F.substr("text", F.col("at") - F.col("start") + 1, F.col("to") - F.col("at")).alias("text"),
-        category.alias("category"), *carry
-    )
+    """Runs split at the borders of spans: (doc, start, text, category) and what is to be carried, category null where kept.
+
+    The runs of a document do not overlap. All borders of a document are swept once in order; of spans that overlap the
+    first counts. A text is sliced in one pass over its own pieces.
+    """
+    r = runs.withColumns({"start": F.col("start").cast("long"), "stop": F.col("start") + F.length("text")}).filter("start < stop")
+    s = spans.select(doc, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "category")
+    ends = lambda of, run: of.select(doc, F.inline(F.array(F.struct(F.col("start").alias("at"), run.alias("run")), F.struct(F.col("stop").alias("at"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("run")))))
+    borders = ends(r, F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).unionAll(ends(s, F.lit(None).cast("struct<a:bigint,b:bigint>")))
+    w = W.partitionBy(doc).orderBy("at")
+    marked = borders.groupBy(doc, "at").agg(F.max("run").alias("run"))
+    open_ = marked.withColumns({"to": F.lead("at").over(w), "run": F.last("run", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    bits = open_.filter(F.col("at") < F.col("run.b")).select(doc, F.col("run.a").alias("start"), F.col("run.b").alias("stop"), "at", "to")
+    listed = first_holder(bits, s, doc, "at", "to").groupBy(doc, "start", "stop").agg(F.array_sort(F.collect_list(F.struct("at", "to", "category"))).alias("bits"))
+    moved = lambda end: F.transform("bits", lambda b: (b[end] - F.col("start")).cast("int"))
+    cut = r.join(listed, [doc, "start", "stop"]).withColumn("__texts", _sliced("text", moved("at"), moved("to")))
+    each = cut.select(doc, *carry, F.inline(F.arrays_zip("bits", F.col("__texts").alias("piece"))))
+    return each.select(doc, F.col("bits.at").alias("start"), F.col("piece").alias("text"), F.col("bits.category").alias("category"), *carry)
 
 
 def words_left(paragraphs: DataFrame, spans: DataFrame, doc: str, is_scene: Column) -> DataFrame:
@@ -128,19 +134,22 @@ def words_left(paragraphs: DataFrame, spans: DataFrame, doc: str, is_scene: Colu
 
 
 def with_tracked_cuts(pieces: DataFrame, doc: str, authors: dict[int, str], date: str) -> DataFrame:
-    """(doc, xml): paragraphs' runs as markup in which cut pieces are deletions of their category's author."""
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        esc = lambda t: "".join(c for c in t if c in "\t\n" or c >= " ").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-        out = []
-        for n, (text, category) in enumerate(frame.sort_values("start")[["text", "category"]].itertuples(index=False)):
-            cut = category is not None and category == category
-            out.append(
-                f'<w:del w:id="{n}" w:author="{esc(authors[int(category)])}" w:date="{date}"><w:r><w:delText xml:space="preserve">{esc(text)}</w:delText></w:r></w:del>' if cut else f'<w:r><w:t xml:space="preserve">{esc(text)}</w:t></w:r>'
-            )
-        return pd.DataFrame({doc: [frame[doc].iloc[0]], "xml": ["".join(out)]})
-
-    return pieces.groupBy(doc).applyInPandas(build, f"`{doc}` {pieces.schema[doc].dataType.simpleString()}, xml string")
+    """(doc, n, xml): markup of each run, numbered within its document; cut pieces are deletions of their category's author."""
+    def escaped(text: Column) -> Column:
+        plain = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]", "")
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            plain = F.replace(plain, F.lit(sign), F.lit(name))
+        return plain
+
+    number = (F.row_number().over(W.partitionBy(doc).orderBy("start")) - 1).cast("string")
+    who = F.try_element_at(F.create_map(*[x for k, v in authors.items() for x in (F.lit(k), escaped(F.lit(v)))]), F.col("category").cast("int"))
+    who = F.coalesce(who, F.raise_error(F.concat(F.lit("no author for category "), F.col("category").cast("string"))))
+    kept = F.concat(F.lit('<w:r><w:t xml:space="preserve">'), escaped(F.col("text")), F.lit("</w:t></w:r>"))
+    cut = F.concat(
+        F.lit('<w:del w:id="'), number, F.lit('" w:author="'), who, F.lit(f'" w:date="{date}"><w:r><w:delText xml:space="preserve">'), escaped(F.col("text")),
+        F.lit("</w:delText></w:r></w:del>")
+    )
+    return pieces.select(doc, number.cast("long").alias("n"), F.when(F.col("category").isNull(), kept).otherwise(cut).alias("xml"))
 
 
 def classification_report(labels: DataFrame, doc: str) -> DataFrame:

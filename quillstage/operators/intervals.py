@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstage.functions.automaton import Automaton
+from quillstage.functions.speech import lazy
+
 
 def anchored(text: Column, begin: Column, end: Column | None = None) -> Column:
     """struct(start, stop, fault) of an anchor in a text: it must be found once; with two anchors from one to the end of the other."""
@@ -20,42 +24,106 @@ def anchored(text: Column, begin: Column, end: Column | None = None) -> Column:
     return F.struct(F.when(fault.isNull(), at(begin)).alias("start"), F.when(fault.isNull(), at(last) + F.length(last)).alias("stop"), fault.alias("fault"))
 
 
+def _faults(text: str | None, anchors) -> list[tuple]:
+    """(number, start, stop, fault) of the anchors of one text, which is read once."""
+    own = [(a["number"], a["begin"], a["end"]) for a in anchors]
+    wanted = sorted({x for _, begin, end in own for x in (begin, end) if x})
+    place = dict(zip(wanted, Automaton(wanted).once(text or "", len(wanted)), strict=True))
+    out = []
+    for number, begin, end in own:
+        at, last = place.get(begin, 0), place.get(begin if end is None else end, 0)
+        fault = None
+        for name, x in (("begin", at),) if end is None else (("begin", at), ("end", last)):
+            fault = fault or (f"{name} not unique" if x is None else f"{name} not found" if x == 0 else None)
+        if fault is None and last <= at - len(begin):
+            fault = "ends before it begins"
+        out.append((number, None, None, fault) if fault else (number, at - len(begin), last, None))
+    return out
+
+
+@lazy("array<struct<number:bigint,start:bigint,stop:bigint,fault:string>>")
+def _located(texts: pd.Series, anchors: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("number", "start", "stop", "fault"), r, strict=True)) for r in _faults(t, a)] for t, a in zip(texts, anchors, strict=True)], dtype=object)
+
+
+def located(texts: DataFrame, anchors: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """(doc, number, start, stop, fault) of all ``anchors`` (doc, number, begin, end) of each text, as ``anchored`` has it of one.
+
+    A text is read once, however many anchors it has: an automaton of all of them finds their places in one pass. Anchors of
+    documents without a text are left out.
+    """
+    own = anchors.groupBy(doc).agg(F.collect_list(F.struct(F.col("number").cast("long").alias("number"), "begin", "end")).alias("__anchors"))
+    found = texts.select(doc, text).join(own, doc).select(doc, F.explode(_located(text, "__anchors")).alias("a"))
+    return found.select(doc, "a.*")
+
+
 def overlapping(spans: DataFrame, doc: str) -> DataFrame:
     """Spans that begin before the one before them has ended; adjacent ones do not."""
     w = W.partitionBy(doc).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     return spans.withColumn("__open", F.max("stop").over(w)).filter("start < __open").drop("__open")
 
 
-def united(spans: DataFrame, doc: str) -> DataFrame:
-    """Disjoint spans that cover what any of the spans covers."""
-    before = W.partitionBy(doc).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(doc).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)
-    new = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int")
-    islands = spans.withColumn("__new", new).withColumn("__island", F.sum("__new").over(upto))
-    return islands.groupBy(doc, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
+def united(spans: DataFrame, doc: str, *kinds: str) -> DataFrame:
+    """Disjoint spans that cover what any of the spans covers, for each of the ``kinds``."""
+    order = W.partitionBy(doc, *kinds).orderBy("start", "stop")
+    new = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    islands = spans.withColumn("__new", new).withColumn("__island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy(doc, *kinds, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
+
 
+#: Categories that one running sum can tell apart, a bit each.
+_BITS = 62
 
-def overlaid(spans: DataFrame, doc: str, category: str = "category", priority: str = "priority") -> DataFrame:
+
+def overlaid(spans: DataFrame, doc: str, category: str = "category", priority: str = "priority", sums: int = 1) -> DataFrame:
     """Disjoint spans with the category of the highest priority that covers them; equal neighbours are one.
 
-    Spans are cut at all ends of their document; the pieces of a span are joined to it by document and containment.
+    A sweep without a join: the spans of a category are made disjoint, so that of its ends each is one bit that is added at a
+    start and taken off at a stop. The running sum of the bits, ranked by priority, tells which categories are open, and its highest
+    bit the uppermost. A document may have ``sums`` times 62 categories; more are an error.
     """
-    ends = spans.select(doc, F.explode(F.array("start", "stop")).alias("start")).distinct()
-    bits = ends.withColumn("stop", F.lead("start").over(W.partitionBy(doc).orderBy("start"))).filter("stop is not null")
-    s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), category, priority)
-    covered = bits.join(s, (bits[doc] == F.col("__d")) & (bits["start"] >= F.col("__a")) & (bits["stop"] <= F.col("__b")))
-    top = covered.groupBy(doc, "start", "stop").agg(F.max_by(category, F.struct(priority, category)).alias(category))
+    flat = united(spans.filter("start < stop"), doc, priority, category)
+    rank = F.dense_rank().over(W.partitionBy(doc).orderBy(F.asc_nulls_first(priority), F.asc_nulls_first(category))) - 1
+    known = F.array_sort(F.collect_set(F.struct(F.col("__rank").alias("r"), F.col(category).alias("c"))).over(W.partitionBy(doc)))
+    ranked = flat.withColumn("__rank", rank).withColumn("__known", known)
+    bit = F.when(F.col("__rank") >= _BITS * sums, F.raise_error(F.lit(f"more than {_BITS * sums} categories in a document"))).otherwise(F.expr(f"shiftleft(1L, __rank % {_BITS})"))
+    ends = ranked.withColumn("__bit", bit).select(
+        doc, "__known", "__rank", F.inline(F.array(F.struct(F.col("start").alias("start"), F.col("__bit").alias("d")), F.struct(F.col("stop").alias("start"), (-F.col("__bit")).alias("d"))))
+    )
+    step = {f"__s{k}": F.sum(F.when(F.floor(F.col("__rank") / _BITS) == k, F.col("d")).otherwise(0)) for k in range(sums)}
+    events = ends.groupBy(doc, "start").agg(F.first("__known").alias("__known"), *(v.alias(k) for k, v in step.items()))
     w = W.partitionBy(doc).orderBy("start")
-    new = ~(F.lag(category).over(w).eqNullSafe(F.col(category)) & (F.lag("stop").over(w) == F.col("start")))
-    runs = top.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    events = events.withColumns({k: F.sum(k).over(upto) for k in step} | {"stop": F.lead("start").over(w)})
+    top = F.coalesce(*(F.when(F.col(f"__s{k}") > 0, _BITS * k + F.length(F.bin(f"__s{k}")) - 1) for k in reversed(range(sums))))
+    pieces = events.withColumn("__top", top).filter("__top is not null").withColumn(category, F.get("__known", F.col("__top").cast("int"))["c"])
+    new = ~((F.lag("__top").over(w) == F.col("__top")) & (F.lag("stop").over(w) == F.col("start")))
+    runs = pieces.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(upto))
     return runs.groupBy(doc, "__run", category).agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__run")
 
 
+def first_holder(rows: DataFrame, spans: DataFrame, doc: str, low: str, high: str) -> DataFrame:
+    """``rows`` with the ``category`` of the first span, by start, stop and category, that holds them from ``low`` to ``high``; null where none does.
+
+    A sweep without a join: only spans that end behind all before them can be the first, and of these, which are in the order
+    of their ends, the first that ends at ``high`` or later is the only one to look at. It is the one next to the row in one sorted
+    pass over both.
+    """
+    before = W.partitionBy(doc).orderBy("start", "stop", "category").rowsBetween(W.unboundedPreceding, -1)
+    leading = spans.select(doc, "start", "stop", "category").withColumn("__before", F.max("stop").over(before)).filter("__before is null or stop > __before")
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    asked = rows.select(doc, F.col(high).cast("long").alias("__at"), F.lit(None).cast("long").alias("__start"), F.lit(None).cast(spans.schema["category"].dataType).alias("__category"), own.alias("__row"))
+    marks = leading.select(doc, F.col("stop").cast("long").alias("__at"), F.col("start").cast("long").alias("__start"), F.col("category").alias("__category"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    w = W.partitionBy(doc).orderBy(F.desc("__at"), F.desc(F.col("__row").isNull())).rowsBetween(W.unboundedPreceding, 0)
+    span = F.when(F.col("__row").isNull(), F.struct(F.col("__start").alias("s"), F.col("__category").alias("c")))
+    swept = marks.unionByName(asked).withColumn("__span", F.last(span, ignorenulls=True).over(w)).filter("__row is not null")
+    return swept.select("__row.*", F.when(F.col("__span.s") <= F.col("__row")[low], F.col("__span.c")).alias("category"))
+
+
 def category_at(points: DataFrame, spans: DataFrame, doc: str, at: str) -> DataFrame:
     """Points with the category of the first span that holds them, 0 outside."""
-    s = spans.select(F.col(doc).alias("__d"), "start", "stop", "category")
-    held = points.join(s, (points[doc] == F.col("__d")) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop")), "left")
-    return held.groupBy(doc, at).agg(F.coalesce(F.min_by("category", F.struct("start", "stop", "category")), F.lit(0)).alias("category"))
+    places = points.select(doc, at).distinct().withColumn("__next", F.col(at) + 1)
+    return first_holder(places, spans, doc, at, "__next").select(doc, at, F.coalesce("category", F.lit(0)).alias("category"))
 
 
 def words_inside(text: Column, start: Column, stop: Column, word: str) -> Column:
@@ -70,8 +138,7 @@ def propagated(paragraphs: DataFrame, spans: DataFrame, doc: str) -> DataFrame:
     w = W.partitionBy(doc).orderBy("start")
     p = paragraphs.withColumn("stop", F.col("start") + F.length("text")).filter(F.length(F.trim("text")) > 0)
     p = p.withColumn("__name", F.sum(F.col("bold").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    s = spans.select(F.col(doc).alias("__d"), F.col("start").alias("__a"), F.col("stop").alias("__b"), "category")
-    cut = p.join(s, (p[doc] == F.col("__d")) & (F.col("start") >= F.col("__a")) & (F.col("stop") <= F.col("__b")), "left")
+    cut = first_holder(p, spans, doc, "start", "stop")
     speech = cut.filter("not bold").groupBy(doc, "__name").agg(
         F.bool_and(F.col("category").isNotNull()).alias("whole"), F.min_by("category", "start").alias("category")
     ).filter("whole and __name > 0")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstage.sources.folder import shared_folder
+
 DAY = 86_400_000
 SUCCESS, MASTERY, INTERVALS, KEPT, QUEUE = 90, 3, (7, 16, 35), 10, 12
 WEAK, OLD, HORIZON = 0.7, 0.3, 30.0
@@ -84,12 +86,33 @@ def spot_weight(checked_at: Column, now: Column) -> Column:
 
 
 def drawn(weighted: DataFrame, key: list[str], order: str, weight: str, point: Column) -> DataFrame:
-    """Of each key the first row whose running weight exceeds ``point`` (0 to 1) of the whole."""
+    """Of each key the first row whose running weight exceeds ``point`` (0 to 1) of the whole.
+
+    A scan of two levels: rows are dealt by ranges of key and order and kept as a table, whose parts are summed; running sums of
+    these few tell which part of a key holds the point, and rows are only summed one by one within that part. So a single key may
+    have all rows.
+    """
+    spark, folder = weighted.sparkSession, shared_folder(weighted.sparkSession, "drawn")
+    ranged = weighted.filter(F.col(weight) > 0).repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id())
+    ranged.write.parquet(folder)
+    rows = spark.read.schema(ranged.schema).parquet(folder)
     w = W.partitionBy(*key)
-    upto = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    rows = weighted.filter(F.col(weight) > 0).withColumns({"__sum": F.sum(weight).over(upto), "__all": F.sum(weight).over(w)})
-    past = rows.filter((F.col("__sum") > point * F.col("__all")) | (F.col("__sum") == F.col("__all")))
-    return past.withColumn("__n", F.row_number().over(w.orderBy(order))).filter("__n = 1").drop("__n", "__sum", "__all")
+    parts = rows.groupBy(*key, "__part").agg(F.sum(weight).alias("__own"))
+    upto = F.sum("__own").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.withColumns({"__upto": upto, "__all": F.sum("__own").over(w), "__last": F.max("__part").over(w)})
+    past = parts.filter((F.col("__upto") > point * F.col("__all")) | (F.col("__part") == F.col("__last")))
+    # of each key one part
+    held = past.groupBy(*key).agg(F.min_by(F.struct("__part", (F.col("__upto") - F.col("__own")).alias("__before"), "__all"), "__part").alias("__p")).select(*key, "__p.*")
+    named = held.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("__part").alias("__of"), "__before", "__all")
+    same = F.col("__part") == F.col("__of")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = W.partitionBy(*key, "__part").orderBy(order)
+    own = rows.join(named, same).withColumn("__sum", F.col("__before") + F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    # the last one of a part stands in where rounding leaves none past the point
+    first = own.withColumn("__short", F.col("__sum") <= point * F.col("__all")).withColumn("__turn", F.row_number().over(inside))
+    best = first.withColumn("__n", F.row_number().over(W.partitionBy(*key, "__part").orderBy("__short", F.when(F.col("__short"), -F.col("__turn")).otherwise(F.col("__turn")))))
+    return best.filter("__n = 1").select(*weighted.columns)
 
 
 def rank_of(status: Column) -> Column:

@@ -108,23 +108,41 @@ def called(units: DataFrame, key: list[str], prompt: str, client: Callable[[str]
     return units.select(*dict.fromkeys([*key, prompt])).mapInPandas(run, schema)
 
 
+def folded_rows(frames: Iterator[pd.DataFrame], book: str, text: str, client: Callable[[str, str], tuple[str, str]], lines: int) -> Iterator[pd.DataFrame]:
+    """Blocks in order with their seams corrected. Only the last block waits for the next one, over the ends of frames and of books."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        if frame.empty:
+            continue
+        books, texts = frame[book].tolist(), frame[text].tolist()
+        # of the block that was held the seam before it is done
+        for i in range(len(texts) - 1):
+            if books[i] == books[i + 1] or (books[i] != books[i] and books[i + 1] != books[i + 1]):
+                left, right = texts[i].split("\n"), texts[i + 1].split("\n")
+                a, b = client("\n".join(left[-lines:]), "\n".join(right[:lines]))
+                texts[i], texts[i + 1] = "\n".join([*left[:-lines], a]), "\n".join([b, *right[lines:]])
+        frame = frame.assign(**{text: texts})
+        held = frame.iloc[-1:]
+        yield frame.iloc[:-1]
+    if held is not None:
+        yield held
+
+
 def junctions_folded(blocks: DataFrame, book: str, number: str, text: str, client: Callable[[str, str], tuple[str, str]], lines: int = 50) -> DataFrame:
     """Corrects the seams of each book's blocks one after the other: the corrected head of a block takes part in its next seam.
 
-    Sequential by nature within a book, whose blocks are streamed to one task in order; books run beside each other.
+    Sequential by nature within a book. Blocks are sorted within the partition of their book, which spills, and streamed: a task holds
+    one batch of blocks and the one that waits for its next seam, however large a book is. Books run beside each other.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    rows = blocks.select(book, number, F.coalesce(text, F.lit("")).alias(text)).repartition(book).sortWithinPartitions(book, number, text)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(number, kind="stable")
-        texts = frame[text].tolist()
-        for i in range(len(texts) - 1):
-            left, right = texts[i].split("\n"), texts[i + 1].split("\n")
-            a, b = client("\n".join(left[-lines:]), "\n".join(right[:lines]))
-            texts[i], texts[i + 1] = "\n".join([*left[:-lines], a]), "\n".join([b, *right[lines:]])
-        return frame.assign(**{text: texts})[[book, number, text]]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return folded_rows(frames, book, text, client, lines)
 
-    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    return blocks.select(book, number, text).groupBy(book).applyInPandas(fold, f"`{book}` {kinds[book]}, `{number}` {kinds[number]}, `{text}` string")
+    return rows.mapInPandas(run, f"`{book}` {kinds[book]}, `{number}` {kinds[number]}, `{text}` string")
 
 
 def first_missing(made: DataFrame, book: str, stage: str, stages: list[str]) -> DataFrame:

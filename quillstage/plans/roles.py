@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstage.functions import text as X
@@ -115,21 +114,43 @@ n AS (SELECT *, lead(conv_id) OVER w AS nx, lead(scene) OVER w AS ns, lead(r) OV
 SELECT actor, conv_id AS place, array_to_string(r, '/') AS roles, array_to_string(nr, '/') AS next_roles, (string_split(scene, ' ')[1:2] = string_split(ns, ' ')[1:2]) AS quick FROM n WHERE nx = conv_id + 1 AND NOT list_has_any(r, nr)"""
 
 
+def _played(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by scene and role, of even conversations the user's as the system's."""
+    scene = F.concat(F.lit("ACTE "), (F.col("conv_id") / 10).cast("int").cast("string"), F.lit(" Scène "), F.col("conv_id").cast("string"))
+    role = F.when((F.col("conv_id") % 2 == 0) & (F.col("role") == "user"), "system").otherwise(F.col("role"))
+    return _said(spark, sf).select("conv_id", scene.alias("scene"), role.alias("role"), X.balance_words(F.col("text")).alias("words"))
+
+
 def presence_heat(spark: SparkSession, sf: str) -> DataFrame:
+    return B.heat(_played(spark, sf), _cast(spark), "conv_id", "scene")
+
+
+HEAT = f"""WITH {_CAST}, p AS (SELECT conv_id, 'ACTE ' || conv_id // 10 AS act, CASE WHEN conv_id % 2 = 0 AND role = 'user' THEN 'system' ELSE role END AS role, {_W} AS words FROM conversations),
+r AS (SELECT conv_id, act, role, CAST(sum(words) AS BIGINT) AS words FROM p GROUP BY ALL),
+a AS (SELECT actor, conv_id, act, CAST(sum(words) AS BIGINT) AS words, list(role) AS l, string_agg(upper(role[1]) || role[2:] || ' ' || words, ' · ' ORDER BY words DESC, role) AS roles FROM r JOIN c USING (role) GROUP BY ALL),
+t AS (SELECT *, words / (SELECT max(words) FROM a) AS t FROM a)
+SELECT t.actor, t.conv_id AS place, t.words, t.roles, round(t, 6) AS heat, 'rgb(' || CAST(trunc(255 + t * (30 - 255)) AS INTEGER) || ',' || CAST(trunc(255 + t * (125 - 255)) AS INTEGER) || ',' || CAST(trunc(255 + t * (60 - 255)) AS INTEGER) || ')' AS background,
+CASE WHEN t > 0.55 THEN '#fff' ELSE '#222' END AS colour, n.actor IS NOT NULL AND NOT list_has_any(t.l, n.l) AND t.act = n.act AS quick FROM t LEFT JOIN a n ON n.actor = t.actor AND n.conv_id = t.conv_id + 1"""
 
 
-    cell = _said(spark, sf).groupBy("conv_id", "role").agg(F.sum(X.balance_words(F.col("text"))).cast("long").alias("words"))
-    return cell.withColumn("heat", F.round(F.col("words") / F.max("words").over(W.partitionBy("role")), 6))
+def presence_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of CSV: of every conversation, labelled by how its first turn begins, who speaks in it; one role's name has a comma."""
+    said = _said(spark, sf).withColumn("role", F.when(F.col("role") == "assistant", "ALL, \"IN CHORUS\"").otherwise(F.col("role")))
+    label = F.concat(F.col("conv_id").cast("string"), F.lit(" "), F.when(F.col("turn") == 0, F.substring("text", 1, 20)))
+    return B.presence_csv(said, "conv_id", label, "role", ["system", "user", "ALL, \"IN CHORUS\""])
 
 
-HEAT = f"WITH c AS (SELECT conv_id, role, CAST(sum({_W}) AS BIGINT) AS words FROM conversations GROUP BY ALL) SELECT *, round(words / max(words) OVER (PARTITION BY role), 6) AS heat FROM c"
+_FIELD = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE coalesce({x}, '') END"
+PRESENCE_CSV = f"""WITH u AS (SELECT conv_id, min(CASE WHEN turn = 0 THEN conv_id || ' ' || substr(text, 1, 20) END) AS label, bool_or(role = 'system') AS s, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+SELECT NULL AS conv_id, 'Unite,system,user,"ALL, ""IN CHORUS"""' AS line UNION ALL
+SELECT conv_id, {_FIELD("label")} || ',' || CASE WHEN s THEN 'X' ELSE '' END || ',' || CASE WHEN u THEN 'X' ELSE '' END || ',' || CASE WHEN a THEN 'X' ELSE '' END FROM u"""
 
 QUERIES = {
     "role_weights": _weights, "presence_matrix": presence_matrix, "unit_words": unit_words, "actor_balance": actor_balance,
     "cut_candidates": cut_candidates, "distribution": distribution, "spellings": spellings, "casting_conflicts": casting_conflicts,
-    "costume_changes": costume_changes, "presence_heat": presence_heat
+    "costume_changes": costume_changes, "presence_heat": presence_heat, "presence_csv": presence_csv
 }
 SQL = {
     "role_weights": ROLE_WEIGHTS, "presence_matrix": PRESENCE, "unit_words": UNIT_WORDS, "actor_balance": ACTORS, "cut_candidates": CUTS,
-    "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT
+    "distribution": DISTRIBUTION, "spellings": SPELLINGS, "casting_conflicts": CONFLICTS, "costume_changes": COSTUMES, "presence_heat": HEAT, "presence_csv": PRESENCE_CSV
 }

@@ -118,11 +118,11 @@ CUT = f"WITH {_SPANS} SELECT CAST(category AS BIGINT) AS category, CAST(sum(len(
 
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a text's first twelve and last six characters stand, if they stand there alone."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     t = F.col("text")
-    begin, end = F.substring(t, F.lit(1), F.lit(12)), F.substring(t, F.length(t) - 5, F.lit(6))
-    return table(spark, sf, "documents").select("doc_id", I.anchored(t, begin, end).alias("a")).select(
-        "doc_id", F.col("a.start").cast("long").alias("start"), F.col("a.stop").cast("long").alias("stop"), "a.fault"
-    )
+    ends = docs.select("doc_id", F.lit(0).alias("number"), F.substring(t, F.lit(1), F.lit(12)).alias("begin"), F.substring(t, F.length(t) - 5, F.lit(6)).alias("end"))
+    return I.located(docs, ends, "doc_id").select("doc_id", "start", "stop", "fault")
 
 
 ANCHORS = """WITH a AS (SELECT doc_id, text, substr(text, 1, 12) AS b, substr(text, length(text) - 5, 6) AS e FROM documents),
@@ -130,11 +130,23 @@ f AS (SELECT *, CASE WHEN instr(substr(text, instr(text, b) + 1), b) > 0 THEN 'b
 SELECT doc_id, CASE WHEN fault IS NULL THEN instr(text, b) - 1 END AS start, CASE WHEN fault IS NULL THEN instr(text, e) - 1 + length(e) END AS stop, fault FROM f"""
 
 
+def line_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of a document as an anchor: where it stands, or that it stands more than once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "begin")).filter("begin <> ''").withColumn("end", F.lit(None).cast("string"))
+    return I.located(docs, lines, "doc_id")
+
+
+LINE_ANCHORS = f"""WITH {S.LINES}, a AS (SELECT doc_id, line_no AS number, line, text, instr(text, line) AS p FROM lines JOIN documents USING (doc_id) WHERE line <> ''),
+f AS (SELECT *, instr(substr(text, p + 1), line) > 0 AS twice FROM a)
+SELECT doc_id, number, CASE WHEN NOT twice THEN p - 1 END AS start, CASE WHEN NOT twice THEN p - 1 + length(line) END AS stop, CASE WHEN twice THEN 'begin not unique' END AS fault FROM f"""
+
+
 QUERIES = {
     "pages": pages, "page_blocks": page_blocks, "play_labels": play_labels, "united_spans": united_spans, "overlaid_spans": overlaid_spans,
-    "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors
+    "overlapping_spans": overlapping_spans, "category_at": category_at, "words_cut": words_cut, "anchors": anchors, "line_anchors": line_anchors
 }
 SQL = {
     "pages": PAGES, "page_blocks": BLOCKS, "play_labels": LABELS, "united_spans": UNITED, "overlaid_spans": OVERLAID,
-    "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS
+    "overlapping_spans": OVERLAPPING, "category_at": CATEGORY_AT, "words_cut": CUT, "anchors": ANCHORS, "line_anchors": LINE_ANCHORS
 }

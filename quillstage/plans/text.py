@@ -10,6 +10,7 @@ from quillstage.functions import numbers as N
 from quillstage.functions import text as X
 from quillstage.operators import lines as L
 from quillstage.operators import reading as R
+from quillstage.operators import search as Q
 from quillstage.plans import sql as S
 from quillstage.sources.tables import table
 
@@ -255,9 +256,9 @@ SELECT doc_id, line_no, count(*) AS runs, count(*) FILTER (b) AS bold_runs, coun
 
 
 def searched(spark: SparkSession, sf: str) -> DataFrame:
-    key = lambda c: X.squeeze(F.regexp_replace(F.lower(X.strip_accents(c)), r"[.,;:!?…«»\"“”()\[\]{}—–*-]", " "))
-    said = table(spark, sf, "conversations")
-    hits = said.filter(F.contains(key(F.col("text")), F.lit("the th")) & (F.length(F.lit("the th")) >= 2))
+    """The first 30 turns that hold a fragment, in order, with an excerpt."""
+    index = Q.indexed(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    hits = Q.found(index, spark.range(1).select(F.lit("the th").alias("needle")))
     return hits.orderBy("conv_id", "turn").limit(30).select("conv_id", "turn", X.excerpt(F.col("text"), 90).alias("excerpt"))
 
 
@@ -265,14 +266,26 @@ _KEY = S.squeeze("regexp_replace(lower(strip_accents(text)), '[.,;:!?…«»\"
 SEARCHED = f"""SELECT conv_id, turn, CASE WHEN length({S.squeeze("text")}) > 90 THEN left({S.squeeze("text")}, 89) || '…' ELSE {S.squeeze("text")} END AS excerpt
 FROM conversations WHERE contains({_KEY}, 'the th') ORDER BY conv_id, turn LIMIT 30"""
 
+
+def search_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """What each conversation opens with, looked for in all turns of all conversations: how many hold it, and the first."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    needles = said.filter("turn = 0").select(F.substring(Q.searchable(F.col("text")), 1, 12).alias("needle"))
+    hits = Q.found(Q.indexed(said, ["conv_id", "turn"]), needles)
+    return hits.groupBy("needle").agg(F.count("*").alias("hits"), F.min(F.struct("conv_id", "turn")).alias("f")).select("needle", "hits", "f.conv_id", "f.turn")
+
+
+SEARCH_HITS = f"""WITH k AS (SELECT conv_id, turn, {_KEY} AS k FROM conversations), n AS (SELECT DISTINCT substr(k, 1, 12) AS needle FROM k WHERE turn = 0 AND length({S.squeeze("substr(k, 1, 12)")}) >= 2)
+SELECT needle, count(*) AS hits, min((conv_id, turn))[1] AS conv_id, min((conv_id, turn))[2] AS turn FROM n JOIN k ON contains(k, {S.squeeze("needle")}) GROUP BY needle"""
+
 QUERIES = {
     "line_shapes": line_shapes, "name_predicates": name_predicates, "labels": labels, "counted_texts": counted_texts,
     "speech_ids": speech_ids, "speakers": speakers, "words": words, "openings": openings, "unit_titles": unit_titles, "numerals": numerals,
     "formats": formats, "envelopes": envelopes, "windows_of_lines": windows_of_lines, "inline_speech": inline_speech, "emphasis": emphasis,
-    "searched": searched
+    "searched": searched, "search_hits": search_hits
 }
 SQL = {
     "line_shapes": LINE_SHAPES, "name_predicates": NAMES, "labels": LABELS, "counted_texts": COUNTED, "speech_ids": SPEECH_IDS,
     "speakers": SPEAKERS, "words": WORDS, "openings": OPENINGS, "unit_titles": TITLES, "numerals": NUMERALS, "formats": FORMATS,
-    "envelopes": ENVELOPES, "windows_of_lines": WINDOWS, "inline_speech": INLINE, "emphasis": EMPHASIS, "searched": SEARCHED
+    "envelopes": ENVELOPES, "windows_of_lines": WINDOWS, "inline_speech": INLINE, "emphasis": EMPHASIS, "searched": SEARCHED, "search_hits": SEARCH_HITS
 }

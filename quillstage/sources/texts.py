@@ -6,7 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,16 +80,6 @@ def paragraphs_of(raw: bytes) -> list[tuple[int, str | None, list[tuple[str, boo
 RUNS = "file string, paragraph int, style string, run int, start int, text string, bold boolean, italic boolean, deleted boolean, inserted boolean"
 
 
-def packaged(marked: DataFrame, doc: str, xml: str = "xml") -> DataFrame:
-    """(doc, content): a Word document of one paragraph for each row of runs in markup."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({doc: frame[doc], "content": [word_package(f"<w:p>{x}</w:p>") for x in frame[xml]]})
-
-    return marked.select(doc, xml).mapInPandas(run, f"`{doc}` {marked.schema[doc].dataType.simpleString()}, content binary")
-
-
 def prompts(files: DataFrame) -> DataFrame:
     """(name, prompt): templates by the name in their files, prompt_<name>.md."""
     return files.select(F.regexp_extract("file", r"prompt_([^/]+)\.md$", 1).alias("name"), F.col("text").alias("prompt")).filter("name <> ''")
@@ -130,36 +120,83 @@ def reviewed(runs: DataFrame) -> DataFrame:
     return old.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "text", "deleted"))).alias("runs"))
 
 
+def _escaped(text: str) -> str:
+    return "".join(c for c in text if c in "\t\n" or c >= " ").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def word_line(kind: str, text: str, styles: dict[str, tuple[str, bool, bool]]) -> str:
+    """Markup of a paragraph; ``styles`` must know every type: (style, bold, italic)."""
+    style, bold, italic = styles[kind]
+    runs = []
+    for part in re.findall(r"\*[^*]+\*|[^*]+|\*+", text) or [""]:
+        aside = part.startswith("*") and part.strip("*") != ""
+        props = "<w:b/>" * bold + "<w:i/>" * (italic or aside)
+        runs.append(f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{_escaped(part.strip("*") if aside else part)}</w:t></w:r>')
+    return f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{"".join(runs)}</w:p>'
+
+
 def word_bytes(lines: list[tuple[str, str]], styles: dict[str, tuple[str, bool, bool]]) -> bytes:
-    """A Word document of (type, text) lines; ``styles`` must know every type: (style, bold, italic)."""
-    esc = lambda t: "".join(c for c in t if c in "\t\n" or c >= " ").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    body = []
+    """A Word document of (type, text) lines."""
+    package = Package()
     for kind, text in lines:
-        style, bold, italic = styles[kind]
-        runs = []
-        for part in re.findall(r"\*[^*]+\*|[^*]+|\*+", text) or [""]:
-            aside = part.startswith("*") and part.strip("*") != ""
-            props = "<w:b/>" * bold + "<w:i/>" * (italic or aside)
-            runs.append(f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{esc(part.strip("*") if aside else part)}</w:t></w:r>')
-        body.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{"".join(runs)}</w:p>')
-    return word_package("".join(body))
-
-
-def word_package(body: str) -> bytes:
-    """A Word document of this markup of paragraphs."""
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(
+        package.add(word_line(kind, text, styles))
+    return package.close()
+
+
+class Package:
+    """A Word document that takes the markup of its paragraphs part by part and holds it only compressed."""
+
+    def __init__(self) -> None:
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        self.zip.writestr(
             "[Content_Types].xml",
             '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
         )
-        z.writestr(
+        self.zip.writestr(
             "_rels/.rels",
             '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
         )
-        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
-    return out.getvalue()
+        self.body = self.zip.open("word/document.xml", "w")
+        self.add(f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_WORD_NS[1:-1]}"><w:body>')
+
+    def add(self, markup: str) -> None:
+        self.body.write(markup.encode())
+
+    def close(self) -> bytes:
+        self.add("</w:body></w:document>")
+        self.body.close()
+        self.zip.close()
+        return self.out.getvalue()
+
+
+def package_rows(frames: Iterator[pd.DataFrame], doc: str, markup: Callable[[pd.DataFrame], list[str]], around: tuple[str, str] = ("", "")) -> Iterator[pd.DataFrame]:
+    """(doc, content) of rows that come document by document in order; ``around`` stands before and behind all markup of a document."""
+    package, name = None, None
+    for frame in frames:
+        done = []
+        for own, part in zip(frame[doc].tolist(), markup(frame), strict=True):
+            if package is None or own != name:
+                if package is not None:
+                    package.add(around[1])
+                    done.append((name, package.close()))
+                package, name = Package(), own
+                package.add(around[0])
+            package.add(part)
+        yield pd.DataFrame(done, columns=[doc, "content"])
+    if package is not None:
+        package.add(around[1])
+        yield pd.DataFrame([(name, package.close())], columns=[doc, "content"])
+
+
+def packaged(marked: DataFrame, doc: str, place: str = "n", xml: str = "xml") -> DataFrame:
+    """(doc, content): Word documents of one paragraph of the markup of their runs, in the order of ``place``.
+
+    Runs are sorted within the partition of their document and streamed into its archive: a task holds a batch of runs and the
+    compressed document.
+    """
+    rows = marked.select(doc, place, xml).repartition(doc).sortWithinPartitions(doc, place).select(doc, xml)
+    return rows.mapInPandas(lambda frames: package_rows(frames, doc, lambda f: f[xml].tolist(), ("<w:p>", "</w:p>")), f"`{doc}` {marked.schema[doc].dataType.simpleString()}, content binary")
 
 
 # The look of each type of line.
@@ -173,10 +210,10 @@ STYLES = {
 
 
 def as_word(typed: DataFrame, doc: str) -> DataFrame:
-    """(doc, content): a Word document of each book's typed lines, one book per task."""
+    """(doc, content): a Word document of each book's typed lines, which are sorted and streamed into its archive like runs in ``packaged``."""
+    rows = typed.select(doc, "line_no", "part", "type", "text").repartition(doc).sortWithinPartitions(doc, "line_no", "part").select(doc, "type", "text")
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["line_no", "part"])
-        return pd.DataFrame({doc: [rows[doc].iloc[0]], "content": [word_bytes(list(zip(rows["type"], rows["text"], strict=True)), STYLES)]})
+    def markup(frame: pd.DataFrame) -> list[str]:
+        return [word_line(kind, text, STYLES) for kind, text in zip(frame["type"].tolist(), frame["text"].tolist(), strict=True)]
 
-    return typed.select(doc, "line_no", "part", "type", "text").groupBy(doc).applyInPandas(build, f"`{doc}` {typed.schema[doc].dataType.simpleString()}, content binary")
+    return rows.mapInPandas(lambda frames: package_rows(frames, doc, markup), f"`{doc}` {typed.schema[doc].dataType.simpleString()}, content binary")

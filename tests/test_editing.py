@@ -1,11 +1,15 @@
+import itertools
 import json
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from quillstage.functions import images
-from quillstage.operators import editing, quality, reading, structure
+from quillstage.functions import automaton, images
+from quillstage.operators import editing, intervals, quality, reading, search, stages, structure
 from quillstage.operators.lines import lines_of
-from quillstage.sources import remote
+from quillstage.sources import remote, texts
 
 
 def test_junction_replies(spark):
@@ -52,7 +56,7 @@ def test_tracked_cuts(spark):
     runs = spark.createDataFrame([("d", 0, "abcdef"), ("d", 6, "gh")], "doc string, start int, text string")
     pieces = editing.cut_runs(runs, spark.createDataFrame([("d", 2, 4, 1), ("d", 5, 7, 2)], "doc string, start int, stop int, category int"), "doc")
     assert [(r.text, r.category) for r in pieces.orderBy("start").collect()] == [("ab", None), ("cd", 1), ("e", None), ("f", 2), ("g", 2), ("h", None)]
-    xml = editing.with_tracked_cuts(pieces, "doc", {1: "A", 2: "B"}, "2026-01-01T00:00:00Z").first().xml
+    xml = "".join(r.xml for r in editing.with_tracked_cuts(pieces, "doc", {1: "A", 2: "B"}, "2026-01-01T00:00:00Z").orderBy("n").collect())
     assert xml.count("<w:del ") == 3 and 'w:author="A"' in xml and "<w:delText" in xml
 
 
@@ -139,3 +143,171 @@ def test_ink(spark):
     assert [r.i for r in rows] == [0.001, 1.0]
     image, tried = images.rendered(lambda dpi: b"x" * (dpi * 100_000), 300)
     assert tried == [300, 225, 168] and len(image) <= images.MOST_BYTES
+
+
+def spans_of(rng, n, size, wide):
+    out = []
+    for _ in range(n):
+        a = rng.randrange(size)
+        out.append((a, a + rng.randint(0, wide), rng.randint(1, 4)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_intervals_equal_brute_force(spark, seed):
+    rng, docs = random.Random(seed), {}
+    for d in range(6):
+        docs[d] = spans_of(rng, rng.randint(0, 25), 60, rng.choice([3, 20, 60]))
+    spans = spark.createDataFrame([(d, *s) for d, x in docs.items() for s in x], "doc int, start long, stop long, category int")
+    # overlay: at every place the highest category that covers it, equal neighbours together
+    got = {(r.doc, r.start, r.stop, r.category) for r in intervals.overlaid(spans.withColumn("priority", F.col("category")), "doc").collect()}
+    expected = set()
+    for d, own in docs.items():
+        tops = [max((c for a, b, c in own if a <= i < b), default=None) for i in range(140)]
+        for c, run in itertools.groupby(range(140), lambda i: tops[i]):
+            run = list(run)
+            if c is not None:
+                expected.add((d, run[0], run[-1] + 1, c))
+    assert got == expected
+    # points, and rows from one place to another, by the first span that holds them
+    points = [(d, i) for d in docs for i in range(0, 130, 3)]
+    held = {(r.doc, r.at): r.category for r in intervals.category_at(spark.createDataFrame(points + points[:5], "doc int, at long"), spans, "doc", "at").collect()}
+    assert held == {(d, i): min(((a, b, c) for a, b, c in docs[d] if a <= i < b), default=(0, 0, 0))[2] for d, i in points}
+    ranges = [(d, a, a + rng.randint(1, 9), "x") for d in docs for a in range(0, 100, 7)]
+    rows = intervals.first_holder(spark.createDataFrame(ranges, "doc int, low int, high int, own string"), spans, "doc", "low", "high")
+    assert rows.columns == ["doc", "low", "high", "own", "category"]
+    assert {(r.doc, r.low, r.high): r.category for r in rows.collect()} == {(d, x, y): min(((a, b, c) for a, b, c in docs[d] if a <= x and y <= b), default=(0, 0, None))[2] for d, x, y, _ in ranges}
+    # runs cut at all borders
+    runs = [(d, a, "".join(rng.choices("aé𝄞 ", k=n)), f"k{a}") for d in docs for a, n in ((0, 17), (17, 0), (17, 30), (50, 40))]
+    pieces = editing.cut_runs(spark.createDataFrame(runs, "doc int, start int, text string, own string"), spans, "doc", ("own",)).collect()
+    expected = set()
+    for d, a, text, own in runs:
+        ends = sorted({a, a + len(text), *(x for s in docs[d] for x in s[:2] if a < x < a + len(text))})
+        for x, y in itertools.pairwise(ends):
+            expected.add((d, x, text[x - a : y - a], min(((s, e, c) for s, e, c in docs[d] if s <= x and y <= e), default=(0, 0, None))[2], own))
+    assert {tuple(r) for r in pieces} == expected and len(pieces) == len(expected)
+
+
+def test_a_document_of_very_many_spans(spark):
+    n = 200_000
+    spans = spark.range(n).select(F.lit("d").alias("doc"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 8).alias("stop"), (F.col("id") % 3).alias("category"))
+    over = intervals.overlaid(spans.withColumn("priority", F.col("category")), "doc").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("chars")).first()
+    assert over.chars == 5 * n + 3 and n <= over.n <= 2 * n
+    points = spark.range(n).select(F.lit("d").alias("doc"), (F.col("id") * 5 + 1).alias("at"))
+    at = intervals.category_at(points, spans, "doc", "at")
+    # three before its end a span still holds the place, and it is the first
+    assert at.filter(F.col("category") != F.when(F.col("at") == 1, 0).otherwise(((F.col("at") - 1) / 5 - 1) % 3)).count() == 0
+    text = spark.createDataFrame([("d", 0, "abcde" * n)], "doc string, start int, text string")
+    pieces = editing.cut_runs(text, spans, "doc")
+    assert pieces.count() == 2 * n - 1 and pieces.agg(F.sum(F.length("text"))).first()[0] == 5 * n
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_categories_without_end_are_an_error(spark):
+    rows = [("d", i, i + 2, i, i) for i in range(100)]
+    spans = spark.createDataFrame(rows, "doc string, start int, stop int, category int, priority int")
+    assert intervals.overlaid(spans, "doc", sums=2).count() == 100
+    with pytest.raises(Exception, match="more than 62 categories"):
+        intervals.overlaid(spans, "doc").count()
+
+
+def brute_anchor(text, begin, end):
+    def places(a):
+        return [i for i in range(len(text)) if a and text.startswith(a, i)]
+
+    for name, a in (("begin", begin),) if end is None else (("begin", begin), ("end", end)):
+        if len(places(a)) != 1:
+            return None, None, f"{name} not {'found' if not places(a) else 'unique'}"
+    at, last = places(begin)[0], places(begin if end is None else end)[0] + len(begin if end is None else end)
+    return (None, None, "ends before it begins") if last <= at else (at, last, None)
+
+
+def test_many_anchors_in_one_pass(spark):
+    rng, docs, anchors = random.Random(3), [], []
+    for d in range(4):
+        text = "".join(rng.choices("abcé ", k=400 * d))
+        docs.append((d, text))
+        for k in range(300):
+            cut = lambda: text[(i := rng.randint(0, max(0, len(text) - 1))) : i + rng.randint(0, 7)]
+            anchors.append((d, k, cut() or "zz", rng.choice([None, cut(), "é a"])))
+    docs.append((9, None))
+    anchors += [(9, 0, "a", None), (77, 0, "a", None)]
+    found = intervals.located(spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(anchors, "doc int, number int, begin string, end string"), "doc")
+    got = {(r.doc, r.number): (r.start, r.stop, r.fault) for r in found.collect()}
+    by = dict(docs)
+    assert got == {(d, k): brute_anchor(by[d] or "", b, e) for d, k, b, e in anchors if d in by}
+    faults = {f.split()[-1] if f else None for _, _, f in got.values()}
+    assert {None, "unique", "found", "begins"} <= faults
+
+
+def test_an_automaton_finds_every_place():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choices("ab", k=rng.randint(0, 40)))
+        patterns = list({"".join(rng.choices("ab", k=rng.randint(0, 5))) for _ in range(8)})
+        got = sorted((patterns[k], end) for k, end in automaton.Automaton(patterns).places(text))
+        assert got == sorted((p, i + len(p)) for p in patterns if p for i in range(len(text)) if text.startswith(p, i))
+
+
+def test_a_long_book_is_folded_in_little_memory():
+    import tracemalloc
+
+    def frames():
+        for k in range(400):
+            yield pd.DataFrame({"book": ["b"] * 4, "n": range(4 * k, 4 * k + 4), "text": [f"first {i}\n" + "x" * 50_000 + f"\nlast {i}" for i in range(4 * k, 4 * k + 4)]})
+
+    tracemalloc.start()
+    n = size = 0
+    for frame in stages.folded_rows(frames(), "book", "text", lambda a, b: (a + "!", "?" + b), 1):
+        for t, i in zip(frame["text"], frame["n"], strict=True):
+            assert t.startswith(f"?first {i}" if i else "first 0") and t.endswith(f"last {i}!" if i < 1599 else "last 1599")
+            n, size = n + 1, size + len(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1600 and size > 80_000_000 and peak < 4_000_000
+
+
+def test_folds_over_ends_of_batches_and_books(spark):
+    rows = [(b, n, f"{b}{n}\nx") for b in ("a", "b", None) for n in range(5)] + [("c", 0, None)]
+    blocks = spark.createDataFrame(rows, "book string, n int, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    results = []
+    for size in (1, 2, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        folded = stages.junctions_folded(blocks, "book", "n", "text", lambda a, b: (a + "!", "?" + b), 1)
+        results.append(sorted((r.book or "", r.n, r.text) for r in folded.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert results[0] == results[1] == results[2]
+    assert results[2][0] == ("", 0, "None0\nx!") and ("b", 4, "?b4\nx") in results[2] and ("c", 0, "") in results[2] and ("a", 2, "?a2\nx!") in results[2]
+
+
+def test_documents_are_streamed_into_their_archives():
+    import tracemalloc
+
+    def frames():
+        for k in range(300):
+            yield pd.DataFrame({"doc": ["d" if k < 299 else "e"] * 100, "text": [f"line {k} {i} " + "word " * 200 for i in range(100)]})
+
+    tracemalloc.start()
+    made = pd.concat(texts.package_rows(frames(), "doc", lambda f: [texts.word_line("texte", t, texts.STYLES) for t in f["text"]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made["doc"].tolist() == ["d", "e"] and peak < 6_000_000
+    back = texts.paragraphs_of(made["content"].iloc[0])
+    assert len(list(back)) == 29_900
+
+
+def test_search_equals_a_scan(spark):
+    rng = random.Random(8)
+    words = ["été", "Ete", "mer", "la", "l'homme", "—", "à", "Où", "est", "x", "YZ", "𝄞"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(300)] + [(300, None), (301, "mer " * 400 + "fin rare")]
+    said = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    index = search.indexed(said, ["id"])
+    needles = ["la", "la mer", "ETE", "a", "", "est x", "où est yz", "𝄞", "𝄞 la", "l'homme est", "fin rare", "not there", "mer  la", "x!"]
+    asked = spark.createDataFrame([(n,) for n in [*needles, "la"]], "needle string")
+    got = sorted((r.needle, r.id) for r in search.found(index, asked).collect())
+    plain = {r.id: r.t or "" for r in said.select("id", search.searchable(F.col("text")).alias("t")).collect()}
+    key = {r.needle: r.n for r in asked.select("needle", search.searchable(F.col("needle")).alias("n")).collect()}
+    assert got == sorted((n, k) for n in needles if len(key[n]) >= 2 for k, t in plain.items() if key[n] in t)
+    assert ("fin rare", 301) in got and index.lists.filter("size(texts) > 1 and texts <> array_sort(texts)").count() == 0

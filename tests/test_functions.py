@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -112,3 +114,68 @@ def test_formats(spark):
     assert value(spark, numbers.duration(F.lit(3720))) == "1 h 02 min"
     assert value(spark, numbers.thousands(F.lit(1234567))) == "1 234 567"
     assert value(spark, numbers.back_off(F.lit(9))) == 60.0
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@given(st.text("abc", max_size=14), st.text("abc", max_size=14))
+def test_shortest_scripts(a, b):
+    pairs = sorted(align._shortest(a, b))
+    assert len(pairs) == longest_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+    assert all(x < u and y < v for (x, y), (u, v) in itertools.pairwise(pairs))
+
+
+@given(st.lists(st.sampled_from(["", "x", "y", "one", "two", "zed"]), max_size=12), st.lists(st.sampled_from(["", "x", "y", "one", "two", "zed"]), max_size=12))
+def test_blocks_are_equal_and_in_order(a, b):
+    blocks = align.matching(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+    assert all(i + n <= u and j + n <= v and (i + n, j + n) != (u, v) for (i, j, n), (u, v, _) in itertools.pairwise(blocks))
+    stretches = list(align.equal_stretches("\n".join(a), "\n".join(b)))
+    x, y = "\n".join(a) + "\n", "\n".join(b) + "\n"
+    assert all(x[i : i + n] == y[j : j + n] for i, j, n in stretches)
+
+
+@given(st.permutations(range(9)))
+def test_rising_chains(order):
+    chain = align.rising(list(enumerate(order)))
+    assert chain == sorted(chain) and all(a[1] < b[1] for a, b in itertools.pairwise(chain))
+    assert len(chain) == longest_common(order, range(9))
+
+
+def test_cuts_are_carried_between_versions():
+    source = "ACTE I\nJAN\nBonjour, ma mère.\nMARTHA\nComment vas-tu ?\nfin"
+    reviewed = source.replace("JAN\n", "JAN\n(Il entre.)\n").replace("fin", "FIN")
+    at = reviewed.index("Comment vas-tu ?")
+    assert align.carried(source, reviewed, [(at, at + 16)]) == [(source.index("Comment"), source.index("Comment") + 16)]
+    # curved apostrophes and hard spaces are like straight ones; corrected letters are not cut, what stands around them is
+    assert align.carried("J'ai dit : oui", "J’ai dit : oui", [(0, 4), (9, 14)]) == [(0, 4), (9, 14)]
+    assert align.carried("le chat noir", "le chien noir", [(0, 13)]) == [(0, 5), (7, 12)]
+    assert align.carried("", "abc", [(0, 3)]) == align.carried("abc", "", []) == align.carried("abc", "xyz", [(0, 3)]) == []
+
+
+def test_texts_of_a_megabyte_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    lines = [" ".join(rng.choices(["la", "mer", "est", "calme", "ce", "soir", str(k)], k=9)) for k in range(28_000)]
+    other = list(lines)
+    for k in rng.sample(range(len(lines)), 300):
+        other[k] = other[k].replace("mer", "nuit") + "!"
+    del other[5000:5100]
+    other[9000:9000] = ["une ligne de plus"] * 50
+    source, reviewed = "\n".join(lines), "\n".join(other)
+    assert len(source) > 1_000_000
+    tracemalloc.start()
+    got = align.carried(source, reviewed, [(0, len(reviewed))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert sum(e - s for s, e in got) > 0.98 * len(source)
