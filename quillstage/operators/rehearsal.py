@@ -93,25 +93,25 @@ def drawn(weighted: DataFrame, key: list[str], order: str, weight: str, point: C
     have all rows.
     """
     spark, folder = weighted.sparkSession, shared_folder(weighted.sparkSession, "drawn")
-    ranged = weighted.filter(F.col(weight) > 0).repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id())
+    ranged = weighted.filter(F.col(weight) > 0).repartitionByRange(*key, order).withColumn("__slice", F.spark_partition_id())
     ranged.write.parquet(folder)
     rows = spark.read.schema(ranged.schema).parquet(folder)
     w = W.partitionBy(*key)
-    parts = rows.groupBy(*key, "__part").agg(F.sum(weight).alias("__own"))
-    upto = F.sum("__own").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, 0))
-    parts = parts.withColumns({"__upto": upto, "__all": F.sum("__own").over(w), "__last": F.max("__part").over(w)})
-    past = parts.filter((F.col("__upto") > point * F.col("__all")) | (F.col("__part") == F.col("__last")))
+    parts = rows.groupBy(*key, "__slice").agg(F.sum(weight).alias("__own"))
+    upto = F.sum("__own").over(w.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.withColumns({"__upto": upto, "__all": F.sum("__own").over(w), "__last": F.max("__slice").over(w)})
+    past = parts.filter((F.col("__upto") > point * F.col("__all")) | (F.col("__slice") == F.col("__last")))
     # of each key one part
-    held = past.groupBy(*key).agg(F.min_by(F.struct("__part", (F.col("__upto") - F.col("__own")).alias("__before"), "__all"), "__part").alias("__p")).select(*key, "__p.*")
-    named = held.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("__part").alias("__of"), "__before", "__all")
-    same = F.col("__part") == F.col("__of")
+    held = past.groupBy(*key).agg(F.min_by(F.struct("__slice", (F.col("__upto") - F.col("__own")).alias("__before"), "__all"), "__slice").alias("__p")).select(*key, "__p.*")
+    named = held.select(*(F.col(k).alias(f"__of_{k}") for k in key), F.col("__slice").alias("__of"), "__before", "__all")
+    same = F.col("__slice") == F.col("__of")
     for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    inside = W.partitionBy(*key, "__part").orderBy(order)
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    inside = W.partitionBy(*key, "__slice").orderBy(order)
     own = rows.join(named, same).withColumn("__sum", F.col("__before") + F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     # the last one of a part stands in where rounding leaves none past the point
     first = own.withColumn("__short", F.col("__sum") <= point * F.col("__all")).withColumn("__turn", F.row_number().over(inside))
-    best = first.withColumn("__n", F.row_number().over(W.partitionBy(*key, "__part").orderBy("__short", F.when(F.col("__short"), -F.col("__turn")).otherwise(F.col("__turn")))))
+    best = first.withColumn("__n", F.row_number().over(W.partitionBy(*key, "__slice").orderBy("__short", F.when(F.col("__short"), -F.col("__turn")).otherwise(F.col("__turn")))))
     return best.filter("__n = 1").select(*weighted.columns)
 
 

@@ -142,7 +142,7 @@ def presence_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 _FIELD = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE coalesce({x}, '') END"
 PRESENCE_CSV = f"""WITH u AS (SELECT conv_id, min(CASE WHEN turn = 0 THEN conv_id || ' ' || substr(text, 1, 20) END) AS label, bool_or(role = 'system') AS s, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM conversations GROUP BY conv_id)
-SELECT NULL AS conv_id, 'Unite,system,user,"ALL, ""IN CHORUS"""' AS line UNION ALL
+SELECT NULL AS conv_id, 'Unite,system,user,"ALL, ""IN CHORUS""' || chr(34) AS line UNION ALL
 SELECT conv_id, {_FIELD("label")} || ',' || CASE WHEN s THEN 'X' ELSE '' END || ',' || CASE WHEN u THEN 'X' ELSE '' END || ',' || CASE WHEN a THEN 'X' ELSE '' END FROM u"""
 
 QUERIES = {

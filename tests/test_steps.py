@@ -1,10 +1,15 @@
 """Cases that the tables do not hold, on small fixtures."""
 
+import csv
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstage.functions import speech
 from quillstage.functions import text as X
-from quillstage.operators import editing, lines, model, quality, reading, rehearsal, stages
+from quillstage.operators import balance, editing, lines, model, quality, reading, rehearsal, stages
 from quillstage.sources import texts
 from quillstage.sources.folder import shared_folder, write_files
 
@@ -130,3 +135,67 @@ def test_words_left(spark):
     spans = spark.createDataFrame([("d", 23, 28, 1)], "doc string, start int, stop int, category int")
     got = editing.words_left(paragraphs, spans, "doc", F.col("text").startswith("SCÈNE")).collect()
     assert {(r.scene, r.role): r.words for r in got} == {("SCÈNE 1", "JAN"): 2, ("SCÈNE 1", "ANNE"): 2}
+
+
+def test_draws_of_one_key_in_many_parts(spark):
+    rows = [("k", i, float(w)) for i, w in enumerate([3, 0, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5] * 200)] + [("l", 7, 2.0), (None, 1, 1.0), (None, 2, 3.0), ("none", 1, 0.0)]
+    weighted = spark.createDataFrame(rows, "part string, id int, weight double").repartition(7)
+    for point in (0.0, 0.37, 0.5, 0.999999, 1.0):
+        got = {r.part: r.id for r in rehearsal.drawn(weighted, ["part"], "id", "weight", F.lit(point)).collect()}
+        expected = {}
+        for key in ("k", "l", None):
+            own = [(i, w) for k, i, w in rows if k == key and w > 0]
+            total, upto = sum(w for _, w in own), 0.0
+            for i, w in own:
+                upto += w
+                if upto > point * total or i == own[-1][0]:
+                    expected[key] = i
+                    break
+        assert got == expected
+
+
+def test_heat_is_by_actor_and_the_most_of_all(spark):
+    cells = spark.createDataFrame(
+        [(1, "ACTE I Scène 1", "a", 10), (1, "ACTE I Scène 1", "b", 30), (2, "ACTE I Scène 2", "c", 20), (3, "ACTE II Scène 1", "a", 0), (3, "ACTE II Scène 1", "x", 99)],
+        "place int, scene string, role string, words long"
+    )
+    cast = spark.createDataFrame([("Ann", "a", 0), ("Ann", "c", 1), ("Ben", "b", 2), ("Old", "a", -1)], "actor string, role string, place int")
+    got = {(r.actor, r.place): (r.words, r.roles, r.heat, r.background, r.colour, r.quick) for r in balance.heat(cells, cast, "place", "scene").collect()}
+    assert got == {
+        ("Ann", 1): (10, "A 10", 0.333333, "rgb(180,211,190)", "#222", True), ("Ben", 1): (30, "B 30", 1.0, "rgb(30,125,60)", "#fff", False),
+        ("Ann", 2): (20, "C 20", 0.666667, "rgb(105,168,125)", "#fff", False), ("Ann", 3): (0, "A 0", 0.0, "rgb(255,255,255)", "#222", False)
+    }
+
+
+def test_presence_as_csv_is_read_back(spark):
+    names = ["JAN", "LES GENDARMES, EN CHŒUR", 'DIT "X"']
+    said = spark.createDataFrame([(1, 'I, "one"', names[0]), (1, 'I, "one"', names[1]), (2, "II", names[2])], "unit int, label string, role string")
+    lines = balance.presence_csv(said, "unit", F.col("label"), "role", names).orderBy(F.asc_nulls_first("unit")).collect()
+    assert list(csv.reader([r.line for r in lines])) == [["Unite", *names], ['I, "one"', "X", "X", ""], ["II", "", "", "X"]]
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_alignment_by_bits_equals_the_table(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    steps, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            steps.append("correct")
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            steps.append("oublie")
+            i += 1
+        else:
+            steps.append("ajoute")
+            j += 1
+    merged = []
+    while steps:
+        if len(steps) > 1 and {steps[0], steps[1]} == {"oublie", "ajoute"}:
+            merged.append("substitue")
+            steps = steps[2:]
+        else:
+            merged.append(steps.pop(0))
+    assert [s for s, _, _ in speech.aligned(a, b)] == merged
