@@ -4,9 +4,9 @@ choice is rejected.
 
 What is encoded are the lower-cased letters of the whole text, runs of all else being one space, in blocks of 2048 bytes, so that
 the dictionary and not the text's own past is what helps. Dictionaries are filled from a bounded sample: SAMPLE_DOCS
-documents of each language that have a letter, the first by a hash of their ids, up to DICTIONARY_BYTES. Documents of up to
-SAMPLE_CHARS characters are taken whole, of longer ones as many from the first letter on, so every labelled language with a
-letter is learned, of more than MOST_LANGUAGES labels the most frequent. Only text and language of the labelled rows are used.
+documents of each language that have a letter, the first by a hash of their ids and texts, up to DICTIONARY_BYTES. Documents of up
+to SAMPLE_CHARS characters are taken whole, of longer ones as many from the first letter on, so every labelled language with a letter
+is learned, whether ids are null, equal or clustered. Only text and language of the labelled rows are used.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter (numerals such as Ⅻ or ½ are none), or nothing was
 learned; a document without an id is neither held out nor learned from by the query; of equally small
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quillstage.llm.common import make_room, read
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 8000, 65_536
-#: Languages that are learned: MOST_LANGUAGES * DICTIONARY_BYTES are broadcast at most.
-MOST_LANGUAGES = 200
+#: Languages whose dictionaries are one broadcast.
+AT_ONCE = 200
 LEVEL, BLOCK = 12, 2048
 MARGIN, HALF_SCORE = 0.005, 0.02
 UNKNOWN = "und"
@@ -50,18 +50,20 @@ def letters(text: str | None) -> bytes:
 
 
 def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A dictionary per language. A few times SAMPLE_DOCS texts of each language, cut to SAMPLE_CHARS, reach the driver."""
-    rows = labelled.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    """A dictionary per language. Rows of the same id, text and language are one; a few times SAMPLE_DOCS texts of each language, cut to SAMPLE_CHARS, reach the driver."""
+    rows = labelled.select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{doc}`").cast("string"), F.col(f"`{text}`")).alias("h"))
     rows = rows.filter(F.col("l").isNotNull() & F.rlike("t", F.lit(_LETTER)))
-    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    # of so many different rows about that many hashes lie below a bound
+    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return ()
-    order = F.pmod(F.xxhash64("d"), F.lit(1 << 40))
-    below = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, int((1 << 40) * min(1.0, (2 * SAMPLE_DOCS + 50) / n)))])
+    order = F.pmod("h", F.lit(1 << 40))
+    below = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, int((1 << 40) * min(1.0, (2 * SAMPLE_DOCS + 250) / max(n, 1))))])
     piece = F.when(F.length("t") <= SAMPLE_CHARS, F.col("t")).otherwise(F.left(F.regexp_replace("t", _BEFORE, ""), F.lit(SAMPLE_CHARS)))
-    sample = sorted(rows.withColumn("o", order).filter(F.col("o") < F.try_element_at(below, F.col("l"))).select("l", "o", "d", piece).collect())
+    drawn = rows.filter(order < F.try_element_at(below, F.col("l"))).select("l", order.alias("o"), piece.alias("t"))
+    sample = sorted(tuple(r) for r in drawn.groupBy("l", "o").agg(F.min("t").alias("t")).collect())
     filled: dict[str, list[bytes]] = {}
-    for name, _, _, t in sample:
+    for name, _, t in sample:
         parts = filled.setdefault(name, [])
         if len(parts) < SAMPLE_DOCS and (b := letters(t)) and sum(map(len, parts)) < DICTIONARY_BYTES:
             parts.append(b)
@@ -91,36 +93,67 @@ def forget() -> bool:
     return had
 
 
-def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
-    """Language, score and whether the choice is rejected."""
+def smallest(text: str | None, model: Model) -> list[tuple[int, str]]:
+    """Size and language of the two smallest encodings, none where there is nothing to encode."""
     raw = letters(text)
-    if not raw or not model:
-        return UNKNOWN, 0.0, True
+    if not raw:
+        return []
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model))
+    return sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in _compressors(model))[:2]
+
+
+def judged(sizes: list[tuple[int, str]]) -> tuple[str, float, bool]:
+    """Language, score and whether the choice is rejected, by the smallest encodings."""
+    if not sizes:
+        return UNKNOWN, 0.0, True
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
     return sizes[0][1], margin / (margin + HALF_SCORE), margin < MARGIN
 
 
+def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
+    """Language, score and whether the choice is rejected."""
+    return judged(smallest(text, model))
+
+
 def identified(text: str | Column, model: Model, spark: SparkSession) -> Column:
-    """A struct of lang_pred, score and rejected for every text."""
-    shared = spark.sparkContext.broadcast(model)  # languages times DICTIONARY_BYTES
+    """A struct of lang_pred, score and rejected for every text. Of many languages each AT_ONCE are a broadcast of their own, whose smallest encodings meet."""
+    if len(model) <= AT_ONCE:
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.pandas_udf("lang_pred string, score double, rejected boolean")
+        def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            make_room(__name__)
+            for texts in frames:
+                yield pd.DataFrame([classify(t, shared.value) for t in texts.tolist()], columns=["lang_pred", "score", "rejected"])
+
+        return of(text)
+    parts = [_smallest(text, model[i : i + AT_ONCE], spark) for i in range(0, len(model), AT_ONCE)]
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        make_room(__name__)
-        for texts in frames:
-            yield pd.DataFrame([classify(t, shared.value) for t in texts.tolist()], columns=["lang_pred", "score", "rejected"])
+    def best(*columns: pd.Series) -> pd.DataFrame:
+        rows = [judged(sorted((x["size"], x["name"]) for own in row for x in own)[:2]) for row in zip(*columns, strict=True)]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+
+    return best(*parts)
+
+
+def _smallest(text: str | Column, model: Model, spark: SparkSession) -> Column:
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<struct<size:bigint,name:string>>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"size": size, "name": name} for size, name in smallest(t, shared.value)] for t in texts.tolist()], dtype=object)
 
     return of(text)
 
 
 def keep_known(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose language is recognised beyond doubt, with their own columns; learned from all labelled ones."""
+    """The documents whose language is recognised beyond doubt, with their own columns, whatever their names; learned from all labelled ones."""
     model = learn(docs, doc, text, lang)
-    return docs.withColumn("__language", identified(text, model, docs.sparkSession)).filter(~F.col("__language.rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), identified(F.col(f"`{text}`"), model, docs.sparkSession).alias("found"))
+    return rows.filter("not found.rejected").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ Without given weights a source's weight is the square root of its number of docu
 
 Defined results: rows without a source are a source of their own; rows of equal ids draw alike; rows without an id draw by a hash
 of their other columns (but maps), so equal ones draw alike;
-sources without a given weight and those of weight 0 have no copies; an empty table gives an empty result; all columns
-of the input are kept, and those made here start with ``mix_``.
+sources without a given weight and those of weight 0 have no copies; an empty table gives an empty result; all columns of the
+input are kept, whatever their names, beside which those made here give way.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quillstage.llm.common import read
 
 SEED, TEMPER = "mix-1", 0.5
-#: Sources whose distributions are broadcast: some 600 bytes each. Beyond, both sides are shuffled by source.
-MOST_BROADCAST = 20_000
+#: Bytes of distributions that are broadcast. Beyond, both sides are shuffled by source.
+MOST_BROADCAST = 16_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,33 +49,60 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
 
 
 def distributions(rated: DataFrame) -> DataFrame:
-    """Adds mix_cdf: the chances of at most 0, 1, 2, … copies, as far as the hash can reach."""
-    most = F.ceil(F.col("mix_rate") + 12 * F.sqrt("mix_rate") + 30).cast("int")
-    steps = rated.select("mix_source", "mix_rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
-    upto = W.partitionBy("mix_source").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("fact", F.sum(F.ln(F.greatest("k", F.lit(1)))).over(upto))
-    chance = F.when(
-        F.col("mix_rate") > 0,
-        F.exp(-F.col("mix_rate") + F.col("k") * F.ln(F.when(F.col("mix_rate") > 0, F.col("mix_rate"))) - F.col("fact"))
-    ).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
-    steps = steps.withColumn("cdf", F.sum(chance).over(upto))
-    listed = steps.groupBy("mix_source", "mix_rate").agg(F.array_sort(F.collect_list("cdf")).alias("mix_cdf"))
-    return listed
+    """Adds mix_low and mix_cdf: the chances of at most mix_low, mix_low + 1, … copies, as far from the mean as the hash can tell apart.
+
+    Chances are products of rate / k along the numbers k, of which only quotients count, and are divided by their sum.
+    """
+    reach = 9 * F.sqrt("mix_rate") + 30
+    low, high = F.greatest(F.floor(F.col("mix_rate") - reach), F.lit(0)).cast("long"), F.ceil(F.col("mix_rate") + reach).cast("long")
+    bounds = rated.withColumn("mix_low", low)
+    steps = bounds.select("mix_source", "mix_rate", "mix_low", F.explode(F.sequence("mix_low", F.when(F.col("mix_rate") > 0, high).otherwise(0))).alias("k"))
+    whole = W.partitionBy("mix_source")
+    upto = whole.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("k") == F.col("mix_low"), 0.0).otherwise(F.ln(F.col("mix_rate") / F.col("k")))
+    steps = steps.withColumn("log", F.sum(step).over(upto))
+    steps = steps.withColumn("part", F.exp(F.col("log") - F.max("log").over(whole)))
+    steps = steps.withColumn("cdf", F.sum("part").over(upto) / F.sum("part").over(whole))
+    return steps.groupBy("mix_source", "mix_rate", "mix_low").agg(F.array_sort(F.collect_list("cdf")).alias("mix_cdf"))
+
+
+def _upto(cdf: str, point: Column) -> Column:
+    """How many of the rising numbers are at most ``point``, found by halving."""
+    halves = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cdf) + F.lit(1.0))).cast("int"))
+
+    def half(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        below = F.get(cdf, middle) <= point
+        return F.when(at["lo"] >= at["hi"], at).when(below, F.struct((middle + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), middle.alias("hi")))
+
+    return F.reduce(halves, F.struct(F.lit(0).alias("lo"), F.size(cdf).alias("hi")), half)["lo"]
+
+
+def draws(docs: DataFrame, doc: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
+    """(row, mix_copy, mix_rate, mix_key): the documents, each a struct, as often as they were drawn, shuffled."""
+    plain = docs.select(F.col(f"`{source}`").alias("mix_source"))
+    rated = rates(plain, "mix_source", weights, total)
+    # the distributions of all sources together, in bytes
+    size = rated.agg(F.sum(18 * F.sqrt("mix_rate") + 64)).first()[0] or 0
+    listed = distributions(rated)
+    few = 8 * size <= MOST_BROADCAST
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != doc and "map<" not in f.dataType.simpleString()]
+    name = F.coalesce(F.col(f"`{doc}`").cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.lit(0), *others).cast("string")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{source}`").alias("from"), name.alias("name"))
+    drawn = rows.join(F.broadcast(listed) if few else listed, F.col("from").eqNullSafe(F.col("mix_source")))  # beyond the bound both sides are shuffled
+    point = uniform(F.lit(seed), F.col("name"))
+    copies = F.when(F.col("mix_rate") > 0, F.col("mix_low") + _upto("mix_cdf", point)).otherwise(0).cast("int")
+    drawn = drawn.select("row", "name", "mix_rate", copies.alias("copies")).filter("copies > 0")
+    each = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"), "mix_rate", "name")
+    each = each.select("row", "mix_copy", "mix_rate", F.md5(F.concat_ws(":", F.lit(seed), "name", "mix_copy")).alias("mix_key"))
+    return each.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def mix(docs: DataFrame, doc: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
-    """The documents as often as they were drawn, shuffled, with mix_copy, mix_rate and mix_key."""
-    rated = distributions(rates(docs, source, weights, total))
-    few = docs.select(source).distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    drawn = docs.join(F.broadcast(rated) if few else rated, docs[source].eqNullSafe(rated["mix_source"]))  # beyond the bound both sides are shuffled
-    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != doc and "map<" not in f.dataType.simpleString()]
-    name = F.coalesce(F.col(doc).cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.lit(0), *others).cast("string")))
-    point = uniform(F.lit(seed), name)
-    copies = F.when(F.col("mix_rate") > 0, F.size(F.filter("mix_cdf", lambda c: c <= point))).otherwise(0)
-    drawn = drawn.withColumn("mix_copies", copies).drop("mix_cdf", "mix_source").filter("mix_copies > 0")
-    each = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop("mix_copies")
-    each = each.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), name, F.col("mix_copy"))))
-    return each.repartition("mix_key").sortWithinPartitions("mix_key")
+    """The documents as often as they were drawn, shuffled, with mix_copy, mix_rate and mix_key but for names that the documents have themselves."""
+    taken = {c.lower() for c in docs.columns}
+    made = [c for c in ("mix_copy", "mix_rate", "mix_key") if c not in taken]
+    return draws(docs, doc, source, weights, total, seed).select(*(F.col("row")[c].alias(c) for c in docs.columns), *made)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Words that stand in a 5-word window found twice are counted from the sorted (has
 only in texts that have fewer distinct windows than windows.
 
 Defined results: a null or blank text has no words and fails the base conditions; equal rows have equal results; an empty
-table gives an empty result and an estimate equal to the starting values; other columns are kept by
-``with_features`` and ignored by the query, whatever their names, as all columns made here start with ``q_``.
+table gives an empty result and an estimate equal to the starting values; other columns are kept by ``keep_good`` and ignored by
+the query, whatever their names; ``with_features`` adds columns that start with ``q_`` to rows that have none such.
 """
 
 from __future__ import annotations
@@ -171,8 +171,10 @@ def judged(featured: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts are read once: documents and figures are one table, of which the estimate reads the figures alone."""
-    return judged(written(with_features(docs, text), "featured")).filter("q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that the rules keep, with their own columns, whatever their names. Texts are read once: documents and figures are one table, of which the estimate reads the figures alone."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    kept = judged(written(with_features(rows, "text").drop("text"), "featured")).filter("q_kept")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,16 @@ def odd(spark):
     return df.withColumns({c: F.lit(f"own {c}") for c in clashes}).cache()
 
 
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The same with columns that have the names which the operators make on their way."""
+    names = [
+        "row", "q_n_words", "q_words", "q_kept", "q_vote_length", "q_quality", "q_base_failed", "__language", "found", "l", "o", "h", "mix_rate", "mix_cdf", "mix_low",
+        "mix_source", "mix_copies", "mix_copy", "mix_key", "from", "name", "copies", "x", "fp", "least", "cut", "key", "block", "chapter", "b", "m", "seq"
+    ]
+    return odd.withColumns({c: F.lit(f"own {c}") for c in names if c not in odd.columns}).cache()
+
+
 @pytest.fixture(scope="session")
 def nothing(odd):
     return odd.limit(0)

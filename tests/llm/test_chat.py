@@ -110,3 +110,30 @@ def test_odd_rows(spark):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_conversations(said)).collect()}
     assert got == expected(rows)
     assert chat.read_back(chat.format_conversations(said.limit(0))).count() == 0
+
+
+@given(HOSTILE, HOSTILE)
+def test_strings_and_parts_are_visited_alike(a, b):
+    whole, none = chat.flatten(a + b + "\n" + a)
+    assert none == [] and whole == chat.escape(a + b + "\n" + a)
+    lines = [{"type": "text", "text": a + b + "\n"}, {"text": a}]
+    assert chat.flatten(lines)[0] == whole
+    visited = []
+
+    class Counting(chat.Flattener):
+        def visit_text(self, part):
+            visited.append(part["text"])
+            super().visit_text(part)
+
+    before, chat.Flattener = chat.Flattener, Counting
+    try:
+        chat.flatten(a)
+    finally:
+        chat.Flattener = before
+    assert visited == [a]
+
+
+def test_texts_become_parts_by_lines(spark):
+    rows = spark.createDataFrame([("a\n\nb </s>",), ("",), (None,), ("x\n",)], "text string").select(chat.as_parts(F.col("text")).alias("p")).collect()
+    assert [[p.text for p in r.p] for r in rows] == [["a\n", "\n", "b </s>"], [""], [""], ["x\n", ""]]
+    assert all(p.type == "text" and p.ref is None for r in rows for p in r.p)

@@ -28,7 +28,8 @@ def spaced(text):
 def brute(rows, held):
     """Predictions by compressing every text anew with every dictionary."""
     samples = {}
-    for d, text, lang in sorted((r for r in rows if r[2] is not None and not held(r[0])), key=lambda r: xxhash.xxh64_intdigest(str(r[0]).encode(), 42) % (1 << 40)):
+    order = lambda r: xxhash.xxh64_intdigest((r[1] or "").encode(), xxhash.xxh64_intdigest(str(r[0]).encode(), 42)) % (1 << 40)
+    for d, text, lang in sorted((r for r in rows if r[2] is not None and not held(r[0])), key=order):
         words = spaced(text)
         first = next((i for i, c in enumerate(text or "") if c.isalpha()), None)
         if words:
@@ -74,10 +75,45 @@ def test_rows_without_id_are_neither_held_out_nor_learned(spark, tmp_path):
     assert len(out) == 10 and {r.lang_pred for r in out} == {"en"} and [r.held_out for r in out if r.doc_id is None] == [False]
 
 
-def test_languages_are_bounded(spark):
-    rows = [(i, PROSE + " x" * i, f"l{i % 300:03d}") for i in range(900)] + [(1000 + i, PROSE, "l299") for i in range(3)]
-    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model) == language.MOST_LANGUAGES and model[0][0] == "l000" and model[-1][0] == "l299"
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    rows = [(i, PROSE + f" {chr(97 + i % 7) * 3} x" * i, f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(model) == 300 and model[0][0] == "l000" and model[-1][0] == "l299"
+    some = docs.filter("doc_id % 90 = 0")
+    single = {r.doc_id: r.l for r in some.select("doc_id", language.identified("text", model[:40], spark).alias("l")).collect()}
+    monkeypatch.setattr(language, "AT_ONCE", 7)
+    assert single == {r.doc_id: r.l for r in some.select("doc_id", language.identified("text", model[:40], spark).alias("l")).collect()}
+    assert {r.doc_id: r.l for r in some.select("doc_id", language.identified(F.lit(None).cast("string"), model[:40], spark).alias("l")).collect()}[0].lang_pred == "und"
+
+
+FRENCH = "Le port tranquille était plein de petits bateaux, et les pêcheurs réparaient leurs filets. "
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS BIGINT)", "CAST(7 AS BIGINT)", "id", "id div 100", "id * 4000037"])
+def test_any_ids_are_learned_from_a_bounded_sample(spark, monkeypatch, ids):
+    docs = spark.range(10_000).selectExpr(f"{ids} AS doc_id", f"concat(if(id % 2 = 0, '{PROSE}', '{FRENCH}'), id) AS text", "if(id % 2 = 0, 'en', 'fr') AS lang")
+    read = []
+    real = language.letters
+    monkeypatch.setattr(language, "letters", lambda t: read.append(t) or real(t))
+    model = language.learn(docs)
+    assert [name for name, _ in model] == ["en", "fr"] and 240 <= len(read) <= 2 * 900
+    assert language.classify(FRENCH, model)[0] == "fr" and language.classify(PROSE, model)[0] == "en"
+
+
+def test_repeated_rows_are_one_of_the_sample(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("CAST(7 AS BIGINT) AS doc_id", f"'{PROSE}' AS text", "'en' AS lang")
+    read = []
+    real = language.letters
+    monkeypatch.setattr(language, "letters", lambda t: read.append(t) or real(t))
+    assert [name for name, _ in language.learn(docs)] == ["en"] and len(read) == 1
+    assert language.keep_known(docs).count() == 20_000
+
+
+def test_clashing_names(clashing, odd):
+    kept = language.keep_known(clashing)
+    assert kept.columns == clashing.columns and kept.filter("__language <> 'own __language' or found <> 'own found'").count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in language.keep_known(odd).collect())
 
 
 def test_odd_rows(spark, odd, nothing):

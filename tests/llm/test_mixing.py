@@ -2,6 +2,8 @@ import collections
 import hashlib
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quillstage.llm import mixing
@@ -71,3 +73,39 @@ def brute(rows, total=None):
 def test_copies_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert collections.Counter(r.doc_id for r in mixing.mix(docs).collect()) == brute(docs.select("doc_id", "source").collect())
+
+
+def test_clashing_names(clashing):
+    out = mixing.mix(clashing)
+    assert out.columns == clashing.columns and out.count() > 0
+    assert out.filter("mix_rate <> 'own mix_rate' or mix_copies <> 'own mix_copies' or mix_key <> 'own mix_key' or row <> 'own row'").count() == 0
+
+
+def test_a_rare_source_beside_a_large_one(spark):
+    rated = spark.createDataFrame([("rare", 31_622.8), ("one", 1.0), ("none", 0.0), ("huge", 4e6), (None, 0.25)], "mix_source string, mix_rate double")
+    rows = {r.mix_source: r for r in mixing.distributions(rated).collect()}
+    # as long as eighteen standard deviations, not as the mean
+    assert len(rows["rare"].mix_cdf) < 18 * math.sqrt(31_622.8) + 70 and len(rows["huge"].mix_cdf) < 18 * 2000 + 70 and rows["none"].mix_cdf == [1.0]
+    for source, rate in (("rare", 31_622.8), ("one", 1.0), ("huge", 4e6), (None, 0.25)):
+        r = rows[source]
+        low, cdf = r.mix_low, r.mix_cdf
+        assert abs(cdf[-1] - 1) < 1e-12 and cdf[0] < 1e-15 + math.exp(-rate) * (low == 0)
+        near = round(rate)
+        exact = sum(math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(low, near + 1))
+        assert abs(cdf[near - low] - exact) < 1e-9 + 1e-15 * rate  # as far as lgamma of so large numbers is exact
+
+
+@pytest.mark.parametrize("most", [16_000_000, 0])
+def test_one_document_repeated_very_often(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+    docs = spark.range(4001).selectExpr("id AS doc_id", "if(id = 0, 'rare', 'common') AS source")
+    n = {r.doc_id: r["count"] for r in mixing.mix(docs, total=3e5).groupBy("doc_id").count().collect()}
+    share = 3e5 / (1 + math.sqrt(4000))
+    assert abs(n[0] - share) < 6 * math.sqrt(share) and abs(sum(n.values()) - 3e5) < 6 * math.sqrt(3e5)
+
+
+def test_halving_finds_the_place(spark):
+    numbers = [0.1, 0.2, 0.2, 0.5, 0.9, 1.0, 1.0]
+    rows = spark.createDataFrame([(numbers[:k], p / 20) for k in range(1, 8) for p in range(22)], "c array<double>, p double")
+    for r in rows.select("c", "p", mixing._upto("c", F.col("p")).alias("n")).collect():
+        assert r.n == sum(x <= r.p for x in r.c)

@@ -77,8 +77,8 @@ def test_labels(spark):
     assert sum(d in kept for d in clean) >= 0.97 * len(clean)
 
 
-def test_odd_and_empty(spark, odd, nothing):
-    for docs in (odd, nothing):
+def test_odd_and_empty(spark, odd, clashing, nothing):
+    for docs in (odd, clashing, nothing):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), name)
         assert "sequence_id" in docs.columns

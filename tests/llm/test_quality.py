@@ -26,6 +26,12 @@ def test_figures_equal_brute_force(spark):
         assert row(r) == figures(r.text)
 
 
+def test_clashing_names(clashing, odd):
+    kept = quality.keep_good(clashing)
+    assert kept.columns == clashing.columns and kept.filter("q_n_words <> 'own q_n_words' or q_kept <> 'own q_kept' or row <> 'own row'").count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in quality.keep_good(odd).collect())
+
+
 def test_odd_rows(odd):
     out = quality.judged(quality.with_features(odd)).collect()
     assert len(out) == odd.count()
