@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstage.llm.common import LOWER, UPPER, discard, make_room, raw_bytes, read, slices_by_size, word_spans, written
+from quillstage.llm.common import LOWER, UPPER, arrow_batches, discard, make_room, raw_bytes, read, slices_by_size, word_spans, written
 
 LEAST, LONGEST, TOP, SCALE, COVER = 100, 5, 2000, 1000, 100
 UNKNOWN = "und"
-#: Bytes of text in a block, and names that are broadcast.
-BLOCK_BYTES, MOST_BROADCAST = 2_000_000, 1_000_000
+#: Bytes of text in a block, of blocks that a Python worker takes at once, and names that are broadcast.
+BLOCK_BYTES, BATCH_BYTES, MOST_BROADCAST = 2_000_000, 4_000_000, 1_000_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -231,16 +231,17 @@ def _by_join(blocks: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
     """The named words, pairs, … of up to ``longest`` words, a table each, and (lang, total), the number of all words."""
-    blocks = written(word_blocks(docs, text, lang), "word-blocks")
-    totals = written(blocks.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
-    names, keys = [word_names(blocks, least)], ["word"]
-    while len(names) < longest:
-        some = names[-1].count()
-        before, blocks = blocks, written((_by_broadcast if some <= MOST_BROADCAST else _by_join)(blocks, names[-1], keys), "pair-blocks")
-        discard(before)
-        names.append(pair_names(blocks, names[-1], least))
-        keys = ["first", "last"]
-    discard(blocks)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        blocks = written(word_blocks(docs, text, lang), "word-blocks")
+        totals = written(blocks.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
+        names, keys = [word_names(blocks, least)], ["word"]
+        while len(names) < longest:
+            some = names[-1].count()
+            before, blocks = blocks, written((_by_broadcast if some <= MOST_BROADCAST else _by_join)(blocks, names[-1], keys), "pair-blocks")
+            discard(before)
+            names.append(pair_names(blocks, names[-1], least))
+            keys = ["first", "last"]
+        discard(blocks)
     return names, totals
 
 

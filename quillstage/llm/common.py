@@ -65,6 +65,18 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, rows go to Python workers in batches of at most ``most`` bytes or a single row: for rows that are large themselves."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def local_path(uri: str) -> str:
     """The path of a file: URI, as Python opens it."""
     return uri[len("file:"):].replace("///", "/", 1) if uri.startswith("file:") else os.fspath(uri)
