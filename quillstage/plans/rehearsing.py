@@ -12,6 +12,7 @@ from quillstage.operators import rehearsal as R
 from quillstage.plans import sql as S
 from quillstage.plans.text import FRENCH
 from quillstage.sources.tables import table
+from quillstage.streaming import recitations as stream
 
 #: The clock of the queries, in milliseconds.
 NOW = 1_735_689_600_000
@@ -82,6 +83,21 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
 PROGRESS = f"WITH {_P} SELECT user_id, attempts, streak, successes, last_at, last_score, due_at, status FROM g"
 
 
+def lapsed_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of every speech when a stream of its recitations has been read: mastered ones lapse by timers as the watermark passes."""
+    at_rest = table(spark, sf, "events")
+    source = spark.readStream.schema(at_rest.schema)
+    if at_rest.inputFiles()[0].endswith("/events.parquet"):  # a single file: a stream's source is a folder
+        events = source.option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        events = source.parquet(f"{sf.rstrip('/')}/events.parquet")
+    return stream.settled(spark, events).select("user_id", "status", *(F.col(c).cast("long").alias(c) for c in ("streak", "successes", "attempts", "due_at")))
+
+
+LAPSED = f"""WITH {_P}, n AS (SELECT max(at_ms) - 86400000 AS now FROM h)
+SELECT user_id, CASE WHEN streak >= 3 THEN CASE WHEN greatest(now, last_at) <= due_at THEN 'maitrisee' ELSE 'a_reviser' END WHEN successes >= 3 THEN 'a_reviser' ELSE 'en_cours' END AS status, streak, successes, attempts, due_at FROM q, n"""
+
+
 def revision_queue(spark: SparkSession, sf: str) -> DataFrame:
     hard = _progress(spark, sf).withColumn("difficulty", F.round(R.difficulty(F.col("last_score"), F.col("last_at"), F.lit(NOW)), 9))
     days = F.floor((F.lit(NOW) - F.col("last_at")) / float(R.DAY)).cast("long")
@@ -228,11 +244,11 @@ SELECT conv_id, turn, coalesce(s, '') AS sounds, coalesce(s, '') AS by_columns F
 
 QUERIES = {
     "cues": cues, "neighbours": neighbours, "newest_scores": newest_scores, "progress": _progress, "revision_queue": revision_queue,
-    "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores,
+    "lapsed_status": lapsed_status, "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores,
     "merged_progress": merged_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys
 }
 SQL = {
-    "cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT,
+    "cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT, "lapsed_status": LAPSED,
     "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS,
     "recitations": RECITATIONS, "hidden_words": HIDDEN, "phonetic_keys": PHONETIC
 }

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, where that is unset below the warehouse."""
+    """A new folder below ``spark.checkpoint.dir``, where that is unset below the warehouse; an error where that is a folder of one machine of a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if spark.conf.get("spark.checkpoint.dir", None) is None and base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/quillstage-{uuid.uuid4().hex}-{name}"
 
 

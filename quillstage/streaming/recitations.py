@@ -1,7 +1,8 @@
-"""Recitation events as a stream: the newest entries and the streak of every key, exactly as in batch.
+"""Recitation events as a stream: the newest entries and the streak of every key, exactly as in batch, and statuses that lapse.
 
-State is a list of at most ten entries per key, so it is bounded by the number of keys. Statuses that lapse are derived when
-they are read, so no timer is needed.
+State is a list of at most ten entries per key, so it is bounded by the number of keys. ``progress_stream`` gives figures from which
+a status is derived when it is read. ``status_stream`` gives the status itself, at every event and again when a mastered key
+falls due, by a timer of event time that is set anew with every recitation; entries and timers outlive a restart.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampNTZType
 
-from quillstage.operators.rehearsal import KEPT, SUCCESS
+from quillstage.operators.rehearsal import DAY, INTERVALS, KEPT, MASTERY, SUCCESS
+from quillstage.sources.folder import shared_folder
 
 OUT = "user_id long, attempts int, streak int, successes int, last_at long, last_score double"
 STATE = "at array<bigint>, score array<double>, tie array<bigint>"
@@ -42,6 +46,87 @@ def progress_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+#: Where state of several parts and timers is kept.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY = "at long, score double, tie long"
+STATUS = "user_id long, at long, status string, streak int, successes int, attempts int, due_at long"
+
+
+def state_of(entries: list[tuple[int, float, int]], now: int | None = None) -> tuple[str, int, int, int | None]:
+    """(status, streak, successes, due time) of a key's entries, the newest first, at the time of the newest or ``now``."""
+    ok = [score >= SUCCESS for _, score, _ in entries]
+    streak = ok.index(False) if False in ok else len(ok)
+    due = entries[0][0] + INTERVALS[min(streak - MASTERY, len(INTERVALS) - 1)] * DAY if streak >= MASTERY else None
+    if due is not None:
+        status = "maitrisee" if (entries[0][0] if now is None else now) <= due else "a_reviser"
+    else:
+        status = "a_reviser" if sum(ok) >= MASTERY else "en_cours"
+    return status, streak, sum(ok), due
+
+
+class Lapsing(StatefulProcessor):
+    """Keeps the newest entries of a key, and a timer for the time at which it falls due."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getListState("entries", ENTRY)
+
+    def _row(self, key: tuple, at: int, entries: list[tuple[int, float, int]], now: int | None) -> pd.DataFrame:
+        status, streak, successes, due = state_of(entries, now)
+        row = pd.DataFrame([(key[0], at, status, streak, successes, len(entries), due)], columns=[c.split()[0] for c in STATUS.split(", ")])
+        return row.astype({"due_at": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        entries = [tuple(e) for e in self.entries.get()]
+        for frame in rows:
+            entries += list(zip(frame["at"].tolist(), frame["score"].tolist(), frame["tie"].tolist(), strict=True))
+            entries = sorted(entries, key=lambda e: (-e[0], -e[2]))[:KEPT]
+        self.entries.put(entries)
+        due, passed = state_of(entries)[3], timerValues.getCurrentWatermarkInMs()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # what is due already at this time lapses with the event itself
+        if due is not None and due >= passed:
+            self.handle.registerTimer(due)
+        yield self._row(key, entries[0][0], entries, max(passed, entries[0][0]))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        yield self._row(key, due + 1, [tuple(e) for e in self.entries.get()], due + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def status_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """(user_id, at, status, …): the status of a key after each batch that recites it, and once more when it lapses.
+
+    What is later than ``late`` is left out. A key without recitations to come lapses when the events of others, which move the
+    watermark, have passed its due time. Needs STATE_STORE as the session's provider of state.
+    """
+    plain = isinstance(events.schema["ts"].dataType, TimestampNTZType)  # of no time zone: as if of UTC
+    at = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") if plain else F.unix_millis("ts")
+    rows = events.select("user_id", F.timestamp_millis(at).alias("ts"), at.alias("at"), F.least(F.lit(100.0), F.col("value")).alias("score"), F.col("event_id").alias("tie"))
+    return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Lapsing(), STATUS, "Update", "EventTime")
+
+
+def settled(spark: SparkSession, events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The last status of every key after the stream ``events`` has been read to its present end, as a table in the shared folder."""
+    key, folder = "spark.sql.streaming.stateStore.providerClass", shared_folder(spark, "status")
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        writer = status_stream(events, late).writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state")
+        # a batch that is run again replaces what it has written
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/batch={n}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    said = spark.read.option("basePath", folder).schema(f"{STATUS}, batch long").parquet(folder)
+    last = F.max_by(F.struct(*(c.split()[0] for c in STATUS.split(", ")[1:])), F.struct("batch", "at"))
+    return said.groupBy("user_id").agg(last.alias("s")).select("user_id", "s.*")
+
+
 def windowed(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events and their mean, summed as decimals, by window and type; what is later than ``late`` is left out of closed windows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from quillstage.operators import rehearsal
 from quillstage.plans import rehearsing
 from quillstage.streaming import recitations
 from tests.conftest import SF
@@ -30,3 +33,63 @@ def test_windows(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("windows").agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_a_mastered_speech_lapses_when_it_falls_due(spark, tmp_path):
+    day = recitations.DAY
+    rng = random.Random(4)
+    # (key, day, score): key 1 is mastered and left alone, 2 recites again before it is due, 3 fails, the others are mixed; 99 moves time on
+    events = [(1, d, 95.0) for d in (1, 2, 3)] + [(2, d, 95.0) for d in (1, 2, 3, 8, 20)] + [(3, d, x) for d, x in ((1, 95.0), (2, 95.0), (3, 95.0), (9, 10.0))]
+    events += [(k, rng.randint(1, 58), rng.choice([95.0, 95.0, 95.0, 40.0])) for k in range(10, 30) for _ in range(rng.randint(1, 14))]
+    events += [(99, d, 50.0) for d in range(1, 61)]
+    rows = [(k, d * day + n, x, n) for n, (k, d, x) in enumerate(sorted(events, key=lambda e: e[1]))]
+    frame = spark.createDataFrame(rows, "user_id long, ms long, value double, event_id long").withColumn("ts", F.timestamp_millis("ms"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", recitations.STATE_STORE)
+    last = {}
+
+    def run(to):
+        """What the stream says until all files are read; a run begins where the one before it ended."""
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        keep = lambda df, n: [last.update({r.user_id: r}) for r in sorted(df.collect(), key=lambda r: r.at)]
+        query = recitations.status_stream(stream, "1 hour").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).start()
+        query.processAllAvailable()
+        query.stop()
+        # the watermark is an hour behind the newest event
+        now = max(r[1] for r in rows if r[1] < to * day) - 3_600_000
+        seen = {}
+        for k, at, x, n in rows:
+            if at < to * day:
+                seen.setdefault(k, []).append((at, x, n))
+        for k, own in seen.items():
+            own = sorted(own, key=lambda e: (-e[0], -e[2]))[:10]
+            status, streak, successes, due = recitations.state_of(own, max(now, own[0][0]))
+            assert (last[k].status, last[k].streak, last[k].successes, last[k].due_at, last[k].attempts) == (status, streak, successes, due, len(own)), k
+        return seen
+
+    try:
+        for low, high in ((0, 10), (10, 25), (25, 70)):
+            frame.filter((F.col("ms") >= low * day) & (F.col("ms") < high * day)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            run(high)
+            if high == 10:
+                assert last[1].status == "maitrisee"
+        assert last[1].status == "a_reviser" and last[1].at == last[1].due_at + 1
+        # an event behind the watermark is left out
+        late = spark.createDataFrame([(1, 2 * day + 5, 10.0, 10**6)], "user_id long, ms long, value double, event_id long").withColumn("ts", F.timestamp_millis("ms"))
+        late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(70)
+        assert last[1].attempts == 3
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_states_equal_the_batch(spark):
+    rng, day = random.Random(5), recitations.DAY
+    rows = [(k, rng.randint(1, 60) * day, float(rng.choice([95, 90, 89, 20])), n) for n, k in enumerate(k for k in range(40) for _ in range(rng.randint(1, 13)))]
+    history = spark.createDataFrame(rows, "user_id long, at long, score double, tie long")
+    for now in (20, 45, 61, 200):
+        per = rehearsal.progress(rehearsal.newest(history, ["user_id"], "at", "tie"), ["user_id"], "at", "score", F.lit(now * day))
+        for r in per.collect():
+            own = sorted(((at, x, n) for k, at, x, n in rows if k == r.user_id), key=lambda e: (-e[0], -e[2]))[:10]
+            status, streak, successes, due = recitations.state_of(own, now * day)
+            assert (r.status, r.streak, r.successes, r.due_at) == (status, streak, successes, due)
