@@ -15,7 +15,7 @@ from quillstage.operators import lines as L
 from quillstage.operators import reading as R
 from quillstage.operators import structure as T
 from quillstage.plans import sql as S
-from quillstage.sources import play, texts
+from quillstage.sources import play, play_source, texts
 from quillstage.sources.folder import shared_folder, write_files
 from quillstage.sources.tables import table
 
@@ -77,10 +77,12 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str) -> DataFrame:
-    """The plays, written as JSON in the shared folder and read again."""
+    """The plays, written as files in the shared folder by one commit and read again."""
     folder = shared_folder(spark, "plays")
-    play.write_plays(_documents(spark, sf), folder, "2026-01-01T00:00:00")
-    return play.read_plays(spark, folder, lines=True)
+    docs = _documents(spark, sf).withColumn("genere_le", F.lit("2026-01-01T00:00:00"))
+    play_source.registered(spark)
+    docs.write.format("plays").mode("append").save(folder)
+    return spark.read.format("plays").load(folder)
 
 
 def plays_read(spark: SparkSession, sf: str) -> DataFrame:

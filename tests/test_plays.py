@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstage.operators import dialogue, intervals, lines, quality, stages, structure
-from quillstage.sources import play, texts
+from quillstage.sources import play, play_source, texts
 
 PLAY = """**LE PUITS**
 
@@ -192,3 +192,46 @@ def test_model_calls_and_junctions(spark):
 def test_unit_states(spark):
     rows = spark.createDataFrame([("termine", 0), ("suspect", 1), ("suspect", 2), ("echec", 5), (None, None)], "s string, r int")
     assert [r.d for r in rows.select(stages.to_do(F.col("s"), F.col("r")).alias("d")).collect()] == [False, True, False, True, True]
+
+
+def a_play(piece, said="Bonjour", schema="repetition/2"):
+    return {"schema": schema, "piece": piece, "unites": [{"id": "u001", "elements": [{"type": "replique", "texte": said, "id": "r", "personnages": ["JAN"]}]}]}
+
+
+def test_plays_as_a_format(spark, tmp_path):
+    play_source.registered(spark)
+    for k in range(5):
+        (tmp_path / f"p{k}_REPET.json").write_text(json.dumps(a_play(f"p{k}", "é" * k), indent=2), encoding="utf-8")
+    (tmp_path / "more.json").write_text("\n".join(json.dumps(a_play(f"m{k}")) for k in range(3)))
+    (tmp_path / "_hidden.json").write_text("{}")
+    docs = spark.read.format("plays").load(str(tmp_path))
+    assert sorted(r.piece for r in docs.collect()) == ["m0", "m1", "m2", "p0", "p1", "p2", "p3", "p4"]
+    by_json = play.read_plays(spark, [str(tmp_path / f"p{k}_REPET.json") for k in range(5)])
+    same = lambda df: sorted((r.piece, r.unit, r.text, tuple(r.people)) for r in play.speeches(df).collect())
+    assert same(docs.filter("piece like 'p%'")) == same(by_json)
+    one = docs.filter("piece = 'p3'")
+    assert [r.piece for r in one.collect()] == ["p3"]
+    (tmp_path / "old.json").write_text(json.dumps(a_play("old", schema="repetition/1")))
+    with pytest.raises(Exception, match="unexpected schema repetition/1"):
+        spark.read.format("plays").load(str(tmp_path)).collect()
+    assert spark.read.format("plays").option("strict", "false").load(str(tmp_path)).filter("piece = 'old'").count() == 1
+
+
+def test_a_job_that_fails_leaves_no_play(spark, tmp_path):
+    play_source.registered(spark)
+    docs = spark.createDataFrame([(json.dumps(a_play(f"p {k}/x")),) for k in range(6)], "t string").repartition(3).select(F.from_json("t", play.DOCUMENT).alias("d")).select("d.*")
+    folder = tmp_path / "out"
+    docs.write.format("plays").mode("append").save(str(folder))
+    assert len(list(folder.iterdir())) == 6 and {r.piece for r in spark.read.format("plays").load(str(folder)).collect()} == {f"p {k}/x" for k in range(6)}
+    broken = docs.withColumn("piece", F.when(F.col("piece") == "p 4/x", F.raise_error(F.lit("broken on the way"))).otherwise(F.col("piece")))
+    before = sorted(p.name for p in folder.iterdir())
+    with pytest.raises(Exception, match="broken on the way"):
+        broken.write.format("plays").mode("append").save(str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == before
+    docs.limit(2).write.format("plays").mode("overwrite").save(str(folder))
+    assert len(list(folder.iterdir())) == 2 and spark.read.format("plays").load(str(folder)).count() == 2
+
+
+def test_partitions_follow_sizes():
+    groups = play_source.dealt([("a", 9), ("b", 5), ("c", 4), ("d", 30), ("e", 1)], 10)
+    assert sorted(map(sorted, groups)) == [["a", "e"], ["b", "c"], ["d"]]
