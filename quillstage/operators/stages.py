@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -80,10 +82,24 @@ def retriable(code: int | None) -> bool:
     return code not in FINAL_CODES
 
 
-def called(units: DataFrame, key: list[str], prompt: str, client: Callable[[str], str], tries: int = 4, blanks: int = 1) -> DataFrame:
+#: Seconds before a second try and at most, and the part of them that chance adds, so that tries of many tasks drift apart.
+FIRST_WAIT, MOST_WAIT, JITTER = 5.0, 60.0, 0.25
+
+
+def waited(attempt: int, first: float = FIRST_WAIT, chance: float | None = None) -> float:
+    """Seconds to wait after the failed try number ``attempt``; ``chance`` is a number from 0 to 1, drawn where none is given."""
+    seconds = min(MOST_WAIT, first * 2 ** (attempt - 1))
+    return round(seconds * (1 + JITTER * (random.random() if chance is None else chance)), 2)
+
+
+def called(
+    units: DataFrame, key: list[str], prompt: str, client: Callable[[str], str], tries: int = 4, blanks: int = 1, first: float = FIRST_WAIT,
+    pause: Callable[[float], None] = time.sleep
+) -> DataFrame:
     """Answers of a model to the prompts of units: key, answer, tries, error. ``client`` is injected and may raise.
 
-    An error with an attribute ``code`` that no second try mends ends the tries at once, and so do ``blanks`` blank answers.
+    An error with an attribute ``code`` that no second try mends ends the tries at once, and so do ``blanks`` blank answers. Before
+    every further try the task waits, from ``first`` seconds on, each time twice as long.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,6 +117,8 @@ def called(units: DataFrame, key: list[str], prompt: str, client: Callable[[str]
                         answer, error = None, f"{type(fault).__name__}: {fault}"
                         if not retriable(getattr(fault, "code", None)):
                             break
+                    if n < tries:
+                        pause(waited(n, first))
                 answers.append((answer, n, error))
             yield pd.concat([frame[key].reset_index(drop=True), pd.DataFrame(answers, columns=["answer", "tries", "error"])], axis=1)
 

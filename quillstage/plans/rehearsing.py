@@ -11,6 +11,7 @@ from quillstage.functions import text as X
 from quillstage.operators import rehearsal as R
 from quillstage.plans import sql as S
 from quillstage.plans.text import FRENCH
+from quillstage.sources import store
 from quillstage.sources.tables import table
 from quillstage.streaming import recitations as stream
 
@@ -158,6 +159,15 @@ def merged_progress(spark: SparkSession, sf: str) -> DataFrame:
     return R.merged_progress(local, imported, ["user_id"])
 
 
+def stored_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of progress by clicks and views into which that by all other events is merged."""
+    events, looks = table(spark, sf, "events"), F.col("event_type").isin("click", "view")
+    local, imported = (_progress_of(_history_of(events.filter(side))).select("user_id", "status", F.col("last_at").alias("checked_at")) for side in (looks, ~looks))
+    kept = store.stored(local, ["user_id"])
+    kept.merge(imported, R.merged_progress)
+    return kept.rows()
+
+
 def _side(of: str) -> str:
     return f"""(WITH {_P.replace("FROM events", f"FROM events WHERE {of}")} SELECT user_id, status, last_at AS c FROM g)"""
 
@@ -245,10 +255,10 @@ SELECT conv_id, turn, coalesce(s, '') AS sounds, coalesce(s, '') AS by_columns F
 QUERIES = {
     "cues": cues, "neighbours": neighbours, "newest_scores": newest_scores, "progress": _progress, "revision_queue": revision_queue,
     "lapsed_status": lapsed_status, "spot_check": spot_check, "status_report": status_report, "unit_status": unit_status, "merged_scores": merged_scores,
-    "merged_progress": merged_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys
+    "merged_progress": merged_progress, "stored_progress": stored_progress, "recitations": recitations, "hidden_words": hidden_words, "phonetic_keys": phonetic_keys
 }
 SQL = {
     "cues": CUES, "neighbours": NEIGHBOURS, "newest_scores": NEWEST, "progress": PROGRESS, "revision_queue": QUEUE, "spot_check": SPOT, "lapsed_status": LAPSED,
-    "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS,
+    "status_report": REPORT, "unit_status": UNIT_STATUS, "merged_scores": MERGED, "merged_progress": MERGED_PROGRESS, "stored_progress": MERGED_PROGRESS,
     "recitations": RECITATIONS, "hidden_words": HIDDEN, "phonetic_keys": PHONETIC
 }

@@ -120,7 +120,7 @@ def _client(prompt: str) -> str:
 
 
 def model_calls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.called(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", _client)
+    rows = G.called(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", _client, first=0.0)
     return rows.select("conv_id", "turn", F.md5("answer").alias("answer"), F.col("tries").cast("long").alias("tries"), "error")
 
 
@@ -133,7 +133,7 @@ def edited_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks edited by a model: a text stands as it is where replies stay blank."""
     rows = M.edited(
         table(spark, sf, "conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 3 == 0, "\n*").otherwise(""))),
-        ["conv_id", "turn"], "text", _client
+        ["conv_id", "turn"], "text", _client, first=0.0
     )
     return rows.select(
         "conv_id", "turn", F.md5("output").alias("output"), F.array_join("findings", ",").alias("findings"), "status",
@@ -157,7 +157,7 @@ def _judge(prompt: str) -> str:
 def compared_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks whose edition a model compares with the transcript."""
     said = table(spark, sf, "conversations").withColumn("edition", F.upper("text"))
-    rows = M.compared(said, ["conv_id", "turn"], "text", "edition", _judge)
+    rows = M.compared(said, ["conv_id", "turn"], "text", "edition", _judge, first=0.0)
     return rows.select("conv_id", "turn", "sound", "findings", "status", F.col("tries").cast("long").alias("tries"))
 
 
@@ -173,7 +173,7 @@ def _annotator(prompt: str) -> str:
 
 def annotated_books(spark: SparkSession, sf: str) -> DataFrame:
     """Front matter that a model annotates, one call per document."""
-    known, unknown = M.annotated(L.lines_of(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", 5, _annotator)
+    known, unknown = M.annotated(L.lines_of(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", 5, _annotator, first=0.0)
     return known.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "role"
     ).unionByName(unknown.select("doc_id", F.lit(None).cast("long").alias("line_no"), "role"))

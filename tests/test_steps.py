@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstage.functions import speech
 from quillstage.functions import text as X
 from quillstage.operators import balance, editing, lines, model, quality, reading, rehearsal, stages
-from quillstage.sources import texts
+from quillstage.sources import store, texts
 from quillstage.sources.folder import shared_folder, write_files
 
 LONG = "Été après été, la forêt était là, où rien ne bougeait. " * 6
@@ -95,7 +95,7 @@ def test_blank_replies_and_refusals(spark):
         return "" if prompt == "blank" else prompt
 
     units = spark.createDataFrame([(1, "a"), (2, "blank"), (3, "403"), (4, "500")], "n int, t string")
-    got = {r.n: (r.output, r.status, r.tries) for r in model.edited(units, ["n"], "t", client).collect()}
+    got = {r.n: (r.output, r.status, r.tries) for r in model.edited(units, ["n"], "t", client, first=0.0).collect()}
     assert got == {1: ("a", "termine", 1), 2: ("blank", "termine", 2), 3: (None, "echec", 1), 4: (None, "echec", 4)}
 
 
@@ -199,3 +199,62 @@ def test_alignment_by_bits_equals_the_table(a, b):
         else:
             merged.append(steps.pop(0))
     assert [s for s, _, _ in speech.aligned(a, b)] == merged
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_stores_are_merged_where_they_lie(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = spark.range(0, 400).selectExpr("id AS user_id", "if(id % 3 = 0, 'maitrisee', 'en_cours') AS status", "id * 2 AS checked_at")
+        two = spark.range(200, 600).selectExpr("id AS user_id", "'a_reviser' AS status", "id + 300 AS checked_at")
+        plain = rehearsal.merged_progress(one, two, ["user_id"])
+        a, b = store.stored(one, ["user_id"]), store.stored(two, ["user_id"])
+        near = rehearsal.merged_progress(a.rows(), b.rows(), ["user_id"])
+        assert exchanges(plain) > 0 and exchanges(near) == 0
+        expected = sorted(plain.collect())
+        assert sorted(near.collect()) == expected
+        # a merge in place: only the rows that come in are shuffled
+        assert a.merge(two, rehearsal.merged_progress) and sorted(a.rows().collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_merge_rewrites_the_touched_parts_alone(spark):
+    kept = store.stored(spark.range(1000).selectExpr("id AS k", "id AS v"), ["k"], parts=8)
+    files = lambda: {r.f for r in spark.table(kept.name).select(F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    incoming = spark.createDataFrame([(5, -1), (10**6, -2)], "k long, v long")
+    parts = kept.merge(incoming, store.replaced)
+    assert 1 <= len(parts) <= 2 and {f for f in before if not any(f"__part={p}/" in f for p in parts)} == {f for f in files() if not any(f"__part={p}/" in f for p in parts)}
+    rows = {r.k: r.v for r in kept.rows().collect()}
+    assert len(rows) == 1001 and rows[5] == -1 and rows[10**6] == -2 and rows[6] == 6
+    kept.merge(spark.createDataFrame([(5, 99), (7, None), (10**7, 3)], "k long, v long"), store.kept)
+    rows = {r.k: r.v for r in kept.rows().collect()}
+    assert rows[5] == -1 and rows[7] == 7 and rows[10**7] == 3 and kept.merge(incoming.limit(0), store.kept) == []
+
+
+def test_tries_wait_longer_each_time_and_drift_apart(spark, tmp_path):
+    assert [stages.waited(n, chance=0.0) for n in (1, 2, 3, 4, 5, 9)] == [5.0, 10.0, 20.0, 40.0, 60.0, 60.0] and stages.waited(9, chance=1.0) == 75.0
+    assert all(5.0 <= stages.waited(1) <= 6.25 for _ in range(50)) and len({stages.waited(5) for _ in range(50)}) > 1
+
+    class Busy(Exception):
+        code = 503
+
+    def client(prompt):
+        if prompt != "well":
+            raise Busy if prompt == "busy" else ValueError
+        return prompt
+
+    def pause(seconds):
+        with open(tmp_path / "waits", "a") as out:
+            print(seconds, file=out)
+
+    units = spark.createDataFrame([(1, "busy"), (2, "well")], "n int, prompt string").coalesce(1)
+    got = {r.n: (r.answer, r.tries) for r in stages.called(units, ["n"], "prompt", client, tries=3, pause=pause).collect()}
+    waits = [float(x) for x in (tmp_path / "waits").read_text().split()]
+    assert got == {1: (None, 3), 2: ("well", 1)} and len(waits) == 2 and 5 <= waits[0] <= 6.25 and 10 <= waits[1] <= 12.5
