@@ -113,7 +113,9 @@ def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...]
     bits = open_.filter(F.col("at") < F.col("run.b")).select(doc, F.col("run.a").alias("start"), F.col("run.b").alias("stop"), "at", "to")
     listed = first_holder(bits, s, doc, "at", "to").groupBy(doc, "start", "stop").agg(F.array_sort(F.collect_list(F.struct("at", "to", "category"))).alias("bits"))
     moved = lambda end: F.transform("bits", lambda b: (b[end] - F.col("start")).cast("int"))
-    cut = r.join(listed, [doc, "start", "stop"]).withColumn("__texts", _sliced("text", moved("at"), moved("to")))
+    listed = listed.select(F.col(doc).alias("__doc"), F.col("start").alias("__start"), "bits")
+    own = r.join(listed, r[doc].eqNullSafe(listed["__doc"]) & (r["start"] == listed["__start"]))
+    cut = own.withColumn("__texts", _sliced("text", moved("at"), moved("to")))
     each = cut.select(doc, *carry, F.inline(F.arrays_zip("bits", F.col("__texts").alias("piece"))))
     return each.select(doc, F.col("bits.at").alias("start"), F.col("piece").alias("text"), F.col("bits.category").alias("category"), *carry)
 

@@ -204,6 +204,13 @@ def test_a_document_of_very_many_spans(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_runs_without_a_document_are_those_of_one(spark):
+    runs = spark.createDataFrame([(None, 0, "abcdef"), ("d", 0, "xyz")], "doc string, start int, text string")
+    spans = spark.createDataFrame([(None, 2, 4, 1), ("d", 0, 9, 2)], "doc string, start int, stop int, category int")
+    got = {(r.doc, r.start, r.text, r.category) for r in editing.cut_runs(runs, spans, "doc").collect()}
+    assert got == {(None, 0, "ab", None), (None, 2, "cd", 1), (None, 4, "ef", None), ("d", 0, "xyz", 2)}
+
+
 def test_categories_without_end_are_an_error(spark):
     rows = [("d", i, i + 2, i, i) for i in range(100)]
     spans = spark.createDataFrame(rows, "doc string, start int, stop int, category int, priority int")
