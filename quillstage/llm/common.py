@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[DataFrame]] = []
 
 
-def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str = "table", keep: bool = False, codec: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: short lineage that outlives executors. With ``keep`` no ``scratch`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     if _SCRATCH and not keep:
