@@ -11,8 +11,9 @@ then the smallest hash and, among equals, the rightmost. Windows are minima of m
 text begins as the text itself does, which is compared, the minima of that part are taken over and not computed again.
 
 Neighbours in document order come from one exchange: documents are dealt by ranges of their ids, and the first document
-of each range is sent once more to the range before it. Ranges are refined until none holds many times its share; documents
-without an id, which come last, are ranges by a hash of their texts.
+of each range is sent once more to the range before it. Ranges are quantiles of a bounded sample of ids and hashes of texts,
+so they are even however the ids lie, and documents of one id, or of none, are many ranges where they are many. The sample
+decides only where ranges begin. Rows equal in id and text lie in one range.
 
 Defined results: null and blank texts have the empty fingerprint, two empty fingerprints are alike (1.0), an empty and
 another are not (0.0); equal ids are ordered by a hash of their texts; positions count modulo 2**26; a single
@@ -137,46 +138,60 @@ def likeness(a: str, b: str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
 
 
-#: Documents that a range of ids should hold, how many times that a range may, and the most ranges that are broadcast.
-RANGE_ROWS, RANGE_SLACK, MOST_RANGES = 2048, 8, 500_000
+#: Documents that a range of ids should hold, the most ranges, and how many sampled rows draw the border of each.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 2048, 1 << 16, 16
 
 
-def _ranges(df: DataFrame, order: str, text: str) -> tuple[Column, Column, DataFrame]:
-    """Two columns that number ranges of ``order`` and their parts, and a row per part: its numbers and largest id. Only rows without an id have parts."""
-    ids = df.select(F.col(order).cast("long").alias("i"), F.xxhash64(text).alias("h"))
-    low, high, n, without = ids.agg(F.min("i"), F.max("i"), F.count("*"), F.count_if(F.col("i").isNull())).first()
-    share = max(RANGE_ROWS, n // MOST_RANGES)
-    width = 1 if low is None else max(1, (high - low + 1) * share // n)
-    bits = min(62, (without // share).bit_length())
-    part = F.when(F.col(order).isNull(), F.shiftrightunsigned(F.xxhash64(text).bitwiseXOR(F.lit(-(1 << 63))), 63 - bits)).otherwise(0).cast("long")
-    while True:
-        of = F.coalesce(F.expr(f"`{order}` div {width}L"), F.lit(-(1 << 63)))
-        heads = df.groupBy(of.alias("__range"), part.alias("__part")).agg(F.max(order).alias("__head"), F.count("*").alias("n"))
-        most = heads.filter(F.col("__head").isNotNull()).agg(F.max("n")).first()[0] or 0
-        if width == 1 or most <= RANGE_SLACK * share:
-            return of, part, heads
-        width = max(1, width // 16)
+def _place(order: str, text: str) -> Column:
+    """Where a row stands by descending ids: rows without an id come last, equal ids by a hash of their texts."""
+    i = F.bitwise_not(F.col(order).cast("long"))
+    return F.struct(i.isNull().cast("long").alias("without"), F.coalesce(i, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("tie"))
+
+
+def _heads(df: DataFrame, order: str, text: str) -> list[tuple[int, int, int]]:
+    """The places at which ranges of about as many rows begin, in order, the first row's at the front: at most MOST_RANGES, quantiles of a sample."""
+    n, first = df.select(_place(order, text).alias("p")).agg(F.count("*"), F.min("p")).first()
+    if not n:
+        return []
+    ranges = min(MOST_RANGES, n // RANGE_ROWS)
+    if ranges < 2:
+        return [tuple(first)]
+    drawn = df.sample(min(1.0, SAMPLED * ranges / n), 7).select(_place(order, text).alias("p"))
+    drawn = drawn.agg(F.sort_array(F.collect_list("p")).alias("all"), F.count("*").alias("m"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("all", (k * F.col("m") / ranges).cast("int")))
+    return sorted({tuple(first), *(tuple(h) for h in drawn.select(at).first()[0] if h)})
+
+
+def _range_of(place: Column, heads: list[tuple[int, int, int]]) -> tuple[Column, Callable[[Column], Column]]:
+    """The number of the range that a place lies in, found by halving, and a function from numbers to the ranges' heads."""
+    bits = max(len(heads) - 1, 0).bit_length()
+    padded = heads + [(2, 0, 0)] * ((1 << bits) - len(heads))  # behind all rows
+    # one constant for all heads of a kind
+    parts = [F.split(F.lit(",".join(str(h[k]) for h in padded)), ",").cast("array<bigint>") for k in range(3)]
+
+    def head(number: Column) -> Column:
+        return F.struct(*(F.get(a, number).alias(name) for a, name in zip(parts, ("without", "id", "tie"), strict=True)))
+
+    def halved(state: Column, step: Column) -> Column:
+        there = state["at"] + step
+        return F.struct(F.when(state["place"] >= head(there), there).otherwise(state["at"]).alias("at"), state["place"].alias("place"))
+
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits)))).cast("array<int>")
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), place.alias("place")), halved, lambda s: s["at"]), head
 
 
 def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, W]:
-    """Rows of ``order`` and ``text`` with ``next_text``, that of the next row by descending ``order``, the first's after the last; and the window in which they lie. The last row of each part of it, ``__guest`` = 1, is the first of another."""
+    """Rows of ``order`` and ``text`` with ``next_text``, that of the next row by descending ``order``, the first's after the last; and the window in which they lie. The last row of each range, ``__guest`` = 1, is the first of the next."""
     df = df.select(order, text)
-    of, part, heads = _ranges(df, order, text)
-    # at most MOST_RANGES times a few rows: one sort of them is bounded
-    line = W.orderBy(F.col("__range").desc(), "__part")
-    end = F.first(F.struct("__range", "__part")).over(W.orderBy("__range", F.col("__part").desc()))
-    before = heads.select("__range", "__part", "__head", F.coalesce(F.lag(F.struct("__range", "__part")).over(line), end).alias("__to"))
-    few = heads.count() <= 4 * MOST_RANGES
-    before = F.broadcast(before) if few else before
-    own = df.select(of.alias("__range"), part.alias("__part"), F.lit(0).alias("__guest"), order, text)
-    keyed = own.join(before, ["__range", "__part"]).filter(F.col(order).eqNullSafe(F.col("__head")))
-    guests = keyed.groupBy("__to", order).agg(F.min(F.struct(F.xxhash64(text), text)).alias("__first"))
-    guests = guests.select(
-        F.col("__to.__range").alias("__range"), F.col("__to.__part").alias("__part"), F.lit(1).alias("__guest"), order,
-        F.col(f"__first.{text}").alias(text)
-    )
-    rows = own.unionByName(guests).repartition("__range", "__part").withColumn("__tie", F.xxhash64(text))
-    w = W.partitionBy("__range", "__part").orderBy("__guest", F.col(order).desc_nulls_last(), "__tie")
+    heads = _heads(df, order, text)
+    number, head = _range_of(_place(order, text), heads)
+    own = df.select(number.alias("__range"), F.lit(0).alias("__guest"), order, text)
+    # a head is the place of a row, so the first row of each range is known without a search
+    firsts = own.filter(_place(order, text) == head(F.col("__range"))).groupBy("__range", order).agg(F.min(text).alias(text))
+    before = F.when(F.col("__range") == 0, len(heads) - 1).otherwise(F.col("__range") - 1)
+    guests = firsts.select(before.alias("__range"), F.lit(1).alias("__guest"), order, text)
+    rows = own.unionByName(guests).repartition("__range").withColumn("__tie", F.xxhash64(text))
+    w = W.partitionBy("__range").orderBy("__guest", F.col(order).desc_nulls_last(), "__tie")
     return rows.withColumn("next_text", F.lead(text).over(w)), w
 
 
@@ -190,7 +205,7 @@ def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams:
         rows = with_both(rows, text, "edited", half)
     else:
         rows = with_fingerprint(with_fingerprint(rows, text, "fp", grams), "edited", "edited_fp", grams)
-    own = ["__range", "__part", "__guest", "__tie", doc, "fp", "edited_fp", F.length(whole).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
+    own = ["__range", "__guest", "__tie", doc, "fp", "edited_fp", F.length(whole).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
     rows = rows.select(*own).withColumns({"h": hashes(F.col("fp")), "h_edited": hashes(F.col("edited_fp"))})
     rows = rows.withColumn("near_edited", likeness("h", "h_edited")).drop("h_edited")
     rows = rows.withColumn("h_next", F.lead("h").over(w)).filter("__guest = 0")

@@ -87,10 +87,31 @@ def test_rows_without_id_are_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(winnow, "RANGE_ROWS", 4)
     rows = [(None, f"text number {i} of some words" * (i % 3)) for i in range(90)] + [(i * 5, f"other text {i}") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert winnow._ranges(docs, "doc_id", "text")[2].filter("__head is null").count() > 8
+    assert sum(without for without, _, _ in winnow._heads(docs, "doc_id", "text")) > 8
     assert collected(winnow.fingerprints(docs)) == check(rows)
 
 
+def test_ranges_are_even_however_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 4)
+    dense, far = list(range(100, 200)), [k * (1 << 62) // 100 * (-1) ** k for k in range(100)]
+    for ids in (dense + far, [7] * 200, [None] * 90 + [-(1 << 63), (1 << 63) - 1] * 5 + dense):
+        rows = [(i, f"text number {k} of some words" * (k % 3 + 1)) for k, i in enumerate(ids)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        heads = winnow._heads(docs, "doc_id", "text")
+        number, _ = winnow._range_of(winnow._place("doc_id", "text"), heads)
+        sizes = [r["count"] for r in docs.groupBy(number.alias("r")).count().collect()]
+        assert len(sizes) == len(heads) > 40 and max(sizes) <= 8
+        assert collected(winnow.fingerprints(docs)) == check(rows)
+
+
+def test_rows_of_one_id_and_text_and_a_single_range(spark, monkeypatch):
+    rows = [(7, "the same few words again")] * 40 + [(9, "another text"), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert winnow.fingerprints(docs).count() == 43 and collected(winnow.fingerprints(docs)) == check(rows)
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 2)
+    assert winnow.fingerprints(docs).count() == 43 and collected(winnow.fingerprints(docs)) == check(rows)
+
+
 def test_shared_passage_is_found():
     words = [f"w{i}" for i in range(40)]
     a, b = brute(" ".join(["x"] * 9 + words[:12] + ["y"] * 9)), brute(" ".join(["u"] * 7 + words[:12] + ["v"] * 5))
