@@ -48,22 +48,24 @@ def hues(people: DataFrame, name: str) -> DataFrame:
 def speech_pages(speeches: DataFrame, key: list[str], text: str, quota: int) -> DataFrame:
     """Pages of speeches by lines: a page is closed at the end of a line from SOFT of the quota on, and before it passes HARD.
 
-    A fold over the lines of one speech: the state are the size of the open page and its number.
+    A fold over the lines of one speech: the state are the size of the open page, the number of the line and the lines at
+    which pages turn, so it grows with the pages alone. Every line stays, without a shuffle; a null text has no pages.
     """
-    start = F.struct(F.lit(0).alias("size"), F.lit(1).alias("page"), F.array().cast("array<struct<page:int,line:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("turns"))
 
     def step(state: Column, line: Column) -> Column:
         n = F.length(line) + 1
         turn = (state["size"] > 0) & ((state["size"] >= SOFT * quota) | (state["size"] + n > HARD * quota))
-        page = F.when(turn, state["page"] + 1).otherwise(state["page"])
         return F.struct(
-            F.when(turn, n).otherwise(state["size"] + n).alias("size"), page.alias("page"),
-            F.concat(state["out"], F.array(F.struct(page.alias("page"), line.alias("line")))).alias("out")
+            F.when(turn, n).otherwise(state["size"] + n).alias("size"), (state["line"] + 1).alias("line"),
+            F.when(turn, F.concat(state["turns"], F.array(state["line"]))).otherwise(state["turns"]).alias("turns")
         )
 
-    folded = F.aggregate(F.split(text, "\n", -1), start, step, lambda s: s["out"])
-    rows = speeches.select(*key, F.posexplode(folded).alias("i", "l"))
-    return rows.groupBy(*key, F.col("l.page").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda s: s["l"]["line"]), "\n").alias("text"))
+    rows = speeches.select(*key, F.split(text, "\n", -1).alias("__lines"))
+    rows = rows.withColumn("__turns", F.aggregate("__lines", start, step, lambda s: s["turns"]))
+    firsts, ends = F.concat(F.array(F.lit(0)), "__turns"), F.concat("__turns", F.array(F.size("__lines")))
+    pages = F.zip_with(firsts, ends, lambda a, b: F.array_join(F.slice("__lines", a + 1, b - a), "\n"))
+    return rows.select(*key, F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def page_groups(pages: DataFrame, doc: str, order: str, id_: str) -> DataFrame:

@@ -79,6 +79,14 @@ def test_reports(spark):
     assert {r.piece: r.report for r in quality.report(findings, "book", 2).collect()} == {0: "[AJOUT] bloc 1 : y", 1: "[LACUNE] bloc 2 : x"}
 
 
+def test_pages_of_speeches_without_text_and_with_many_lines(spark):
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "\n".join(f"line {i}" for i in range(30_000)))]
+    out = reading.speech_pages(spark.createDataFrame(rows, "id int, text string"), ["id"], "text", 80).collect()
+    pages = {i: [r.text for r in sorted(out, key=lambda r: r.page) if r.id == i] for i, _ in rows}
+    assert pages[1] == [] and pages[2] == [""] and pages[3] == ["\n\n"]
+    assert len(pages[4]) > 2000 and "\n".join(pages[4]) == rows[3][1]
+
+
 def test_reading(spark):
     elements = spark.createDataFrame(
         [
