@@ -54,13 +54,19 @@ def annotation_prompt(lines: DataFrame, doc: str, end: int) -> DataFrame:
 
 
 def asides_marked(text: Column, asides: Column) -> Column:
-    """The text with its asides put back in stars before their words; ``asides`` has before_word and text."""
-    def with_words(words: Column) -> Column:
-        at = lambda i: F.transform(F.filter(asides, lambda a: a["before_word"] == i), lambda a: F.concat(F.lit("*"), a["text"], F.lit("*")))
-        bits = F.flatten(F.transform(words, lambda w, i: F.concat(at(i), F.array(w))))
-        return F.array_join(F.concat(bits, at(F.size(words))), " ")
+    """The text with its asides put back in stars before their words; ``asides`` has before_word and text.
 
-    return X.let(X.tokens(text), with_words)
+    Words and asides are sorted together by place, so neither list is searched for each element of the other.
+    """
+    piece = lambda at, kind, i, t: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), i.alias("i"), t.alias("t"))
+
+    def sorted_in(words: Column) -> Column:
+        notes = F.transform(asides, lambda a, i: piece(a["before_word"], 0, i, F.concat(F.lit("*"), a["text"], F.lit("*"))))
+        fits = X.let(F.size(words), lambda n: F.filter(notes, lambda p: p["at"].between(0, n)))
+        placed = F.array_sort(F.concat(fits, F.transform(words, lambda w, i: piece(i, 1, F.lit(0), w))))
+        return F.array_join(F.transform(placed, lambda p: p["t"]), " ")
+
+    return X.let(X.tokens(text), sorted_in)
 
 
 def edited_from_paragraphs(paragraphs: DataFrame, doc: str) -> DataFrame:

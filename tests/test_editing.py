@@ -1,12 +1,13 @@
 import itertools
 import json
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillstage.functions import automaton, images
+from quillstage.functions import automaton, images, text
 from quillstage.operators import editing, intervals, quality, reading, search, stages, structure
 from quillstage.operators.lines import lines_of
 from quillstage.sources import remote, texts
@@ -42,6 +43,18 @@ def test_asides_go_back(spark):
     assert row.t == "un *bas* deux *sort*"
 
 
+def test_asides_of_a_long_text_go_back_in_time(spark):
+    n = 4_000
+    rows = spark.range(40).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("t"))
+    words = F.size(text.tokens(F.col("t")))
+    aside = lambda at, t: F.struct(at.cast("int").alias("before_word"), F.lit(t).alias("text"))
+    notes = F.array(aside(words, "z"), aside(F.lit(1), "a"), aside(F.lit(1), "b"), aside(F.lit(0), "c"), aside(words + 1, "no"), aside(F.lit(-1), "no"), aside(F.lit(2), None))
+    began = time.monotonic()
+    out = [r.m for r in rows.repartition(4).select(editing.asides_marked(F.col("t"), notes).alias("m")).collect()]
+    assert time.monotonic() - began < 30
+    assert set(out) == {" ".join(["*c*", "w1", "*a*", "*b*", *(f"w{i}" for i in range(2, n + 1)), "*z*"])} and len(out) == 40
+
+
 def test_edited_from_paragraphs(spark):
     rows = [
         ("d", 0, "ACTE I, SCÈNE 2", 1.0, 0.0), ("d", 1, "JAN", 1.0, 0.0), ("d", 2, "Un.", 0.0, 0.0), ("d", 3, "Deux.", 0.0, 0.1),
