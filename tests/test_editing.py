@@ -339,3 +339,21 @@ def test_search_equals_a_scan(spark):
     key = {r.needle: r.n for r in asked.select("needle", search.searchable(F.col("needle")).alias("n")).collect()}
     assert got == sorted((n, k) for n in needles if len(key[n]) >= 2 for k, t in plain.items() if key[n] in t)
     assert ("fin rare", 301) in got and index.lists.filter("size(texts) > 1 and texts <> array_sort(texts)").count() == 0
+
+
+def test_many_needles_take_one_scan(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["été", "Ete", "mer", "la", "l'homme", "—", "à", "Où", "est", "x", "YZ", "𝄞"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for k in range(200)] + [(200, None), (201, "mer " * 300 + "fin rare"), (202, "a" * 600)]
+    said = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    plain = {r.id: r.t or "" for r in said.select("id", search.searchable(F.col("text")).alias("t")).collect()}
+    cuts = {t[i : i + n] for t in plain.values() if t for n in (1, 2, 3, 5, 12, 40, 300) for i in [rng.randint(0, len(t))]} | {"", "not there", "a" * 7, "mer  mer", "x!"}
+    asked = spark.createDataFrame([(n,) for n in [*cuts, "la"]], "needle string")
+    key = {r.needle: r.n for r in asked.select("needle", search.searchable(F.col("needle")).alias("n")).collect()}
+    expected = sorted((n, k) for n in cuts | {"la"} if len(key[n]) >= 2 for k, t in plain.items() if key[n] in t)
+    index = search.indexed(said, ["id"])
+    assert sorted((r.needle, r.id) for r in search.found(index, asked).collect()) == expected
+    # the needles times the lists of texts are not made: no list is written at all
+    assert "lists" not in vars(index)
+    monkeypatch.setattr(search, "MOST_SCANNED", 10)
+    assert sorted((r.needle, r.id) for r in search.found(index, asked).collect()) == expected
