@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstage.functions import text as X
-from quillstage.functions.speech import lazy
 from quillstage.operators.intervals import first_holder
 from quillstage.operators.structure import ACT_WORDS, SCENE_WORDS
 
@@ -98,9 +96,19 @@ def front_split(lines: DataFrame, doc: str, line: str = "line") -> DataFrame:
     return lines.withColumn("front", F.col("position") < F.coalesce(first, F.lit(0)))
 
 
-@lazy("array<string>")
-def _sliced(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-    return pd.Series([[t[a:b] for a, b in zip(x, y, strict=True)] for t, x, y in zip(texts, starts, stops, strict=True)], dtype=object)
+#: Characters of the blocks that a text is cut into, so that no slice is found by walking up to it from the text's beginning.
+_BLOCK = 256
+
+
+def _sliced(text: Column, bits: Column, start: Column) -> Column:
+    """``bits`` (at, to) of a text that begins at ``start``, as strings: a slice reads the blocks it touches alone."""
+    def cut(blocks: Column, at: Column, to: Column) -> Column:
+        first, last = F.floor(at / _BLOCK).cast("int"), F.floor((to - 1) / _BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), at % _BLOCK + 1, to - at)
+
+    place = lambda end: (end - start).cast("int")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return X.let(blocks, lambda c: F.transform(bits, lambda b: cut(c, place(b["at"]), place(b["to"]))))
 
 
 def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -118,10 +126,9 @@ def cut_runs(runs: DataFrame, spans: DataFrame, doc: str, carry: tuple[str, ...]
     open_ = marked.withColumns({"to": F.lead("at").over(w), "run": F.last("run", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))})
     bits = open_.filter(F.col("at") < F.col("run.b")).select(doc, F.col("run.a").alias("start"), F.col("run.b").alias("stop"), "at", "to")
     listed = first_holder(bits, s, doc, "at", "to").groupBy(doc, "start", "stop").agg(F.array_sort(F.collect_list(F.struct("at", "to", "category"))).alias("bits"))
-    moved = lambda end: F.transform("bits", lambda b: (b[end] - F.col("start")).cast("int"))
     listed = listed.select(F.col(doc).alias("__doc"), F.col("start").alias("__start"), "bits")
     own = r.join(listed, r[doc].eqNullSafe(listed["__doc"]) & (r["start"] == listed["__start"]))
-    cut = own.withColumn("__texts", _sliced("text", moved("at"), moved("to")))
+    cut = own.withColumn("__texts", _sliced(F.col("text"), F.col("bits"), F.col("start")))
     each = cut.select(doc, *carry, F.inline(F.arrays_zip("bits", F.col("__texts").alias("piece"))))
     return each.select(doc, F.col("bits.at").alias("start"), F.col("piece").alias("text"), F.col("bits.category").alias("category"), *carry)
 

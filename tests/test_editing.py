@@ -232,6 +232,19 @@ def test_runs_without_a_document_are_those_of_one(spark):
     assert got == {(None, 0, "ab", None), (None, 2, "cd", 1), (None, 4, "ef", None), ("d", 0, "xyz", 2)}
 
 
+def test_runs_are_cut_without_python(spark):
+    rng = random.Random(4)
+    docs = [(d, "".join(rng.choices("aé\n\u2028𝄞\r", k=n))) for d, n in enumerate([1, 255, 256, 257, 2000])]
+    spans = [(d, *sorted((rng.randint(0, len(t)), rng.randint(0, len(t)))), k) for d, t in docs for k in range(40)]
+    runs = spark.createDataFrame(docs, "doc int, text string").select("doc", F.lit(7).alias("start"), "text")
+    cut = editing.cut_runs(runs, spark.createDataFrame([(d, a + 7, b + 7, k) for d, a, b, k in spans], "doc int, start int, stop int, category int"), "doc")
+    # batches of whole texts in Python workers are what memory grew with
+    assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc, r.start - 7, r.text) for r in cut.collect())
+    borders = {d: sorted({0, len(t), *(x for e, a, b, _ in spans if e == d for x in (a, b))}) for d, t in docs}
+    assert got == sorted((d, a, t[a:b]) for d, t in docs for a, b in itertools.pairwise(borders[d]))
+
+
 def test_categories_without_end_are_an_error(spark):
     rows = [("d", i, i + 2, i, i) for i in range(100)]
     spans = spark.createDataFrame(rows, "doc string, start int, stop int, category int, priority int")
