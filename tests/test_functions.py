@@ -179,3 +179,23 @@ def test_texts_of_a_megabyte_in_bounded_memory():
     tracemalloc.stop()
     assert peak < 60_000_000
     assert sum(e - s for s, e in got) > 0.98 * len(source)
+
+
+def test_batches_are_judged_in_parts():
+    import pandas as pd
+
+    held = []
+
+    def judged(expected, heard):
+        held.append(len(expected))
+        return pd.DataFrame([speech.judged(a, b) for a, b in zip(expected, heard, strict=True)])
+
+    batch = pd.Series([f"un mot {i}" for i in range(2 * speech.PART + 5)])
+    out = pd.concat(speech.in_parts(iter([(batch, batch.str.upper()), (batch[:0], batch[:0])]), judged))
+    assert max(held) <= speech.PART <= 1000 and out["score"].tolist() == [100] * len(batch)
+
+
+def test_a_batch_of_recitations_is_answered_whole(spark):
+    rows = spark.range(1003).repartition(1).select("id", F.concat(F.lit("mot "), F.col("id").cast("string")).alias("t"))
+    got = rows.select("id", speech.compare("t", F.when(F.col("id") % 2 == 0, F.col("t")).otherwise("mot")).alias("r")).select("id", "r.correct", "r.expected").collect()
+    assert len(got) == 1003 and all(r.correct == r.expected if r.id % 2 == 0 else r.correct == 1 for r in got)
