@@ -48,10 +48,15 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE, " "))
 
 
+def without_points(text: Column) -> Column:
+    """The text without what TRAILING_POINTS names at its end, which is looked at from the end alone."""
+    return F.rtrim(text, F.lit(".:;,!?" + WS_CHARS))
+
+
 def label(text: Column) -> Column:
     """A heading or name as a key: no emphasis, accents, case or final points."""
     bare = strip(F.regexp_replace(strip(text), r"^\*+|\*+$", ""))
-    return squeeze(F.regexp_replace(F.upper(strip_accents(bare)), TRAILING_POINTS, ""))
+    return squeeze(without_points(F.upper(strip_accents(bare))))
 
 
 def for_counting(text: Column) -> Column:
@@ -61,7 +66,8 @@ def for_counting(text: Column) -> Column:
 
 
 def for_comparison(text: Column) -> Column:
-    return squeeze(F.replace(for_counting(text), F.lit("*"), F.lit("")))
+    # spaces are single ones already, so only those on both sides of a star meet
+    return F.btrim(F.regexp_replace(F.replace(for_counting(text), F.lit("*"), F.lit("")), "  +", " "), F.lit(" "))
 
 
 def speech_key(text: Column) -> Column:
@@ -83,7 +89,7 @@ def asides_of(name: Column) -> Column:
 def speaker(name: Column) -> Column:
     """A name without asides and final points, apostrophes straight."""
     bare = F.regexp_replace(name, r"[\[(][^\])]*[\])]", " ")
-    return strip(F.translate(F.regexp_replace(strip(squeeze(bare)), TRAILING_POINTS, ""), "’‘‛", "'''"))
+    return strip(F.translate(without_points(strip(squeeze(bare))), "’‘‛", "'''"))
 
 
 def speakers(name: Column) -> Column:
@@ -93,7 +99,7 @@ def speakers(name: Column) -> Column:
 
 
 def canonical_role(name: Column, aliases: dict[str, str] | None = None) -> Column:
-    cut = strip(F.regexp_replace(strip(F.get(F.split(name, f"[{WS}]*[\\[(]"), F.lit(0))), TRAILING_POINTS, ""))
+    cut = strip(without_points(strip(F.substring_index(F.translate(name, "[", "("), "(", 1))))
     upper = F.upper(F.translate(cut, "’", "'"))
     for alias, name_of in (aliases or {}).items():
         upper = F.when(upper == alias, name_of).otherwise(upper)
@@ -109,6 +115,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda t: t != "")
 
 
+def stretches(text: Column) -> Column:
+    """How many stretches between white space a text has; a count of matches of NONSPACE takes several times as long."""
+    return F.size(tokens(text))
+
+
 def real_places(words: Column) -> Column:
     """Places, from 0, of the words of an array that have a letter or digit."""
     return F.array_compact(F.transform(words, lambda t, i: F.when(t.rlike(LETTER_OR_DIGIT), i)))

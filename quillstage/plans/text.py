@@ -115,7 +115,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     t, w = F.col("text"), F.col("w")
     docs = table(spark, sf, "documents").select("doc_id", "text", X.tokens(t).alias("w"))
     counts = {
-        "balance_words": X.balance_words(t), "tokens": F.size(w), "stretches": F.regexp_count(t, F.lit(X.NONSPACE)), "real_words": F.size(X.real_places(w)),
+        "balance_words": X.balance_words(t), "tokens": F.size(w), "stretches": X.stretches(t), "real_words": F.size(X.real_places(w)),
         "lines": F.size(F.split(t, "\n", -1)),
     }
     return docs.select("doc_id", *(c.cast("long").alias(k) for k, c in counts.items()))

@@ -199,3 +199,20 @@ def test_a_batch_of_recitations_is_answered_whole(spark):
     rows = spark.range(1003).repartition(1).select("id", F.concat(F.lit("mot "), F.col("id").cast("string")).alias("t"))
     got = rows.select("id", speech.compare("t", F.when(F.col("id") % 2 == 0, F.col("t")).otherwise("mot")).alias("r")).select("id", "r.correct", "r.expected").collect()
     assert len(got) == 1003 and all(r.correct == r.expected if r.id % 2 == 0 else r.correct == 1 for r in got)
+
+
+def test_short_ways_equal_the_patterns(spark):
+    rng = __import__("random").Random(7)
+    signs = [*X.WS_CHARS, *".:;,!?*[(aÉ’", "et", "**", "<<<PAGE_BREAK>>>", "[PAGE 1]"]
+    rows = [("".join(rng.choices(signs, k=rng.randint(0, 14))),) for _ in range(3000)] + [(None,), ("",), ("a.\n",), ("a * * b",)]
+    t = F.col("t")
+    cut = X.strip(F.regexp_replace(X.strip(F.get(F.split(t, f"[{X.WS}]*[\\[(]"), F.lit(0))), X.TRAILING_POINTS, ""))
+    pairs = {
+        "points": (X.without_points(t), F.regexp_replace(t, X.TRAILING_POINTS, "")),
+        "comparison": (X.for_comparison(t), X.squeeze(F.replace(X.for_counting(t), F.lit("*"), F.lit("")))),
+        "stretches": (X.stretches(t), F.regexp_count(t, F.lit(X.NONSPACE))), "role": (X.canonical_role(t), F.upper(F.translate(cut, "’", "'")))
+    }
+    df = spark.createDataFrame(rows, "t string").select("t", *(c.alias(f"{k}{i}") for k, p in pairs.items() for i, c in enumerate(p)))
+    assert [(r.t, k, r[f"{k}0"], r[f"{k}1"]) for r in df.collect() for k in pairs if r[f"{k}0"] != r[f"{k}1"]] == []
+    plan = spark.createDataFrame(rows, "t string").select(X.label(t), X.stretches(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and ".:;,!?" in plan and "[.:;,!?" not in plan
