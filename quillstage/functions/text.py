@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = r" \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_CHARS = " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, NONSPACE = f"[{WS}]+", f"[^{WS}]+"
+#: SPACE, and stretches of it that are no single plain space. Java asks every part of the class for a letter, so letters are told first by one range.
+_SPACE = f"(?![!-~])[{WS}]+"
+_UNEVEN = f"(?![!-~])(?:[{WS[1:]}][{WS}]*| [{WS}]+)"
 #: Words of a balance sheet: Latin letters, digits and straight apostrophes.
 BALANCE_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9']+"
 LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
@@ -45,7 +48,7 @@ def strip(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, SPACE, " "))
+    return strip(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def without_points(text: Column) -> Column:
@@ -112,7 +115,7 @@ def balance_words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Stretches between white space."""
-    return F.filter(F.split(text, SPACE, -1), lambda t: t != "")
+    return F.filter(F.split(text, _SPACE, -1), lambda t: t != "")
 
 
 def stretches(text: Column) -> Column:

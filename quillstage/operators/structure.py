@@ -37,14 +37,20 @@ REASONS = {
 }
 WARNINGS = {"unsure": "classement incertain : ", "no cast": "aucune distribution détectée", "nobody": "aucun personnage détecté"}
 OPENERS = ["titre_acte", "titre_scene", "separateur"]
+_FIRST = {h[0] for h in CAST_HEADINGS}
+#: How every line begins whose label is a heading of a cast list; most lines do not, and need no label.
+_MAY_HEAD = f"^[{X.WS}*\\p{{Mn}}]*[{''.join(sorted(_FIRST | {c.lower() for c in _FIRST}) + [a for a, b in zip(X.ACCENTED, X.BARE, strict=True) if b.upper() in _FIRST])}]"
 
 
 def labels_of(lines: DataFrame, doc: str) -> DataFrame:
     """Per document and label: occurrences, speech_after, first_line, and the spelling that prevails."""
-    inline = split_inline(F.col("line"))
-    said = next_line_is_speech(lines, doc).withColumn("__inline", inline)
-    shown = F.coalesce(X.bold(F.col("line")), F.col("__inline.name"))
-    seen = said.select(doc, "line_no", shown.alias("shown"), (F.col("__inline").isNotNull() | F.col("speech_next")).alias("after"))
+    line = F.col("line")
+    # no text is sorted: what is seen of the lines that are not blank is enough
+    facts = lines.filter(X.strip(line) != "").select(
+        doc, "line_no", X.bold(line).alias("__bold"), split_inline(line)["name"].alias("__inline"), X.is_speech(line).alias("__speech")
+    )
+    speech_next = F.coalesce(F.lead("__speech").over(W.partitionBy(doc).orderBy("line_no")), F.lit(False))
+    seen = facts.select(doc, "line_no", F.coalesce("__bold", "__inline").alias("shown"), (F.col("__inline").isNotNull() | speech_next).alias("after"))
     seen = seen.filter(F.col("shown").isNotNull()).withColumn("label", X.label(F.col("shown"))).filter(F.col("label") != "")
     forms = seen.groupBy(doc, "label", "shown").agg(F.count("*").alias("n"), F.count_if("after").alias("speech_after"), F.min("line_no").alias("first_line"))
     best = F.min_by("shown", F.struct(-F.col("n"), F.col("shown")))
@@ -60,11 +66,12 @@ def cast_of(lines: DataFrame, doc: str) -> DataFrame:
     The list ends at two blank lines, a separator, speech on a name's line, a title, or a name that is followed by speech.
     """
     line = F.col("line")
-    marked = next_line_is_speech(lines, doc).withColumn("__label", X.label(line))
     whole = W.partitionBy(doc)
-    marked = marked.withColumn("__head", F.min(F.when(F.col("__label").isin(CAST_HEADINGS), F.col("line_no"))).over(whole))
-    body = marked.filter((F.col("line_no") > F.col("__head")) & (F.col("line_no") <= F.col("__head") + CAST_LINES))
     order = W.partitionBy(doc).orderBy("line_no")
+    head = F.when(line.rlike(_MAY_HEAD), X.label(line)).isin(CAST_HEADINGS)
+    marked = lines.withColumn("__head", F.min(F.when(head, F.col("line_no"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # what follows a line is looked for below headings alone
+    body = next_line_is_speech(marked.filter(F.col("line_no") > F.col("__head")), doc).filter(F.col("line_no") <= F.col("__head") + CAST_LINES)
     blank = X.strip(line) == ""
     own = X.label(X.bold(line))
     ends = (blank & F.coalesce(F.lag(blank).over(order), F.lit(False))) | X.is_separator(line) | split_inline(line).isNotNull()

@@ -139,9 +139,10 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     schema = F.when(F.col("piece").cast("long") % 4 == 2, "repetition/1").when(F.col("piece").cast("long") % 4 == 3, "other/1").otherwise("repetition/2")
     docs = _documents(spark, sf).withColumn("schema", schema)
     raw = docs.select("piece", F.to_json(F.struct(*docs.columns)).alias("text")).unionByName(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("piece"), "text"))
-    good, bad = play.ingest(raw)
-    units = F.size("unites").cast("long").alias("units")
-    return good.select("piece", F.lit(None).cast("string").alias("reason"), units).unionByName(bad.select("piece", "reason", F.lit(None).cast("long").alias("units")))
+    good = F.col("reason").isNull()
+    return play.judged(raw).select(
+        F.when(good, F.col("doc.piece")).otherwise(F.col("piece")).alias("piece"), "reason", F.when(good, F.size("doc.unites").cast("long")).alias("units")
+    )
 
 
 INGESTED = f"""WITH {_ELEMENTS}, c AS (SELECT conv_id, count(DISTINCT unit_id) AS u FROM ee GROUP BY 1)

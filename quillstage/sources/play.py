@@ -25,15 +25,20 @@ def read_plays(spark: SparkSession, path: str | list[str], strict: bool = True,
     return docs.filter(F.when(F.col("schema").eqNullSafe(F.lit(SCHEMA_VERSION)), True).otherwise(F.raise_error(wrong).cast("boolean")))
 
 
-def ingest(raw: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents from JSON text: the valid ones and the rejected ones with a reason. Nothing fails the job."""
+def judged(raw: DataFrame, text: str = "text") -> DataFrame:
+    """Adds doc, the document that a JSON text holds, and reason, why it is rejected, null for the valid ones. Nothing fails the job."""
     from quillstage.operators.quality import version_remedy
 
     parsed = raw.withColumn("doc", F.from_json(text, DOCUMENT, {"mode": "PERMISSIVE"}))
     reason = F.when(
         F.col("doc").isNull() | F.coalesce(F.col("doc.schema"), F.col("doc.piece")).isNull(), "not a document"
     ).otherwise(F.coalesce(version_remedy(F.col("doc.schema")), F.when(F.coalesce(F.size("doc.unites"), F.lit(0)) <= 0, "no units")))
-    marked = parsed.withColumn("reason", reason)
+    return parsed.withColumn("reason", reason)
+
+
+def ingest(raw: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The valid documents and the rejected texts with a reason, for two uses; who wants both at once takes ``judged``, which reads once."""
+    marked = judged(raw, text)
     return marked.filter("reason is null").select("doc.*"), marked.filter("reason is not null").drop("doc")
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstage.operators import dialogue, intervals, lines, quality, stages, structure
+from quillstage.plans import plays
 from quillstage.sources import play, play_source, texts
+from tests.conftest import SF
 
 PLAY = """**LE PUITS**
 
@@ -235,3 +237,18 @@ def test_a_job_that_fails_leaves_no_play(spark, tmp_path):
 def test_partitions_follow_sizes():
     groups = play_source.dealt([("a", 9), ("b", 5), ("c", 4), ("d", 30), ("e", 1)], 10)
     assert sorted(map(sorted, groups)) == [["a", "e"], ["b", "c"], ["d"]]
+
+
+def reads(df):
+    """How many leaves of a plan read a table."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
+
+
+def test_texts_are_ingested_by_one_pass(spark):
+    # three times for the documents (labels, cast lists, lines), once as texts that are none
+    assert reads(plays.QUERIES["ingested"](spark, SF)) == 4
+    raw = spark.createDataFrame([("a", json.dumps(a_play("x"))), ("b", json.dumps(a_play("y", schema="repetition/1"))), ("c", "no"), ("d", None)], "piece string, text string")
+    found = play.judged(raw)
+    assert [(r.piece, r.reason, r.doc.piece if r.reason is None else None) for r in found.orderBy("piece").collect()] == [("a", None, "x"), ("b", "file_outdated", None), ("c", "not a document", None), ("d", "not a document", None)]
+    good, bad = play.ingest(raw)
+    assert [r.piece for r in good.collect()] == ["x"] and sorted(r.piece for r in bad.collect()) == ["b", "c", "d"]
