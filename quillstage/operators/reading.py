@@ -14,14 +14,17 @@ SOFT, HARD = 0.6, 1.4
 
 def flattened(elements: DataFrame) -> DataFrame:
     """Elements with a scene row before the first of every unit that has a title: (piece, position, kind, text, people)."""
-    first = elements.groupBy("piece", "unit_pos", "act", "scene", "implicit").count().drop("count")
-    heads = first.filter("not implicit").select(
-        "piece", "unit_pos", F.lit(-1).alias("elem_pos"), F.lit("scene").alias("kind"), F.concat_ws(" - ", "act", "scene").alias("text"),
+    head = F.struct(
+        F.lit(-1).alias("elem_pos"), F.lit("scene").alias("kind"), F.concat_ws(" - ", "act", "scene").alias("text"),
         F.lit(None).cast("array<string>").alias("people")
     )
-    rows = heads.unionByName(elements.select("piece", "unit_pos", "elem_pos", F.col("type").alias("kind"), "text", "people"))
+    row = F.struct("elem_pos", F.col("type").alias("kind"), "text", "people")
+    # keyed by play first, so that both steps share one shuffle
+    kept = elements.repartition("piece").withColumn("__first", F.row_number().over(W.partitionBy("piece", "unit_pos", "act", "scene", "implicit").orderBy("elem_pos")) == 1)
+    both = F.when(F.col("__first") & ~F.col("implicit"), F.array(head, row)).otherwise(F.array(row))
+    rows = kept.select("piece", "unit_pos", F.explode(both).alias("r")).select("piece", "unit_pos", "r.*")
     order = W.partitionBy("piece").orderBy("unit_pos", "elem_pos")
-    return rows.withColumn("position", F.row_number().over(order) - 1).drop("unit_pos", "elem_pos")
+    return rows.withColumn("position", F.row_number().over(order) - 1).select("piece", "kind", "text", "people", "position")
 
 
 def with_scene(flat: DataFrame) -> DataFrame:

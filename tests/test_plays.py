@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstage.operators import dialogue, intervals, lines, quality, stages, structure
+from quillstage.operators import dialogue, intervals, lines, quality, reading, stages, structure
 from quillstage.plans import plays
 from quillstage.sources import play, play_source, texts
 from tests.conftest import SF
@@ -252,3 +252,11 @@ def test_texts_are_ingested_by_one_pass(spark):
     assert [(r.piece, r.reason, r.doc.piece if r.reason is None else None) for r in found.orderBy("piece").collect()] == [("a", None, "x"), ("b", "file_outdated", None), ("c", "not a document", None), ("d", "not a document", None)]
     good, bad = play.ingest(raw)
     assert [r.piece for r in good.collect()] == ["x"] and sorted(r.piece for r in bad.collect()) == ["b", "c", "d"]
+
+
+def test_plays_are_flattened_by_one_pass(spark):
+    assert reads(plays.QUERIES["flattened"](spark, SF)) == 3
+    rows = [("p", u, f"u{u}", "I", scene, implicit, e, kind, f"{u}.{e}", ["A"]) for u, scene, implicit in ((0, "1", False), (1, None, True), (2, None, False)) for e, kind in ((0, "lieu"), (1, "replique"))]
+    elements = spark.createDataFrame(rows, "piece string, unit_pos int, unit string, act string, scene string, implicit boolean, elem_pos int, type string, text string, people array<string>")
+    flat = reading.flattened(elements.unionByName(elements.withColumn("piece", F.lit("q")))).filter("piece = 'p'").orderBy("position").collect()
+    assert [(r.position, r.kind, r.text) for r in flat] == list(zip(range(8), ["scene", "lieu", "replique", "lieu", "replique", "scene", "lieu", "replique"], ["I - 1", "0.0", "0.1", "1.0", "1.1", "I", "2.0", "2.1"]))
