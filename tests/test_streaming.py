@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillstage.operators import rehearsal
@@ -93,3 +94,58 @@ def test_states_equal_the_batch(spark):
             own = sorted(((at, x, n) for k, at, x, n in rows if k == r.user_id), key=lambda e: (-e[0], -e[2]))[:10]
             status, streak, successes, due = recitations.state_of(own, now * day)
             assert (r.status, r.streak, r.successes, r.due_at) == (status, streak, successes, due)
+
+
+def test_older_entries_are_left_out_before_the_shuffle(monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, 3, 2**60, 2**60 + 1]), rng.randint(1, 40), float(rng.randint(0, 100)), n) for n in range(500)]
+    names = ["user_id", "at", "score", "tie"]
+    table = pa.table([list(c) for c in zip(*rows, strict=True)], schema=pa.schema([("user_id", pa.int64()), ("at", pa.int64()), ("score", pa.float64()), ("tie", pa.int64())]))
+    newest = lambda own: sorted(own, key=lambda e: (-e[1], -e[3]))[:10]
+    for stretch in (10_000, 60):
+        monkeypatch.setattr(recitations, "STRETCH", stretch)
+        kept = [tuple(r[c] for c in names) for b in recitations.newest_of_stretches(iter(table.to_batches(max_chunksize=37))) for r in b.to_pylist()]
+        assert sum(r[0] is None for r in kept) == sum(r[0] is None for r in rows)
+        for key in {r[0] for r in rows} - {None}:
+            assert newest([r for r in kept if r[0] == key]) == newest([r for r in rows if r[0] == key])
+        if stretch == 10_000:
+            assert len([r for r in kept if r[0] is not None]) == 50
+    assert list(recitations.newest_of_stretches(iter([]))) == []
+
+
+def test_a_key_is_one_read_and_one_write_of_the_state():
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(("delete", at))
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+    day, lapsing = recitations.DAY, recitations.Lapsing()
+    lapsing.init(Handle())
+    said = lambda *days: list(lapsing.handleInputRows((1,), iter([{"at": d * day, "score": 95.0, "tie": d} for d in days]), Now()))[0]
+    assert said(1, 2, 3).due_at == 10 * day and calls == ["get", ("register", 10 * day), "update"]
+    calls.clear()
+    assert said(1).attempts == 4 and ("delete", 10 * day) in calls  # a fourth success: a longer interval
+    calls.clear()
+    assert said(*range(4, 400)).attempts == 10 and calls[0] == "get" and calls[-1] == "update" and len(calls) == 4
