@@ -9,18 +9,22 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from quillstage.sources.play import DOCUMENT, SCHEMA_VERSION
 
 #: Bytes of files that a partition reads, more only where one file has more, and documents of a batch.
 PART_BYTES, BATCH_DOCS = 16_000_000, 256
+#: Moves of a commit at a time, and how often a passing folder is tried to be deleted.
+MOVERS, LEAVING = 16, 10
 _PASSING = "_passing"
 
 
@@ -101,9 +105,12 @@ class PlayReader(DataSourceReader):
             yield from pa.Table.from_pylist(found, kind).to_batches()
 
 
-class PlayWriter(DataSourceWriter):
+class PlayWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        # tasks never make this folder, so none brings it back that ends after the job was given up
+        store, base = _store(path)
+        store.create_dir(f"{base}/{_PASSING}-{self.job}", recursive=True)
 
     def write(self, iterator) -> Written:
         from pyspark import TaskContext
@@ -112,10 +119,10 @@ class PlayWriter(DataSourceWriter):
         task = TaskContext.get()
         # a task that is run again writes to a folder of its own, and only the one that counts tells its names
         folder = f"{base}/{_PASSING}-{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
-        store.create_dir(folder, recursive=True)
+        store.create_dir(folder, recursive=False)
         done = Written()
-        for n, row in enumerate(iterator):
-            doc = {k: v for k, v in row.asDict(recursive=True).items() if v is not None and k != "file"}
+        for n, row in enumerate(row for batch in iterator for row in batch.to_pylist()):
+            doc = {k: v for k, v in row.items() if v is not None and k != "file"}
             slug = re.sub(r"[^\w-]+", "-", str(doc.get("piece", "")))[:80]
             name = f"{folder}/{slug}.{task.partitionId()}-{n}_REPET.json"
             with store.open_output_stream(name, compression=None) as out:
@@ -132,9 +139,15 @@ class PlayWriter(DataSourceWriter):
             for f in store.get_file_info(fs.FileSelector(base)):
                 if f.base_name.endswith(".json"):
                     store.delete_file(f.path)
-        for name in (n for m in messages if m is not None for n in m.names):
+
+        def move(name: str) -> None:
             place = name.rsplit("/", 1)[1]
             store.move(name, f"{base}/{place.replace('_REPET.json', f'-{self.job[:8]}_REPET.json')}")
+
+        # a move waits for the store, so many wait at once
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for _ in movers.map(move, (n for m in messages if m is not None for n in m.names)):
+                pass
         self._leave()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -145,8 +158,15 @@ class PlayWriter(DataSourceWriter):
 
         store, base = _store(self.path)
         passing = f"{base}/{_PASSING}-{self.job}"
-        if store.get_file_info(passing).type == fs.FileType.Directory:
-            store.delete_dir(passing)
+        for tries in range(LEAVING, 0, -1):
+            if store.get_file_info(passing).type != fs.FileType.Directory:
+                return
+            try:
+                store.delete_dir(passing)
+            except OSError:  # a task that has not ended yet put a file there meanwhile
+                if tries == 1:
+                    raise
+                time.sleep(0.2)
 
 
 class PlaySource(DataSource):

@@ -260,3 +260,27 @@ def test_plays_are_flattened_by_one_pass(spark):
     elements = spark.createDataFrame(rows, "piece string, unit_pos int, unit string, act string, scene string, implicit boolean, elem_pos int, type string, text string, people array<string>")
     flat = reading.flattened(elements.unionByName(elements.withColumn("piece", F.lit("q")))).filter("piece = 'p'").orderBy("position").collect()
     assert [(r.position, r.kind, r.text) for r in flat] == list(zip(range(8), ["scene", "lieu", "replique", "lieu", "replique", "scene", "lieu", "replique"], ["I - 1", "0.0", "0.1", "1.0", "1.1", "I", "2.0", "2.1"]))
+
+
+def test_documents_are_made_by_one_pass(spark):
+    assert reads(plays._documents(spark, SF)) == 3
+
+
+def test_a_task_that_ends_after_its_job_was_given_up_leaves_no_folder(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+        taskAttemptId = staticmethod(lambda: 1)  # noqa: N815
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(Task))
+    batch = lambda: iter([pa.RecordBatch.from_pylist([a_play("x"), a_play("y") | {"piece": None}])])
+    writer = play_source.PlayWriter(str(tmp_path / "out"), False)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(batch())
+    assert list((tmp_path / "out").iterdir()) == []
+    writer = play_source.PlayWriter(str(tmp_path / "out"), False)
+    writer.commit([writer.write(batch()), None])
+    assert sorted(json.loads(p.read_text()).get("piece", "") for p in (tmp_path / "out").iterdir()) == ["", "x"]
