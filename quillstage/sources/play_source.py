@@ -7,6 +7,7 @@ moves them to where readers look, and a job that fails leaves nothing.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import time
@@ -45,16 +46,18 @@ def _store(path: str):
 
 
 def dealt(sizes: list[tuple[str, int]], most: int = PART_BYTES) -> list[list[str]]:
-    """Files in groups of at most ``most`` bytes or a single file, the largest first, each to the first group that it fits in."""
-    groups: list[tuple[int, list[str]]] = []
+    """Files in groups of at most ``most`` bytes or a single file, the largest first, each to the group that holds least, a new one where it does not fit."""
+    groups: list[list[str]] = []
+    least: list[tuple[int, int]] = []
     for name, size in sorted(sizes, key=lambda f: (-f[1], f[0])):
-        for k, (held, names) in enumerate(groups):
-            if held + size <= most:
-                groups[k] = held + size, [*names, name]
-                break
+        if least and least[0][0] + size <= most:
+            held, k = least[0]
+            groups[k].append(name)
+            heapq.heapreplace(least, (held + size, k))
         else:
-            groups.append((size, [name]))
-    return [names for _, names in groups]
+            groups.append([name])
+            heapq.heappush(least, (size, len(groups) - 1))
+    return groups
 
 
 def documents(raw: bytes) -> Iterator[dict]:

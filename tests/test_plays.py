@@ -284,3 +284,11 @@ def test_a_task_that_ends_after_its_job_was_given_up_leaves_no_folder(tmp_path,
     writer = play_source.PlayWriter(str(tmp_path / "out"), False)
     writer.commit([writer.write(batch()), None])
     assert sorted(json.loads(p.read_text()).get("piece", "") for p in (tmp_path / "out").iterdir()) == ["", "x"]
+
+
+def test_many_files_are_dealt_whole():
+    sizes = [(f"f{k}", 1 + k % 7) for k in range(20_000)]
+    groups = play_source.dealt(sizes, 1000)
+    size = dict(sizes)
+    assert sorted(n for g in groups for n in g) == sorted(size) and max(sum(size[n] for n in g) for g in groups) <= 1000
+    assert len(groups) <= 2 * sum(size.values()) / 1000
