@@ -119,10 +119,10 @@ CUT = f"WITH {_SPANS} SELECT CAST(category AS BIGINT) AS category, CAST(sum(len(
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Where a text's first twelve and last six characters stand, if they stand there alone."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
     t = F.col("text")
-    ends = docs.select("doc_id", F.lit(0).alias("number"), F.substring(t, F.lit(1), F.lit(12)).alias("begin"), F.substring(t, F.length(t) - 5, F.lit(6)).alias("end"))
-    return I.located(docs, ends, "doc_id").select("doc_id", "start", "stop", "fault")
+    found = lambda ends: I.anchored(ends["t"], ends["begin"], ends["end"])
+    ends = F.struct(t.alias("t"), F.substring(t, F.lit(1), F.lit(12)).alias("begin"), F.substring(t, F.length(t) - 5, F.lit(6)).alias("end"))
+    return table(spark, sf, "documents").select("doc_id", X.let(ends, found).alias("a")).select("doc_id", *(F.col(f"a.{c}").cast("long").alias(c) for c in ("start", "stop")), "a.fault")
 
 
 ANCHORS = """WITH a AS (SELECT doc_id, text, substr(text, 1, 12) AS b, substr(text, length(text) - 5, 6) AS e FROM documents),

@@ -3,6 +3,7 @@ import json
 import random
 import time
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from quillstage.functions import automaton, images, text
 from quillstage.operators import editing, intervals, quality, reading, search, stages, structure
 from quillstage.operators.lines import lines_of
+from quillstage.plans import structures
 from quillstage.sources import remote, texts
+from tests.conftest import same_rows
 
 
 def test_junction_replies(spark):
@@ -282,6 +285,26 @@ def test_many_anchors_in_one_pass(spark):
     assert {None, "unique", "found", "begins"} <= faults
 
 
+def test_anchors_of_odd_texts_equal_the_sql(spark, tmp_path):
+    texts = [None, "", " ", "abcd" * 9, "aaaaaa bbbbbb", "é𝄞\x00\n" * 5 + "z", "e\u0301 e\u0301 e\u0301", *("abcdefghijklmnop"[:n] for n in range(1, 16)), "ab" * 3 + "x" * 20 + "ababab"]
+    ids = [*range(len(texts)), 3, 3, None, None]  # rows without an id or with that of another text are rows like others
+    rows = [(i, t) for i, t in zip(ids, texts + ["another text of the same id", texts[3], "a text without id", None], strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(structures.anchors(spark, str(tmp_path)), duck, structures.ANCHORS)
+
+
+def test_an_anchor_by_columns_equals_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for k in range(400):
+        text = "".join(rng.choices("abé𝄞", k=rng.randint(0, 40)))
+        rows.append((k, text, *("".join(rng.choices("abé𝄞", k=rng.randint(1, 4))) for _ in range(2))))
+    t, b, e = F.col("t"), F.col("b"), F.col("e")
+    got = spark.createDataFrame(rows, "k int, t string, b string, e string").select("k", intervals.anchored(t, b, e).alias("two"), intervals.anchored(t, b).alias("one"))
+    assert {r.k: (tuple(r.two), tuple(r.one)) for r in got.collect()} == {k: (brute_anchor(t, b, e), brute_anchor(t, b, None)) for k, t, b, e in rows}
+
+
 def test_few_anchors_need_no_automaton(monkeypatch):
     rng = random.Random(9)
     for most in (0, 500):
