@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given
@@ -201,6 +202,55 @@ def test_a_batch_of_recitations_is_answered_whole(spark):
     assert len(got) == 1003 and all(r.correct == r.expected if r.id % 2 == 0 else r.correct == 1 for r in got)
 
 
+def test_long_recitations_are_judged_whole(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeilmnortuvw", k=rng.randint(1, 3))) for _ in range(900)]
+    heard = [w for w in words if rng.random() < 0.8] + ["encore"] * 30
+    for a, b in ((words, heard), (words, words), (words[:401], words[:399]), ([], words), (words, [])):
+        whole = speech.judged(" ".join(a), " ".join(b), None)
+        assert whole["expected"] == len(a) and not whole["truncated"]
+        assert [d["word"] for d in whole["details"] if d["state"] != "ajoute"] == a
+    rows = spark.createDataFrame([(0, " ".join(words), " ".join(heard)), (1, "mot " * 399 + "fin", "mot " * 400 + "fin")], "id int, a string, b string")
+    got = {r.id: r.r for r in rows.select("id", speech.compare("a", "b").alias("r")).collect()}
+    assert got[0].expected == len(got[0].details) - got[0].added == 900 and (got[1].correct, got[1].added) == (400, 1)
+
+
+def test_an_alignment_equals_that_by_a_whole_table(monkeypatch):
+    def brute(a, b):
+        n, m = len(a), len(b)
+        c = [[0] * (m + 1) for _ in range(n + 1)]
+        for i, j in itertools.product(range(n - 1, -1, -1), range(m - 1, -1, -1)):
+            c[i][j] = c[i + 1][j + 1] + 1 if a[i] == b[j] else max(c[i + 1][j], c[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < n or j < m:
+            if i < n and j < m and a[i] == b[j]:
+                step, i, j = ("correct", i, j), i + 1, j + 1
+            elif j == m or (i < n and c[i + 1][j] == c[i][j]):
+                step, i = ("oublie", i, None), i + 1
+            else:
+                step, j = ("ajoute", None, j), j + 1
+            if out and {out[-1][0], step[0]} == {"oublie", "ajoute"}:
+                first = out.pop()
+                step = ("substitue", first[1] if first[1] is not None else step[1], first[2] if first[2] is not None else step[2])
+            out.append(step)
+        return out
+
+    rng = random.Random(4)
+    for k in range(300):
+        monkeypatch.setattr(speech, "OFTEN", k % 3 * 4)
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 40))) for _ in range(2))
+        assert speech.aligned(list(a), list(b)) == brute(a, b)
+
+
+def test_parts_are_bounded_by_their_size(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(speech, "PART_SIZE", 100)
+    batch = pd.Series(["x" * n for n in (40, 0, 70, 500, 1, 30, 30, 30, 30)] + [None])
+    parts = list(speech.in_parts(iter([(batch, batch)]), lambda a, b: a))
+    assert [list(p.map(lambda t: len(t or ""))) for p in parts] == [[40, 0], [70], [500], [1, 30], [30], [30], [30, 0]]
+
+
 def test_short_ways_equal_the_patterns(spark):
     rng = __import__("random").Random(7)
     signs = [*X.WS_CHARS, *".:;,!?*[(aÉ’", "et", "**", "<<<PAGE_BREAK>>>", "[PAGE 1]"]
