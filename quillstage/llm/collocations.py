@@ -35,8 +35,8 @@ LEAST, LONGEST, TOP, SCALE, COVER = 100, 5, 2000, 1000, 100
 UNKNOWN = "und"
 #: Bytes of text in a block, of blocks that a Python worker takes at once, and names that are broadcast.
 BLOCK_BYTES, BATCH_BYTES, MOST_BROADCAST = 2_000_000, 4_000_000, 1_000_000
-#: How blocks are compressed: their sequences are most of the disk that is used.
-CODEC = "zstd"
+#: How blocks are compressed: their sequences are most of the disk that is used. And how many a task holds unpacked: one is up to ten times its text.
+CODEC, GROUP = "zstd", 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -234,12 +234,12 @@ def _by_join(blocks: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
     """The named words, pairs, … of up to ``longest`` words, a table each, and (lang, total), the number of all words."""
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        blocks = written(word_blocks(docs, text, lang), "word-blocks", codec=CODEC)
+        blocks = written(word_blocks(docs, text, lang), "word-blocks", codec=CODEC, group=GROUP)
         totals = written(blocks.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
         names, keys = [word_names(blocks, least)], ["word"]
         while len(names) < longest:
             some = names[-1].count()
-            before, blocks = blocks, written((_by_broadcast if some <= MOST_BROADCAST else _by_join)(blocks, names[-1], keys), "pair-blocks", codec=CODEC)
+            before, blocks = blocks, written((_by_broadcast if some <= MOST_BROADCAST else _by_join)(blocks, names[-1], keys), "pair-blocks", codec=CODEC, group=GROUP)
             discard(before)
             names.append(pair_names(blocks, names[-1], least))
             keys = ["first", "last"]

@@ -32,10 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[DataFrame]] = []
 
 
-def written(df: DataFrame, name: str = "table", keep: bool = False, codec: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: short lineage that outlives executors. With ``keep`` no ``scratch`` deletes it."""
+def written(df: DataFrame, name: str = "table", keep: bool = False, codec: str | None = None, group: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: short lineage that outlives executors. With ``keep`` no ``scratch`` deletes it.
+
+    A task holds a row group whole, unpacked, in writing and in reading, and without ``group``, the most rows of one, it has a hundred
+    at least: too many where a row is megabytes.
+    """
     path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path, compression=codec)
+    (df.write.option("parquet.block.row.count.limit", group) if group else df.write).parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     if _SCRATCH and not keep:

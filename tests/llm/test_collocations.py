@@ -1,8 +1,10 @@
 import collections
+import glob
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,21 @@ def test_names_point_to_their_parts(spark):
 
 def test_query_equals_oracle(spark, duck):
     same_rows(collocations.QUERIES["op11_phrase_collocation_mining"](spark, SF), duck, collocations.SQL["op11_phrase_collocation_mining"])
+
+
+def test_few_blocks_are_held_at_once(spark, monkeypatch):
+    seen = []
+
+    def watched(df, name, **options):
+        out = written(df, name, **options)
+        if name.endswith("blocks"):
+            files = glob.glob(f"{out.written_to.removeprefix('file:')}/*.parquet")
+            seen.extend(m.row_group(k).num_rows for f in files for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups))
+        return out
+
+    written = collocations.written
+    monkeypatch.setattr(collocations, "written", watched)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 500)
+    docs = spark.createDataFrame(texts(), "text string, lang string").coalesce(1)
+    collocations.phrases(docs, least=5, longest=3)
+    assert len(seen) > 9 and sum(seen) > 30 and max(seen) <= collocations.GROUP
