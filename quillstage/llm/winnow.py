@@ -131,6 +131,19 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(fingerprint.cast("array<string>"), " ")
 
 
+#: Bits of a position that are written: those of neighbours differ by a window at most, so they tell the whole of it.
+SHORT_BITS = 6
+
+
+def compact(fingerprint: Column) -> Column:
+    """The same in less than half of the characters: 11 hexadecimal digits for each long, its hash and the lowest bits of the position, all of them as base64.
+
+    The lowest bits lie over the highest ones, which are 0 up to a position of 2**20 and change once in 2**20 positions beyond it.
+    """
+    short = lambda v: F.shiftrightunsigned(v, POSITION_BITS - SHORT_BITS).bitwiseXOR(v.bitwiseAND(F.lit((1 << SHORT_BITS) - 1)))
+    return F.base64(F.unhex(F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.hex(short(v)), 11, "0")), "")))
+
+
 def likeness(a: str, b: str) -> Column:
     """Jaccard similarity of the hash sets in the columns ``a`` and ``b``, null ones being empty."""
     common = F.size(F.array_intersect(a, b))
@@ -195,8 +208,8 @@ def with_next(df: DataFrame, order: str, text: str) -> tuple[DataFrame, W]:
     return rows.withColumn("next_text", F.lead(text).over(w)), w
 
 
-def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams: Grams = word_grams) -> DataFrame:
-    """Fingerprint of every text, of the text edited by its neighbour's beginning, and the likenesses."""
+def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams: Grams = word_grams, form: Callable[[Column], Column] = as_text) -> DataFrame:
+    """Fingerprint of every text, of the text edited by its neighbour's beginning, both written in a ``form``, and the likenesses."""
     rows, w = with_next(df, doc, text)
     whole, after = F.coalesce(F.col(text), F.lit("")), F.coalesce("next_text", F.lit(""))
     half = F.length(whole) - F.floor(F.length(whole) / 2).cast("int")
@@ -211,13 +224,13 @@ def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", grams:
     rows = rows.withColumn("h_next", F.lead("h").over(w)).filter("__guest = 0")
     rows = rows.withColumn("h_next", F.coalesce("h_next", F.array().cast(_NONE)))
     return rows.select(
-        doc, "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        doc, "n_chars", "edited_sha256", form(F.col("fp")).alias("fingerprint"), form(F.col("edited_fp")).alias("edited_fingerprint"),
         "near_edited", likeness("h", "h_next").alias("near_next")
     )
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(read(spark, sf_dir, "documents"), grams=character_grams)
+    return fingerprints(read(spark, sf_dir, "documents"), grams=character_grams, form=compact)
 
 
 QUERIES = {"op6_document_fingerprints": op6_document_fingerprints}

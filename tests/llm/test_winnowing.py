@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -150,3 +151,29 @@ def test_short_and_unsegmented_texts_keep_their_unchanged_half(spark, tmp_path):
     texts = ["The harbour was full of small boats.", "港口里停满了小船渔夫们在修补渔网没有人谈起夜里过去的那场暴风雨", "function(a,b){return(a+b)*(a-b)};var", "ท่าเรือเต็มไปด้วยเรือลำเล็กและชาวประมง"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert all(0 < r.near_edited < 1 for r in winnow.op6_document_fingerprints(spark, str(tmp_path)).collect())
+
+
+def test_compact_fingerprints_hold_all_of_them(spark):
+    def read(text):
+        """(hash, position) of the entries of a compact fingerprint."""
+        raw = base64.b64decode(text).hex()
+        digits, out, at = raw[len(raw) % 11 :], [], -1
+        for k in range(0, len(digits), 11):
+            x = int(digits[k : k + 11], 16)
+            at += 1 + (x % 64 - (at + 1)) % 64
+            out.append(((x >> 6) - ((x >> 43) << 38), at))
+        return out
+
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()] + ODD + [None, "", "a", "z" * 500]
+    got = winnow.op6_document_fingerprints(spark, SF).collect()
+    whole = {r.doc_id: r for r in winnow.fingerprints(spark.read.parquet(f"{SF}/documents.parquet"), grams=winnow.character_grams).collect()}
+    size = 0
+    for r in got:
+        for c in ("fingerprint", "edited_fingerprint"):
+            entries = [(x >> 26, (1 << 26) - 1 - x % (1 << 26)) for x in map(int, whole[r.doc_id][c].split())]
+            assert read(r[c]) == entries
+            size += len(r[c]) - 0.4 * len(whole[r.doc_id][c])
+    assert len(got) == len(whole) and size < 0
+    df = spark.createDataFrame([(t,) for t in docs], "t string")
+    for r in winnow.with_fingerprint(df, "t", "fp", winnow.character_grams).select("t", "fp", winnow.compact(F.col("fp")).alias("c")).collect():
+        assert read(r.c) == [(x >> 26, (1 << 26) - 1 - x % (1 << 26)) for x in r.fp] == brute_characters(r.t)
